@@ -50,3 +50,17 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         q = jvm.org.apache.hadoop.fs.Path(p)
         q.getFileSystem(conf).delete(q, True)
+
+
+def file_system(uri: str) -> tuple:
+    """(pyarrow file system, path) of a URI or local path, on driver and executors alike."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") and not uri.startswith("file://"):
+        uri = uri.removeprefix("file:")
+    return (fs.LocalFileSystem(), uri) if uri.startswith("/") else fs.FileSystem.from_uri(uri)
+
+
+def dealt_evenly(df: DataFrame, n: int) -> DataFrame:
+    """The rows of a small table, such as a list of files, dealt to n tasks in turn."""
+    return df.coalesce(1).repartition(max(1, n))

@@ -6,20 +6,41 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules, secret_scan
-from .common import table
+from . import bpe, quality_rules, secret_scan, token_store, warc
+from .common import materialise, shared_dir, table
+
+
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planned = warc.plan(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0)
+    archives = materialise(warc.write(planned, shared_dir(spark, "warc")), "warc-files")
+    return warc.scan(archives, archives.count()).drop("target_uri")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    files, n = token_store.store(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN)
+    return token_store.read_summary(files, token_store.vocabulary_size(path), n)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_secret_scan, op9_quality_rules)}
+    return {f.__name__: f for f in (op2_warc, op4_secret_scan, op7_byte_bpe, op9_quality_rules, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -24,4 +24,15 @@ SELECT *, NOT (base_failed OR 100 * dup_chars_5 > 40 * word_chars OR 100 * dup_c
   OR 100 * dup_chars_10 > 30 * word_chars OR 100 * dup_line_chars > 40 * word_chars) AS kept FROM f
 """
 
-ORACLES = {"op9_quality_rules": QUALITY_RULES}
+WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages),
+x AS (SELECT page_id, strlen(t)::BIGINT AS payload_bytes, CAST(CAST(unhex(sha1(t)) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY t) AS first FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + 16 * substr(bits, (5 * i + 1)::BIGINT, 1)::INT + 8 * substr(bits, (5 * i + 2)::BIGINT, 1)::INT + 4 * substr(bits, (5 * i + 3)::BIGINT, 1)::INT
+      + 2 * substr(bits, (5 * i + 4)::BIGINT, 1)::INT + substr(bits, (5 * i + 5)::BIGINT, 1)::INT, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM x
+"""
+
+ORACLES = {"op2_warc": WARC, "op9_quality_rules": QUALITY_RULES}
