@@ -37,6 +37,7 @@ class _Model:
         self.weights = np.tile(np.array([2, 1, 1], np.int64), (128, 1))
         self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
         self.starts = np.arange(size + 1, dtype=np.uint64)
+        self.starts32 = self.starts.astype(np.int32)
         self.bounds = np.zeros((128, 4), np.uint64)
         np.cumsum(self.weights, 1, out=self.bounds[:, 1:].view(np.int64))
 
@@ -60,6 +61,7 @@ class _Model:
                 self.counts = (self.counts + 1) >> 1
                 self.total = int(self.counts.sum())
             np.cumsum(self.counts, out=self.starts[1:].view(np.int64))
+            self.starts32 = self.starts.astype(np.int32)
         self.weights += 4 * np.bincount(self.row * np.int16(3) + slots, minlength=384).reshape(128, 3)
         if (full := self.weights.sum(1) > 1 << 16).any():
             self.weights[full] = (self.weights[full] + 1) >> 1
@@ -175,7 +177,8 @@ def decode(data: bytes, n: int, size: int) -> np.ndarray:
         if rest.size:
             unit = span[rest] // np.uint64(model.total)
             seen = (code[rest] - low[rest]) // unit
-            drawn = (np.searchsorted(model.starts, np.minimum(seen, np.uint64(model.total - 1)), "right") - 1).astype(np.int32)
+            seen = np.minimum(seen, np.uint64(model.total - 1)).astype(np.int32)
+            drawn = (np.searchsorted(model.starts32, seen, "right") - 1).astype(np.int32)
             start = model.starts[drawn]
             low[rest] += unit * start
             span[rest] = unit * (model.starts[drawn + 1] - start)

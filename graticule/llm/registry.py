@@ -5,17 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, quality_rules, secret_scan, token_store, warc
+from . import bpe, decontaminate, near_dup, quality_rules, secret_scan, token_store, warc
 from .common import materialise, shared_dir, table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), size=2, percent=80).drop("node")
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     planned = warc.plan(table(spark, sf_dir, "pages", "page_id", "url", "html"), min_bytes=0)
     archives = materialise(warc.write(planned, shared_dir(spark, "warc")), "warc-files")
     return warc.scan(archives, archives.count()).drop("target_uri")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.withColumn("items_sha256", F.sha2(F.array_join("item_ids", ","), 256)).drop("item_ids")
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -40,7 +50,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op4_secret_scan, op7_byte_bpe, op9_quality_rules, op10_token_store)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_decontamination, op4_secret_scan, op7_byte_bpe, op9_quality_rules, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -35,4 +35,38 @@ SELECT page_id, payload_bytes,
 FROM x
 """
 
-ORACLES = {"op2_warc": WARC, "op9_quality_rules": QUALITY_RULES}
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+DECONTAMINATION = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_LOWERED}, '{_WORD}') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, len(w2) AS m, array_to_string(w2, ' ') AS gram FROM (
+  SELECT item_id, list_slice(w, i, i + least(len(w), 10) - 1) AS w2 FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM b WHERE len(w) > 0))),
+g AS (SELECT doc_id, m, i, array_to_string(list_slice(w, i, i + m - 1), ' ') AS gram
+  FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM win))),
+h AS (SELECT doc_id, i, g.m, item_id FROM g JOIN win ON g.m = win.m AND g.gram = win.gram),
+pos AS (SELECT doc_id, count(DISTINCT p)::BIGINT AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*)::BIGINT AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+_LOWERED_ALL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+NEAR_DEDUP = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWERED_ALL}, '{_SPACE}') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]] ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS g FROM d),
+c AS (SELECT min(doc_id) AS id, list_sort(g) AS g, len(g) AS n FROM s GROUP BY ALL HAVING len(g) > 0),
+e AS (SELECT id, n, unnest(g) AS gram FROM c),
+p AS (SELECT a.id AS x, b.id AS y, a.n AS nx, b.n AS ny, count(*) AS k FROM e a JOIN e b ON a.gram = b.gram AND a.id < b.id AND 100 * a.n >= 80 * b.n AND 100 * b.n >= 80 * a.n GROUP BY ALL),
+l AS (SELECT x, y FROM p WHERE 100 * k >= 80 * (nx + ny - k)),
+both_ways AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT DISTINCT x AS id, x AS root FROM both_ways UNION SELECT b.y, r.root FROM r JOIN both_ways b ON b.x = r.id AND r.root < b.y),
+m AS (SELECT id, min(root) AS root FROM r GROUP BY id)
+SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(least(m.root, c.id), c.id, s.doc_id) AS component_id, s.doc_id = coalesce(least(m.root, c.id), c.id, s.doc_id) AS kept
+FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.id = c.id
+"""
+
+ORACLES = {"op1_near_dedup": NEAR_DEDUP, "op2_warc": WARC, "op3_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY_RULES}

@@ -35,8 +35,8 @@ from .common import dealt_evenly, file_system, map_arrow, materialise, shared_di
 from .pretokens import Splitter
 
 MAGIC, BLOCK_IDS, END_ID = b"GTK1", 1 << 21, 0
-#: Most remembered pieces and their characters; beyond, the memory starts anew. Results do not depend on them.
-MAX_PIECES, MAX_PIECE_CHARS = 300_000, 40
+#: Remembered pieces beyond which the memory starts anew (keeping what is met again), and their most characters. Results do not depend on them.
+MAX_PIECES, MAX_PIECE_CHARS = 400_000, 40
 FILES = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -51,26 +51,43 @@ class Encoder:
         self.library, self.split = Tokenizer.from_file(path), Splitter(pattern).split
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, list[int]] = {}
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}  # what was known before known was begun anew
+
+    def look_up(self, fresh: list[str]) -> None:
+        """Remember the ids of pieces. Those without white space but for one before them go to the library as the lines of one text: it splits them off again."""
+        lines = [p for p in fresh if len(w := p.split()) == 1 and (p == w[0] or p == " " + w[0])]
+        while lines:
+            now, lines = lines[:4096], lines[4096:]
+            e = self.library.encode("\n".join(now), add_special_tokens=False)
+            words = np.array(e.word_ids, np.int64)
+            if len(words) and words[-1] == 2 * len(now) - 2:
+                ids, ends = np.array(e.ids, "<i4"), np.searchsorted(words, np.arange(2 * len(now) - 1), "right")
+                starts = np.concatenate([[0], ends[:-1]])
+                for p, i, j in zip(now, starts[::2].tolist(), ends[::2].tolist(), strict=True):
+                    self.known[p] = ids[i:j].tobytes()
+        rest = [p for p in fresh if p not in self.known]
+        for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[p] = np.array(e.ids, "<i4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
         pieces = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
-        fresh = list({p for own in pieces if own for p in own if p not in known})
-        if len(known) + len(fresh) > MAX_PIECES:
-            known.clear()
-            fresh = list({p for own in pieces if own for p in own})
-        for p, e in zip(fresh, self.library.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            known[p] = e.ids
+        every = set().union(*(own for own in pieces if own))
+        if len(known) > MAX_PIECES:
+            self.old, self.known = known, {}
+            known = self.known
+        fresh = every.difference(known)
+        again = fresh.intersection(self.old)
+        known.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        fresh -= again
+        self.look_up(list(fresh))
         out = []
         for text, own in zip(texts, pieces, strict=True):
             if own is None:  # a special token's text: the library takes the whole text at once
-                out.append(self.library.encode(text, add_special_tokens=False).ids)
+                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4"))
             else:
-                ids: list[int] = []
-                for p in own:
-                    ids += known[p]
-                out.append(ids)
+                out.append(np.frombuffer(b"".join(map(known.__getitem__, own)), "<i4"))
         for p in fresh:
             if len(p) > MAX_PIECE_CHARS:
                 known.pop(p, None)
@@ -85,13 +102,13 @@ def _block(ids: np.ndarray, table: list[tuple[int | None, int, bool]], size: int
     return MAGIC + struct.pack("<5I", len(ids), len(table), len(head), len(body), zlib.crc32(body, zlib.crc32(head))) + head + body
 
 
-def blocks(docs: Iterator[tuple[int | None, list[int]]], size: int, most: int = BLOCK_IDS) -> Iterator[bytes]:
+def blocks(docs: Iterator[tuple[int | None, np.ndarray]], size: int, most: int = BLOCK_IDS) -> Iterator[bytes]:
     """Blocks of (doc_id, ids) in the order given."""
     held: list[np.ndarray] = []
     table: list[tuple[int | None, int, bool]] = []
     n = 0
     for doc_id, ids in docs:
-        left = np.array(ids, np.int32)
+        left = ids
         while True:
             now, left = left[: most - n], left[most - n :]
             held.append(now)
@@ -136,14 +153,14 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, size: int | Non
         coder = Encoder(path, pattern)
         done = [0, 0]
 
-        def coded() -> Iterator[tuple[int | None, list[int]]]:
+        def coded() -> Iterator[tuple[int | None, np.ndarray]]:
             for b in batches:
                 doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
                 for at in range(0, len(texts), 128):
                     for doc_id, ids in zip(doc_ids[at : at + 128], coder.encode(texts[at : at + 128]), strict=True):
                         done[0] += 1
                         done[1] += len(ids) + 1
-                        yield doc_id, [*ids, END_ID]
+                        yield doc_id, np.append(ids, np.int32(END_ID))
 
         part, n_bytes, out = TaskContext.get().partitionId(), 0, None
         fs, base = file_system(folder)
