@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, near_dup, quality_rules, secret_scan, token_store, warc
+from . import bpe, cotrain, decontaminate, lang_id, near_dup, quality_rules, secret_scan, substring_dedup, token_store, warc
 from .common import materialise, shared_dir, table
 
 
@@ -30,6 +30,14 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_scan(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_lang_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.identify(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +45,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(substring_dedup.deduplicate(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -50,7 +62,7 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_decontamination, op4_secret_scan, op7_byte_bpe, op9_quality_rules, op10_token_store)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_lang_id, op7_byte_bpe, op8_substring_dedup, op9_quality_rules, op10_token_store)}
 
 
 def oracle_sql() -> dict[str, str]:
