@@ -8,9 +8,11 @@
    values is Beta(m + 1, n - m + 1); a pair is dropped once the probability that it reaches the threshold is below MISS.
 4. Survivors are compared on full sets. First each class with its smallest partner only; of the rest, those pairs whose
    classes are not connected yet.
-5. Buckets of three or more classes that are still not connected have pairs outside their stars. Their classes are
-   packed in blocks, blocks are compared with one another by step 3 in numpy, and survivors again go to step 4. So no
-   link between two components is lost to the star, no bucket is held by one task, and pairs are not listed.
+5. Buckets of three or more classes that are still not connected have pairs outside their stars. Such buckets that
+   share classes are a family. Its classes are packed in blocks with signatures and full sets; a block of classes outside
+   the family's largest component meets each block of the family, is compared by step 3 and survivors at once on full
+   sets. So no link between two components is lost to the star, no bucket is held by one task, and links are listed, not
+   pairs.
 
 Defined results: texts that are null or without words have the empty set, are linked with nothing and stay; with fewer
 words than a shingle has, the whole sequence is the one shingle; repeated rows are one class; a null doc_id takes part
@@ -34,8 +36,8 @@ from .components import components
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 42, 6
-#: Signature values compared at a time; probability below which a pair is given up; classes in a block; partners of a class compared by one reader.
-BATCH, MISS, BLOCK, PARTNERS = 36, 1e-9, 1024, 64
+#: Signature values compared at a time; probability below which a pair is given up; partners of a class compared by one reader; classes and bytes of full sets in a block.
+BATCH, MISS, PARTNERS, BLOCK, BLOCK_BYTES = 36, 1e-6, 64, 512, 1 << 20
 MAX_WORDS = 1_000_000
 _SPACES = b" \t\n\v\f\r"
 _UPPER_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -130,16 +132,11 @@ def _sketch(size: int) -> Callable:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each band of each class."""
-    offsets = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
     for b in batches:
         n = b.num_rows
         if not n:
             continue
-        values = np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(n, BANDS, ROWS).astype(np.uint64)
-        keys = values[:, :, 0]
-        for k in range(1, ROWS):
-            keys = keys * _ROLL + values[:, :, k]
-        keys = _mixed(keys + offsets).view(np.int64).ravel()
+        keys = _band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(n, -1)).ravel()
         yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("node").take(pa.array(np.repeat(np.arange(n), BANDS)))], names=["key", "node"])
 
 
@@ -208,49 +205,84 @@ def _linked(percent: int) -> Callable:
     return run
 
 
+def _band_keys(signatures: np.ndarray) -> np.ndarray:
+    """The bucket of each band (columns) of signatures (rows)."""
+    values = signatures.reshape(len(signatures), BANDS, ROWS).astype(np.uint64)
+    keys = values[:, :, 0]
+    for k in range(1, ROWS):
+        keys = keys * _ROLL + values[:, :, k]
+    return _mixed(keys + np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX).view(np.int64)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key: blocks of at most BLOCK classes of a bucket."""
-    key, block, held = None, 0, []
+    """Of rows sorted by family and main: blocks of at most BLOCK classes, or about BLOCK_BYTES, of a family."""
+    now, block, held, size = None, 0, [], 0
+    names = ["nodes", "roots", "sigs", "sets", "counts"]
 
     def packed() -> pa.RecordBatch:
-        parts = [b"".join(x[i] for x in held) for i in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([block], pa.int64())] + [_column([p], pa.binary()) for p in parts], names=["key", "block", "nodes", "roots", "sigs"])
+        parts = [b"".join(x[i] for x in held) for i in range(4)] + [np.array([len(x[3]) // 8 for x in held], "<i8").tobytes()]
+        return pa.RecordBatch.from_arrays([_column([now[0]], pa.binary()), pa.array([block], pa.int64()), pa.array([now[1]], pa.bool_())] + [_column([p], pa.binary()) for p in parts], names=["family", "block", "main", *names])
 
     for b in batches:
-        for k, *row in zip(*(b.column(c).to_pylist() for c in ("key", "node", "root", "sig")), strict=True):
-            if held and (k != key or len(held) == BLOCK):
+        for key, main, *row in zip(*(b.column(c).to_pylist() for c in ("family", "main", "node", "root", "sig", "found")), strict=True):
+            if held and ((key, main) != now or len(held) == BLOCK or size > BLOCK_BYTES):
                 yield packed()
-                held, block = [], block + 1 if k == key else 0
-            key = k
+                held, size, block = [], 0, block + 1 if key == now[0] else 0
+            now = (key, main)
             held.append(row)
+            size += len(row[3])
     if held:
         yield packed()
 
 
-def _crossed(percent: int) -> Callable:
+class _Block:
+    """A block of classes, unpacked."""
+
+    def __init__(self, row: dict):
+        self.nodes, self.roots = (np.frombuffer(row[c], "V16") for c in ("nodes", "roots"))
+        self.sigs = np.frombuffer(row["sigs"], "<u2").reshape(-1, BANDS * ROWS)
+        self.counts, self.sets = np.frombuffer(row["counts"], "<i8"), np.frombuffer(row["sets"], "<u8")
+        self.ends = np.cumsum(self.counts)
+
+    def members(self, which: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.sets[self.ends[i] - self.counts[i] : self.ends[i]] for i in which])
+
+
+def _across(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of pairs of blocks: the classes of different components that survive the comparison of signatures."""
+        """Of rows sorted so that the two blocks of a pair follow one another: links between classes of different components, one for each class and component."""
+        one: _Block | None = None
         for b in batches:
-            pivots, nodes = [], []
+            a_side, b_side = [], []
             for i in range(b.num_rows):
-                parts = {c: b.column(c)[i].as_py() for c in b.schema.names}
-                own = [np.frombuffer(parts[c], "V16") for c in ("nodes", "nodes_b", "roots", "roots_b")]
-                sigs = [np.frombuffer(parts[c], "<u2").reshape(-1, BANDS * ROWS) for c in ("sigs", "sigs_b")]
-                numbers = np.unique(np.concatenate(own[2:]), return_inverse=True)[1]
-                roots_a, roots_b = numbers[: len(own[2])], numbers[len(own[2]) :]
-                for x in range(len(own[0])):
+                row = {c: b.column(c)[i].as_py() for c in b.schema.names}
+                if row["role"] == 0:
+                    one = _Block(row)
+                    continue
+                two = _Block(row)
+                numbers = np.unique(np.concatenate([one.roots, two.roots]), return_inverse=True)[1]
+                roots_a, roots_b = numbers[: len(one.roots)], numbers[len(one.roots) :]
+                for x in range(len(one.nodes)):
                     other = np.flatnonzero(roots_b != roots_a[x])
-                    if parts["block"] == parts["block_b"]:
+                    if row["i"] == row["j"]:
                         other = other[other > x]
-                    left = other[_survivors(np.broadcast_to(sigs[0][x], (len(other), BANDS * ROWS)), sigs[1][other], percent)]
-                    pivots += [own[0][x].tobytes()] * len(left)
-                    nodes += [own[1][y].tobytes() for y in left]
-            yield pa.RecordBatch.from_arrays([_column(pivots, pa.binary()), _column(nodes, pa.binary())], names=["pivot", "node"])
+                    other = other[_survivors(np.broadcast_to(one.sigs[x], (len(other), BANDS * ROWS)), two.sigs[other], percent)]
+                    if not len(other):
+                        continue
+                    own, theirs, sizes = one.members(np.array([x])), two.members(other), two.counts[other]
+                    met = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+                    both = np.add.reduceat(met, np.cumsum(sizes) - sizes, dtype=np.int64)
+                    linked = other[100 * both >= percent * (len(own) + sizes - both)]
+                    linked = linked[np.unique(roots_b[linked], return_index=True)[1]]
+                    a_side += [one.nodes[x].tobytes()] * len(linked)
+                    b_side += [two.nodes[y].tobytes() for y in linked]
+            yield pa.RecordBatch.from_arrays([_column(a_side, pa.binary()), _column(b_side, pa.binary())], names=["a", "b"])
 
     return run
 
 
 _PAIR = "pivot binary, node binary"
+_PACK = "family binary, block long, main boolean, nodes binary, roots binary, sigs binary, sets binary, counts binary"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -282,7 +314,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     links = None
     roots = _none(classes)
     if not likely.isEmpty():
-        sets = _full_sets(own, classes, likely, size)
+        wanted = likely.select("node").unionAll(likely.select(F.col("pivot").alias("node"))).distinct().join(classes.select("node", "first"), "node")
+        sets = _full_sets(own, wanted, size)
         links = _verified(likely.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"), sets, percent)
         roots = materialise(components(links), "roots")
         apart = _roots(_roots(likely, roots, "pivot"), roots, "node").where("pivot_root <> node_root").select("pivot", "node")
@@ -293,23 +326,39 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 AND least <> most").select("key")
     rest = materialise(members.join(open_keys, "key"), "open")
     if not rest.isEmpty():
-        rows = rest.join(classes.select("node", "sig"), "node").select("key", "node", "root", "sig").repartition("key").sortWithinPartitions("key", "node")
-        packs = materialise(map_arrow(rows, _pack, "key long, block long, nodes binary, roots binary, sigs binary"), "blocks")
-        other = packs.select(F.col("key").alias("key_b"), F.col("block").alias("block_b"), F.col("nodes").alias("nodes_b"), F.col("roots").alias("roots_b"), F.col("sigs").alias("sigs_b"))
-        both = packs.join(other, (F.col("key") == F.col("key_b")) & (F.col("block") <= F.col("block_b"))).drop("key", "key_b")
-        crossed = materialise(map_arrow(both, _crossed(percent), _PAIR).distinct(), "crossed")
-        if not crossed.isEmpty():
-            links, roots = _more(links, roots, crossed, _full_sets(own, classes, crossed, size), percent)
+        found = _between(own, classes, rest, size, percent)
+        if not found.isEmpty():
+            roots = materialise(components(found if links is None else links.unionAll(found)), "roots")
     return _labelled(sketched, classes, roots)
 
 
+def _between(own: DataFrame, classes: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links between the components (root) of the classes (node) in open buckets (key). Each pair of a family, buckets that share classes, meets once."""
+    least = rest.groupBy("key").agg(F.min("node").alias("b"))
+    families = components(rest.join(least, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
+    nodes = materialise(rest.select("node", "root").distinct().join(families, "node").join(classes.select("node", "first", "sig"), "node"), "open-classes")
+    # Classes outside a family's largest component are compared with all others in it; that component's own are not compared again.
+    largest = nodes.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
+    sets = _full_sets(own, nodes.select("node", "first"), size)
+    rows = nodes.join(largest, "family").join(sets, "node").select("family", (F.col("root") == F.col("largest")).alias("main"), "node", "root", "sig", "found")
+    packs = materialise(map_arrow(rows.repartition("family").sortWithinPartitions("family", "main", "node"), _pack, _PACK), "blocks")
+    counts = packs.groupBy("family").agg(F.count("*").alias("k"), F.count_if(~F.col("main")).alias("l"))
+    # Blocks 0 to l - 1 hold classes outside the largest component; block i < l meets each block j >= i.
+    as_i = F.transform(F.sequence("block", F.col("k") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("role")))
+    as_j = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("l") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("role")))
+    slots = F.concat(F.when(F.col("block") < F.col("l"), as_i).otherwise(F.array()), F.when(F.col("l") > 0, as_j).otherwise(F.array()))
+    parts = ["nodes", "roots", "sigs", "sets", "counts"]
+    slotted = packs.join(counts, "family").withColumn("slots", slots).select("family", *parts, F.explode_outer("slots").alias("s")).where("s IS NOT NULL").select("family", "s.i", "s.j", "s.role", *parts)
+    dealt = slotted.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "role").drop("family")
+    return materialise(map_arrow(dealt, _across(percent), "a binary, b binary", rows=8).distinct(), "links")
+
+
 def _none(classes: DataFrame) -> DataFrame:
     return classes.where("false").select("node", F.col("node").alias("root"))
 
 
-def _full_sets(own: DataFrame, classes: DataFrame, pairs: DataFrame, size: int) -> DataFrame:
-    """The full sets of the classes in pairs, from the text of each class's first document (a null doc_id matches itself)."""
-    wanted = pairs.select("node").unionAll(pairs.select(F.col("pivot").alias("node"))).distinct().join(classes.select("node", "first"), "node")
+def _full_sets(own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
+    """The full sets of the classes in wanted (node, first), from the text of each one's first document (a null doc_id matches itself)."""
     found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
     return materialise(map_arrow(found, _sets(size), "node binary, found binary").dropDuplicates(["node"]), "sets")
 
