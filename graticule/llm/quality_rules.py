@@ -114,3 +114,14 @@ def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def quality_rules(docs: DataFrame) -> DataFrame:
     """One row per document with its counts and verdicts (see SCHEMA)."""
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _judge, SCHEMA)
+
+
+def _filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(b.schema.names.index("text"))
+        yield b.filter(pa.array([verdict(repetition(t.as_py()))[1] for t in texts], pa.bool_()))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, with all columns."""
+    return map_arrow(docs, _filter, docs.schema)
