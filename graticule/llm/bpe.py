@@ -4,7 +4,7 @@ A segmentation of a piece is its BPE encoding exactly if every two neighbouring
 encoding of their joint bytes. So one token sequence belongs to each prefix of a piece, and what
 follows depends on the last token only. A state of the transducer holds those prefix ends from
 which a longer token may still begin ("live" ends), each with its last token, its predecessor and
-its place in the trie of tokens. States are made when they are reached a second time (the first time, a search by the same rule gives the ids). A token is emitted as
+its place in the trie of tokens. States are made when they have been asked for WORTH times (before, a search by the same rule gives the ids). A token is emitted as
 soon as all live ends agree on it, so no more bytes are ever pending than the longest token has.
 
 Decoding joins the bytes of ids chunk by chunk; an incremental UTF-8 state machine holds back the
@@ -30,8 +30,8 @@ from pyspark.sql import types as T
 from .common import map_arrow
 from .pretokens import Splitter
 
-#: Most states of the transducer, remembered pieces and their characters; beyond, the memory starts anew. Results do not depend on them.
-MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 200_000, 400_000, 40
+#: Most states of the transducer; times that a state is asked for before it is made; remembered pieces beyond which the memory starts anew (keeping what is met again), and their characters. Results do not depend on them.
+MAX_STATES, WORTH, MAX_PIECES, MAX_PIECE_CHARS = 50_000, 32, 400_000, 40
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -167,10 +167,10 @@ class Transducer:
             self.reset()
         state, out = self.start, []
         for byte in piece:
-            step = state.following.get(byte)
-            if not step:
-                if step is None and len(piece) <= MAX_PIECE_CHARS:  # first seen: a state is worth its making the second time
-                    state.following[byte] = ()
+            step = state.following.get(byte, 0)
+            if step.__class__ is int:  # not made yet: how often it was asked for
+                if step < WORTH and len(piece) <= MAX_PIECE_CHARS:
+                    state.following[byte] = step + 1
                     return self.search(piece)
                 step = state.following[byte] = self.advance(state, byte)
             state = step[0]
@@ -201,7 +201,7 @@ class Transducer:
                 key = last << 32 | rank
                 known = joint.get(key)
                 if known is None:
-                    if len(joint) >= MAX_STATES:
+                    if len(joint) >= 4 * MAX_STATES:
                         joint.clear()
                     known = joint[key] = self.agree(last, rank)
                 if known:
@@ -217,24 +217,54 @@ class Transducer:
         return tokens[1:]
 
 
+class _Known(dict):
+    """The ids (little-endian i32) of pieces, worked out when they are first met."""
+
+    def __init__(self, machine: Transducer):
+        self.machine, self.old = machine, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.old.get(piece) or np.array(self.machine.encode(piece.encode()), "<i4").tobytes()
+        if len(piece) <= MAX_PIECE_CHARS:
+            if len(self) >= MAX_PIECES:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 class Encoder:
-    """Whole texts: every match of the pattern is encoded separately; frequent pieces are remembered."""
+    """Whole texts: every match of the pattern is encoded separately; pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.split, self.known = Transducer(ranks), Splitter(pattern).split, {}
-
-    def encode(self, text: str) -> list[int]:
-        known, out = self.known, []
-        for piece in self.split(text):
-            ids = known.get(piece)
-            if ids is None:
-                ids = self.machine.encode(piece.encode())
-                if len(piece) <= MAX_PIECE_CHARS:
-                    if len(known) >= MAX_PIECES:
-                        known.clear()
-                    known[piece] = ids
-            out += ids
-        return out
+        self.machine, self.split = Transducer(ranks), Splitter(pattern).split
+        self.known = _Known(self.machine)
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), "<i4")
+
+
+class Decoder:
+    """Bytes and text of ids."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        sizes = np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        for token, rank in ranks.items():
+            sizes[rank] = len(token)
+        tokens = {rank: token for token, rank in ranks.items()}
+        self.sizes, self.starts = sizes, np.cumsum(sizes) - sizes
+        self.bytes = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(len(sizes))), np.uint8)
+
+    def join(self, ids: np.ndarray) -> bytes:
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        return self.bytes[np.repeat(self.starts[ids] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+
+    def decode(self, ids: np.ndarray, chunk: int = 1 << 15) -> str:
+        """Text of ids, chunk by chunk."""
+        stream = Utf8Stream()
+        parts = [stream.feed(self.join(ids[i : i + chunk])) for i in range(0, len(ids), chunk)]
+        return "".join([*parts, stream.finish()])
 
 
 #: UTF-8 state machine: state 0 accepts; 1, 2 and 3 await so many continuation bytes; 4 to 7 await a second byte within narrower bounds; -1 rejects.
@@ -281,13 +311,6 @@ class Utf8Stream:
         return held.decode("utf-8", "replace")
 
 
-def decode_ids(ids: list[int], tokens: dict[int, bytes], chunk: int = 4096) -> str:
-    """Text of ids, chunk by chunk."""
-    stream = Utf8Stream()
-    parts = [stream.feed(b"".join(map(tokens.__getitem__, ids[i : i + chunk]))) for i in range(0, len(ids), chunk)]
-    return "".join([*parts, stream.finish()])
-
-
 _encoders: dict[tuple[int, str], Encoder] = {}
 
 
@@ -326,7 +349,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: s
             flat, ends = [], [0]
             for value in b.column(b.schema.names.index(text)):
                 ids = coder.encode(value.as_py() or "")
-                flat.append(np.array(ids, np.int32))
+                flat.append(ids)
                 ends.append(ends[-1] + len(ids))
             values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
             yield _put(b, into, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
@@ -339,9 +362,13 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
     ranks = _ranks(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = {rank: token for token, rank in parse_ranks(ranks.value).items()}
+        decoder = Decoder(parse_ranks(ranks.value))
         for b in batches:
-            yield _put(b, into, pa.array([decode_ids(x.as_py() or [], tokens) for x in b.column(b.schema.names.index(ids))], pa.string()))
+            lists = b.column(b.schema.names.index(ids))
+            values, ends = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
+            known = [i.is_valid for i in lists] if lists.null_count else [True] * len(lists)
+            texts = [decoder.decode(values[ends[i] : ends[i + 1]]) if known[i] else "" for i in range(len(lists))]
+            yield _put(b, into, pa.array(texts, pa.string()))
 
     return map_arrow(encoded, run, _with(encoded.schema, into, T.StringType()))
 
