@@ -7,9 +7,9 @@ at which the fingerprint changes are kept, and every RUN-th, so that each stands
 it on. Kept positions whose fingerprint an item has are extended to those windows, and each is compared
 word by word. Items below SPAN words are one window each; positions of their length are compared directly.
 
-Joins are with the fingerprints and windows of the items only. They are broadcast while their number, which
-is counted first, is at most BROADCAST_ROWS; beyond that Spark shuffles the fingerprints (and splits skewed
-partitions). What leaves the scan of the documents is hits, not fingerprints.
+Joins are with the fingerprints and windows of the items only. They are broadcast while their number, which is counted
+first, is at most BROADCAST_ROWS: then all is one scan of the documents, which only hits leave. Beyond that Spark shuffles
+the fingerprints of documents, without their words, and splits skewed partitions.
 
 Defined results: null and empty texts have no words and no hits; rows of equal doc_id and text get equal
 results, rows of equal doc_id and other text their own; items of equal item_id count once; a null item_id
@@ -58,10 +58,6 @@ def fingerprints(df: DataFrame) -> DataFrame:
     return df.withColumn("prints", least).drop("grams")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     """The items' fingerprints (size, print), their windows (w_size, w_hash, w_words, item_ids), and the sizes below SPAN."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), words(F.col("text")).alias("words")).where(F.size("words") > 0)
@@ -75,27 +71,54 @@ def _windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     return long.unionByName(brief).distinct(), windows, sorted(short)
 
 
-def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, th and the hit windows (start, size, item_ids) of documents, each once."""
-    prints, windows, short = _windows(benchmark)
+def _marks(size: int) -> Column:
+    """(size, at, print) of every place in words, for items of that size."""
+    mark = lambda _, i: F.struct(F.lit(size).alias("size"), i.alias("at"), F.xxhash64(F.array_join(F.slice("words", i + 1, size), " ")).alias("print"))
+    return F.transform(_first(F.col("words"), F.size("words") - (size - 1)), mark)
+
+
+def _marked(docs: DataFrame, short: list[int]) -> DataFrame:
+    """doc_id, th, words and marks (size, at, print) of documents. A first mark of size 0 stands for the document itself."""
     df = fingerprints(docs.select("doc_id", F.xxhash64("text").alias("th"), words(F.col("text")).alias("words")))
     v = F.col("prints")
     kept = F.filter(F.sequence(F.lit(0), F.size(v) - 1), lambda i: (i % RUN == 0) | (F.get(v, i) != F.get(v, i - 1)))
     marks = F.when(F.size(v) > 0, F.transform(kept, lambda i: F.struct(F.lit(SPAN).alias("size"), i.alias("at"), F.get(v, i).alias("print"))))
-    own = [F.coalesce(marks, F.array().cast("array<struct<size:int,at:int,print:bigint>>"))]
-    for m in short:
-        own.append(F.transform(_first(F.col("words"), F.size("words") - (m - 1)), lambda _, i, m=m: F.struct(F.lit(m).alias("size"), i.alias("at"), F.xxhash64(F.array_join(F.slice("words", i + 1, m), " ")).alias("print"))))
-    # The marks are a column of their own and explode_outer adds no filter on them: so the explosion, the join and the
-    # extension are compiled into one stage, in which the words of a document are referred to and not copied for each row.
-    df = df.select("doc_id", "th", "words", (F.concat(*own) if short else own[0]).alias("marks"))
-    marked = df.select("doc_id", "th", "words", F.explode_outer("marks").alias("m")).select("doc_id", "th", "words", "m.size", "m.at", "m.print")
-    met = marked.join(_small(prints), ["size", "print"], "left_semi")
+    none = F.array().cast("array<struct<size:int,at:int,print:bigint>>")
+    itself = F.array(F.struct(F.lit(0).alias("size"), F.lit(-1).alias("at"), F.lit(0).cast("long").alias("print")))
+    # The marks are a column of their own and are exploded with explode_outer, which adds no filter on them: so the explosion, the
+    # joins and the extension are compiled into one stage, in which the words of a document are referred to and not copied for each row.
+    return df.select("doc_id", "th", "words", F.concat(itself, F.coalesce(marks, none), *(_marks(m) for m in short)).alias("marks"))
+
+
+def _spread(met: DataFrame) -> DataFrame:
+    """The windows that fingerprints which were met stand for, with their words."""
     last = F.when(F.col("size") == SPAN, F.least(F.col("at") + (RUN - 1), F.size("words") - SPAN)).otherwise(F.col("at"))
-    spread = met.select("doc_id", "th", "words", "size", F.explode(F.sequence("at", last)).alias("start"))
-    spread = spread.select("doc_id", "th", "size", "start", F.slice("words", F.col("start") + 1, F.col("size")).alias("own_words"))
-    spread = spread.withColumn("own_hash", F.xxhash64(F.array_join("own_words", " ")))
-    same = (F.col("size") == F.col("w_size")) & (F.col("own_hash") == F.col("w_hash")) & (F.col("own_words") == F.col("w_words"))
-    return spread.join(_small(windows), same).select("doc_id", "th", "start", "size", "item_ids")
+    spread = met.select("doc_id", "th", "words", "size", F.explode_outer(F.sequence("at", last)).alias("start"))
+    spread = spread.select("doc_id", "th", F.size("words").alias("n_words"), "size", "start", F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("size")).alias("own_words"))
+    return spread.withColumn("own_hash", F.xxhash64(F.array_join("own_words", " ")))
+
+
+_SAME = "size = w_size AND own_hash = w_hash AND own_words = w_words"
+
+
+def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, th, n_words and the hit windows (size, start, item_ids) of documents. Every document has a row of size 0 as well."""
+    prints, windows, short = _windows(benchmark)
+    prints, windows = prints.withColumn("met", F.lit(True)), windows.withColumn("hit", F.lit(True))
+    if max(prints.count(), windows.count()) <= BROADCAST_ROWS:
+        marked = _marked(docs, short).select("doc_id", "th", "words", F.explode_outer("marks").alias("m")).select("doc_id", "th", "words", "m.size", "m.at", "m.print")
+        met = marked.join(F.broadcast(prints), ["size", "print"], "left").where("met OR size = 0")
+        found = _spread(met).join(F.broadcast(windows), F.expr(_SAME), "left").where("hit OR size = 0")
+    else:
+        # No words travel with the fingerprints; those of documents with hits are joined again, once a document.
+        marked = _marked(docs, short).select("doc_id", "th", F.size("words").alias("n_words"), F.explode_outer("marks").alias("m")).select("doc_id", "th", "n_words", "m.size", "m.at", "m.print")
+        itself = marked.where("size = 0").select("doc_id", "th", "n_words", "size", F.col("at").alias("start"), F.lit(None).cast("array<string>").alias("item_ids"))
+        met = marked.where("size > 0").join(prints, ["size", "print"], "left_semi").groupBy("doc_id", "th").agg(F.collect_set(F.struct("size", "at")).alias("marks"))
+        own = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("text").alias("own_th"), "text").dropDuplicates(["own_id", "own_th"])
+        joined = met.join(own, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("th") == F.col("own_th"))).select("doc_id", "th", words(F.col("text")).alias("words"), "marks")
+        spread = _spread(joined.select("doc_id", "th", "words", F.explode_outer("marks").alias("m")).select("doc_id", "th", "words", "m.size", "m.at"))
+        found = spread.join(windows, F.expr(_SAME)).select("doc_id", "th", "n_words", "size", "start", "item_ids").unionByName(itself)
+    return found.select("doc_id", "th", "n_words", "size", "start", "item_ids")
 
 
 def _covered(spans: Column) -> Column:
@@ -108,17 +131,15 @@ def _covered(spans: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted) and contaminated."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    spans = F.collect_set(F.struct("start", (F.col("start") + F.col("size")).alias("end")))
-    found = _hits(own, benchmark).groupBy("doc_id", "th").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
-    found = found.select(F.col("doc_id").alias("hit_id"), F.col("th").alias("hit_th"), _covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids")
-    every = own.select("doc_id", F.xxhash64("text").alias("th"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
-    joined = every.join(found, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("th") == F.col("hit_th")), "left")
-    ids, n_hit = F.coalesce("item_ids", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0).cast("long"))
-    return joined.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"), ids.alias("item_ids"), (n_hit > 0).alias("contaminated"))
+    spans = F.collect_set(F.when(F.col("size") > 0, F.struct("start", (F.col("start") + F.col("size")).alias("end"))))
+    items = F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids"))))
+    found = _hits(own, benchmark).groupBy("doc_id", "th").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("size") == 0).cast("int").alias("rows"), spans.alias("spans"), items.alias("item_ids"))
+    found = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), _covered(F.col("spans")).cast("long").alias("n_hit"), "item_ids", F.explode_outer(F.array_repeat(F.lit(True), F.col("rows"))).alias("row"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), "item_ids", (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows of which any word is hit; a null or empty text stays."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _hits(own, benchmark).select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th")).distinct()
+    found = _hits(own, benchmark).where("size > 0").select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th")).distinct()
     return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hit_th")), "left_anti")
