@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import clusters, counts, evaluate, fuzzy, mds, paths, separation, series
+from ..operators import clusters, counts, evaluate, fuzzy, grids, mds, paths, separation, series
 from ..operators.knn import knn, knn_lsh, pairwise
 from ..sources import generators
 from ..sources.tables import sample, scaled_by_max, standardised, table
@@ -535,6 +535,47 @@ def grid_neighbours(spark, d):
     return paths.grid_neighbours(spark, 5)
 
 
+@query()
+def smoothed_map(spark, d):
+    lines = table(spark, d, "lineitem", "l_discount", "l_tax", "l_quantity")
+    cells = series.binned_mean(lines, F.col("l_discount"), F.col("l_tax"), F.col("l_quantity"), 0.0, 0.1, 10)
+    return grids.smooth_maps(cells.select(F.lit("all").alias("key"), "bx", "by", F.col("mean").alias("value")), 1.0, 10)
+
+
+@query()
+def spectral_embedding(spark, d):
+    return grids.spectral(neighbours(spark, d), 2)
+
+
+@query()
+def denoised_sample(spark, d):
+    return grids.denoised_sample(fuzzy.fuzzy_union(fuzzy.smooth_weights(neighbours(spark, d))), 100)
+
+
+@query()
+def radial_sample(spark, d):
+    return grids.radial_sample(points(spark, d), 10)
+
+
+@query()
+def density_modes(spark, d):
+    return grids.density_modes(table(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice")
+
+
+@query()
+def smooth_rate_map(spark, d):
+    lines = table(spark, d, "lineitem", "l_discount", "l_tax", "l_quantity")
+    cell = F.least(F.floor(F.col("l_discount") * 50), F.lit(4)) * 5 + F.least(F.floor(F.col("l_tax") * 50), F.lit(4))
+    return grids.smooth_rate_map(lines.withColumn("bin", cell), "bin", "l_quantity", paths.grid_neighbours(spark, 5), 10.0)
+
+
+@query()
+def shuffled_correlation(spark, d):
+    lines = table(spark, d, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
+    days = lines.groupBy("l_returnflag", (F.col("l_orderkey") % 1000).alias("slot")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"))
+    return grids.shuffled_correlation(days, "l_returnflag", "slot", "a", "b", 200)
+
+
 for _shape in ("four_gaussians", "moons", "hemisphere", "torus", "swiss_roll", "s_curve", "moebius"):
     @query(name=f"generate_{_shape}")
     def _generated(spark, d, shape=_shape):

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from graticule.functions import phi as phis
 from graticule.functions import tconorms
-from graticule.operators import clusters, counts, evaluate, fuzzy, mds, paths, separation, series
+from graticule.operators import clusters, counts, evaluate, fuzzy, grids, mds, paths, separation, series
 from graticule.operators.knn import knn, pairwise, top_k
 from graticule.plans import embed
 from graticule.sources import generators, tables
@@ -342,3 +342,78 @@ def test_lag_histogram_meets_neighbouring_buckets(spark):
     lags = (t[None] - t[:, None])[np.triu_indices(60, 1)]
     want = np.bincount((lags[(lags > 0) & (lags < 5)] * 10 / 5).astype(int))
     assert {r.bin: r.n for r in series.lag_histogram(df, "k", "t", 5.0, 10).collect()} == {i: int(n) for i, n in enumerate(want) if n}
+
+
+def test_smoothing_of_maps(spark):
+    flat = np.full((9, 9), 3.0)
+    flat[4, 4] = np.nan
+    assert np.allclose(grids.smooth(flat, 1.0), 3.0)
+    wide = np.full((9, 9), 2.0)
+    wide[2:7, 2:7] = np.nan
+    assert np.isnan(grids.smooth(wide, 1.0)[4, 4])
+    assert np.allclose(grids.smooth_torus(np.full((10, 10), 5.0), 1.5), 5.0)
+    cells = spark.createDataFrame([("a", x, y, 1.0) for x in range(4) for y in range(4)], "key string, bx long, by long, value double")
+    assert {round(r.value, 9) for r in grids.smooth_maps(cells, 1.0, 4).collect()} == {1.0}
+
+
+def test_wave_fit():
+    draw = np.random.default_rng(0)
+    x, y = draw.uniform(0, 3, (2, 400))
+    p, error = grids.fit_wave(x, y, 3.3 * (np.cos(0.7) * x + np.sin(0.7) * y) + 1.1)
+    assert error < 1e-6
+
+
+def test_circular_coordinates():
+    n = 12
+    edges = np.array([(i, (i + 1) % n) for i in range(n)])
+    _, angles = grids.circular_coordinates(edges, (edges[:, 1] == 0).astype(float))
+    steps = np.diff(angles) % 1
+    assert np.allclose(np.minimum(steps, 1 - steps), 1 / n)
+
+
+def test_greedy_samples(spark):
+    x = np.random.default_rng(1).normal(size=(60, 2))
+    weights = fuzzy.smooth_weights(knn(cloud(spark, x), 8))
+    rows = grids.denoised_sample(fuzzy.fuzzy_union(weights), 20).collect()
+    assert len({r.id for r in rows}) == 20 and rows[0].strength == max(r.strength for r in rows)
+    chosen = [r.id for r in grids.radial_sample(cloud(spark, x), 5).collect() if r.chosen]
+    assert 0 in chosen and 3 < len(chosen) < 20
+
+
+def test_weights_of_neighbours_add_up(spark):
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    sums = fuzzy.smooth_weights(knn(cloud(spark, x), 9)).groupBy("src").agg(F.sum("weight").alias("s")).collect()
+    assert all(abs(r.s - math.log2(9)) < 1e-3 for r in sums)
+
+
+def test_spectral_parts_clusters(spark):
+    x = np.concatenate([np.random.default_rng(3).normal(c, 0.3, (20, 2)) for c in (0, 1.2)])
+    y = np.array([r.embedding[0] for r in grids.spectral(knn(cloud(spark, x), 8), 1).orderBy("id").collect()])
+    assert (y[:20].mean() < 0) != (y[20:].mean() < 0)
+
+
+def test_density_modes(spark):
+    v = np.concatenate([np.random.default_rng(4).normal(2, 0.1, 300), np.random.default_rng(5).normal(9, 2, 200)])
+    assert abs(grids.density_mode(v) - 2) < 0.2 and grids.density_mode([4, 4]) == 4
+    df = spark.createDataFrame([(1, float(a)) for a in v] + [(2, 7.0)], "k int, v double")
+    got = {r.k: r["mode"] for r in grids.density_modes(df, "k", "v").collect()}
+    assert abs(got[1] - grids.density_mode(v)) < 0.05 and got[2] == 7.0
+
+
+def test_smooth_rates(spark):
+    pairs = np.array([(i, i + 1) for i in range(9)])
+    n, s = np.full(10, 50.0), 50.0 * np.arange(1, 11)
+    assert np.allclose(grids.smooth_rates(n, s, pairs, 0.0), np.log(np.arange(1, 11)), atol=1e-6)
+    assert np.allclose(grids.smooth_rates(n, s, pairs, 0.0, gaussian=True), np.arange(1, 11), atol=1e-6)
+    assert np.ptp(grids.smooth_rates(n, s, pairs, 1e6)) < 0.1
+    df = spark.createDataFrame([(i, float(i + 1)) for i in range(10) for _ in range(5)], "b int, v double")
+    out = grids.smooth_rate_map(df, "b", "v", spark.createDataFrame(pairs.tolist(), "a long, b long"), 0.0)
+    assert np.allclose([r.parameter for r in out.orderBy("bin").collect()], np.log(np.arange(1, 11)), atol=1e-5)
+
+
+def test_shuffled_correlation(spark):
+    t = np.arange(200)
+    a = np.random.default_rng(6).normal(size=200)
+    df = spark.createDataFrame([(1, int(i), float(a[i]), float(a[i] * 2 + 1)) for i in t], "k int, t int, a double, b double")
+    r = grids.shuffled_correlation(df, "k", "t", "a", "b", 200).first()
+    assert abs(r.r - 1) < 1e-9 and r.above < 0.05
