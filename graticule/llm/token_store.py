@@ -94,6 +94,22 @@ class Encoder:
         return out
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def _encoder(path: str, pattern: str) -> Encoder:
+    """One encoder for each Python worker, so that what it remembers serves all its tasks."""
+    if (path, pattern) not in _encoders:
+        _encoders.clear()
+        _encoders[path, pattern] = Encoder(path, pattern)
+    return _encoders[path, pattern]
+
+
+def release() -> None:
+    """Forget the encoders of this worker."""
+    _encoders.clear()
+
+
 def _block(ids: np.ndarray, table: list[tuple[int | None, int, bool]], size: int) -> bytes:
     doc_ids = np.array([x[0] or 0 for x in table], "<i8")
     flags = np.array([(x[0] is None) + 2 * x[2] for x in table], np.uint8)
@@ -150,7 +166,7 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, size: int | Non
     ranged = own.repartitionByRange(int(conf.get("spark.sql.shuffle.partitions")), F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("text").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Encoder(path, pattern)
+        coder = _encoder(path, pattern)
         done = [0, 0]
 
         def coded() -> Iterator[tuple[int | None, np.ndarray]]:
