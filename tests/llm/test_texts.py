@@ -60,7 +60,8 @@ def test_base_spans(text):
 
 def test_markov_ratio_parts_random_strings_from_identifiers():
     words = prose(3, 400).replace(",", "").replace(".", "").split()
-    table = secret_scan.fit(secret_scan.random_strings(2000)) - secret_scan.fit(secret_scan.identifiers(words, 2000))
+    n = secret_scan.TRAIN_STRINGS
+    table = secret_scan.fit(secret_scan.random_strings(n)) - secret_scan.fit(secret_scan.identifiers(words, n))
     draws, names = secret_scan.random_strings(400, seed=99), secret_scan.identifiers(words, 400, seed=98)
     assert np.mean([secret_scan.ratio(x, table) > secret_scan.THRESHOLD for x in draws]) > 0.95
     assert np.mean([secret_scan.ratio(x, table) > secret_scan.THRESHOLD for x in names]) < 0.02
