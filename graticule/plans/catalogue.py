@@ -439,14 +439,22 @@ def accuracy(spark, d):
     return rounded(evaluate.accuracy(voted(spark, d), "label", "predicted"), "accuracy")
 
 
-@query("WITH m AS (SELECT max(x) AS m FROM (SELECT unnest(embedding::DOUBLE[]) AS x FROM embeddings)) SELECT vec_id AS id, label, list_transform(embedding::DOUBLE[], lambda x: round(x / m, 5) + 0.0) AS features FROM embeddings, m")
+U = "u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings)"
+
+
+def coordinates(df: DataFrame) -> DataFrame:
+    """A row for each coordinate of each point."""
+    return rounded(df.select("id", F.posexplode("features").alias("pos", "x")), "x")
+
+
+@query(f"WITH {U} SELECT vec_id AS id, (k - 1)::INT AS pos, round(x / (SELECT max(x) FROM u), 5) + 0.0 AS x FROM u")
 def scaled_features(spark, d):
-    return scaled_by_max(points(spark, d)).select("id", "label", F.transform("features", lambda x: F.round(x, 5) + 0.0).alias("features"))
+    return coordinates(scaled_by_max(points(spark, d)))
 
 
-@query("WITH u AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, generate_subscripts(embedding, 1) AS k FROM embeddings), m AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY k) SELECT vec_id AS id, list(round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 5) + 0.0 ORDER BY k) AS features FROM u JOIN m USING (k) GROUP BY vec_id")
+@query(f"WITH {U}, m AS (SELECT k, avg(x) AS m, stddev_pop(x) AS s FROM u GROUP BY k) SELECT vec_id AS id, (k - 1)::INT AS pos, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 5) + 0.0 AS x FROM u JOIN m USING (k)")
 def standardized_features(spark, d):
-    return standardised(points(spark, d)).select("id", F.transform("features", lambda x: F.round(x, 5) + 0.0).alias("features"))
+    return coordinates(standardised(points(spark, d)))
 
 
 @query("SELECT l_returnflag, l_linestatus, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
