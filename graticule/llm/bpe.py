@@ -324,6 +324,14 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     return _encoders[key]
 
 
+def release() -> None:
+    """Forget the encoders of this worker."""
+    if _encoders:
+        _encoders.clear()
+        gc.enable()
+        gc.collect()
+
+
 def _put(b: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     names = b.schema.names
     return b.set_column(names.index(name), name, values) if name in names else b.append_column(name, values)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import uuid
+import sys
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..plans.storage import materialise, shared_dir
+
+__all__ = ["dealt_evenly", "file_system", "map_arrow", "materialise", "remove", "shared_dir", "table"]
+
 #: Rows and bytes of one Arrow batch handed to a Python worker; together they bound its memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
 
@@ -18,30 +22,25 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def release_others(owner: str) -> None:
+    """Let go of what other operators remember in this Python worker: workers outlive operators, and each should hold one's memory only."""
+    for name, module in list(sys.modules.items()):
+        if name.startswith(__package__ + ".") and name != owner and hasattr(module, "release"):
+            module.release()
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """df.mapInArrow with batches of bounded size (the settings hold from here on, until the next call)."""
+    owner = fn.__module__
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others(owner)
+        yield from fn(batches)
+
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(fn, schema)
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors see.
-
-    Only where that setting is missing, as in tests, a folder under the warehouse is used.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: cuts lineage, survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.mapInArrow(run, schema)
 
 
 def remove(spark: SparkSession, *paths: str) -> None:

@@ -38,7 +38,8 @@ from .components import components
 BANDS, ROWS = 42, 6
 #: Signature values compared at a time; probability below which a pair is given up; partners of a class compared by one reader; classes and bytes of full sets in a block.
 BATCH, MISS, PARTNERS, BLOCK, BLOCK_BYTES = 36, 1e-6, 64, 512, 1 << 20
-MAX_WORDS = 1_000_000
+#: Words whose hashes are remembered; results do not depend on it.
+MAX_WORDS = 400_000
 _SPACES = b" \t\n\v\f\r"
 _UPPER_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -61,6 +62,11 @@ class _Words(dict):
 _words = _Words()
 
 
+def release() -> None:
+    """Forget the words of this worker."""
+    _words.clear()
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(32))) * _MIX
     x = (x ^ (x >> np.uint64(32))) * _MIX

@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from graticule.llm import bpe, range_coder, token_store, warc
+from graticule.llm.common import materialise, shared_dir
 
 from .conftest import prose
 
@@ -138,10 +139,7 @@ def test_warc_round_trip_in_small_chunks():
 def test_warc_on_awkward_pages(spark):
     rows = [(1, "u", "same"), (2, "u", "same"), (2, "u", "same"), (3, None, None), (4, "x\ny", ""), (5, "v", "é" * 300000), (None, "w", "lone"), (6, "w", "same")]
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, sha int")
-    folder = warc.shared_dir(spark, "warc") if hasattr(warc, "shared_dir") else None
-    from graticule.llm.common import materialise, shared_dir
-
-    archives = materialise(warc.write(warc.plan(pages), folder or shared_dir(spark, "warc")), "warc-files")
+    archives = materialise(warc.write(warc.plan(pages), shared_dir(spark, "warc")), "warc-files")
     got = sorted((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.scan(archives, archives.count()).collect())
     sha = lambda t: base64.b32encode(hashlib.sha1((t or "").encode()).digest()).decode()
     last = {"same": 6, "": 4}
