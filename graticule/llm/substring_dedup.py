@@ -14,10 +14,10 @@ few bytes therefore has equal runs, whatever stands around it.
    then hash of the run, then place), each further word only where those before are equal. Neighbours are then
    compared. Equal anchors never lie on both sides of a bound. All but the earliest of equal runs are repeats. Of
    different runs with one anchor the earliest copy each is left open: the ends of repeated passages lie there.
-3. Open runs are taken apart: each of their strings is dealt out by its 128-bit digest, sorted and compared as in 2.
+3. Open runs are taken apart: each of their strings is dealt out by 96 bits of its digest, sorted and compared as in 2.
 4. The repeats are gathered by document, and its text is cut.
 
-Records travel as packed arrays, a row for each batch and bucket, and equal ones are merged before they do; a bucket has
+Texts travel packed by a dictionary of sampled ones, records as packed arrays, a row for each batch and bucket; equal ones are merged before they do; a bucket has
 about BUCKET records at any input size. So a passage in a third of all documents is a record for each batch.
 
 Defined results: null and empty texts have no bytes and lose none; texts below SPAN bytes lose none; rows of equal doc_id
@@ -28,11 +28,13 @@ all others; an empty table gives an empty result; only doc_id and text are read.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -48,8 +50,8 @@ _NULL = -(1 << 63)
 
 #: A run: hash of the anchor after its leading bytes, hash of the run, document, its text's hash, first string, number of strings - 1.
 RUN = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("lo", "<i8"), ("more", "u1")])
-#: A string: two words of its digest, document, its text's hash, place.
-STRING = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("th", "<i8"), ("lo", "<i8")])
+#: A string: 96 bits of its digest, document, its text's hash, place.
+STRING = np.dtype([("key", "<u8"), ("seg", "<u4"), ("doc", "<i8"), ("th", "<i8"), ("lo", "<i8")])
 _BLOBS, _RANGES = "bucket int, blob binary, ranges binary", "doc long, th long, lo long, hi long, open boolean"
 _RANGE_SCHEMA = pa.schema([("doc", pa.int64()), ("th", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("open", pa.bool_())])
 
@@ -155,13 +157,31 @@ def _ranges(found: np.ndarray, opened: bool | np.ndarray = False) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(x) for x in (doc, th, lo, hi, opened)], schema=_RANGE_SCHEMA)
 
 
+def _pack(found: np.ndarray) -> bytes:
+    """Records by document and place, column by column: so all but the two hashes compress to a few bytes a record."""
+    found = found[np.lexsort((found["lo"], found["th"], found["doc"]))]
+    rest = b"".join(found[c].tobytes() for c in found.dtype.names[2:])
+    return len(found).to_bytes(8, "little") + found["key"].tobytes() + found["seg"].tobytes() + zlib.compress(rest, 1)
+
+
+def _unpack(blob: bytes, kind: np.dtype) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    out, at, rest = np.empty(n, kind), 8, b""
+    for k, c in enumerate(kind.names):
+        if k == 2:
+            rest, at = zlib.decompress(blob[at:]), 0
+        out[c] = np.frombuffer(rest or blob, kind[c], n, at)
+        at += n * kind[c].itemsize
+    return out
+
+
 def _dealt(found: np.ndarray, buckets: np.ndarray) -> pa.RecordBatch:
     """A row with the packed records of each bucket."""
     order = np.argsort(buckets, kind="stable")
     found, buckets = found[order], buckets[order]
     which, first = np.unique(buckets, return_index=True)
     parts = np.split(found, first[1:]) if len(found) else []
-    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.nulls(len(parts), pa.binary())], names=["bucket", "blob", "ranges"])
+    return pa.RecordBatch.from_arrays([pa.array(which, pa.int32()), pa.array([_pack(p) for p in parts], pa.binary()), pa.nulls(len(parts), pa.binary())], names=["bucket", "blob", "ranges"])
 
 
 def _repeats_row(ranges: pa.RecordBatch, bucket: int) -> pa.RecordBatch:
@@ -206,7 +226,7 @@ def _blobs(batches: Iterator[pa.RecordBatch], kind: np.dtype) -> Iterator[tuple[
                 yield now, np.concatenate(parts), None
                 parts = []
             now = bucket
-            parts.append(np.frombuffer(blob.as_py(), kind))
+            parts.append(_unpack(blob.as_py(), kind))
     if parts:
         yield now, np.concatenate(parts), None
 
@@ -225,16 +245,17 @@ def _compare_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield _ranges(first[near], True)
 
 
-def _opener(n: int) -> Callable:
+def _opener(n: int, words: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(words)
         for b in batches:
             packed = []
-            for doc, th, value, spans in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("text"), b.column("spans").to_pylist(), strict=True):
-                raw = (value.as_py() or "").encode()
+            for doc, th, value, spans in zip(b.column("doc").to_pylist(), b.column("th").to_pylist(), b.column("packed"), b.column("spans").to_pylist(), strict=True):
+                raw = unpack(value.as_py())
                 places = [p for s in spans for p in range(s["lo"], s["hi"] + 1)]
                 own = np.empty(len(places), STRING)
-                words = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[p : p + SPAN]) for p in places]), "<u8").reshape(-1, 2)
-                own["key"], own["seg"], own["doc"], own["th"], own["lo"] = words[:, 0], words[:, 1], doc, th, places
+                digest = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[p : p + SPAN]) for p in places]), "<u8").reshape(-1, 2)
+                own["key"], own["seg"], own["doc"], own["th"], own["lo"] = digest[:, 0], digest[:, 1] & np.uint64(0xFFFFFFFF), doc, th, places
                 packed.append(own)
             if not packed:
                 continue
@@ -251,42 +272,76 @@ def _compare_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield ranges if ranges is not None else _ranges(_settled(found)[1])
 
 
-def _bounds(own: DataFrame, share: float, n: int) -> np.ndarray:
-    """n - 1 bounds between buckets: quantiles of the keys in the sampled documents."""
+def _sampled(own: DataFrame, share: float) -> list[str]:
+    """About SAMPLE texts, chosen by a hash of the row."""
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30))
-    rows = own.where(place < int(min(1.0, share) * (1 << 30))).select("text").limit(4 * SAMPLE).collect()
-    keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(key for r in rows for _, _, key, _ in runs(r["text"]))]))
+    return sorted(r["text"] for r in own.where(place < int(min(1.0, share) * (1 << 30))).where("text IS NOT NULL").select("text").limit(4 * SAMPLE).collect())
+
+
+def _bounds(texts: list[str], n: int) -> np.ndarray:
+    """n - 1 bounds between buckets: quantiles of the keys in sampled texts."""
+    keys = np.sort(np.concatenate([np.zeros(0, np.uint64), *(key for t in texts for _, _, key, _ in runs(t))]))
     return keys[np.arange(1, n) * len(keys) // n] if len(keys) else np.zeros(0, np.uint64)
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """doc, th (see text_hash) and spans (lo, hi: first and last start of strings that also start earlier) of documents with any. docs: doc_id long, text string."""
-    size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+def _dictionary(texts: list[str]) -> bytes:
+    """What texts have in common, for their compression; empty if there are too few."""
+    try:
+        return zstandard.train_dictionary(1 << 16, [t.encode() for t in texts]).as_bytes() if len(texts) >= 50 else b""
+    except zstandard.ZstdError:
+        return b""
+
+
+def _unpacker(words: bytes) -> Callable[[bytes | None], bytes]:
+    machine = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+    return lambda packed: b"" if packed is None else machine.decompress(packed)
+
+
+def _packer(words: bytes) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(words) if words else None)
+        for b in batches:
+            texts = b.column("text").to_pylist()
+            packed = [None if t is None else machine.compress(t.encode()) for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(packed, pa.binary()), pa.array([text_hash(t) for t in texts], pa.int64())], names=["doc_id", "packed", "own_th"])
+
+    return run
+
+
+def _prepared(docs: DataFrame) -> tuple[DataFrame, DataFrame, int, np.ndarray, bytes]:
+    """docs as they are compared, packed for moving, the number of buckets and the bounds between them, and the dictionary of the packing."""
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    size = own.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int((size["bytes"] or 0) * 2 / (SPAN - GRAM + 2) / BUCKET) + 1)
-    bounds = _bounds(docs, SAMPLE / max(1, size["n"]), n)
-    blobs = map_arrow(docs, _lister(bounds, n), _BLOBS).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
+    texts = _sampled(own, SAMPLE / max(1, size["n"]))
+    words = _dictionary(texts)
+    return own, map_arrow(own, _packer(words), "doc_id long, packed binary, own_th long"), n, _bounds(texts, n), words
+
+
+def _repeats(own: DataFrame, packed: DataFrame, n: int, bounds: np.ndarray, words: bytes) -> DataFrame:
+    """doc, th (see text_hash) and spans (lo, hi: first and last start of strings that also start earlier) of documents with any."""
+    blobs = map_arrow(own, _lister(bounds, n), _BLOBS).repartitionById(n, F.col("bucket")).sortWithinPartitions("bucket")
     found = materialise(map_arrow(blobs, _compare_runs, _RANGES), "runs")
     spans = lambda df: df.groupBy("doc", "th").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     opened = found.where("open")
     total = opened.agg(F.sum(F.col("hi") - F.col("lo") + 1)).first()[0] or 0
     settled = found.where("NOT open").select("doc", "th", "lo", "hi")
     if total:
-        m = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / BUCKET) + 1)
-        with_text = _joined(docs, spans(opened), "inner").select("doc", "th", "text", "spans")
-        blobs = map_arrow(with_text, _opener(m), _BLOBS).repartitionById(m, F.col("bucket")).sortWithinPartitions("bucket")
+        m = max(int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(total / BUCKET) + 1)
+        with_text = _joined(packed, spans(opened), "inner").select("doc", "th", "packed", "spans")
+        blobs = map_arrow(with_text, _opener(m, words), _BLOBS).repartitionById(m, F.col("bucket")).sortWithinPartitions("bucket")
         settled = settled.unionAll(map_arrow(blobs, _compare_strings, _RANGES).select("doc", "th", "lo", "hi"))
     return spans(settled)
 
 
-def _joined(docs: DataFrame, spans: DataFrame, how: str) -> DataFrame:
-    """docs with their spans, by doc_id and the text's hash."""
-    keyed = map_arrow(docs, _with_hash, "doc_id long, text string, own_th long")
-    return keyed.join(spans, (F.coalesce("doc_id", F.lit(_NULL)) == F.col("doc")) & (F.col("own_th") == F.col("th")), how)
+def repeats(docs: DataFrame) -> DataFrame:
+    """doc (the least long for a null doc_id), th (see text_hash) and spans (lo, hi: first and last start of strings that also start earlier) of documents with any."""
+    return _repeats(*_prepared(docs))
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield b.append_column("own_th", pa.array([text_hash(t.as_py()) for t in b.column("text")], pa.int64()))
+def _joined(packed: DataFrame, spans: DataFrame, how: str) -> DataFrame:
+    """Packed docs with their spans, by doc_id and the text's hash."""
+    return packed.join(spans, (F.coalesce("doc_id", F.lit(_NULL)) == F.col("doc")) & (F.col("own_th") == F.col("th")), how)
 
 
 def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
@@ -306,22 +361,26 @@ def cut(raw: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, int, int]:
     return b"".join(kept), gone, pieces
 
 
-def _cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = []
-        for value, spans in zip(b.column("text"), b.column("spans"), strict=True):
-            raw = (value.as_py() or "").encode()
-            kept, gone, pieces = cut(raw, [(s["lo"], s["hi"]) for s in spans.as_py() or []])
-            rows.append((len(raw), gone, pieces, kept))
-        cols = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+def _cutter(words: bytes) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = _unpacker(words)
+        for b in batches:
+            rows = []
+            for value, spans in zip(b.column("packed"), b.column("spans"), strict=True):
+                raw = unpack(value.as_py())
+                kept, gone, pieces = cut(raw, [(s["lo"], s["hi"]) for s in spans.as_py() or []])
+                rows.append((len(raw), gone, pieces, kept))
+            cols = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([b.column("doc_id")] + [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+
+    return run
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept (binary, the remaining bytes)."""
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = _joined(own, repeats(own), "left").select("doc_id", "text", "spans")
-    return map_arrow(joined, _cutter, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    own, packed, n, bounds, words = _prepared(docs)
+    joined = _joined(packed, _repeats(own, packed, n, bounds, words), "left").select("doc_id", "packed", "spans")
+    return map_arrow(joined, _cutter(words), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(cut_docs: DataFrame) -> DataFrame:
