@@ -48,7 +48,9 @@ def resampled(events: DataFrame, key: str, ts: str, value: str, step: float) ->
     point = F.struct("t", "v")
     own = F.when(~F.col("grid"), point)
     before = F.last(own, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    after = F.first(own, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    # The next point is the last one in reverse order: a frame that only grows, where one to the end would be read anew for each row.
+    back = W.partitionBy(key).orderBy(F.desc("t"), "grid")
+    after = F.last(own, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
     placed = both.withColumn("a", before).withColumn("b", after).where("grid")
     line = F.when(F.col("a.t") == F.col("t"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
     return placed.select(key, "t", line.alias("value"))
