@@ -17,6 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 1024
+#: Pairs of which exact distances are computed at once: what bounds memory where many points tie.
+PAIRS = 1 << 14
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,10 +38,21 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    if metric == "cosine":
-        return 1 - (x @ y.T) / (np.linalg.norm(x, axis=1)[:, None] * np.linalg.norm(y, axis=1))
-    return np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+def _candidates(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns), rows ascending: the pairs that can be among the k nearest of a row or tie with the last one, given the rounding of the product form."""
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    with np.errstate(all="ignore"):
+        if metric == "cosine":
+            near, scale = 1 - (x @ y.T) / (np.sqrt(xx)[:, None] * np.sqrt(yy)), 1.0
+        else:
+            scale = xx[:, None] + yy
+            near = scale - 2 * x @ y.T
+        slack = 8 * (x.shape[1] + 4) * np.finfo(float).eps * scale
+        most, least = near + slack, near - slack
+    # What cannot be told (a zero vector's cosine, an overflow) stays a candidate.
+    most[np.isnan(most)], least[np.isnan(least)] = np.inf, -np.inf
+    last = min(len(y), k) - 1
+    return np.nonzero(least <= np.partition(most, last, axis=1)[:, last, None])
 
 
 def _exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
@@ -61,14 +74,11 @@ def _compared(k: int | None, metric: str) -> Callable:
                     for i in range(len(a)):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), a[i])), pa.array(c), pa.array(_exact(x[i], y, metric))], schema=schema)
                     continue
-                near = _distances(x, y, metric)
-                near[a[:, None] == c[None]] = -1.0  # itself is first among equals
-                most = min(len(c), k + 8)
-                chosen = np.argpartition(near, most - 1, axis=1)[:, :most]
-                dist = _exact(x[:, None], y[chosen], metric)
-                order = np.lexsort((c[chosen], a[:, None] != c[chosen], dist))[:, : min(k, most)]
-                chosen, dist = np.take_along_axis(chosen, order, 1), np.take_along_axis(dist, order, 1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, chosen.shape[1])), pa.array(c[chosen].ravel()), pa.array(dist.ravel())], schema=schema)
+                rows, chosen = _candidates(x, y, k, metric)
+                dist = np.concatenate([_exact(x[rows[i : i + PAIRS]], y[chosen[i : i + PAIRS]], metric) for i in range(0, len(rows), PAIRS)])
+                order = np.lexsort((c[chosen], a[rows] != c[chosen], dist, rows))
+                first = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]  # rows ascend, so order keeps each row's pairs in place
+                yield pa.RecordBatch.from_arrays([pa.array(a[rows[first]]), pa.array(c[chosen[first]]), pa.array(dist[first])], schema=schema)
 
     return run
 

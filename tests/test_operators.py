@@ -179,6 +179,19 @@ def blobs():
     return np.concatenate([draw.normal(c, 0.4, (n, 2)) for c, n in (((0, 0), 15), ((6, 0), 20), ((0, 7), 15))])
 
 
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_knn_of_many_copies_orders_ties_by_id(spark, metric):
+    x = np.random.default_rng(5).normal(size=(1100, 32))
+    x[::3] = x[0]
+    x[1::50] = x[0] + 1e-9  # nearer than the product form can tell
+    got = {}
+    for r in knn(cloud(spark, x).repartition(2), 15, metric).collect():
+        got.setdefault(r.i, {})[r["rank"]] = r.j
+    for i in range(len(x)):
+        m = np.sqrt(((x[i] - x) ** 2).sum(-1)) if metric == "l2" else 1 - (x[i] * x).sum(-1) / (np.linalg.norm(x[i]) * np.linalg.norm(x, axis=-1))
+        assert [got[i][n + 1] for n in range(15)] == sorted(range(len(x)), key=lambda j: (m[j], i != j, j))[:15]
+
+
 @pytest.mark.parametrize("method", ["single", "average", "complete", "ward"])
 def test_linkage_finds_blobs(method):
     x = blobs()
