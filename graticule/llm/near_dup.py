@@ -16,7 +16,7 @@
 
 Defined results: texts that are null or without words have the empty set, are linked with nothing and stay; with fewer
 words than a shingle has, the whole sequence is the one shingle; repeated rows are one class; a null doc_id takes part
-(it is never the smallest, and is kept only if no other document is in its component); an empty table gives an empty
+(it is never the smallest, and is kept only if no document with an id is in its component); an empty table gives an empty
 result; only doc_id and text are read.
 """
 
@@ -131,7 +131,8 @@ def _sketch(size: int) -> Callable:
                 counts.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()) if len(found) else None)
                 signatures.append(signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), _column(digests, pa.binary()), _column(counts, pa.int64()), _column(signatures, pa.binary())], names=["doc_id", "node", "n", "sig"])
+            own = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*map(b.column, own), _column(digests, pa.binary()), _column(counts, pa.int64()), _column(signatures, pa.binary())], names=[*own, "node", "n", "sig"])
 
     return run
 
@@ -310,7 +311,13 @@ def _roots(pairs: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links), kept, node (digest of the set; null if empty)."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketched = materialise(map_arrow(own, _sketch(size), "doc_id long, node binary, n long, sig binary"), "sketches")
+    return _judged(own, own, size, percent).select("doc_id", "n_shingles", "component_id", "kept", "node")
+
+
+def _judged(rows: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
+    """near_duplicates() of own (doc_id, text), with the root of each component and the columns that rows (doc_id, text, ...) has beside."""
+    kept = "".join(f"{c} {t}, " for c, t in rows.dtypes if c not in ("doc_id", "text"))
+    sketched = materialise(map_arrow(rows, _sketch(size), f"doc_id long, {kept}node binary, n long, sig binary"), "sketches")
     classes = materialise(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")), "classes")
     banded = map_arrow(classes.select("node", "sig"), _bands, "key long, node binary")
     stars = materialise(map_arrow(banded.repartition("key").sortWithinPartitions("key", "node"), _stars, "key long, pivot binary, node binary"), "stars")
@@ -382,14 +389,25 @@ def _labelled(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> Data
     """Documents with the smallest doc_id of their component; components of one class need no join with the others."""
     rooted = _roots(classes.select("node", "first"), roots, "node")
     least = rooted.join(roots.select("root").distinct(), F.col("node_root") == F.col("root"), "left_semi").groupBy("node_root").agg(F.min("first").alias("least"))
-    label = rooted.join(least, "node_root", "left").select(F.col("node").alias("_node"), F.coalesce("least", "first").alias("_label"))
-    joined = sketched.select("doc_id", "node", F.col("n").alias("n_shingles")).join(label, F.col("node") == F.col("_node"), "left")
+    label = rooted.join(least, "node_root", "left").select(F.col("node").alias("_node"), F.coalesce("least", "first").alias("_label"), F.col("node_root").alias("root"))
+    joined = sketched.drop("sig").withColumnRenamed("n", "n_shingles").join(label, F.col("node") == F.col("_node"), "left")
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_label"))
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), "node")
+    return joined.withColumns({"component_id": component, "kept": F.col("doc_id").eqNullSafe(component)})
 
 
 def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group of near-duplicates: that of the smallest doc_id; rows that repeat it stay."""
-    judged = near_duplicates(docs, size, percent)
-    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    """docs with one document of each group of near-duplicates: that of the smallest doc_id; rows that repeat it stay. A verdict is of a doc_id and a text. Of a group without any doc_id one row stays."""
+    doc_id, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    own = docs.select(doc_id.alias("doc_id"), text.alias("text"))
+    judged = _judged(own.withColumn("key", F.md5("text")), own, size, percent)
+    nameless = "component_id IS NULL AND node IS NOT NULL"
+    judged = materialise(judged.where(f"NOT kept OR {nameless}").select("doc_id", "key", "root", F.expr(nameless).alias("nameless")).distinct(), "gone")
+    gone = judged.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct()
+    left = docs.join(gone, doc_id.eqNullSafe(F.col("_gone")) & (F.md5(text) == F.col("_key")), "left_anti")
+    chosen = judged.where("nameless").groupBy("root").agg(F.min("key").alias("_key")).select("_key")
+    if chosen.isEmpty():
+        return left
+    row = F.struct(*(docs[f"`{c}`"] for c in docs.columns))
+    rows = docs.where(doc_id.isNull()).select(F.md5(text).alias("_text"), row.alias("_row"))
+    one = rows.join(chosen, F.col("_text") == F.col("_key"), "left_semi").groupBy("_text").agg(F.min_by("_row", F.to_json("_row")).alias("_row"))
+    return left.unionByName(one.select("_row.*"))

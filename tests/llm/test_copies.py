@@ -71,6 +71,17 @@ def test_near_duplicates_on_awkward_rows(awkward, nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
 
 
+def test_deduplicate_judges_texts_not_ids(spark):
+    a, b, c = prose(1), prose(2), prose(3)
+    rows = [(1, a), (2, a + " tail"), (2, prose(4)), (None, a + " end"), (None, prose(5)), (None, prose(6)), (None, None), (None, ""), (None, ""), (3, c), (3, c)]
+    rows += [(None, b), (None, b), (None, b.upper()), (None, b + " more")]  # one group without any doc_id
+    docs = spark.createDataFrame([(*r, "x", i) for i, r in enumerate(rows)], "doc_id long, text string, node string, key int")
+    left = near_dup.deduplicate(docs, 2, 80)
+    assert left.columns == docs.columns
+    got = [r.key for r in left.collect()]
+    assert sorted(k for k in got if k < 11) == [0, 2, 4, 5, 6, 7, 8, 9, 10] and len([k for k in got if k >= 11]) == 1
+
+
 def test_signatures_estimate_similarity():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     mix = near_dup._mixed
