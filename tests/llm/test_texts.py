@@ -1,6 +1,7 @@
 """Operators that judge documents one by one: quality rules, secret scan, language ID, co-training."""
 
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -67,6 +68,19 @@ def test_markov_ratio_parts_random_strings_from_identifiers():
     assert np.mean([secret_scan.ratio(x, table) > secret_scan.THRESHOLD for x in names]) < 0.02
 
 
+def test_scan_finds_random_strings_without_digits():
+    words = prose(3, 400).replace(",", "").replace(".", "").split()
+    n = secret_scan.TRAIN_STRINGS
+    table = secret_scan.fit(secret_scan.random_strings(n)) - secret_scan.fit(secret_scan.identifiers(words, n))
+    found = lambda x: secret_scan.scan(f"x {x} y", table)[1] == [(2, 3, 2 + len(x))]
+    draw = random.Random(5)
+    for letters in (secret_scan.ALPHABET[:52], secret_scan.ALPHABET[:26], secret_scan.ALPHABET[26:52], secret_scan.ALPHABET[:62]):
+        assert np.mean([found("".join(draw.choices(letters, k=draw.randint(16, 48)))) for _ in range(500)]) > 0.95
+    names = [x for x in secret_scan.identifiers(words, 2000, seed=98) if len(set(x)) > 1]
+    assert np.mean([found(x) for x in names]) < 0.02
+    assert not any(map(found, ["-" * 20, "=" * 20, "_" * 20, "/" * 20]))
+
+
 def test_secret_scan_on_awkward_rows(awkward, nothing):
     rows = {r.doc_id: r for r in secret_scan.secret_scan(awkward).collect()}
     assert (rows[11].n_assign, rows[11].n_access, rows[11].n_hex) == (1, 1, 1)
