@@ -498,7 +498,7 @@ def embed_isomap(spark, d):
 
 @query()
 def embed_metric(spark, d):
-    return embed.embed(points(spark, d).drop("label"), K, 2, sgd={"epochs": 100, "patience": 20})
+    return embed.embed(points(spark, d).drop("label"), K, 2)
 
 
 @query()

@@ -35,3 +35,10 @@ def test_query(spark, duck, name):
     names = [d[0] for d in result.description]
     want = [tuple(plain(row[names.index(c)]) for c in columns) for row in result.fetchall()]
     assert sorted(names) == columns and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_metric_embedding_has_the_defaults_of_the_operator(spark, monkeypatch):
+    given = []
+    monkeypatch.setattr(catalogue.embed, "embed", lambda *a, **b: given.append((a[1:], b)))
+    catalogue.QUERIES["embed_metric"](spark, FOLDER)
+    assert given == [((catalogue.K, 2), {})]
