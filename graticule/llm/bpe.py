@@ -4,15 +4,17 @@ A segmentation of a piece is its BPE encoding exactly if every two neighbouring
 encoding of their joint bytes. So one token sequence belongs to each prefix of a piece, and what
 follows depends on the last token only. A state of the transducer holds those prefix ends from
 which a longer token may still begin ("live" ends), each with its last token, its predecessor and
-its place in the trie of tokens. States are made when they have been asked for WORTH times (before, a search by the same rule gives the ids). A token is emitted as
-soon as all live ends agree on it, so no more bytes are ever pending than the longest token has.
+its place in the trie of tokens. A transition is worked out when it is first asked for. A token is
+emitted as soon as all live ends agree on it, so no more bytes are ever pending than the longest
+token has. Every piece that is not one token goes through the transducer.
 
 Decoding joins the bytes of ids chunk by chunk; an incremental UTF-8 state machine holds back the
 bytes of a character that is not complete yet.
 
 Defined results: null and empty texts encode to no ids and decode to the empty text; repeated rows
-give equal ids; very long texts and pieces take time in proportion; an empty table gives an empty
-result; a column named as one that the operator adds is replaced.
+give equal ids; very long texts are split a million characters at a time, and time grows in proportion
+for them as for very long pieces; there are no ties: a piece has one encoding; an empty table gives an
+empty result; a column named as one that the operator adds is replaced.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from pyspark.sql import types as T
 from .common import map_arrow
 from .pretokens import Splitter
 
-#: Most states of the transducer; times that a state is asked for before it is made; remembered pieces beyond which the memory starts anew (keeping what is met again), and their characters. Results do not depend on them.
-MAX_STATES, WORTH, MAX_PIECES, MAX_PIECE_CHARS = 50_000, 32, 400_000, 40
+#: Most states of the transducer and remembered pairs of tokens, remembered pieces beyond which the memory starts anew (keeping what is met again), and their characters. Results do not depend on them.
+MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 200_000, 200_000, 40
+#: Bytes of text in an Arrow batch: a worker holds a batch's texts, ids and decoded texts at once.
+TEXT_BYTES = 4 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -47,14 +51,6 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 _NEVER = 1 << 60
 
 
-class _State:
-    __slots__ = ("ends", "final", "following")
-
-    def __init__(self, ends: tuple, final: tuple):
-        #: (token, index of the predecessor or -1, trie node or -1 if no longer live) by rising position; the last is the present position.
-        self.ends, self.final, self.following = ends, final, {}
-
-
 class Transducer:
     """BPE of one piece (see the module's text)."""
 
@@ -69,15 +65,18 @@ class Transducer:
                 if node == len(self.accepts):
                     self.accepts.append(-1)
             self.accepts[node] = rank
+        self.leaf = [True] * len(self.accepts)
+        for arc in self.arcs:
+            self.leaf[arc >> 8] = False
         self.spines: dict[int, tuple[list, list]] = {}
         self.joint: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        self.states: dict[tuple, _State] = {}
-        gc.collect()  # states refer to each other in circles
-        self.start = _State(((-1, -1, 0),), ())
-        self.states[self.start.ends] = self.start
+        """The start state alone. A state is a tuple: of its ends, by rising position, first the tokens, then the indices of the predecessors (-1: none), then the trie nodes (-1: no longer live); the last end is the present position."""
+        start = (-1, -1, 0)
+        self.states, self.numbers, self.finals = [start], {start: 0}, [()]
+        self.steps: dict[int, tuple[int, tuple]] = {}
 
     def halves(self, data: bytes) -> list[bytes]:
         """The last two parts before merges of the lowest rank, leftmost first, make data whole; more parts if they never do."""
@@ -126,38 +125,60 @@ class Transducer:
             else:
                 j += 1
 
-    def advance(self, state: _State, byte: int) -> tuple[_State, tuple]:
-        """The state after byte, and the ids that are certain by then."""
-        arcs, accepts, ends, last = self.arcs, self.accepts, [], None
-        for i, (token, before, node) in enumerate(state.ends):
+    def joined(self, left: int, right: int) -> bool:
+        """agree(), remembered."""
+        key = left << 32 | right
+        known = self.joint.get(key)
+        if known is None:
+            if len(self.joint) >= 4 * MAX_STATES:
+                self.joint.clear()
+            known = self.joint[key] = self.agree(left, right)
+        return known
+
+    def advance(self, number: int, byte: int) -> tuple[int, tuple]:
+        """Determinise one transition: the state after byte, and the ids that are certain by then."""
+        state = self.states[number]
+        n = len(state) // 3
+        tokens, before, nodes, last, token = list(state[:n]), list(state[n : 2 * n]), [], -1, -1
+        for i, node in enumerate(state[2 * n :]):
             if node >= 0:
-                node = arcs.get(node << 8 | byte, -1)
-                if last is None and node >= 0 and (rank := accepts[node]) >= 0 and self.agree(token, rank):
-                    last = (rank, i, 0)
-            ends.append((token, before, node))
-        ends.append(last)
+                node = self.arcs.get(node << 8 | byte, -1)
+                if node >= 0:
+                    rank = self.accepts[node]
+                    if last < 0 <= rank and self.joined(tokens[i], rank):
+                        last, token = i, rank
+                    if self.leaf[node]:
+                        node = -1
+            nodes.append(node)
+        tokens.append(token)
+        before.append(last)
+        nodes.append(0)
         # Ids between the root and the place where the live ends part are certain.
-        kids = [0] * len(ends)
-        for i in range(len(ends) - 1, 0, -1):
-            if kids[i] or ends[i][2] >= 0:
-                kids[ends[i][1]] += 1
-        order = [i for i, e in enumerate(ends) if kids[i] or e[2] >= 0]
+        kids = [0] * (n + 1)
+        for i in range(n, 0, -1):
+            if kids[i] or nodes[i] >= 0:
+                kids[before[i]] += 1
+        order = [i for i in range(n + 1) if kids[i] or nodes[i] >= 0]
         emitted, root = [], 0
-        while ends[order[root]][2] < 0 and kids[order[root]] == 1:
+        while nodes[order[root]] < 0 and kids[order[root]] == 1:
             root += 1
-            emitted.append(ends[order[root]][0])
+            emitted.append(tokens[order[root]])
         order = order[root:]
-        place = {i: k for k, i in enumerate(order)}
-        place[ends[order[0]][1]] = -1
-        key = tuple([(ends[i][0], place[ends[i][1]], ends[i][2]) for i in order])
-        found = self.states.get(key)
+        place = dict(zip(order, range(len(order)), strict=True))
+        tokens, nodes = [tokens[i] for i in order], [nodes[i] for i in order]
+        before = [-1] + [place[before[i]] for i in order[1:]]
+        key = (*tokens, *before, *nodes)
+        found = self.numbers.get(key)
         if found is None:
-            final, i = [], len(key) - 1
-            while key[i][1] >= 0:
-                final.append(key[i][0])
-                i = key[i][1]
-            found = self.states[key] = _State(key, tuple(reversed(final)))
-        return found, tuple(emitted)
+            final, i = [], len(order) - 1
+            while before[i] >= 0:
+                final.append(tokens[i])
+                i = before[i]
+            found = self.numbers[key] = len(self.states)
+            self.states.append(key)
+            self.finals.append(tuple(reversed(final)))
+        step = self.steps[number << 8 | byte] = (found, tuple(emitted))
+        return step
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
@@ -165,56 +186,12 @@ class Transducer:
             return [whole]
         if len(self.states) > MAX_STATES:
             self.reset()
-        state, out = self.start, []
+        state, out, steps = 0, [], self.steps.get
         for byte in piece:
-            step = state.following.get(byte, 0)
-            if step.__class__ is int:  # not made yet: how often it was asked for
-                if step < WORTH and len(piece) <= MAX_PIECE_CHARS:
-                    state.following[byte] = step + 1
-                    return self.search(piece)
-                step = state.following[byte] = self.advance(state, byte)
-            state = step[0]
-            if step[1]:
-                out += step[1]
-        return out + list(state.final)
-
-    def search(self, piece: bytes) -> list[int]:
-        """The encoding by the same rule without states: the longest token that agrees goes first, a dead end takes the last one back."""
-        arcs, accepts, joint = self.arcs.get, self.accepts, self.joint
-        tokens, starts, ahead, dead, at, n = [-1], [0], [], set(), 0, len(piece)
-        while at < n:
-            if len(ahead) < len(tokens):
-                choice, node, end = [], 0, at
-                for byte in piece[at:]:
-                    node = arcs(node << 8 | byte)
-                    if node is None:
-                        break
-                    end += 1
-                    if accepts[node] >= 0:
-                        choice.append((accepts[node], end))
-                ahead.append(choice)
-            choice, last = ahead[-1], tokens[-1]
-            while choice:
-                rank, end = choice.pop()
-                if end in dead:
-                    continue
-                key = last << 32 | rank
-                known = joint.get(key)
-                if known is None:
-                    if len(joint) >= 4 * MAX_STATES:
-                        joint.clear()
-                    known = joint[key] = self.agree(last, rank)
-                if known:
-                    tokens.append(rank)
-                    starts.append(at)
-                    at = end
-                    break
-            else:
-                dead.add(at)
-                at = starts.pop()
-                tokens.pop()
-                ahead.pop()
-        return tokens[1:]
+            state, emitted = steps(state << 8 | byte) or self.advance(state, byte)
+            if emitted:
+                out += emitted
+        return [*out, *self.finals[state]]
 
 
 class _Known(dict):
@@ -237,11 +214,12 @@ class Encoder:
     """Whole texts: every match of the pattern is encoded separately; pieces are remembered."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.split = Transducer(ranks), Splitter(pattern).split
+        self.machine, self.pieces = Transducer(ranks), Splitter(pattern).pieces
         self.known = _Known(self.machine)
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), "<i4")
+        parts = [b"".join(map(self.known.__getitem__, some)) for some in self.pieces(text)]
+        return np.frombuffer(parts[0] if len(parts) == 1 else b"".join(parts), "<i4")
 
 
 class Decoder:
@@ -319,7 +297,7 @@ def _encoder(data: bytes, pattern: str) -> Encoder:
     key = (hash(data), pattern)
     if key not in _encoders:
         _encoders.clear()
-        gc.disable()  # millions of small tuples live long in this worker; only reset() makes circles, and collects them
+        gc.disable()  # millions of small tuples live long in this worker, and none of them in circles
         _encoders[key] = Encoder(parse_ranks(data), pattern)
     return _encoders[key]
 
@@ -347,22 +325,50 @@ def _ranks(df: DataFrame, path: str) -> Callable[[], bytes]:
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int32)))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids") -> DataFrame:
     """docs with the ids (array of int) of the text column. path: the rank file, below 1 MB for the public vocabularies, sent to executors once."""
+    return _coded(docs, path, pattern, text, into, "", "")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with the ids of the text column and the text that they decode to, in one pass."""
+    return _coded(docs, path, pattern, text, into, decoded, "")
+
+
+def verified(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", verdict: str = "decodes") -> DataFrame:
+    """docs with the ids of the text column and whether they decode to the text, in one pass that gives out no second text."""
+    return _coded(docs, path, pattern, text, into, "", verdict)
+
+
+def _coded(docs: DataFrame, path: str, pattern: str, text: str, into: str, decoded: str, verdict: str) -> DataFrame:
     ranks = _ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _encoder(ranks.value, pattern)
+        decoder = Decoder(coder.machine.ranks) if decoded or verdict else None
         for b in batches:
-            flat, ends = [], [0]
+            coded, texts, same = [], [], []
             for value in b.column(b.schema.names.index(text)):
-                ids = coder.encode(value.as_py() or "")
-                flat.append(ids)
-                ends.append(ends[-1] + len(ids))
-            values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32))
-            yield _put(b, into, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values))
-
-    return map_arrow(docs, run, _with(docs.schema, into, T.ArrayType(T.IntegerType())))
+                own = value.as_py() or ""
+                ids = coder.encode(own)
+                coded.append(ids)
+                if decoder:
+                    back = decoder.decode(ids)
+                    texts.append(back if decoded else None)
+                    same.append(back == own)
+            b = _put(b, into, _lists(coded))
+            if decoded:
+                b = _put(b, decoded, pa.array(texts, pa.string()))
+            yield _put(b, verdict, pa.array(same, pa.bool_())) if verdict else b
+
+    schema = _with(docs.schema, into, T.ArrayType(T.IntegerType()))
+    schema = _with(schema, decoded, T.StringType()) if decoded else schema
+    return map_arrow(docs, run, _with(schema, verdict, T.BooleanType()) if verdict else schema, n_bytes=TEXT_BYTES)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -378,7 +384,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", into: str = "decoded
             texts = [decoder.decode(values[ends[i] : ends[i + 1]]) if known[i] else "" for i in range(len(lists))]
             yield _put(b, into, pa.array(texts, pa.string()))
 
-    return map_arrow(encoded, run, _with(encoded.schema, into, T.StringType()))
+    return map_arrow(encoded, run, _with(encoded.schema, into, T.StringType()), n_bytes=TEXT_BYTES)
 
 
 def digests(decoded: DataFrame) -> DataFrame:

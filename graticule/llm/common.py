@@ -29,7 +29,7 @@ def release_others(owner: str) -> None:
             module.release()
 
 
-def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS, n_bytes: int = BATCH_BYTES) -> DataFrame:
     """df.mapInArrow with batches of bounded size (the settings hold from here on, until the next call)."""
     owner = fn.__module__
 
@@ -39,7 +39,7 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     conf = df.sparkSession.conf
     conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(n_bytes))
     return df.mapInArrow(run, schema)
 
 

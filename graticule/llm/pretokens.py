@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from itertools import islice
 
 import regex
 
+#: Characters beyond which a text is split step by step, and pieces of a step.
+PART = 1 << 20
+
 
 def latin_pattern(pattern: str) -> str | None:
     """The pattern for texts of code points below 256, with \\s, \\S, \\p{L} and \\p{N} spelled out as classes; None if it has other escapes."""
@@ -33,13 +38,26 @@ class Splitter:
 
     def __init__(self, pattern: str):
         latin = latin_pattern(pattern)
-        self.any, self.latin = regex.compile(pattern).findall, re.compile(latin).findall if latin else None
+        self.any, self.latin = regex.compile(pattern), re.compile(latin) if latin else None
 
-    def split(self, text: str) -> list[str]:
+    def _pattern(self, text: str) -> re.Pattern | regex.Pattern:
         if self.latin:
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
-                return self.any(text)
-            return self.latin(text)
-        return self.any(text)
+                return self.any
+            return self.latin
+        return self.any
+
+    def split(self, text: str) -> list[str]:
+        return self._pattern(text).findall(text)
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """The same, of long texts PART pieces at a time."""
+        pattern = self._pattern(text)
+        if len(text) <= PART:
+            yield pattern.findall(text)
+            return
+        found = (m.group() for m in pattern.finditer(text))
+        while some := list(islice(found, PART)):
+            yield some

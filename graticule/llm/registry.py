@@ -42,7 +42,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.digests(bpe.decode(bpe.encode(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN).drop("text"), path))
+    return bpe.digests(bpe.round_trip(table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.PATTERN))
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,13 +40,35 @@ def test_bpe_is_that_of_the_library(coders):
             assert decoder.decode(ids, chunk=3) == text
 
 
-def test_transducer_with_states_agrees_with_search(coders):
+def test_every_piece_is_answered_by_states(coders):
+    machine, library = bpe.Transducer(coders[0].machine.ranks), coders[1]
+    pieces = [w.encode() for w in prose(5, 300).split()] + [b"a" * 500, "ß".encode() * 99, b"ab" * 200, b"qzxj", bytes(range(97, 123)) * 4]
+    many = [p for p in dict.fromkeys(pieces) if p not in machine.ranks]
+    answered, steps = 0, machine.steps
+    for piece in many:
+        state, path = 0, True
+        ids = machine.encode(piece)
+        for byte in piece:
+            path = path and (state << 8 | byte) in steps
+            state = steps[state << 8 | byte][0]
+        answered += path
+        assert ids == library._core_bpe.encode_single_piece(piece)
+    assert answered == len(many) > 20 and len(machine.states) > 10
+
+
+def test_states_begin_anew_at_their_bound(coders, monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_STATES", 20)
     machine = bpe.Transducer(coders[0].machine.ranks)
-    pieces = [w.encode() for w in prose(5, 300).split()] + [b"a" * 500, "ß".encode() * 99, b"ab" * 200]
-    plain = [machine.search(p) for p in pieces]
-    for _ in range(bpe.WORTH + 3):
-        assert [machine.encode(p) for p in pieces] == [p if (w := machine.ranks.get(x)) is None else [w] for p, x in zip(plain, pieces)]
-    assert len(machine.states) > 10
+    for word in prose(6, 300).split():
+        assert machine.encode(word.encode()) == coders[1]._core_bpe.encode_single_piece(word.encode())
+    assert len(machine.states) < 100
+
+
+def test_long_texts_are_split_step_by_step(coders, monkeypatch):
+    text = prose(8, 3000) + " 中文 " + "x" * 5000
+    whole = coders[1].encode_ordinary(text)
+    monkeypatch.setattr("graticule.llm.pretokens.PART", 100)
+    assert coders[0].encode(text).tolist() == whole
 
 
 @settings(max_examples=200, deadline=None)
@@ -60,14 +82,20 @@ def test_utf8_stream_holds_back_incomplete_characters(data, sizes):
 
 
 def test_bpe_on_awkward_rows(awkward, nothing, coders):
-    rows = bpe.digests(bpe.decode(bpe.encode(awkward, RANKS, public_tokenizers.PATTERN), RANKS)).collect()
     texts = {r.doc_id: r.text or "" for r in awkward.collect()}
-    assert len(rows) == awkward.count()
-    for r in rows:
-        ids = coders[1].encode_ordinary(texts[r.doc_id])
-        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
-        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
-    assert bpe.decode(bpe.encode(nothing, RANKS, public_tokenizers.PATTERN), RANKS).count() == 0
+    one, two = bpe.round_trip(awkward, RANKS, public_tokenizers.PATTERN), bpe.decode(bpe.encode(awkward, RANKS, public_tokenizers.PATTERN), RANKS)
+    for coded in (one, two):
+        rows = bpe.digests(coded).collect()
+        assert len(rows) == awkward.count()
+        for r in rows:
+            ids = coders[1].encode_ordinary(texts[r.doc_id])
+            assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+    judged = bpe.verified(awkward, RANKS, public_tokenizers.PATTERN)
+    assert judged.columns == [*awkward.columns, "ids", "decodes"] and all(r.decodes for r in judged.collect())
+    clash = awkward.withColumnRenamed("node", "ids").withColumnRenamed("score", "decoded")
+    assert bpe.round_trip(clash, RANKS, public_tokenizers.PATTERN).columns == clash.columns
+    assert bpe.round_trip(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 @pytest.mark.parametrize("n", [1, 2, 31, 33, 700, 9000])
