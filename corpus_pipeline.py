@@ -41,9 +41,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, their number, and whether they decode to the text."""
-    path = public_tokenizers.path(RANKS)
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path, public_tokenizers.PATTERN), path)
-    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes"))
+    coded = bpe.verified(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decodes")
 
 
 STAGES = [("quality_rules", rules), ("near_dedup", near_duplicates), ("decontamination", decontamination), ("secret_scan", secrets), ("byte_bpe", tokens)]
