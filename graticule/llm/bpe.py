@@ -2,11 +2,12 @@
 
 A segmentation of a piece is its BPE encoding exactly if every two neighbouring tokens are the
 encoding of their joint bytes. So one token sequence belongs to each prefix of a piece, and what
-follows depends on the last token only. A state of the transducer holds those prefix ends from
-which a longer token may still begin ("live" ends), each with its last token, its predecessor and
-its place in the trie of tokens. A transition is worked out when it is first asked for. A token is
-emitted as soon as all live ends agree on it, so no more bytes are ever pending than the longest
-token has. Every piece that is not one token goes through the transducer.
+follows depends on the last tokens of "live" prefixes only: those behind which a longer token may
+still begin. An automaton over the trie of tokens (Aho and Corasick's) knows from one of its nodes
+which prefixes are live and which tokens end. A state of the transducer is such a node and the last
+tokens of the live prefixes and of those that they grew from. A transition is worked out when it
+is first asked for. A token is emitted as soon as all live prefixes agree on it, so no more bytes are
+ever pending than the longest token has. Every piece that is not one token goes through the transducer.
 
 Decoding joins the bytes of ids chunk by chunk; an incremental UTF-8 state machine holds back the
 bytes of a character that is not complete yet.
@@ -33,7 +34,7 @@ from .common import map_arrow
 from .pretokens import Splitter
 
 #: Most states of the transducer and remembered pairs of tokens, remembered pieces beyond which the memory starts anew (keeping what is met again), and their characters. Results do not depend on them.
-MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 200_000, 200_000, 40
+MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 250_000, 200_000, 40
 #: Bytes of text in an Arrow batch: a worker holds a batch's texts, ids and decoded texts at once.
 TEXT_BYTES = 4 << 20
 
@@ -56,28 +57,52 @@ class Transducer:
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks, self.tokens = ranks, {r: b for b, r in ranks.items()}
+        self.sizes = {r: len(b) for b, r in ranks.items()}
         self.arcs: dict[int, int] = {}
         self.accepts: list[int] = [-1]
+        self.depths: list[int] = [0]
         for token, rank in ranks.items():
             node = 0
-            for byte in token:
+            for depth, byte in enumerate(token, 1):
                 node = self.arcs.setdefault(node << 8 | byte, len(self.accepts))
                 if node == len(self.accepts):
                     self.accepts.append(-1)
+                    self.depths.append(depth)
             self.accepts[node] = rank
-        self.leaf = [True] * len(self.accepts)
-        for arc in self.arcs:
+        #: Of each node: whether no token goes on from it, and the node of its longest proper suffix that begins a token.
+        self.leaf, self.suffix = [True] * len(self.accepts), [0] * len(self.accepts)
+        for arc, node in sorted(self.arcs.items(), key=lambda x: self.depths[x[1]]):
             self.leaf[arc >> 8] = False
+            if arc >> 8:
+                self.suffix[node] = self.follow(self.suffix[arc >> 8], arc & 255)
+        self.ends: dict[int, tuple[tuple, tuple]] = {0: ((), (0,))}
         self.spines: dict[int, tuple[list, list]] = {}
         self.joint: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        """The start state alone. A state is a tuple: of its ends, by rising position, first the tokens, then the indices of the predecessors (-1: none), then the trie nodes (-1: no longer live); the last end is the present position."""
-        start = (-1, -1, 0)
-        self.states, self.numbers, self.finals = [start], {start: 0}, [()]
+        """The start state alone: (node, last token of each prefix from the one on which all live ones agree; -1: the start, -2: nothing depends on it)."""
+        start = (0, (-1,))
+        self.states, self.numbers = [start], {start: 0}
+        self.finals: dict[int, tuple] = {}
         self.steps: dict[int, tuple[int, tuple]] = {}
 
+    def follow(self, node: int, byte: int) -> int:
+        """The node of the longest suffix of node's bytes and byte that begins a token (a byte is always a token)."""
+        arcs = self.arcs.get
+        while (to := arcs(node << 8 | byte)) is None:
+            node = self.suffix[node]
+        return to
+
+    def ending(self, node: int) -> tuple[tuple, tuple]:
+        """The tokens that end at node, longest first, with their sizes, and the sizes of its suffixes from which tokens go on."""
+        known = self.ends.get(node)
+        if known is None:
+            tokens, live = self.ending(self.suffix[node])
+            size, rank = self.depths[node], self.accepts[node]
+            known = self.ends[node] = (tokens if rank < 0 else ((size, rank), *tokens), live if self.leaf[node] else (size, *live))
+        return known
+
     def halves(self, data: bytes) -> list[bytes]:
         """The last two parts before merges of the lowest rank, leftmost first, make data whole; more parts if they never do."""
         parts = [data[i : i + 1] for i in range(len(data))]
@@ -137,49 +162,49 @@ class Transducer:
 
     def advance(self, number: int, byte: int) -> tuple[int, tuple]:
         """Determinise one transition: the state after byte, and the ids that are certain by then."""
-        state = self.states[number]
-        n = len(state) // 3
-        tokens, before, nodes, last, token = list(state[:n]), list(state[n : 2 * n]), [], -1, -1
-        for i, node in enumerate(state[2 * n :]):
-            if node >= 0:
-                node = self.arcs.get(node << 8 | byte, -1)
-                if node >= 0:
-                    rank = self.accepts[node]
-                    if last < 0 <= rank and self.joined(tokens[i], rank):
-                        last, token = i, rank
-                    if self.leaf[node]:
-                        node = -1
-            nodes.append(node)
-        tokens.append(token)
-        before.append(last)
-        nodes.append(0)
-        # Ids between the root and the place where the live ends part are certain.
-        kids = [0] * (n + 1)
-        for i in range(n, 0, -1):
-            if kids[i] or nodes[i] >= 0:
-                kids[before[i]] += 1
-        order = [i for i in range(n + 1) if kids[i] or nodes[i] >= 0]
+        node, tokens = self.states[number]
+        node = self.follow(node, byte)
+        ending, live = self.ending(node)
+        rank = next(rank for size, rank in ending if self.joined(tokens[-size], rank))
+        tokens = (*tokens, rank)
+        n, sizes = len(tokens), self.sizes
+        alive, kept, kids = [n - 1 - size for size in live], bytearray(n), bytearray(n)
+        for at in alive:
+            while not kept[at]:
+                kept[at] = 1
+                if at:
+                    at -= sizes[tokens[at]]
+                    kids[at] += 1
+        for at in alive:
+            kept[at] = 2
+        # Ids between the root and the place where the live prefixes part are certain.
         emitted, root = [], 0
-        while nodes[order[root]] < 0 and kids[order[root]] == 1:
+        while kept[root] == 1 and kids[root] == 1:
             root += 1
-            emitted.append(tokens[order[root]])
-        order = order[root:]
-        place = dict(zip(order, range(len(order)), strict=True))
-        tokens, nodes = [tokens[i] for i in order], [nodes[i] for i in order]
-        before = [-1] + [place[before[i]] for i in order[1:]]
-        key = (*tokens, *before, *nodes)
+            while not kept[root]:
+                root += 1
+            emitted.append(tokens[root])
+        rest = [tokens[at] if kept[at] else -2 for at in range(root, n)]
+        if kept[root] == 1:
+            rest[0] = -2
+        key = (node, tuple(rest))
         found = self.numbers.get(key)
         if found is None:
-            final, i = [], len(order) - 1
-            while before[i] >= 0:
-                final.append(tokens[i])
-                i = before[i]
             found = self.numbers[key] = len(self.states)
             self.states.append(key)
-            self.finals.append(tuple(reversed(final)))
         step = self.steps[number << 8 | byte] = (found, tuple(emitted))
         return step
 
+    def final(self, number: int) -> tuple:
+        """The ids still pending in a state if the piece ends there."""
+        tokens = self.states[number][1]
+        out, at = [], len(tokens) - 1
+        while at:
+            out.append(tokens[at])
+            at -= self.sizes[tokens[at]]
+        ids = self.finals[number] = tuple(reversed(out))
+        return ids
+
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
@@ -191,7 +216,8 @@ class Transducer:
             state, emitted = steps(state << 8 | byte) or self.advance(state, byte)
             if emitted:
                 out += emitted
-        return [*out, *self.finals[state]]
+        ids = self.finals.get(state)
+        return out + list(self.final(state) if ids is None else ids)
 
 
 class _Known(dict):
