@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from graticule.llm import bpe, decontaminate, near_dup, quality_rules, secret_scan, substring_dedup
@@ -109,13 +110,64 @@ def test_substrings_are_those_of_brute_force(spark):
     assert got == substring_dedup.brute_force(rows)
 
 
-def test_substrings_of_texts_longer_than_a_chunk(spark, monkeypatch):
+def test_records_hold_every_string_once(monkeypatch):
     monkeypatch.setattr(substring_dedup, "CHUNK", 512)
-    rows = [(i, prose(i % 3, 300) + prose(50, 80)) for i in range(6)]
-    for _, text in rows:
-        raw = text.encode()
-        starts = sorted(p for lo, hi, _, _ in substring_dedup.runs(text) for a, b in zip(lo.tolist(), hi.tolist()) for p in range(a, b + 1))
-        assert starts == list(range(len(raw) - substring_dedup.SPAN + 1))
+    texts = [prose(i % 3, 300).encode() + prose(50, 80).encode() for i in range(6)] + [b"x" * 99, b"ab" * 300]
+    seen = {i: [] for i in range(len(texts))}
+    for text, place in substring_dedup.records((i, 0, t) for i, t in enumerate(texts)):
+        for row, (doc, _, at, right, left) in zip(text, place.tolist(), strict=True):
+            raw = texts[doc]
+            assert bytes(row[:right]) == raw[at : at + right] and bytes(row[substring_dedup.SPAN :][:left]) == raw[at - left : at][::-1]
+            seen[doc] += range(at - left, at + right - substring_dedup.SPAN + 1)
+    assert all(sorted(p) == list(range(len(texts[i]) - substring_dedup.SPAN + 1)) for i, p in seen.items())
+
+
+def without_spark(rows, buckets, batch=5, m=3):
+    """The stages of substring_dedup called one after another: results, and how many rows went across boundaries."""
+    batches = lambda: [pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows[i : i + batch]], pa.int64()), pa.array([r[1] for r in rows[i : i + batch]])], names=["doc_id", "text"]) for i in range(0, len(rows), batch)]
+    drawn = b"".join(x for b in substring_dedup._drawer(batches()) for x in b.column("record").to_pylist())
+    splitters = substring_dedup.Splitters(np.frombuffer(drawn, np.uint8).reshape(-1, substring_dedup.WIDTH), buckets)
+    listed = [r for b in substring_dedup._lister(splitters)(batches()) for r in b.to_pylist()]
+    assert all(r["bucket"] is None or 0 <= r["bucket"] < splitters.count for r in listed)
+
+    def dealt(found):
+        found = sorted(found, key=lambda r: (r["bucket"] is not None, r["bucket"] or 0))
+        return [pa.RecordBatch.from_pylist(found[i : i + 7], substring_dedup._FOUND_SCHEMA) for i in range(0, len(found), 7)]
+
+    found = [r for b in substring_dedup._passing(substring_dedup._comparer(splitters, m))(dealt(listed)) for r in b.to_pylist()]
+    across = [r for r in found if r["blob"] is not None]
+    spans = {}
+    for r in [r for r in found if r["blob"] is None] + [r for b in substring_dedup._compare_strings(dealt(across)) for r in b.to_pylist()]:
+        spans.setdefault((r["doc"], r["th"]), []).append((r["lo"], r["hi"]))
+    out = {}
+    for doc, text in rows:
+        raw = (text or "").encode()
+        kept, gone, pieces = substring_dedup.cut(raw, spans.get((doc, substring_dedup.text_hash(text)), []))
+        out[doc] = (len(raw), gone, pieces, hashlib.sha256(kept).hexdigest())
+    return out, len(across)
+
+
+@pytest.mark.parametrize(("chunk", "bucket", "splitters", "buckets"), [(1 << 18, 10**6, 4096, 1), (300, 5, 4096, 40), (120, 50, 3, 40), (300, 5, 4096, 300), (1 << 18, 50, 3, 300)])
+def test_substrings_across_buckets_and_boundaries(monkeypatch, chunk, bucket, splitters, buckets):
+    for name, value in (("CHUNK", chunk), ("BUCKET", bucket), ("SPLITTERS", splitters)):
+        monkeypatch.setattr(substring_dedup, name, value)
+    crossed = 0
+    for seed in range(4):
+        draw = random.Random(seed)
+        word = lambda: "".join(draw.choices("abcdefgh", k=draw.randint(1, 6)))
+        passages = [" ".join(word() for _ in range(draw.randint(15, 80))) for _ in range(4)]
+        rows = []
+        for i in range(40):
+            text = ""
+            for _ in range(draw.randint(0, 5)):
+                passage = draw.choice(passages)
+                text += draw.choice([passage, passage[draw.randrange(len(passage)) :], "\0" * draw.randint(1, 150), "é中" * draw.randint(1, 80), " ".join(word() for _ in range(draw.randint(1, 50)))])
+            rows.append((3 * i - 20, text))
+        draw.shuffle(rows)
+        got, across = without_spark(rows, buckets)
+        assert got == substring_dedup.brute_force(rows)
+        crossed += across
+    assert crossed > 0 or buckets == 1
 
 
 def test_substrings_on_awkward_rows(spark, awkward, nothing):
