@@ -1,189 +1,233 @@
 """Adaptive context-mixing range coder for token ids.
 
-A block of ids is dealt to lanes that run side by side in numpy; all lanes of a block share one model,
-which starts from the same state in every block. For each id there are three predictions: the id that
-followed the last two ids when they were last seen (order 2), the id that followed the last one
-(order 1), and an adaptive distribution over all ids (order 0). The distribution that drives the
-coder mixes the three; its weights adapt for each pair of confidences that order 2 and order 1 have
-at the time. Encoder and decoder learn the same after each step, so no weights are stored. Integer
-arithmetic only, hence equal on every machine.
+An id is coded as the binary decisions on its way down a tree whose shape (Huffman's, of the block's ids) stands at the head
+of the block. At each inner node three predictions are at hand, each with the number of times it has been confirmed: that of the node (order 0), that
+of the node after the last id (order 1) and after the last two (order 2). They are mixed in the logistic domain by weights that
+adapt for each pair of confidences of orders 1 and 2, and the mixed probability drives a binary range coder. Predictions
+and weights start anew in every block; encoder and decoder learn the same after each decision.
+
+A block's ids are dealt to lanes that run side by side in numpy and share one model; each lane is at its own place in its own
+id. Integer arithmetic only (sums in float64 are of integers below 2 ** 53), hence equal on every machine.
 """
 
 from __future__ import annotations
 
+import heapq
+import zlib
+
 import numpy as np
 
-#: Lanes of a full block, steps of a lane below which fewer lanes are used, rows of the order-2 table (a power of two), gain and bound of order-0 counts.
-LANES, LEAST_STEPS, ORDER2_BITS, GAIN, MOST0 = 8192, 32, 18, 24, 1 << 22
-#: Steps after which the order-0 distribution takes in what it coded.
-EVERY = 2
-_TOP, _LOW_BITS, _WORD = np.uint64(1 << 32), np.uint64((1 << 24) - 1), np.uint64(32)
-_LEAST = np.uint64(1 << 24)
-
-
-#: The next confidence, by 2 * confidence + (the prediction was right).
-_SURER = np.array([max(i // 2 - 1, 0) if i % 2 == 0 else min(i // 2 + 1, 7) for i in range(16)], np.int8)
-
-
-class _Model:
-    """What encoder and decoder know before each step."""
-
-    def __init__(self, size: int, lanes: int):
-        self.size = size
-        self.counts = np.ones(size, np.int64)
-        self.total, self.waiting = size, []
-        self.next1, self.sure1 = np.full(size, -1, np.int32), np.zeros(size, np.int8)
-        self.next2, self.sure2 = np.full(1 << ORDER2_BITS, -1, np.int32), np.zeros(1 << ORDER2_BITS, np.int8)
-        self.weights = np.tile(np.array([2, 1, 1], np.int64), (128, 1))
-        self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.starts = np.arange(size + 1, dtype=np.uint64)
-        self.starts32 = self.starts.astype(np.int32)
-        self.bounds = np.zeros((128, 4), np.uint64)
-        np.cumsum(self.weights, 1, out=self.bounds[:, 1:].view(np.int64))
-
-    def predict(self) -> tuple[np.ndarray, np.ndarray]:
-        """Order-1 and order-2 ids (-1: none); sets row, where the weights of each lane are."""
-        self.row2 = ((self.before.view(np.uint32) * np.uint32(0x9E3779B1) + self.last.view(np.uint32) * np.uint32(0x85EBCA77)) >> np.uint32(32 - ORDER2_BITS)).view(np.int32)
-        self.first, self.second = self.next1[self.last], self.next2[self.row2]
-        self.known1, self.known2 = self.sure1[self.last], self.sure2[self.row2]
-        self.row = (self.known2 << 3) + self.known1 + ((self.first == self.second).view(np.int8) << 6)
-        return self.first, self.second
-
-    def learn(self, ids: np.ndarray, slots: np.ndarray, drawn: np.ndarray) -> None:
-        """ids: of this step, drawn: those that order 0 coded."""
-        self.waiting.append(drawn)
-        if len(self.waiting) == EVERY:
-            met = np.concatenate(self.waiting)
-            self.waiting = []
-            self.counts += np.bincount(met, minlength=self.size) * GAIN
-            self.total += GAIN * len(met)
-            if self.total > MOST0:
-                self.counts = (self.counts + 1) >> 1
-                self.total = int(self.counts.sum())
-            np.cumsum(self.counts, out=self.starts[1:].view(np.int64))
-            self.starts32 = self.starts.astype(np.int32)
-        self.weights += 4 * np.bincount(self.row * np.int16(3) + slots, minlength=384).reshape(128, 3)
-        if (full := self.weights.sum(1) > 1 << 16).any():
-            self.weights[full] = (self.weights[full] + 1) >> 1
-        np.cumsum(self.weights, 1, out=self.bounds[:, 1:].view(np.int64))
-        for sure, following, row, guess, known in ((self.sure1, self.next1, self.last, self.first, self.known1), (self.sure2, self.next2, self.row2, self.second, self.known2)):
-            hit = guess == ids
-            sure[row] = _SURER[(known << 1) + hit.view(np.int8)]
-            anew = np.flatnonzero((known == 0) & ~hit)
-            following[row[anew]] = ids[anew]
-        self.before, self.last = self.last, ids
-
-
-def _shape(n: int) -> tuple[int, int]:
-    lanes = max(1, min(LANES, n // LEAST_STEPS))
-    return lanes, -(-n // lanes)
+#: Lanes of a full block, ids of a lane below which fewer lanes are used, bits of the order-1 and order-2 tables.
+LANES, LEAST_IDS, BITS1, BITS2 = 8192, 128, 22, 22
+#: Weights are in 65536ths: where they start, their bound, and the shift of their steps.
+START_WEIGHTS, MOST, SLOW = (20000, 26000, 26000), 1 << 18, 13
+_TOP, _WORD, _LOW = np.uint64(1 << 32), np.uint64(32), np.uint64(0xFFFFFFFF)
+_HASH1, _HASH2, _HASH3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """stretch: ln(p / (1 - p)) in 256ths of a state, a 12-bit p and a 4-bit number; squash: its inverse in 65536ths, from -2047 on; update: the next state by bit << 16 | state."""
+    p = (np.arange(4096) + 0.5) / 4096
+    stretch = np.repeat(np.clip(np.rint(np.log(p / (1 - p)) * 256), -2047, 2047).astype(np.int32), 16)
+    squash = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65536 - 32).astype(np.int64)
+    state = np.arange(1 << 16)
+    p, n = state >> 4, state & 15
+    rate = np.where(n < 15, n + 1.6, 24)
+    update = [np.clip(np.rint(p + ((4095 if bit else 0) - p) / rate), 1, 4094).astype(np.int64) << 4 | np.minimum(n + 1, 15) for bit in (0, 1)]
+    return stretch, squash, np.concatenate(update).astype(np.uint16)
+
+
+_STRETCH, _SQUASH, _UPDATE = _tables()
+
+
+def _lengths(ids: np.ndarray, size: int) -> np.ndarray:
+    """Code lengths by Huffman's rule; an id that is alone has length 1."""
+    counts = np.bincount(ids, minlength=size)
+    met = np.flatnonzero(counts)
+    lengths = np.zeros(size, np.uint8)
+    if len(met) < 2:
+        lengths[met] = 1
+        return lengths
+    heap = list(zip(counts[met].tolist(), range(len(met))))
+    heapq.heapify(heap)
+    parent, n = [0] * (2 * len(met) - 1), len(met)
+    while len(heap) > 1:
+        a = heapq.heappop(heap)
+        b = heapq.heappop(heap)
+        parent[a[1]] = parent[b[1]] = n
+        heapq.heappush(heap, (a[0] + b[0], n))
+        n += 1
+    depth = [0] * n
+    for i in range(n - 2, -1, -1):
+        depth[i] = depth[parent[i]] + 1
+    lengths[met] = depth[: len(met)]
+    return lengths
+
+
+def _tree(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The canonical code of each id, and the children of inner nodes at 2 * node + bit: a node, or -1 - id."""
+    met = np.flatnonzero(lengths)
+    met = met[np.argsort(lengths[met], kind="stable")]
+    codes, child, code, before = np.zeros(len(lengths), np.uint64), [0, 0], 0, 0
+    for i, size in zip(met.tolist(), lengths[met].tolist(), strict=True):
+        code <<= size - before
+        before = size
+        codes[i] = code
+        node = 0
+        for k in range(size - 1, 0, -1):
+            at = 2 * node + (code >> k & 1)
+            if not child[at]:
+                child[at] = len(child) // 2
+                child += (0, 0)
+            node = child[at]
+        child[2 * node + (code & 1)] = -1 - i
+        code += 1
+    return codes, np.array(child, np.int64)
+
+
+class _Lanes:
+    """What encoder and decoder know before each decision, and the lanes that are still at work."""
+
+    def __init__(self, child: np.ndarray, left: np.ndarray):
+        """left: ids of each lane."""
+        nodes, lanes = len(child) // 2, len(left)
+        self.child = child
+        self.states0 = np.full(nodes, 2048 << 4, np.uint16)
+        self.states1, self.states2 = np.full(1 << BITS1, 2048 << 4, np.uint16), np.full(1 << BITS2, 2048 << 4, np.uint16)
+        self.weights = np.tile(np.array(START_WEIGHTS, np.int32)[:, None], (1, 256)).astype(np.int64)
+        self.lane, self.left = np.arange(lanes), left.copy()
+        self.low, self.high = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
+        self.node = np.zeros(lanes, np.int64)
+        self.last, self.context1, self.context2 = (np.zeros(lanes, np.uint32) for _ in range(3))
+        self.own = ["lane", "left", "low", "high", "node", "last", "context1", "context2"]
+
+    def predict(self) -> np.ndarray:
+        """The last number of each lane's interval that stands for a 1."""
+        mark = self.node.astype(np.uint32) * _HASH3
+        self.at1 = ((self.context1 ^ mark) * _HASH1 >> np.uint32(32 - BITS1)).astype(np.int64)
+        self.at2 = ((self.context2 ^ mark) * _HASH2 >> np.uint32(32 - BITS2)).astype(np.int64)
+        self.states = [table.take(at).astype(np.int64) for table, at in ((self.states0, self.node), (self.states1, self.at1), (self.states2, self.at2))]
+        self.row = (self.states[1] & 15) << 4 | self.states[2] & 15
+        self.inputs = [_STRETCH.take(state) for state in self.states]
+        mixed = self.weights[0].take(self.row) * self.inputs[0]
+        mixed += self.weights[1].take(self.row) * self.inputs[1]
+        mixed += self.weights[2].take(self.row) * self.inputs[2]
+        mixed >>= 16
+        mixed += 2047
+        self.p = _SQUASH.take(mixed, mode="clip")
+        return self.low + (self.high - self.low >> np.uint64(16)) * self.p.view(np.uint64)
+
+    def decide(self, bits: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        """Narrow the intervals, learn, and go down the tree; returns the lanes' places that came to an id."""
+        np.copyto(self.high, middle, where=bits)
+        middle += np.uint64(1)
+        np.copyto(self.low, middle, where=~bits)
+        bits = bits.view(np.uint8).astype(np.int64) << 16
+        wrong = ((bits - self.p) >> 6).astype(np.int32)
+        for weights, x in zip(self.weights, self.inputs, strict=True):
+            weights += np.bincount(self.row, x * wrong, 256).astype(np.int64) >> SLOW
+        np.clip(self.weights, -MOST, MOST, out=self.weights)
+        self.states0[self.node] = _UPDATE.take(self.states[0] + bits)
+        self.states1[self.at1] = _UPDATE.take(self.states[1] + bits)
+        self.states2[self.at2] = _UPDATE.take(self.states[2] + bits)
+        self.node = self.child.take((self.node << 1) + (bits >> 16))
+        return np.flatnonzero(self.node < 0)
+
+    def met(self, at: np.ndarray) -> np.ndarray:
+        """Lanes at have come to an id: the ids."""
+        ids = -1 - self.node[at]
+        self.node[at] = 0
+        self.left[at] -= 1
+        mark = ids.astype(np.uint32) + np.uint32(1)
+        self.context2[at] = self.last[at] * _HASH2 + mark * _HASH1
+        self.context1[at] = mark * _HASH2
+        self.last[at] = mark
+        return ids
+
+    def settled(self, at: np.ndarray | None = None) -> np.ndarray:
+        """Lanes (of those at) whose intervals have a high word that will not change."""
+        if at is None:
+            return np.flatnonzero((self.low ^ self.high) < _TOP)
+        return at[(self.low[at] ^ self.high[at]) < _TOP]
+
+    def go_on(self, which: np.ndarray) -> None:
+        for name in self.own:
+            setattr(self, name, getattr(self, name)[which])
+
+
+def _shape(n: int) -> np.ndarray:
+    """Ids of each lane."""
+    lanes = max(1, min(LANES, n // LEAST_IDS))
+    steps = -(-n // lanes)
+    return np.clip(n - np.arange(lanes) * steps, 0, steps)
 
 
 def encode(ids: np.ndarray, size: int) -> bytes:
     """The coded ids (each below size) of one block."""
-    lanes, steps = _shape(len(ids))
-    grid = np.zeros(lanes * steps, np.int32)
-    grid[: len(ids)] = ids
-    grid = np.ascontiguousarray(grid.reshape(lanes, steps).T)
-    model = _Model(size, lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    words, used = np.zeros((lanes, 2 * steps + 4), np.uint32), np.zeros(lanes, np.int64)
-
-    def shift(at: np.ndarray) -> None:
-        """Move out the high words that are settled, of the lanes at."""
-        a, b = low[at], span[at]
-        settled = (a ^ (a + b)) < _TOP
-        short = ~settled & (b < _LEAST)
-        if short.any():
-            b[short] = (~a[short] + np.uint64(1)) & _LOW_BITS
-            span[at] = b
-            settled |= short
-        if settled.any():
-            k = at[settled]
-            words[k, used[k]] = low[k] >> _WORD
-            used[k] += 1
-            low[k] <<= _WORD
-            span[k] <<= _WORD
-
-    every = np.arange(lanes)
-    for now in grid:
-        first, second = model.predict()
-        slots = np.maximum((first == now).view(np.int8), (second == now).view(np.int8) << 1)
-        bounds = model.bounds.ravel()
-        at = model.row.astype(np.int32) * 4
-        unit = span // bounds[at + 3]
-        at += slots
-        start = bounds[at]
-        low += unit * start
-        span = unit * (bounds[at + 1] - start)
-        shift(every)
-        rest = np.flatnonzero(slots == 0)
-        drawn = now[rest]
-        if rest.size:
-            unit, start = span[rest] // np.uint64(model.total), model.starts[drawn]
-            low[rest] += unit * start
-            span[rest] = unit * (model.starts[drawn + 1] - start)
-            shift(rest)
-        model.learn(now, slots, drawn)
-    words[every, used] = low >> _WORD
-    words[every, used + 1] = low & np.uint64(0xFFFFFFFF)
-    used += 2
-    mask = np.arange(words.shape[1]) < used[:, None]
-    return used.astype("<u4").tobytes() + words[mask].astype("<u4").tobytes()
+    lengths = _lengths(ids, size)
+    codes, child = _tree(lengths)
+    left = _shape(len(ids))
+    sizes = lengths[ids].astype(np.int64)
+    ends = np.cumsum(sizes)
+    bits = (np.repeat(codes[ids], sizes) >> (np.repeat(ends, sizes) - 1 - np.arange(ends[-1] if len(ends) else 0)).astype(np.uint64) & np.uint64(1)).astype(bool)
+    at = np.concatenate([[0], ends])[np.cumsum(left) - left]  # the next decision of each lane
+    del ends
+    work = _Lanes(child, left)
+    work.at, work.own = at, [*work.own, "at"]
+    lanes, words = [], []
+    work.go_on(left > 0)
+    while len(work.lane):
+        found = work.decide(bits[work.at], work.predict())
+        work.at += 1
+        done = work.settled()
+        while len(done):
+            lanes.append(work.lane[done])
+            words.append((work.low[done] >> _WORD).astype(np.uint32))
+            work.low[done] <<= _WORD
+            work.high[done] = work.high[done] << _WORD | _LOW
+            done = work.settled(done)
+        if len(found):
+            work.met(found)
+            if len(over := found[work.left[found] == 0]):
+                for word in (work.low[over] >> _WORD, work.low[over] & _LOW):
+                    lanes.append(work.lane[over])
+                    words.append(word.astype(np.uint32))
+                work.go_on(work.left > 0)
+    lane = np.concatenate([np.zeros(0, np.int64), *lanes])
+    out = np.concatenate([np.zeros(0, np.uint32), *words])[np.argsort(lane, kind="stable")]
+    head = zlib.compress(lengths.tobytes() + np.bincount(lane, minlength=len(left)).astype("<u4").tobytes(), 6)
+    return len(head).to_bytes(4, "little") + head + out.astype("<u4").tobytes()
 
 
 def decode(data: bytes, n: int, size: int) -> np.ndarray:
     """The n ids of a block that encode() made."""
-    lanes, steps = _shape(n)
-    used = np.frombuffer(data, "<u4", lanes).astype(np.int64)
-    words = np.concatenate([np.frombuffer(data, "<u4", offset=4 * lanes), [0, 0]]).astype(np.uint64)
-    at = np.cumsum(used) - used
-    code = words[at] << _WORD | words[at + 1]
-    at += 2
-    model = _Model(size, lanes)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    grid, every = np.empty((steps, lanes), np.int32), np.arange(lanes)
-
-    def shift(lane: np.ndarray) -> None:
-        a, b = low[lane], span[lane]
-        settled = (a ^ (a + b)) < _TOP
-        short = ~settled & (b < _LEAST)
-        if short.any():
-            b[short] = (~a[short] + np.uint64(1)) & _LOW_BITS
-            span[lane] = b
-            settled |= short
-        if settled.any():
-            k = lane[settled]
-            code[k] = code[k] << _WORD | words[np.minimum(at[k], len(words) - 1)]
-            at[k] += 1
-            low[k] <<= _WORD
-            span[k] <<= _WORD
-
-    for step in range(steps):
-        first, second = model.predict()
-        bounds = model.bounds.ravel()
-        row = model.row.astype(np.int32) * 4
-        unit = span // bounds[row + 3]
-        seen = (code - low) // unit
-        slots = (seen >= bounds[row + 1]).view(np.int8) + (seen >= bounds[row + 2]).view(np.int8)
-        row += slots
-        start = bounds[row]
-        low += unit * start
-        span = unit * (bounds[row + 1] - start)
-        shift(every)
-        now = np.where(slots == 2, second, first)
-        rest = np.flatnonzero(slots == 0)
-        drawn = now[rest]
-        if rest.size:
-            unit = span[rest] // np.uint64(model.total)
-            seen = (code[rest] - low[rest]) // unit
-            seen = np.minimum(seen, np.uint64(model.total - 1)).astype(np.int32)
-            drawn = (np.searchsorted(model.starts32, seen, "right") - 1).astype(np.int32)
-            start = model.starts[drawn]
-            low[rest] += unit * start
-            span[rest] = unit * (model.starts[drawn + 1] - start)
-            now[rest] = drawn
-            shift(rest)
-        model.learn(now, slots, drawn)
-        grid[step] = now
-    return grid.T.reshape(-1)[:n]
+    start = 4 + int.from_bytes(data[:4], "little")
+    head = zlib.decompress(data[4:start])
+    _, child = _tree(np.frombuffer(head, np.uint8, size))
+    left = _shape(n)
+    used = np.frombuffer(head, "<u4", len(left), size).astype(np.int64)
+    words = np.append(np.frombuffer(data, "<u4", offset=start), [0, 0]).astype(np.uint64)
+    work = _Lanes(child, left)
+    work.at = np.cumsum(used) - used
+    work.code = words[work.at] << _WORD | words[np.minimum(work.at + 1, len(words) - 1)]
+    work.at += 2
+    work.into = np.cumsum(left) - left
+    work.own += ["at", "code", "into"]
+    out = np.zeros(n, np.int32)
+    work.go_on(left > 0)
+    while len(work.lane):
+        middle = work.predict()
+        found = work.decide(work.code <= middle, middle)
+        done = work.settled()
+        while len(done):
+            work.low[done] <<= _WORD
+            work.high[done] = work.high[done] << _WORD | _LOW
+            work.code[done] = work.code[done] << _WORD | words[np.minimum(work.at[done], len(words) - 1)]
+            work.at[done] += 1
+            done = work.settled(done)
+        if len(found):
+            out[work.into[found]] = work.met(found)
+            work.into[found] += 1
+            if (work.left[found] == 0).any():
+                work.go_on(work.left > 0)
+    return out

@@ -4,7 +4,7 @@ A file holds the ids of a range of doc_ids in ascending order, as blocks that st
 a header, a table of the documents in it, and the ids coded by range_coder with a model that starts
 anew; a CRC-32 covers table and ids. A document may go on in the next block.
 
-    header: b"GTK1", then five little-endian u32: ids, rows of the table, bytes of the table, bytes of the ids, CRC-32
+    header: b"GTK2", then five little-endian u32: ids, rows of the table, bytes of the table, bytes of the ids, CRC-32
     table (zlib): doc_ids (i64), ids in this block (i64), flags (u8; 1: doc_id is null, 2: goes on in the next block)
 
 Every file is written under a name of its own and listed only by the task that succeeds, so a task can
@@ -34,7 +34,7 @@ from . import range_coder
 from .common import dealt_evenly, file_system, map_arrow, materialise, shared_dir
 from .pretokens import Splitter
 
-MAGIC, BLOCK_IDS, END_ID = b"GTK1", 1 << 21, 0
+MAGIC, BLOCK_IDS, END_ID = b"GTK2", 1 << 21, 0
 #: Remembered pieces beyond which the memory starts anew (keeping what is met again), and their most characters. Results do not depend on them.
 MAX_PIECES, MAX_PIECE_CHARS = 400_000, 40
 FILES = "part int, path string, n_docs long, n_tokens long, n_bytes long"
