@@ -4,11 +4,12 @@ Two first-order Markov models over characters, one trained from random strings a
 identifiers, score every long token of a text; a token whose mean log-likelihood ratio is above a
 threshold is reported as kind markov unless it overlaps a pattern's span. Both models come from
 labelled samples of bounded size: random strings drawn by a seeded rule over the alphabets of keys,
-and identifiers made from the words of about TRAIN_DOCS documents chosen by a hash of the row.
+and identifiers made from TRAIN_WORDS words, chosen by a hash, of about TRAIN_DOCS documents chosen by a hash of the row.
 
 Defined results: a null text counts as empty (no spans); repeated rows are scanned alike; a null doc_id
-passes through; an empty table gives an empty result; only doc_id and text are read. Offsets are code
-points, ends exclusive.
+passes through; very long texts are scanned whole, in time that grows with their length and their spans; spans that
+begin at one place are listed by kind, then end; an empty table gives an empty result; only doc_id and text are read.
+Offsets are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{%d,}" % LEAST_HEX)
 #: What the models judge: tokens over the alphabets of keys, with digits or without.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-#: Documents whose words make identifiers; strings of each label; mean log-likelihood ratio (nats a character) from which a token is reported, between the two labels' held-out scores (sf0.1: random strings of 16 characters above 0.01 to 0.55 in 99 of 100, of 24 above 0.40; identifiers below -0.54 in 99 of 100, 0.15 at most; the documents' own long tokens -0.32 at most).
-TRAIN_DOCS, TRAIN_STRINGS, THRESHOLD, SEED = 200, 4000, 0.2, 7
+#: Documents whose words make identifiers, and most such words; strings of each label; mean log-likelihood ratio (nats a character) from which a token is reported, between the two labels' held-out scores (sf0.1: random strings of 16 characters above 0.01 to 0.55 in 99 of 100, of 24 above 0.40; identifiers below -0.54 in 99 of 100, 0.15 at most; the documents' own long tokens -0.32 at most).
+TRAIN_DOCS, TRAIN_WORDS, TRAIN_STRINGS, THRESHOLD, SEED = 200, 20_000, 4000, 0.2, 7
 
 _CODE = np.full(128, len(ALPHABET), np.int64)
 _CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
@@ -94,10 +95,13 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def scan(text: str, table: np.ndarray, threshold: float = THRESHOLD) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """The pattern spans, and all spans with those that the models add."""
     base = base_spans(text)
-    added = []
+    added, at, reach = [], 0, -1  # reach: the furthest end of base spans that begin before the token's end
     for m in TOKEN.finditer(text):
         start, end = m.span()
-        if not any(s < end and start < e for s, _, e in base) and ratio(m[0], table) > threshold:
+        while at < len(base) and base[at][0] < end:
+            reach = max(reach, base[at][2])
+            at += 1
+        if reach <= start and ratio(m[0], table) > threshold:
             added.append((start, 3, end))
     return base, sorted(base + added)
 
@@ -111,13 +115,12 @@ SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 str
 
 def train(docs: DataFrame, n_docs: int = TRAIN_DOCS) -> np.ndarray:
     """The table of log-likelihood ratios; ordinary words come from about n_docs documents."""
-    # A hash decides row by row, so about n_docs texts leave the executors, however many partitions there are.
+    # A hash decides row by row; words leave the executors, not texts.
     own = docs.select("doc_id", "text").where(F.col("text").isNotNull())
     place = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30))
     picked = own.where(place < int(min(1.0, n_docs / max(1, docs.count())) * (1 << 30)))
-    words: list[str] = []
-    for row in sorted(picked.collect(), key=lambda r: r["text"]):
-        words += [w for w in re.findall(r"[A-Za-z]{2,}", row["text"])][:2000]
+    found = picked.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,}"), F.lit(0)))).alias("word")).distinct()
+    words = [r["word"] for r in found.orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()]
     return fit(random_strings(TRAIN_STRINGS)) - fit(identifiers(sorted(set(words)), TRAIN_STRINGS))
 
 
