@@ -3,12 +3,13 @@
 A text is the mean of the embeddings of its subwords (byte n-grams within words, word borders marked), hashed into
 BUCKETS rows; a linear layer with softmax gives the languages. The model is trained from segments of a bounded sample:
 PER_LANG documents of each language, chosen by a hash of doc_id, SEGMENTS segments of each, spread over the whole text.
-A part of the sampled documents is set aside: it sets the temperature of the softmax and the score below which a
+A part of the sampled documents is set aside, texts that sort next to each other together, so that copies seldom lie
+on both sides: their segments, one by one and joined, set the temperature of the softmax and the score below which a
 prediction counts as rejected (accepted is false there; the best language is reported all the same).
 
-Only text is an input of a prediction. Texts are scored whole, without a shuffle.
+Only text is an input of a prediction. Texts are scored whole, CHUNK bytes at a time, without a shuffle.
 
-Defined results: a null text or one without letters gives und and score 0; without any training row every text does;
+Defined results: of languages of equal probability the first by name is predicted; a null text or one without letters gives und and score 0; without any training row every text does;
 a null doc_id is not held out; repeated rows are predicted alike; an empty table gives an empty result; only doc_id,
 text and lang are read.
 """
@@ -29,6 +30,8 @@ from .common import map_arrow
 SIZES, BUCKETS, WIDTH = (2, 3, 4), 1 << 15, 16
 PER_LANG, SEGMENTS, SEGMENT_BYTES = 250, 12, (30, 300)
 EPOCHS, RATE, MINIBATCH, SEED = 4, 8.0, 64, 11
+#: Bytes of a text whose subwords are looked up at a time.
+CHUNK = 1 << 18
 #: Share of the sampled documents set aside for calibration; accuracy that accepted predictions must have there.
 ASIDE, ACCURACY = 0.2, 0.99
 
@@ -40,23 +43,27 @@ _ROLL, _MIX = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 _SHIFT = np.uint32(32 - BUCKETS.bit_length() + 1)
 
 
+def _parts(text: str) -> Iterator[np.ndarray]:
+    """Rows of the embedding table of all subwords of a text, CHUNK bytes at a time."""
+    raw = b" " + text.lower().encode().translate(_BLANK) + b" "
+    longest = max(SIZES)
+    for base in range(0, len(raw), CHUNK):
+        data = np.frombuffer(raw[base : base + CHUNK + longest - 1], np.uint8).astype(np.uint32)
+        blank = data == 32
+        rolled, out = data, []
+        inner = np.zeros(len(data), bool)  # whether a byte between the first and the last of the n-gram is blank
+        for n in range(2, longest + 1):
+            rolled = rolled[:-1] * _ROLL + data[n - 1 :]
+            inner = inner[:-1] | blank[n - 2 : len(data) - 1] if n > 2 else inner[:-1]
+            if n in SIZES:
+                good = (~inner & ~(blank[: len(rolled)] & blank[n - 1 :]))[:CHUNK]
+                out.append((((rolled[:CHUNK][good] + np.uint32(n)) * _MIX) >> _SHIFT).astype(np.int32))
+        yield np.concatenate(out)
+
+
 def subwords(text: str) -> np.ndarray:
     """Rows of the embedding table of all subwords of a text."""
-    raw = b" " + text.lower().encode().translate(_BLANK) + b" "
-    data = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    blank = data == 32
-    rolled, out = data, []
-    inner = np.zeros(len(data), bool)  # whether a byte between the first and the last of the n-gram is blank
-    for n in range(2, max(SIZES) + 1):
-        rolled = rolled[:-1] * _ROLL + data[n - 1 :]
-        if n > 2:
-            inner = inner[:-1] | blank[n - 2 : len(data) - 1]
-        else:
-            inner = inner[:-1]
-        if n in SIZES:
-            good = ~inner & ~(blank[: len(rolled)] & blank[n - 1 :])
-            out.append((((rolled[good] + np.uint32(n)) * _MIX) >> _SHIFT).astype(np.int32))
-    return np.concatenate(out)
+    return np.concatenate(list(_parts(text)))
 
 
 @dataclass
@@ -70,7 +77,10 @@ class Model:
     least: float = 0.0
 
     def logits(self, text: str) -> np.ndarray:
-        return self.scores[subwords(text)].mean(0, dtype=np.float64) + self.bias
+        total, n = 0.0, 0
+        for rows in _parts(text):
+            total, n = total + self.scores[rows].sum(0, dtype=np.float64), n + len(rows)
+        return total / n + self.bias
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not self.langs or not text or not _LETTER.search(text):
@@ -85,25 +95,16 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def _segments(text: str, draw: np.random.Generator) -> list[np.ndarray]:
-    out = []
-    for i in range(SEGMENTS):
-        size = int(draw.integers(*SEGMENT_BYTES))
-        at = int(len(text) * i / SEGMENTS)
-        if len(found := subwords(text[at : at + size])):
-            out.append(found)
-    return out
-
-
-def train(rows: list[tuple[str, str]]) -> Model:
-    """A model of (text, lang) rows."""
+def train(rows: list[tuple[list[str], str]]) -> Model:
+    """A model of (segments of a text, lang) rows."""
     langs = sorted({lang for _, lang in rows})
     draw = np.random.default_rng(SEED)
     parts: tuple[list, list] = ([], [])
-    for k, (text, lang) in enumerate(sorted(rows)):
-        if text and _LETTER.search(text):
-            own = parts[0] if k % round(1 / ASIDE) else parts[1]
-            own += [(s, langs.index(lang)) for s in _segments(text, draw)]
+    for k, (segments, lang) in enumerate(sorted(rows)):
+        aside = k * 20 // len(rows) % round(1 / ASIDE) == 0
+        found = [f for s in segments if _LETTER.search(s) and len(f := subwords(s[: int(draw.integers(*SEGMENT_BYTES))]))]
+        whole = [subwords(" ".join(segments))] if aside and found else []
+        parts[aside].extend((f, langs.index(lang)) for f in found + whole)
     learn, check = parts[0] or parts[1], parts[1] or parts[0]
     if not learn:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
@@ -142,15 +143,18 @@ def _calibrated(model: Model, check: list[tuple[np.ndarray, int]]) -> Model:
     return model
 
 
-def sample(rows: DataFrame, per_lang: int = PER_LANG) -> list[tuple[str, str]]:
-    """About per_lang (text, lang) rows of each language, chosen by a hash of doc_id; rows has doc_id, text, lang."""
+def sample(rows: DataFrame, per_lang: int = PER_LANG) -> list[tuple[list[str], str]]:
+    """(segments of a text, lang) of about per_lang documents of each language, chosen by a hash of doc_id; rows has doc_id, text, lang."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().collect()  # one row for each language
     if not counts:
         return []
     place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)).cast("double") / (1 << 30)
     share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"]))))), F.col("lang"))
-    return [(r["text"], r["lang"]) for r in known.where(place < share).select("text", "lang").collect()]
+    # Segments leave the executors, not texts: SEGMENTS of them, at equal distances.
+    at = lambda i: (F.length("text") * i / SEGMENTS).cast("int") + 1
+    segments = F.array(*(F.substring("text", at(i), F.lit(SEGMENT_BYTES[1])) for i in range(SEGMENTS)))
+    return [(r["segments"], r["lang"]) for r in known.where(place < share).select(segments.alias("segments"), "lang").collect()]
 
 
 def _predictor(model: Model) -> Callable:
