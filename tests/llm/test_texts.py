@@ -81,6 +81,48 @@ def test_scan_finds_random_strings_without_digits():
     assert not any(map(found, ["-" * 20, "=" * 20, "_" * 20, "/" * 20]))
 
 
+def test_scan_judges_tokens_beside_base_spans(monkeypatch):
+    monkeypatch.setattr(secret_scan, "ratio", lambda token, table: 1.0)
+    draw = random.Random(9)
+    pieces = ["password=abcdefghijkl", "0123456789abcdef" * 2, "AKIA" + "B" * 20, "q" * 16, "W+/_" * 5, " ", " x ", "key"]
+    for _ in range(200):
+        text = "".join(draw.choice(pieces) + draw.choice(["", " "]) for _ in range(12))
+        base, spans = secret_scan.scan(text, None)
+        want = [(m.start(), 3, m.end()) for m in secret_scan.TOKEN.finditer(text) if not any(s < m.end() and m.start() < e for s, _, e in base)]
+        assert spans == sorted(base + want)
+
+
+def test_secret_scan_is_linear_in_spans():
+    import time
+
+    table = np.zeros((len(secret_scan.ALPHABET) + 1,) * 2)
+    took = []
+    for n in (4000, 16000):
+        text = "password=abcdefgh some-long-identifier-name " * n
+        began = time.process_time()
+        assert len(secret_scan.scan(text, table)[0]) == n
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0]
+
+
+def test_markov_spans_on_planted_secrets(spark):
+    """Precision and recall of the method's own spans over the corpus, with keys of known places planted in every tenth document."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").where("text IS NOT NULL").collect()
+    draw, rows, planted = random.Random(4), [], {}
+    for r in docs:
+        text = r.text
+        if r.doc_id % 10 == 0:
+            key = "".join(draw.choices(secret_scan.ALPHABET[:62], k=draw.randint(20, 40)))
+            at = text.find(" ") + 1
+            planted[r.doc_id] = f"markov:{at}:{at + len(key)}"
+            text = text[:at] + key + " " + text[at:]
+        rows.append((r.doc_id, text))
+    found = {r.doc_id: r.spans.split(",") for r in secret_scan.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert np.mean([p in found[i] for i, p in planted.items()]) > 0.95
+    added = [(i, s) for i, spans in found.items() for s in spans if s.startswith("markov")]
+    assert np.mean([planted.get(i) == s for i, s in added]) > 0.8
+
+
 def test_secret_scan_on_awkward_rows(awkward, nothing):
     rows = {r.doc_id: r for r in secret_scan.secret_scan(awkward).collect()}
     assert (rows[11].n_assign, rows[11].n_access, rows[11].n_hex) == (1, 1, 1)
@@ -110,6 +152,13 @@ def test_lang_id_on_awkward_rows(awkward, nothing):
     assert lang_id.identify(nothing).count() == 0
 
 
+def test_long_texts_are_scored_in_parts(monkeypatch):
+    text = prose(3, 3000) + " Ünïcödé " + "x" * 500
+    whole = np.sort(lang_id.subwords(text))
+    monkeypatch.setattr(lang_id, "CHUNK", 64)
+    assert len(list(lang_id._parts(text))) > 100 and (np.sort(lang_id.subwords(text)) == whole).all()
+
+
 def test_subwords_do_not_cross_words():
     assert set(lang_id.subwords("ab cd")) == set(lang_id.subwords("ab")) | set(lang_id.subwords("cd"))
 
@@ -125,6 +174,24 @@ def test_cotrain_finds_bad_and_toxic_documents(spark):
     assert np.mean(toxic) > 0.9 and np.mean(clean) > 0.97
 
 
+def test_cotrain_on_held_out_labels(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    rows = {r.doc_id: r for r in cotrain.classify(docs, labels.where("pmod(xxhash64(doc_id), 2) = 0")).collect()}
+    known = labels.where("pmod(xxhash64(doc_id), 2) = 1").collect()
+    assert np.mean([(rows[r.doc_id].score >= 0.5) == (r.quality == 1) for r in known]) > 0.95
+    assert np.mean([rows[r.doc_id].toxic_score >= 0.5 for r in known if r.toxic == 1]) > 0.85
+    assert np.mean([rows[r.doc_id].toxic_score < 0.5 for r in known if r.toxic == 0]) > 0.97
+
+
+def test_cotrain_does_not_depend_on_contradictions(spark, awkward):
+    labels = [(i, i % 2, 0) for i in range(12)] + [(3, 0, 0), (3, 1, 0)]
+    schema = "doc_id long, quality int, toxic int"
+    drawn = cotrain._drawn(cotrain._own(awkward), spark.createDataFrame(labels, schema))
+    assert {r.doc_id: r.quality for r in drawn.where("fold >= 0").collect()}[3] is None
+    one, two = (cotrain.classify(awkward, spark.createDataFrame(x, schema)).orderBy("doc_id", "score").collect() for x in (labels, labels[::-1]))
+    assert one == two
+
+
 def test_cotrain_on_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert cotrain.classify(awkward, labels).count() == awkward.count()
