@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.storage import materialise, shared_dir
+from ..plans.storage import shared_dir
 
-__all__ = ["dealt_evenly", "file_system", "map_arrow", "materialise", "remove", "shared_dir", "table"]
+__all__ = ["dealt_evenly", "discard", "file_system", "map_arrow", "materialise", "remove", "shared_dir", "table"]
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; together they bound its memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
@@ -22,6 +22,22 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df as Parquet to the shared folder and read it back; discard() deletes it."""
+    path = shared_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialise() that nothing reads any more. Shuffle files of finished jobs go when the driver's JVM collects what they belonged to."""
+    spark = tables[0].sparkSession
+    remove(spark, *(t.stored_at for t in tables))
+    spark._jvm.System.gc()
+
+
 def release_others(owner: str) -> None:
     """Let go of what other operators remember in this Python worker: workers outlive operators, and each should hold one's memory only."""
     for name, module in list(sys.modules.items()):

@@ -17,7 +17,6 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """
     spark = edges.sparkSession
     now = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("v"), F.least("a", "b").alias("u")).distinct(), "edges")
-    paths = [now.inputFiles()[0].rsplit("/", 1)[0]] if now.inputFiles() else []
     mark = _mark(now)
     for _ in range(most_rounds):
         if mark[0] == 0:
@@ -27,11 +26,9 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
         large = both.join(least, F.col("v") == F.col("c")).where(F.col("u") > F.col("v")).select(F.col("u").alias("v"), F.col("m").alias("u")).where("v <> u").distinct()
         least = large.groupBy("v").agg(F.min("u").alias("m")).withColumnRenamed("v", "c")
         hung = large.join(least, F.col("v") == F.col("c")).select(F.explode(F.array(F.struct(F.col("u").alias("v"), F.col("m").alias("u")), F.struct(F.col("v"), F.col("m").alias("u")))).alias("e")).select("e.*")
-        now = materialise(hung.where("v <> u").distinct(), "edges")
+        before, now = now, materialise(hung.where("v <> u").distinct(), "edges")
         after = _mark(now)
-        if paths:
-            remove(spark, paths.pop())
-        paths = [now.inputFiles()[0].rsplit("/", 1)[0]]
+        remove(spark, before.stored_at)
         if after == mark:
             break
         mark = after

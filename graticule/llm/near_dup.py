@@ -3,21 +3,22 @@
 1. Each document becomes the set of its distinct word shingles, a MinHash signature of BANDS x ROWS values and a
    128-bit digest of the set. Documents with equal sets are one class from then on, however many they are.
 2. Classes that agree in a whole band share a bucket. Of a bucket only a star is listed: its smallest class against
-   each other one.
+   each other one. Buckets that a sample shows to be large are listed in parts, and then the parts' smallest.
 3. Listed pairs are compared by batches of signature values. With a uniform prior, the similarity after m equal of n
    values is Beta(m + 1, n - m + 1); a pair is dropped once the probability that it reaches the threshold is below MISS.
+   There are seven batches, so a pair is lost with a probability of 7 * MISS at most.
 4. Survivors are compared on full sets. First each class with its smallest partner only; of the rest, those pairs whose
    classes are not connected yet.
-5. Buckets of three or more classes that are still not connected have pairs outside their stars. Such buckets that
-   share classes are a family. Its classes are packed in blocks with signatures and full sets; a block of classes outside
-   the family's largest component meets each block of the family, is compared by step 3 and survivors at once on full
-   sets. So no link between two components is lost to the star, no bucket is held by one task, and links are listed, not
-   pairs.
+5. Buckets of three or more classes that are still not connected have pairs outside their stars. Their classes are
+   packed in blocks with signatures and full sets: a large component has blocks of its own, the others are dealt by the
+   largest bucket they are in. Two blocks meet if some bucket has classes of both, unless both are of one component, and are compared by
+   step 3 and survivors at once on full sets. So no link between two components is lost to the star, no bucket or component is held
+   by one task, and links are listed, not pairs.
 
 Defined results: texts that are null or without words have the empty set, are linked with nothing and stay; with fewer
 words than a shingle has, the whole sequence is the one shingle; repeated rows are one class; a null doc_id takes part
-(it is never the smallest, and is kept only if no document with an id is in its component); an empty table gives an empty
-result; only doc_id and text are read.
+(it is never the smallest, and is kept only if no document with an id is in its component); very long texts are read whole;
+an empty table gives an empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -31,13 +32,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, materialise
+from .common import discard, map_arrow, materialise
 from .components import components
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
 BANDS, ROWS = 42, 6
 #: Signature values compared at a time; probability below which a pair is given up; partners of a class compared by one reader; classes and bytes of full sets in a block.
 BATCH, MISS, PARTNERS, BLOCK, BLOCK_BYTES = 36, 1e-6, 64, 512, 1 << 20
+#: Classes of the sample that finds large buckets, classes in it and estimated of all from which a bucket is listed in parts, and large components' least classes; open keys that are broadcast at most (8 bytes each), and partners of a block compared by one reader.
+SAMPLE, LARGE, LARGE_BUCKET, SENT_KEYS, MEETINGS = 20_000, 20, 1000, 1_000_000, 16
 #: Words whose hashes are remembered; results do not depend on it.
 MAX_WORDS = 400_000
 _SPACES = b" \t\n\v\f\r"
@@ -137,32 +140,38 @@ def _sketch(size: int) -> Callable:
     return run
 
 
-def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of each class."""
-    for b in batches:
-        n = b.num_rows
-        if not n:
-            continue
-        keys = _band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(n, -1)).ravel()
-        yield pa.RecordBatch.from_arrays([pa.array(keys), b.column("node").take(pa.array(np.repeat(np.arange(n), BANDS)))], names=["key", "node"])
+def _bander(large: np.ndarray, parts: int) -> Callable:
+    """A row for each band of each class; part is 0, or from 1 on for buckets among large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            n = b.num_rows
+            if not n:
+                continue
+            keys = _band_keys(np.frombuffer(b"".join(b.column("sig").to_pylist()), "<u2").reshape(n, -1)).ravel()
+            nodes = b.column("node").to_pylist()
+            own = np.repeat(np.array([xxhash.xxh32_intdigest(x) % parts + 1 for x in nodes], np.int32), BANDS)
+            part = np.where(np.isin(keys, large), own, 0).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part), b.column("node").take(pa.array(np.repeat(np.arange(n), BANDS)))], names=["key", "part", "node"])
+
+    return run
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and node: (key, smallest node, other node), buckets of one left out."""
-    key, pivot = None, None
+    """Of rows sorted by key, part and node: (key, smallest node, other node), buckets of one left out; and of each part above 0 (key, smallest node, itself)."""
+    last, pivot = (None, None), None
     for b in batches:
-        keys, nodes = b.column("key").to_numpy(zero_copy_only=False), b.column("node")
+        keys, parts, nodes = b.column("key").to_numpy(zero_copy_only=False), b.column("part").to_numpy(zero_copy_only=False), b.column("node")
         if not len(keys):
             continue
-        first = np.append(True, keys[1:] != keys[:-1])
-        first[0] = key is None or keys[0] != key
-        others = np.flatnonzero(~first)
+        first = np.append(True, (keys[1:] != keys[:-1]) | (parts[1:] != parts[:-1]))
+        first[0] = (keys[0], parts[0]) != last
+        listed = np.flatnonzero(~first | (parts > 0))
         starts = np.maximum.accumulate(np.where(first, np.arange(len(keys)), -1))
-        if len(others):
-            at = starts[others]
-            pivots = [pivot if i < 0 else nodes[i].as_py() for i in at.tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(keys[others]), pa.array(pivots, pa.binary()), nodes.take(pa.array(others))], names=["key", "pivot", "node"])
-        key = keys[-1]
+        if len(listed):
+            pivots = [pivot if i < 0 else nodes[i].as_py() for i in starts[listed].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[listed]), pa.array(pivots, pa.binary()), nodes.take(pa.array(listed))], names=["key", "pivot", "node"])
+        last = (keys[-1], parts[-1])
         if starts[-1] >= 0:
             pivot = nodes[int(starts[-1])].as_py()
 
@@ -222,22 +231,21 @@ def _band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by family and main: blocks of at most BLOCK classes, or about BLOCK_BYTES, of a family."""
-    now, block, held, size = None, 0, [], 0
+    """Of rows sorted by block: the classes of each block."""
+    now, held = None, []
     names = ["nodes", "roots", "sigs", "sets", "counts"]
 
     def packed() -> pa.RecordBatch:
         parts = [b"".join(x[i] for x in held) for i in range(4)] + [np.array([len(x[3]) // 8 for x in held], "<i8").tobytes()]
-        return pa.RecordBatch.from_arrays([_column([now[0]], pa.binary()), pa.array([block], pa.int64()), pa.array([now[1]], pa.bool_())] + [_column([p], pa.binary()) for p in parts], names=["family", "block", "main", *names])
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())] + [_column([p], pa.binary()) for p in parts], names=["block", *names])
 
     for b in batches:
-        for key, main, *row in zip(*(b.column(c).to_pylist() for c in ("family", "main", "node", "root", "sig", "found")), strict=True):
-            if held and ((key, main) != now or len(held) == BLOCK or size > BLOCK_BYTES):
+        for block, *row in zip(*(b.column(c).to_pylist() for c in ("block", "node", "root", "sig", "found")), strict=True):
+            if held and block != now:
                 yield packed()
-                held, size, block = [], 0, block + 1 if key == now[0] else 0
-            now = (key, main)
+                held = []
+            now = block
             held.append(row)
-            size += len(row[3])
     if held:
         yield packed()
 
@@ -257,7 +265,7 @@ class _Block:
 
 def _across(percent: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of rows sorted so that the two blocks of a pair follow one another: links between classes of different components, one for each class and component."""
+        """Of rows sorted so that a block (role 0) is followed by those that it meets: links between classes of different components, one for each class and component."""
         one: _Block | None = None
         for b in batches:
             a_side, b_side = [], []
@@ -289,7 +297,7 @@ def _across(percent: int) -> Callable:
 
 
 _PAIR = "pivot binary, node binary"
-_PACK = "family binary, block long, main boolean, nodes binary, roots binary, sigs binary, sets binary, counts binary"
+_PACK = "block long, nodes binary, roots binary, sigs binary, sets binary, counts binary"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -317,53 +325,90 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
 def _judged(rows: DataFrame, own: DataFrame, size: int, percent: int) -> DataFrame:
     """near_duplicates() of own (doc_id, text), with the root of each component and the columns that rows (doc_id, text, ...) has beside."""
     kept = "".join(f"{c} {t}, " for c, t in rows.dtypes if c not in ("doc_id", "text"))
-    sketched = materialise(map_arrow(rows, _sketch(size), f"doc_id long, {kept}node binary, n long, sig binary"), "sketches")
-    classes = materialise(sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig")), "classes")
-    banded = map_arrow(classes.select("node", "sig"), _bands, "key long, node binary")
-    stars = materialise(map_arrow(banded.repartition("key").sortWithinPartitions("key", "node"), _stars, "key long, pivot binary, node binary"), "stars")
+    rows = rows.withColumn("_th", F.xxhash64("text"))
+    sketched = materialise(map_arrow(rows, _sketch(size), f"doc_id long, {kept}_th long, node binary, n long, sig binary"), "sketches")
+    # A class stands for itself by the text of the document that comes first, null ids last.
+    one = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "_th"))
+    classes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), one["_th"].alias("th"), F.first("sig").alias("sig"), F.first("n").alias("n"))
+    classes = materialise(classes, "classes")
+    stars = _listed(classes)
     sig = lambda name, to: classes.select(F.col("node").alias(name), F.col("sig").alias(to))
     paired = stars.select("pivot", "node").distinct().join(sig("node", "sig_b"), "node").join(sig("pivot", "sig_a"), "pivot")
     likely = materialise(map_arrow(paired.select("pivot", "node", "sig_a", "sig_b"), _pruned(percent), _PAIR), "likely")
     links = None
     roots = _none(classes)
     if not likely.isEmpty():
-        wanted = likely.select("node").unionAll(likely.select(F.col("pivot").alias("node"))).distinct().join(classes.select("node", "first"), "node")
+        wanted = likely.select("node").unionAll(likely.select(F.col("pivot").alias("node"))).distinct().join(classes.select("node", "first", "th"), "node")
         sets = _full_sets(own, wanted, size)
         links = _verified(likely.groupBy("node").agg(F.min("pivot").alias("pivot")).select("pivot", "node"), sets, percent)
         roots = materialise(components(links), "roots")
         apart = _roots(_roots(likely, roots, "pivot"), roots, "node").where("pivot_root <> node_root").select("pivot", "node")
         links, roots = _more(links, roots, materialise(apart, "apart"), sets, percent)
+        discard(sets)
+    discard(likely)
     # Pairs outside the stars, of buckets that hold more than one component.
     members = stars.select("key", "node").unionAll(stars.select("key", F.col("pivot").alias("node")).distinct())
     members = _roots(members, roots, "node").withColumnRenamed("node_root", "root")
-    open_keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("n > 2 AND least <> most").select("key")
-    rest = materialise(members.join(open_keys, "key"), "open")
+    open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("size > 2 AND least <> most").select("key", "size")
+    open_keys = materialise(open_keys, "open-keys")
+    rest = materialise(members.join(F.broadcast(open_keys) if open_keys.count() <= SENT_KEYS else open_keys, "key"), "open")
+    discard(stars, open_keys)
     if not rest.isEmpty():
         found = _between(own, classes, rest, size, percent)
         if not found.isEmpty():
             roots = materialise(components(found if links is None else links.unionAll(found)), "roots")
+    discard(rest)
     return _labelled(sketched, classes, roots)
 
 
+def _listed(classes: DataFrame) -> DataFrame:
+    """The stars of all buckets (key, pivot, node)."""
+    share = min(1.0, SAMPLE / max(1, classes.count()))
+    some = classes.where(F.pmod(F.xxhash64("node"), F.lit(1 << 30)) < int(share * (1 << 30))).select("node", "sig")
+    banded = "key long, part int, node binary"
+    # At most BANDS * SAMPLE / LARGE buckets can be so large.
+    large = map_arrow(some, _bander(np.zeros(0, np.int64), 1), banded).groupBy("key").count().where(F.col("count") >= max(LARGE, LARGE_BUCKET * share))
+    large = np.sort(np.array([r["key"] for r in large.collect()], np.int64))
+    rows = map_arrow(classes.select("node", "sig"), _bander(large, int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))), banded)
+    star = lambda x: map_arrow(x.repartition("key", "part").sortWithinPartitions("key", "part", "node"), _stars, "key long, pivot binary, node binary")
+    stars = materialise(star(rows), "stars")
+    if not len(large):
+        return stars
+    parts = stars.where("pivot = node").select("key", F.lit(0).alias("part"), "node")
+    out = materialise(stars.where("pivot <> node").unionAll(star(parts)), "stars")
+    discard(stars)
+    return out
+
+
 def _between(own: DataFrame, classes: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links between the components (root) of the classes (node) in open buckets (key). Each pair of a family, buckets that share classes, meets once."""
-    least = rest.groupBy("key").agg(F.min("node").alias("b"))
-    families = components(rest.join(least, "key").select(F.col("node").alias("a"), "b")).select("node", F.col("root").alias("family"))
-    nodes = materialise(rest.select("node", "root").distinct().join(families, "node").join(classes.select("node", "first", "sig"), "node"), "open-classes")
-    # Classes outside a family's largest component are compared with all others in it; that component's own are not compared again.
-    largest = nodes.groupBy("family", "root").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
-    sets = _full_sets(own, nodes.select("node", "first"), size)
-    rows = nodes.join(largest, "family").join(sets, "node").select("family", (F.col("root") == F.col("largest")).alias("main"), "node", "root", "sig", "found")
-    packs = materialise(map_arrow(rows.repartition("family").sortWithinPartitions("family", "main", "node"), _pack, _PACK), "blocks")
-    counts = packs.groupBy("family").agg(F.count("*").alias("k"), F.count_if(~F.col("main")).alias("l"))
-    # Blocks 0 to l - 1 hold classes outside the largest component; block i < l meets each block j >= i.
-    as_i = F.transform(F.sequence("block", F.col("k") - 1), lambda j: F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(0).alias("role")))
-    as_j = F.transform(F.sequence(F.lit(0).cast("long"), F.least(F.col("block"), F.col("l") - 1)), lambda i: F.struct(i.alias("i"), F.col("block").alias("j"), F.lit(1).alias("role")))
-    slots = F.concat(F.when(F.col("block") < F.col("l"), as_i).otherwise(F.array()), F.when(F.col("l") > 0, as_j).otherwise(F.array()))
+    """Links between the components (root) of the classes (node) in open buckets (key, size)."""
+    nodes = rest.groupBy("node").agg(F.first("root").alias("root"), F.max_by("key", F.struct("size", "key")).alias("home")).join(classes.select("node", "first", "th", "sig", "n"), "node")
+    nodes = materialise(nodes, "open-classes")
+    need = lambda count, words: F.ceil(F.greatest(count / BLOCK, 8 * words / BLOCK_BYTES))
+    roots = nodes.groupBy("root").agg(F.count("*").alias("_k"), F.sum("n").alias("_w")).where(F.col("_k") >= BLOCK).select("root", need(F.col("_k"), F.col("_w")).alias("own_parts"))
+    homes = nodes.groupBy("home").agg(F.count("*").alias("_k"), F.sum("n").alias("_w")).select("home", need(F.col("_k"), F.col("_w")).alias("home_parts"))
+    total = nodes.agg(need(F.count("*"), F.sum("n"))).first()[0]
+    placed = nodes.select("node", "root", "home").join(roots, "root", "left").join(homes, "home")
+    alone = F.col("own_parts").isNotNull()
+    block = F.when(alone, F.xxhash64("root", F.pmod(F.xxhash64("node"), "own_parts"))).otherwise(F.xxhash64(F.pmod(F.xxhash64("home"), F.lit(max(1, total))), F.pmod(F.xxhash64("node"), "home_parts")))
+    placed = materialise(placed.select("node", block.alias("block"), F.when(alone, F.col("root")).alias("alone")), "placed")
+    sets = _full_sets(own, nodes.select("node", "first", "th"), size)
+    rows = nodes.select("node", "root", "sig").join(placed, "node").join(sets, "node").select("block", "node", "root", "sig", "found")
+    packs = materialise(map_arrow(rows.repartition("block").sortWithinPartitions("block"), _pack, _PACK), "blocks")
+    discard(sets)
+    # The blocks of a bucket, each once, and those pairs that are not of one component.
+    met = rest.select("key", "node").join(placed, "node").select("key", "block", "alone").distinct().groupBy("key").agg(F.collect_list(F.struct("block", "alone")).alias("all"))
+    pairs = met.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a.block <= b.block AND NOT (a.alone <=> b.alone AND a.alone IS NOT NULL)")
+    pairs = pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
+    readers = pairs.groupBy("i").agg(F.ceil(F.count("*") / MEETINGS).alias("readers"))
+    pairs = materialise(pairs.join(readers, "i").select("i", "j", F.pmod(F.xxhash64("j"), "readers").alias("reader")), "meetings")
     parts = ["nodes", "roots", "sigs", "sets", "counts"]
-    slotted = packs.join(counts, "family").withColumn("slots", slots).select("family", *parts, F.explode_outer("slots").alias("s")).where("s IS NOT NULL").select("family", "s.i", "s.j", "s.role", *parts)
-    dealt = slotted.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "role").drop("family")
-    return materialise(map_arrow(dealt, _across(percent), "a binary, b binary", rows=8).distinct(), "links")
+    ones = pairs.select("i", "reader").distinct().join(packs, F.col("i") == F.col("block")).select("i", "reader", F.col("i").alias("j"), F.lit(0).alias("role"), *parts)
+    twos = pairs.join(packs, F.col("j") == F.col("block")).select("i", "reader", "j", F.lit(1).alias("role"), *parts)
+    dealt = ones.unionAll(twos).repartition("i", "reader").sortWithinPartitions("i", "reader", "role").drop("reader")
+    found = materialise(map_arrow(dealt, _across(percent), "a binary, b binary", rows=8).distinct(), "links")
+    discard(nodes, placed, packs, pairs)
+    return found
 
 
 def _none(classes: DataFrame) -> DataFrame:
@@ -371,8 +416,8 @@ def _none(classes: DataFrame) -> DataFrame:
 
 
 def _full_sets(own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """The full sets of the classes in wanted (node, first), from the text of each one's first document (a null doc_id matches itself)."""
-    found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first"))).select("node", "text")
+    """The full sets of the classes in wanted (node, first, th), from the text of each one's first document (a null doc_id matches itself)."""
+    found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("th"))).select("node", "text")
     return materialise(map_arrow(found, _sets(size), "node binary, found binary").dropDuplicates(["node"]), "sets")
 
 
@@ -390,7 +435,9 @@ def _labelled(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> Data
     rooted = _roots(classes.select("node", "first"), roots, "node")
     least = rooted.join(roots.select("root").distinct(), F.col("node_root") == F.col("root"), "left_semi").groupBy("node_root").agg(F.min("first").alias("least"))
     label = rooted.join(least, "node_root", "left").select(F.col("node").alias("_node"), F.coalesce("least", "first").alias("_label"), F.col("node_root").alias("root"))
-    joined = sketched.drop("sig").withColumnRenamed("n", "n_shingles").join(label, F.col("node") == F.col("_node"), "left")
+    label = materialise(label, "labels")
+    discard(classes)
+    joined = sketched.drop("sig", "_th").withColumnRenamed("n", "n_shingles").join(label, F.col("node") == F.col("_node"), "left")
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_label"))
     return joined.withColumns({"component_id": component, "kept": F.col("doc_id").eqNullSafe(component)})
 

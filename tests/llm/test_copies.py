@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from graticule.llm import bpe, decontaminate, near_dup, quality_rules, secret_scan, substring_dedup
 from graticule.llm.components import components
@@ -51,9 +52,10 @@ def family(seed, n, edits, words=60):
     return out
 
 
-@pytest.mark.parametrize("edits", [(0, 1, 2, 3, 4), (3, 4, 5, 6, 7)])
-def test_near_duplicates_are_those_of_brute_force(spark, edits, monkeypatch):
-    monkeypatch.setattr(near_dup, "BLOCK", 16)  # many blocks, so that classes outside the stars meet across blocks
+@pytest.mark.parametrize(("edits", "parts"), [((0, 1, 2, 3, 4), False), ((3, 4, 5, 6, 7), False), ((0, 1, 2, 3, 4), True), ((3, 4, 5, 6, 7), True)])
+def test_near_duplicates_are_those_of_brute_force(spark, edits, parts, monkeypatch):
+    for name, value in (("BLOCK", 16), ("MEETINGS", 2), *((("LARGE_BUCKET", 6), ("LARGE", 2)) if parts else ())):
+        monkeypatch.setattr(near_dup, name, value)  # many blocks, so that classes outside the stars meet across blocks; buckets in parts
     texts = family(1, 90, edits) + family(2, 30, (0, 1)) + [prose(i) for i in range(30)] + ["", None, "one", "One", "one two"]
     random.Random(3).shuffle(texts)
     rows = list(enumerate(texts))
@@ -83,6 +85,17 @@ def test_deduplicate_judges_texts_not_ids(spark):
     assert sorted(k for k in got if k < 11) == [0, 2, 4, 5, 6, 7, 8, 9, 10] and len([k for k in got if k >= 11]) == 1
 
 
+def test_rows_without_id_are_not_multiplied(spark, monkeypatch):
+    """Many rows that share a null id, or one id, with different texts: each class reads its own text only."""
+    texts = family(5, 40, (0, 1, 2)) + [prose(i) for i in range(20)]
+    rows = [(None if i % 2 else 7, t) for i, t in enumerate(texts)]
+    moved = []
+    plain = near_dup._full_sets
+    monkeypatch.setattr(near_dup, "_full_sets", lambda own, wanted, size: (moved.append(own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("th"))).count()), plain(own, wanted, size))[1])
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2, 80).collect()
+    assert len(got) == len(rows) and moved and max(moved) <= len(set(texts))
+
+
 def test_signatures_estimate_similarity():
     a, b = np.arange(1000, dtype=np.uint64), np.arange(200, 1200, dtype=np.uint64)
     mix = near_dup._mixed
