@@ -18,9 +18,9 @@ import zlib
 import numpy as np
 
 #: Lanes of a full block, ids of a lane below which fewer lanes are used, bits of the order-1 and order-2 tables.
-LANES, LEAST_IDS, BITS1, BITS2 = 8192, 128, 22, 22
-#: Weights are in 65536ths: where they start, their bound, and the shift of their steps.
-START_WEIGHTS, MOST, SLOW = (20000, 26000, 26000), 1 << 18, 13
+LANES, LEAST_IDS, BITS1, BITS2 = 8192, 128, 20, 21
+#: Weights are in 65536ths: where they start, their bound, the shift of their steps, and the decisions of a lane of which one moves them.
+START_WEIGHTS, MOST, SLOW, EVERY = (20000, 26000, 26000), 1 << 18, 12, 3
 _TOP, _WORD, _LOW = np.uint64(1 << 32), np.uint64(32), np.uint64(0xFFFFFFFF)
 _HASH1, _HASH2, _HASH3 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D)
 
@@ -95,7 +95,7 @@ class _Lanes:
         self.states0 = np.full(nodes, 2048 << 4, np.uint16)
         self.states1, self.states2 = np.full(1 << BITS1, 2048 << 4, np.uint16), np.full(1 << BITS2, 2048 << 4, np.uint16)
         self.weights = np.tile(np.array(START_WEIGHTS, np.int32)[:, None], (1, 256)).astype(np.int64)
-        self.lane, self.left = np.arange(lanes), left.copy()
+        self.lane, self.left, self.turn = np.arange(lanes), left.copy(), 0
         self.low, self.high = np.zeros(lanes, np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, np.uint64)
         self.node = np.zeros(lanes, np.int64)
         self.last, self.context1, self.context2 = (np.zeros(lanes, np.uint32) for _ in range(3))
@@ -123,10 +123,12 @@ class _Lanes:
         middle += np.uint64(1)
         np.copyto(self.low, middle, where=~bits)
         bits = bits.view(np.uint8).astype(np.int64) << 16
-        wrong = ((bits - self.p) >> 6).astype(np.int32)
-        for weights, x in zip(self.weights, self.inputs, strict=True):
-            weights += np.bincount(self.row, x * wrong, 256).astype(np.int64) >> SLOW
-        np.clip(self.weights, -MOST, MOST, out=self.weights)
+        self.turn += 1
+        if self.turn % EVERY == 0:
+            wrong = ((bits - self.p) >> 6).astype(np.int32)
+            for weights, x in zip(self.weights, self.inputs, strict=True):
+                weights += np.bincount(self.row, x * wrong, 256).astype(np.int64) >> SLOW
+            np.clip(self.weights, -MOST, MOST, out=self.weights)
         self.states0[self.node] = _UPDATE.take(self.states[0] + bits)
         self.states1[self.at1] = _UPDATE.take(self.states[1] + bits)
         self.states2[self.at2] = _UPDATE.take(self.states[2] + bits)
@@ -167,18 +169,17 @@ def encode(ids: np.ndarray, size: int) -> bytes:
     lengths = _lengths(ids, size)
     codes, child = _tree(lengths)
     left = _shape(len(ids))
-    sizes = lengths[ids].astype(np.int64)
-    ends = np.cumsum(sizes)
-    bits = (np.repeat(codes[ids], sizes) >> (np.repeat(ends, sizes) - 1 - np.arange(ends[-1] if len(ends) else 0)).astype(np.uint64) & np.uint64(1)).astype(bool)
-    at = np.concatenate([[0], ends])[np.cumsum(left) - left]  # the next decision of each lane
-    del ends
+    ids = np.append(ids, 0)  # what a lane that has ended would read next
+    sizes = lengths.astype(np.uint64)
     work = _Lanes(child, left)
-    work.at, work.own = at, [*work.own, "at"]
+    work.at = np.cumsum(left) - left  # the place of each lane's present id, its code, and how many bits of it are to come
+    work.code, work.ahead = codes[ids[work.at]], sizes[ids[work.at]]
+    work.own = [*work.own, "at", "code", "ahead"]
     lanes, words = [], []
     work.go_on(left > 0)
     while len(work.lane):
-        found = work.decide(bits[work.at], work.predict())
-        work.at += 1
+        work.ahead -= np.uint64(1)
+        found = work.decide((work.code >> work.ahead & np.uint64(1)).astype(bool), work.predict())
         done = work.settled()
         while len(done):
             lanes.append(work.lane[done])
@@ -188,6 +189,9 @@ def encode(ids: np.ndarray, size: int) -> bytes:
             done = work.settled(done)
         if len(found):
             work.met(found)
+            work.at[found] += 1
+            now = ids[work.at[found]]
+            work.code[found], work.ahead[found] = codes[now], sizes[now]
             if len(over := found[work.left[found] == 0]):
                 for word in (work.low[over] >> _WORD, work.low[over] & _LOW):
                     lanes.append(work.lane[over])
