@@ -29,6 +29,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ BANDS, ROWS = 42, 6
 #: Signature values compared at a time; probability below which a pair is given up; partners of a class compared by one reader; classes and bytes of full sets in a block.
 BATCH, MISS, PARTNERS, BLOCK, BLOCK_BYTES = 36, 1e-6, 64, 512, 1 << 20
 #: Classes of the sample that finds large buckets, classes in it and estimated of all from which a bucket is listed in parts, and large components' least classes; open keys that are broadcast at most (8 bytes each), and partners of a block compared by one reader.
-SAMPLE, LARGE, LARGE_BUCKET, SENT_KEYS, MEETINGS = 20_000, 20, 1000, 1_000_000, 16
+SAMPLE, LARGE, LARGE_BUCKET, SENT_KEYS, MEETINGS = 20_000, 20, 1000, 1_000_000, 32
 #: Words whose hashes are remembered; results do not depend on it.
 MAX_WORDS = 400_000
 _SPACES = b" \t\n\v\f\r"
@@ -231,12 +232,19 @@ def _band_keys(signatures: np.ndarray) -> np.ndarray:
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by block: the classes of each block."""
-    now, held = None, []
-    names = ["nodes", "roots", "sigs", "sets", "counts"]
+    """Of rows sorted by block: the classes of each block. Near copies share most shingles and signature values: each shingle is listed once, sets are steps through that list, signatures go value by value."""
+    now, held, shrink = None, [], zstandard.ZstdCompressor(level=3).compress
+    names = ["nodes", "roots", "sigs", "words", "sets", "counts"]
 
     def packed() -> pa.RecordBatch:
-        parts = [b"".join(x[i] for x in held) for i in range(4)] + [np.array([len(x[3]) // 8 for x in held], "<i8").tobytes()]
+        nodes, roots, sigs, sets = (b"".join(x[i] for x in held) for i in range(4))
+        counts = np.array([len(x[3]) // 8 for x in held], "<i8")
+        words, places = np.unique(np.frombuffer(sets, "<u8"), return_inverse=True)
+        steps = np.diff(places, prepend=0)
+        starts = (np.cumsum(counts) - counts)[counts > 0]
+        steps[starts] = places[starts]
+        columns = np.ascontiguousarray(np.frombuffer(sigs, "<u2").reshape(len(held), -1).T)
+        parts = [nodes, roots, shrink(columns.tobytes()), words.astype("<u8").tobytes(), shrink(steps.astype("<u4").tobytes()), counts.tobytes()]
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int64())] + [_column([p], pa.binary()) for p in parts], names=["block", *names])
 
     for b in batches:
@@ -255,9 +263,14 @@ class _Block:
 
     def __init__(self, row: dict):
         self.nodes, self.roots = (np.frombuffer(row[c], "V16") for c in ("nodes", "roots"))
-        self.sigs = np.frombuffer(row["sigs"], "<u2").reshape(-1, BANDS * ROWS)
-        self.counts, self.sets = np.frombuffer(row["counts"], "<i8"), np.frombuffer(row["sets"], "<u8")
+        grow = zstandard.ZstdDecompressor().decompress
+        self.sigs = np.ascontiguousarray(np.frombuffer(grow(row["sigs"]), "<u2").reshape(BANDS * ROWS, -1).T)
+        self.counts = np.frombuffer(row["counts"], "<i8")
         self.ends = np.cumsum(self.counts)
+        steps = np.frombuffer(grow(row["sets"]), "<u4").astype(np.int64)
+        whole = np.cumsum(steps)
+        before = np.concatenate([[0], whole])[self.ends - self.counts]  # what the steps of earlier classes add up to
+        self.sets = np.frombuffer(row["words"], "<u8")[whole - np.repeat(before, self.counts)]
 
     def members(self, which: np.ndarray) -> np.ndarray:
         return np.concatenate([self.sets[self.ends[i] - self.counts[i] : self.ends[i]] for i in which])
@@ -297,7 +310,7 @@ def _across(percent: int) -> Callable:
 
 
 _PAIR = "pivot binary, node binary"
-_PACK = "block long, nodes binary, roots binary, sigs binary, sets binary, counts binary"
+_PACK = "block long, nodes binary, roots binary, sigs binary, words binary, sets binary, counts binary"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,7 +343,9 @@ def _judged(rows: DataFrame, own: DataFrame, size: int, percent: int) -> DataFra
     # A class stands for itself by the text of the document that comes first, null ids last.
     one = F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("doc_id"), "_th"))
     classes = sketched.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("first"), one["_th"].alias("th"), F.first("sig").alias("sig"), F.first("n").alias("n"))
-    classes = materialise(classes, "classes")
+    classes, whole = materialise(classes, "classes"), sketched
+    sketched = materialise(whole.drop("sig", "_th"), "documents")
+    discard(whole)
     stars = _listed(classes)
     sig = lambda name, to: classes.select(F.col("node").alias(name), F.col("sig").alias(to))
     paired = stars.select("pivot", "node").distinct().join(sig("node", "sig_b"), "node").join(sig("pivot", "sig_a"), "pivot")
@@ -402,7 +417,7 @@ def _between(own: DataFrame, classes: DataFrame, rest: DataFrame, size: int, per
     pairs = pairs.select(F.col("a.block").alias("i"), F.col("b.block").alias("j")).distinct()
     readers = pairs.groupBy("i").agg(F.ceil(F.count("*") / MEETINGS).alias("readers"))
     pairs = materialise(pairs.join(readers, "i").select("i", "j", F.pmod(F.xxhash64("j"), "readers").alias("reader")), "meetings")
-    parts = ["nodes", "roots", "sigs", "sets", "counts"]
+    parts = ["nodes", "roots", "sigs", "words", "sets", "counts"]
     ones = pairs.select("i", "reader").distinct().join(packs, F.col("i") == F.col("block")).select("i", "reader", F.col("i").alias("j"), F.lit(0).alias("role"), *parts)
     twos = pairs.join(packs, F.col("j") == F.col("block")).select("i", "reader", "j", F.lit(1).alias("role"), *parts)
     dealt = ones.unionAll(twos).repartition("i", "reader").sortWithinPartitions("i", "reader", "role").drop("reader")
@@ -437,7 +452,7 @@ def _labelled(sketched: DataFrame, classes: DataFrame, roots: DataFrame) -> Data
     label = rooted.join(least, "node_root", "left").select(F.col("node").alias("_node"), F.coalesce("least", "first").alias("_label"), F.col("node_root").alias("root"))
     label = materialise(label, "labels")
     discard(classes)
-    joined = sketched.drop("sig", "_th").withColumnRenamed("n", "n_shingles").join(label, F.col("node") == F.col("_node"), "left")
+    joined = sketched.withColumnRenamed("n", "n_shingles").join(label, F.col("node") == F.col("_node"), "left")
     component: Column = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_label"))
     return joined.withColumns({"component_id": component, "kept": F.col("doc_id").eqNullSafe(component)})
 
