@@ -1,7 +1,8 @@
 """T-conorms that merge all contributions to one edge, as aggregates free of order.
 
 Each takes a column of weights (or of distances, for the m-schemes) and gives an aggregate column. So Spark merges on the
-map side, and the number of contributions to an edge never matters for memory (but for nilpotent maximum, which keeps two).
+map side, and the number of contributions to an edge never matters for memory. Nilpotent maximum needs the two largest
+only, and the hyperbolic scheme must know the first: fuzzy.merge() ranks contributions for these two.
 """
 
 from __future__ import annotations
@@ -31,11 +32,8 @@ def einstein_sum(w: Column) -> Column:
 
 
 def nilpotent_maximum(w: Column) -> Column:
-    """1 if the two largest add up to 1 or more, else the largest."""
-    largest = F.max(w)
-    # The second largest is the largest again where it occurs twice.
-    two = F.slice(F.sort_array(F.collect_list(w), asc=False), 1, 2)
-    return F.when(F.try_element_at(two, F.lit(2)) + largest >= 1, 1.0).otherwise(largest)
+    """Of the two largest weights (others must be left out before): 1 if they add up to 1 or more, else the largest."""
+    return F.when((F.count(w) > 1) & (F.sum(w) >= 1), 1.0).otherwise(F.max(w))
 
 
 #: On weights phi(distance).
@@ -62,15 +60,9 @@ def composition(m: float) -> Aggregate:
     return lambda d: F.greatest(F.lit(0.0), -F.log(1 - F.product(1 - F.exp(-m * d))) / m)
 
 
-def hyperbolic(owner: Column) -> Aggregate:
-    """The contribution of the smallest owner counts as 1; the others add up as reciprocals; a later 0 gives 0."""
-    def merged(d: Column) -> Column:
-        first = F.min_by(d, F.struct(owner, d))
-        zeros = F.count_if(d == 0) - F.when(first == 0, 1).otherwise(0)
-        rest = F.sum(F.when(d != 0, 1 / d)) - F.when(first != 0, 1 / first).otherwise(0.0)
-        return F.when(zeros > 0, 0.0).otherwise(1 / (1 + F.when(F.count(d) == 1, 0.0).otherwise(F.coalesce(rest, F.lit(0.0)))))
-
-    return merged
+def hyperbolic(later: Column) -> Aggregate:
+    """The first contribution counts as 1; later ones add up as reciprocals, and a later 0 gives 0."""
+    return lambda d: F.when(F.count_if(later & (d == 0)) > 0, 0.0).otherwise(1 / (1 + F.coalesce(F.sum(F.when(later & (d != 0), 1 / d)), F.lit(0.0))))
 
 
 #: On distances.

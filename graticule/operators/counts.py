@@ -70,6 +70,24 @@ def above_percentile(values: DataFrame, key: str, value: str, share: float = 0.7
     return values.join(limits, key, "left").withColumn("high", F.coalesce(F.col(value) > F.col("limit"), F.lit(False)))
 
 
+def marker_masks(values: DataFrame, markers: dict[str, str], share: float = 0.75) -> DataFrame:
+    """(doc, a boolean for each name): whether the value of the name's term is high in a doc (see above_percentile)."""
+    high = above_percentile(values.where(F.col("term").isin(list(markers.values()))), "term", "value", share)
+    return values.select("doc").distinct().join(high.groupBy("doc").agg(*(F.max(F.when(F.col("term") == t, F.col("high"))).alias(name) for name, t in markers.items())), "doc", "left").select("doc", *(F.coalesce(name, F.lit(False)).alias(name) for name in markers))
+
+
+def label_job(values: DataFrame, markers: list[tuple[str, str]], other: str = "Other") -> DataFrame:
+    """(label, code, n, share, n_multiple): how many docs have each label (see marker_labels), its code in the order of labels, and how many of them have several markers. Markers whose term no doc has are skipped; without any left it is an error."""
+    met = {r["term"] for r in values.where(F.col("term").isin([t for t, _ in markers])).select("term").distinct().collect()}  # one for each marker at most
+    known = [m for m in markers if m[0] in met]
+    if not known:
+        raise ValueError("no marker occurs")
+    labels = marker_labels(values, known, other)
+    counted = labels.groupBy("label").agg(F.count("*").alias("n"), F.count_if(F.col("n_positive") > 1).alias("n_multiple"))
+    w = W.orderBy("label")  # a row for each label
+    return counted.select("label", (F.row_number().over(w) - 1).alias("code"), "n", (F.col("n") / F.sum("n").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).alias("share"), "n_multiple")
+
+
 def marker_labels(values: DataFrame, markers: list[tuple[str, str]], other: str = "Other", share: float = 0.75) -> DataFrame:
     """(doc, label, n_positive): the label of the marker term that is high in a doc (see above_percentile); of several, that of the largest value, the first on ties."""
     if not markers:

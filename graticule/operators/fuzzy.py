@@ -62,7 +62,10 @@ def merge(edges: DataFrame, tconorm: str = "canonical", by: str | Pair | None =
             # Loops count for the largest distance: twice the largest radius in a clique.
             largest = edges.agg((F.max("dist") if not clique else F.greatest(F.max("dist"), 2 * F.max(F.when((F.col("src") == F.col("owner")), F.col("dist"))))).alias("largest"))
             return edges.crossJoin(F.broadcast(largest)).groupBy("src", "dst").agg(tconorms.m_scheme(m, F.col("largest"))(F.col("dist")).alias("dist"))
-        aggregate = {"m_scheme_Wiener_Shannon": tconorms.wiener_shannon(m), "m_scheme_Composition": tconorms.composition(m), "m_scheme_Hyperbolic": tconorms.hyperbolic(F.col("owner"))}[tconorm]
+        if tconorm == "m_scheme_Hyperbolic":
+            # The contribution of the smallest owner comes first, the least of several. The window's shuffle serves the aggregation too.
+            edges = edges.withColumn("later", F.row_number().over(W.partitionBy("src", "dst").orderBy("owner", "dist")) > 1)
+        aggregate = {"m_scheme_Wiener_Shannon": tconorms.wiener_shannon(m), "m_scheme_Composition": tconorms.composition(m), "m_scheme_Hyperbolic": tconorms.hyperbolic(F.col("later"))}[tconorm]
         return edges.groupBy("src", "dst").agg(aggregate(F.col("dist")).alias("dist"))
     if tconorm not in tconorms.WEIGHTS:
         raise ValueError(f"unknown t-conorm {tconorm!r}")
@@ -70,7 +73,11 @@ def merge(edges: DataFrame, tconorm: str = "canonical", by: str | Pair | None =
         # The largest weight is that of the least distance, so no underflow of phi can spoil it; identity does not decrease.
         return edges.groupBy("src", "dst").agg((F.max if by == "identity" else F.min)("dist").alias("dist"))
     weight, inverse = phi(by, scale, shape)
-    merged = edges.select("src", "dst", weight(F.col("dist")).alias("w")).groupBy("src", "dst").agg(tconorms.WEIGHTS[tconorm](F.col("w")).alias("w"))
+    weights = edges.select("src", "dst", weight(F.col("dist")).alias("w"))
+    if tconorm == "nilpotent maximum":
+        # Spark limits each group before it shuffles, so a hub's edge sends two rows a task.
+        weights = weights.withColumn("rank", F.row_number().over(W.partitionBy("src", "dst").orderBy(F.desc("w")))).where("rank <= 2")
+    merged = weights.groupBy("src", "dst").agg(tconorms.WEIGHTS[tconorm](F.col("w")).alias("w"))
     return merged.select("src", "dst", inverse(F.col("w")).alias("dist"))
 
 
@@ -88,11 +95,20 @@ def fuzzy_union(graph: DataFrame, mix: float = 1.0) -> DataFrame:
     return both.groupBy("src", "dst").agg((mix * (F.sum("weight") - product) + (1 - mix) * product).alias("weight"))
 
 
-def smooth_weights(neighbours: DataFrame, tolerance_steps: int = 64) -> DataFrame:
-    """(src, dst, weight): exp(-(d - rho) / sigma), sigma by bisection so that the weights of a point's neighbours add up to log2 k."""
+def smooth_weights(neighbours: DataFrame, tolerance_steps: int = 64, local_connectivity: float = 1.0, bandwidth: float = 1.0, alpha: float = 1.0) -> DataFrame:
+    """(src, dst, weight): exp(-(d - alpha * rho) / sigma), sigma by bisection so that the weights of a point's neighbours add up to bandwidth * log2 k.
+
+    rho is the distance of the local_connectivity-th neighbour that is not at 0, interpolated between two if it is no whole number; 0 with 0.
+    """
     near = neighbours.groupBy("i").agg(F.sort_array(F.collect_list(F.when(F.col("i") != F.col("j"), F.col("dist")))).alias("d"), F.count("*").alias("k"))
-    near = near.withColumn("rho", F.coalesce(F.array_min(F.filter("d", lambda x: x > 0)), F.lit(0.0)))
-    target = F.log2(F.col("k"))
+    whole, part = int(local_connectivity), local_connectivity - int(local_connectivity)
+    apart = F.filter("d", lambda x: x > 0)
+    place = lambda k: F.coalesce(F.get(apart, F.least(F.lit(k), F.size(apart) - 1)), F.lit(0.0))
+    rho = place(whole - 1) if whole else F.lit(0.0)
+    if part:
+        rho = rho + part * (place(whole) - rho)
+    near = near.withColumn("rho", alpha * rho)
+    target = bandwidth * F.log2(F.col("k"))
     fitted = lambda s: total(F.transform("d", lambda x: F.exp(-F.greatest(x - F.col("rho"), F.lit(0.0)) / s)))
     state = F.struct(F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"), F.lit(1.0).alias("mid"))
 

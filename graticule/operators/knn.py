@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 BLOCK = 1024
-#: Pairs of which exact distances are computed at once: what bounds memory where many points tie.
-PAIRS = 1 << 14
+#: Pairs of which exact distances are computed at once: what bounds memory where many points tie; bytes of packed points that are sent to every executor at most.
+PAIRS, SENT_BYTES = 1 << 14, 64 << 20
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,9 +56,10 @@ def _candidates(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.n
 
 
 def _exact(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
-    """Distances of rows to rows, without the cancellation of the product form."""
+    """Distances of rows to rows, without the cancellation of the product form. A vector of zeros has no direction: its cosine distance is 1 to all."""
     if metric == "cosine":
-        return 1 - (x * y).sum(-1) / (np.linalg.norm(x, axis=-1) * np.linalg.norm(y, axis=-1))
+        dots, norms = (x * y).sum(-1), np.linalg.norm(x, axis=-1) * np.linalg.norm(y, axis=-1)
+        return 1 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
     return np.sqrt(((x - y) ** 2).sum(-1))
 
 
@@ -89,9 +90,9 @@ def _block_pairs(points: DataFrame) -> DataFrame:
     typed = points.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
     blocks = materialise(typed.mapInArrow(_packed, "block string, ids binary, data binary"), "blocks")
     other = blocks.select(F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
-    n = blocks.count()
+    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
     # A few packed rows per thousand points; every pair of blocks is a task's row.
-    return blocks.repartition(max(1, n)).crossJoin(F.broadcast(other) if n <= 64 else other).select("ids", "data", "ids_b", "data_b")
+    return blocks.repartition(max(1, n)).crossJoin(F.broadcast(other) if size <= SENT_BYTES else other).select("ids", "data", "ids_b", "data_b")
 
 
 def pairwise(points: DataFrame, metric: str = "l2") -> DataFrame:

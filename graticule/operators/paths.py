@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import materialise
 
-#: Edges up to which the graph is sent to every executor (24 bytes each).
+#: Edges up to which the graph is sent to every executor: 16 bytes each, so 64 MB at most.
 BROADCAST_EDGES = 4_000_000
 
 
@@ -78,6 +78,13 @@ def geodesics(edges: DataFrame, sources: DataFrame | None = None, directed: bool
     return sources.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_searcher(sent), "i long, j long, dist double")
 
 
+def within(edges: DataFrame, labels: DataFrame, directed: bool = False) -> DataFrame:
+    """(i, j, dist): lengths of shortest paths that do not leave a cluster (labels: id, cluster)."""
+    a, b = (labels.select(F.col("id").alias(name), F.col("cluster").alias(f"_{name}")) for name in ("src", "dst"))
+    inner = edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "dist")
+    return geodesics(inner, directed=directed)
+
+
 def relaxed(graph: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """geodesics() by joins: each round extends the paths that became shorter by one edge."""
     best = materialise(sources.select("i", F.col("i").alias("j"), F.lit(0.0).alias("dist")), "paths")

@@ -88,10 +88,10 @@ def _one_violation(points: np.ndarray, corners: np.ndarray, margin: float) -> tu
     return float(value.mean()), np.where(inside[:, None], slope_in, slope_out).mean(0)
 
 
-def separate(clusters: list[np.ndarray], medoids: np.ndarray, apart: np.ndarray, most_steps: int = 300, rate: float = 1.0, k: int = 2000, weight: float = 2.0, drift: float = 0.0, factor: float = 0.3) -> Separation:
-    """Shift clusters until hulls are at a margin in proportion to the medoids' distances (apart). Two parameters for each cluster, on the driver."""
+def separate(clusters: list[np.ndarray], medoids: np.ndarray, apart: np.ndarray, corners: list[np.ndarray] | None = None, most_steps: int = 300, rate: float = 1.0, k: int = 2000, weight: float = 2.0, drift: float = 0.0, factor: float = 0.3) -> Separation:
+    """Shift clusters until hulls (of their points, or with the corners given) are at a margin in proportion to the medoids' distances (apart). Two parameters for each cluster, on the driver."""
     n = len(clusters)
-    corners = [hull(c) for c in clusters]
+    corners = corners or [hull(c) for c in clusters]
     diameter = max((float(np.sqrt(((h[:, None] - h[None]) ** 2).sum(-1)).max()) for h in corners), default=0.0)
     margin = apart / max(float(apart.max()), 1e-300) * factor * diameter
     shift, losses, paths = np.zeros((n, 2)), [], []

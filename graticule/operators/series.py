@@ -9,6 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Intervals that are sent to every executor at most, about 50 bytes each.
+SENT = 10_000
+
+
 def binned_counts(events: DataFrame, key: str, ts: str, width: float, fill: bool = False) -> DataFrame:
     """(key, bin, n): events in bins of `width` seconds since the epoch; with fill also the empty ones between each key's first and last."""
     counts = events.groupBy(key, F.floor(F.col(ts) / width).alias("bin")).agg(F.count("*").alias("n"))
@@ -19,12 +23,20 @@ def binned_counts(events: DataFrame, key: str, ts: str, width: float, fill: bool
 
 
 def in_intervals(events: DataFrame, intervals: DataFrame, ts: str, outside: bool = False, width: float | None = None) -> DataFrame:
-    """events in half-open intervals (name, start, end), with the name; or those in none. width (seconds) buckets the join where there are too many intervals to send."""
-    if outside:
-        return events.join(intervals, (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end")), "left_anti")
+    """events in half-open intervals (name, start, end), with the name; or those in none.
+
+    Intervals are counted: up to SENT are sent to every executor. Beyond, or with a width (seconds), events meet the intervals of their bucket of that length only.
+    """
     inside = (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))
     if width is None:
-        return events.join(F.broadcast(intervals), inside)
+        n, length = intervals.agg(F.count("*"), F.avg(F.col("end") - F.col("start"))).first()
+        if n <= SENT:
+            return events.join(F.broadcast(intervals), inside, "left_anti" if outside else "inner")
+        width = max(float(length or 0), 1e-6)
+    if outside:
+        spans = intervals.select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_of"))
+        bucketed = events.withColumn("_bucket", F.floor(F.col(ts) / width))
+        return bucketed.join(spans, (F.col("_bucket") == F.col("_of")) & inside, "left_anti").drop("_bucket")
     spans = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
     return events.withColumn("_bucket", F.floor(F.col(ts) / width)).join(spans, "_bucket").where(inside).drop("_bucket")
 
@@ -57,13 +69,16 @@ def resampled(events: DataFrame, key: str, ts: str, value: str, step: float) ->
 
 
 def gaussian_smoothed(counts: DataFrame, key: str, at: str, value: str, sigma: float, support: float = 5.0) -> DataFrame:
-    """counts with smooth: the sum of values within support * sigma, weighted by a Gaussian of their distance."""
+    """counts (whole numbers at) with smooth: the sum of values within support * sigma, weighted by a Gaussian of their distance.
+
+    Every value is added where it reaches, so that Spark merges on the map side and a key's series is no one task's.
+    """
     reach = int(math.ceil(support * sigma))
-    w = W.partitionBy(key).orderBy(at).rangeBetween(-reach, reach)
-    near = F.collect_list(F.struct(F.col(at).alias("t"), F.col(value).cast("double").alias("v"))).over(w)
-    df = counts.withColumn("_near", near)
-    weight = lambda s: s["v"] * F.exp(-((s["t"] - F.col(at)) * (s["t"] - F.col(at))) / (2.0 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
-    return df.withColumn("smooth", F.aggregate("_near", F.lit(0.0), lambda acc, s: acc + weight(s))).drop("_near")
+    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_step")
+    spread = counts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(value).cast("double").alias("_v"), steps)
+    weight = F.exp(-(F.col("_step") * F.col("_step")) / (2.0 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
+    sums = spread.groupBy("_key", (F.col("_at") + F.col("_step")).alias("_at")).agg(F.sum(F.col("_v") * weight).alias("smooth"))
+    return counts.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_at"))).drop("_key", "_at")
 
 
 def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | None = None) -> DataFrame:
@@ -74,6 +89,39 @@ def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | No
     return positions.withColumn("speed", F.when(passed > 0, step / passed))
 
 
+def track(positions: DataFrame, key: str, ts: str, x: str, y: str, step: float, valid: DataFrame | None = None, sigma: float | None = None) -> DataFrame:
+    """(key, t, x, y, speed): positions on a grid of step seconds, within valid intervals (name, start, end), smoothed over sigma steps, and their speed."""
+    at = lambda c: resampled(positions, key, ts, c, step).withColumnRenamed("value", f"_{c}")
+    grid = at(x).join(at(y), [key, "t"])
+    if valid is not None:
+        grid = in_intervals(grid, valid, "t").drop("name", "start", "end")
+    if sigma:
+        grid = grid.withColumn("_n", F.round(F.col("t") / step).cast("long"))
+        weights = gaussian_smoothed(grid.withColumn("_one", F.lit(1.0)), key, "_n", "_one", sigma).select(key, "_n", F.col("smooth").alias("_w"))
+        for c in (x, y):  # a mean of what is known around
+            smooth = gaussian_smoothed(grid.select(key, "_n", f"_{c}"), key, "_n", f"_{c}", sigma).select(key, "_n", F.col("smooth").alias("_s"))
+            grid = grid.join(smooth, [key, "_n"]).join(weights, [key, "_n"]).withColumn(f"_{c}", F.col("_s") / F.col("_w")).drop("_s", "_w")
+        grid = grid.drop("_n")
+    return speeds(grid.select(key, "t", F.col(f"_{x}").alias("x"), F.col(f"_{y}").alias("y")), key, "t", "x", "y")
+
+
+def spike_rates(spikes: DataFrame, key: str, ts: str, width: float, valid: DataFrame | None = None, sigma: float | None = None, least: int = 1) -> DataFrame:
+    """(key, bin, n[, smooth]): spikes of cells with least spikes or more, within valid intervals, in bins of width seconds, empty ones too, smoothed over sigma bins."""
+    cells = spikes.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
+    kept = spikes.join(cells, key, "left_semi")
+    if valid is not None:
+        kept = in_intervals(kept, valid, ts)
+    counts = binned_counts(kept, key, ts, width, fill=True)
+    return gaussian_smoothed(counts, key, "bin", "n", sigma) if sigma else counts
+
+
+def modes(df: DataFrame, key: str, value: str) -> DataFrame:
+    """(key, mode): each key's most frequent value, the smallest on ties."""
+    counts = df.groupBy(key, value).agg(F.count("*").alias("_n"))
+    best = counts.groupBy(key).agg(F.max("_n").alias("_most"))
+    return counts.join(best, key).where(F.col("_n") == F.col("_most")).groupBy(key).agg(F.min(value).alias("mode"))
+
+
 def runs(flags: DataFrame, key: str, at: str) -> DataFrame:
     """(key, first, last, n): runs of consecutive integers `at` within a key."""
     w = W.partitionBy(key).orderBy(at)
@@ -122,6 +170,59 @@ def min_max_scaled(df: DataFrame, value: str) -> DataFrame:
     return df.crossJoin(F.broadcast(ends)).withColumn("scaled", (F.col(value) - F.col("_low")) / (F.col("_high") - F.col("_low"))).drop("_low", "_high")
 
 
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """df with _rn, the row's number from 0 on in the order of columns, which must be of one kind for all rows.
+
+    Rows are dealt out by range; each range is numbered by itself and moved by the sizes of those before it, of which there are as many as tasks.
+    """
+    from ..plans.storage import materialise
+
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(ranged.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    placed = placed.withColumn("_part", F.shiftright("_id", 33))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_size"))
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
+    return placed.join(F.broadcast(before), "_part").withColumn("_rn", F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_part", "_before", "_id")
+
+
+def most_active(df: DataFrame, n: int, activity: str, at: str) -> DataFrame:
+    """The n rows of largest activity, the earliest on ties, in the order of at."""
+    return df.orderBy(F.desc(activity), at).limit(n).orderBy(at)
+
+
+def one_hot_bins(df: DataFrame, values: list[str], edges: list[float]) -> DataFrame:
+    """df with bin and hot: the number of the cell that the values fall in, edges[i - 1] <= x < edges[i] along each, the first value the slowest, and a row of 0 and 1 for all cells. Null outside."""
+    n = len(edges) - 1
+    cell = lambda c: F.when((F.col(c) >= edges[0]) & (F.col(c) < edges[-1]), sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0)))
+    place = F.lit(0)
+    for c in values:
+        place = place * n + cell(c)
+    hot = F.transform(F.sequence(F.lit(0), F.lit(n ** len(values) - 1)), lambda k: F.when(k == F.col("bin"), 1).otherwise(0))
+    return df.withColumn("bin", place).withColumn("hot", F.when(F.col("bin").isNotNull(), hot))
+
+
+def deviance_explained(df: DataFrame, observed: str, predicted: str) -> DataFrame:
+    """One row: the share of the Poisson deviance between a constant rate and a saturated model that predicted rates take away, (LL - LL0) / (LS - LL0)."""
+    mean = df.agg(F.avg(observed).alias("_mean"))
+    y, p = F.col(observed), F.greatest(F.col(predicted), F.lit(1e-12))
+    likelihood = lambda rate: F.sum(F.when(y > 0, y * F.log(rate)).otherwise(0.0) - rate)
+    joined = df.crossJoin(F.broadcast(mean))
+    parts = joined.agg(likelihood(p).alias("ll"), likelihood(F.col("_mean")).alias("ll0"), likelihood(y).alias("ls"))
+    return parts.select(((F.col("ll") - F.col("ll0")) / (F.col("ls") - F.col("ll0"))).alias("deviance"))
+
+
+def circular_shift(angle: Column, by: Column | float) -> Column:
+    """Angles moved by some, in [0, 2 pi)."""
+    return F.pmod(angle + by, F.lit(2 * math.pi))
+
+
+def longest(bars: DataFrame, n: int, key: str, birth: str, death: str) -> DataFrame:
+    """bars with lifetime and rank: the n of longest life of each key, the earliest on ties."""
+    lived = bars.withColumn("lifetime", F.col(death) - F.col(birth))
+    order = W.partitionBy(key).orderBy(F.desc("lifetime"), birth)
+    return lived.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+
+
 def rolled(df: DataFrame, key: str, at: str, value: str, shift: int) -> DataFrame:
     """df with rolled: each key's values moved by shift rows, round the end."""
     w = W.partitionBy(key)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.phi import Pair
 from ..operators import clusters, evaluate, fuzzy, mds, paths, separation
-from ..operators.knn import knn, pairwise, top_k
+from ..operators.knn import knn, top_k
 from .storage import materialise
 
 
@@ -44,28 +44,54 @@ def distance_table(data: DataFrame, k: int, geodesic: bool = False, directed: bo
     return paths.filled(graph.select(F.col("src").alias("i"), F.col("dst").alias("j"), "dist"), points, graph.agg(F.max("dist")).first()[0] or 0.0, most)
 
 
+def means(data: DataFrame, labels: DataFrame) -> DataFrame:
+    """(component, pos, x): the mean of each coordinate of each component (labels: id, component)."""
+    return data.join(labels, "id").select("component", F.posexplode("features").alias("pos", "x")).groupBy("component", "pos").agg(F.avg("x").alias("x"))
+
+
 def _means(data: DataFrame, labels: DataFrame) -> pd.DataFrame:
-    each = data.join(labels, "id").select("component", F.posexplode("features").alias("pos", "x")).groupBy("component", "pos").agg(F.avg("x").alias("x"))
-    return each.groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean")).orderBy("component").toPandas()
+    return means(data, labels).groupBy("component").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("mean")).orderBy("component").toPandas()
 
 
-def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, **options) -> DataFrame:
+def _landmark_table(data: DataFrame, k: int, n: int = 0, directed: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The graph's components (id, component), the landmarks of each (id, component), and geodesic distances (i, j, dist) of all points i to the landmarks j of theirs."""
+    graph = materialise(build_graph(data, k, directed=directed, **options), "graph")
+    nodes = graph.select(F.col("src").alias("id")).unionAll(graph.select(F.col("dst").alias("id"))).distinct()
+    labels = materialise(paths.components(nodes, graph), "labels")
+    marks = materialise(mds.landmark_ids(labels, n), "landmarks")
+    from_marks = paths.geodesics(graph, marks.select(F.col("id").alias("i")), directed=directed)
+    return labels, marks, materialise(from_marks.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"), "distances")
+
+
+def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, init: str | DataFrame = "classical", **options) -> DataFrame:
     """(id, component, init, embedding) of points, or of a distance table.
 
     Components are scaled by themselves and moved by the scaled means of their points (added once, to both). Without split a graph of several components is an error.
+    init: classical, spectral, random, or a table (id, init). Points (not tables) beyond mds.DENSE go by landmarks: geodesics from these alone, see mds.by_landmarks;
+    there the initialisation is classical, and dijkstra and geodesic have no meaning.
     """
-    table = materialise(distance_table(data, k, distances=distances, **options), "distances")
-    labels = materialise(table.groupBy("i").agg(F.min("j").alias("component")).withColumnRenamed("i", "id"), "labels")
+    large = not distances and data.count() > mds.DENSE
+    if large:
+        if options.pop("geodesic", False) or not options.pop("dijkstra", True) or init != "classical":
+            raise ValueError(f"more than {mds.DENSE} points go by landmarks, with geodesics and from classical scaling")
+        options.pop("most", None)
+        labels, _, table = _landmark_table(data, k, **options)
+    else:
+        table = materialise(distance_table(data, k, distances=distances, **options), "distances")
+        labels = materialise(table.groupBy("i").agg(F.min("j").alias("component")).withColumnRenamed("i", "id"), "labels")
     n = labels.select("component").distinct().count()
     if n > 1 and not split:
         raise ValueError(f"the graph has {n} components; raise k, or split it")
-    out = mds.embed_components(table, labels, d, metric, **(sgd or {}))
+    if large:
+        out = mds.by_landmarks(table, labels, d, metric, **(sgd or {}))
+    else:
+        out = mds.embed_components(table, labels, d, metric, init, **(sgd or {}))
     if n == 1 or distances:
         return out
-    means = _means(data, labels)
-    x = np.stack(means["mean"].map(np.asarray))
+    centre = _means(data, labels)
+    x = np.stack(centre["mean"].map(np.asarray))
     centres = x if x.shape[1] == d else mds.classical(((x[:, None] - x[None]) ** 2).sum(-1), d)
-    moves = data.sparkSession.createDataFrame([(int(c), [float(v) for v in y]) for c, y in zip(means["component"], centres, strict=True)], "component long, move array<double>")
+    moves = data.sparkSession.createDataFrame([(int(c), [float(v) for v in y]) for c, y in zip(centre["component"], centres, strict=True)], "component long, move array<double>")
     add = lambda c: F.zip_with(c, "move", lambda a, b: a + b).alias(c)
     return out.join(F.broadcast(moves), "component").select("id", "component", add("init"), add("embedding"))
 
@@ -86,27 +112,45 @@ class ClusterEmbedding:
 
 
 def cluster_embed(data: DataFrame, k: int, n_clusters: int | None = 10, distances: bool = False, cluster: Callable[[DataFrame], DataFrame] | None = None, **options) -> ClusterEmbedding:
-    """Points clustered by average linkage of geodesic distances (or by a function of the table of them), scaled to the plane, and clusters moved apart."""
-    table = materialise(distance_table(data, k, distances=distances, **options), "distances")
-    labels = materialise((cluster or (lambda t: clusters.linkage_clusters(t, n_clusters)))(table), "labels")
-    middle = clusters.medoids(table, labels)
-    whole = labels.select("id", F.lit(0).cast("long").alias("component"))
-    placed = mds.embed_components(table, whole, 2, metric=False).select("id", F.col("init")[0].alias("x"), F.col("init")[1].alias("y"))
-    rows = placed.join(labels, "id").orderBy("cluster", "id").toPandas()
-    medoid = middle.orderBy("cluster").toPandas()
+    """Points clustered by average linkage of geodesic distances (or by a function of the table of them), scaled to the plane, and clusters moved apart.
+
+    Points (not tables) beyond mds.DENSE go by landmarks: these are clustered, every other point has the cluster of the nearest one, and medoids are landmarks. The
+    graph must be connected then. Only hulls and the points nearest other clusters' medoids reach the driver.
+    """
+    by = cluster or (lambda t: clusters.linkage_clusters(t, n_clusters))
+    if not distances and data.count() > mds.DENSE:
+        components, marks, to_marks = _landmark_table(data, k, **options)
+        if components.select("component").distinct().count() > 1:
+            raise ValueError("the graph has several components; raise k")
+        table = materialise(to_marks.join(marks.select(F.col("id").alias("i")), "i", "left_semi"), "distances")
+        of_marks = materialise(by(table), "labels")
+        nearest = to_marks.join(F.broadcast(of_marks.withColumnRenamed("id", "j")), "j").groupBy("i").agg(F.min_by("cluster", F.struct("dist", "j")).alias("cluster"))
+        labels = materialise(nearest.withColumnRenamed("i", "id"), "labels")
+        placed = mds.by_landmarks(to_marks, components, 2, metric=False)
+        middle = materialise(clusters.medoids(table, of_marks), "medoids")
+    else:
+        table = materialise(distance_table(data, k, distances=distances, **options), "distances")
+        labels = materialise(by(table), "labels")
+        middle = materialise(clusters.medoids(table, labels), "medoids")
+        whole = labels.select("id", F.lit(0).cast("long").alias("component"))
+        placed = mds.embed_components(table, whole, 2, metric=False)
+    placed = materialise(placed.select("id", F.col("init")[0].alias("x"), F.col("init")[1].alias("y")).join(labels, "id"), "placed")
+    # Clusters are few: a row each, and some thousand points near each other one, go to the driver.
+    medoid = middle.join(placed.select(F.col("id").alias("medoid"), "x", "y"), "medoid").orderBy("cluster").toPandas()
+    ids, names = medoid["medoid"].to_numpy(), medoid["cluster"].tolist()
     chosen = table.join(F.broadcast(middle.select(F.col("medoid").alias("i"))), "i").join(F.broadcast(middle.select(F.col("medoid").alias("j"))), "j").toPandas()
-    ids = medoid["medoid"].to_numpy()
     apart = np.zeros((len(ids), len(ids)))
     order = np.argsort(ids)
     apart[order[np.searchsorted(ids[order], chosen["i"])], order[np.searchsorted(ids[order], chosen["j"])]] = chosen["dist"]
-    at = rows.set_index("id").loc[ids, ["x", "y"]].to_numpy()
-    done = separation.separate([g[["x", "y"]].to_numpy() for _, g in rows.groupby("cluster")], at, apart)
-    rows[["x", "y"]] = np.concatenate(done.points)
-    medoid[["x", "y"]] = done.medoids
     spark = data.sparkSession
-    return ClusterEmbedding(spark.createDataFrame(rows[["id", "cluster", "x", "y"]]), spark.createDataFrame(medoid), done.losses, done.paths)
-
-
-def matrix(points: DataFrame, metric: str = "l2") -> DataFrame:
-    """All pairwise distances (i, j, dist)."""
-    return pairwise(points, metric)
+    others = spark.createDataFrame(medoid.rename(columns={"cluster": "other", "x": "mx", "y": "my"})[["other", "mx", "my"]])
+    near = separation.nearest_points(placed, others).select("cluster", "id", "x", "y").distinct().orderBy("cluster", "id").toPandas()
+    corners = clusters.hulls(placed).orderBy("cluster", "corner").toPandas()
+    of = lambda rows, c: rows.loc[rows["cluster"] == c, ["x", "y"]].to_numpy().reshape(-1, 2)
+    done = separation.separate([of(near, c) for c in names], medoid[["x", "y"]].to_numpy(), apart, [of(corners, c) for c in names])
+    moves = medoid[["cluster", "x", "y"]].rename(columns={"x": "mx", "y": "my"})
+    moves["tx"], moves["ty"] = (done.medoids - medoid[["x", "y"]].to_numpy()).T
+    moves["angle"] = 0.0
+    medoid[["x", "y"]] = done.medoids
+    shifted = separation.moved(placed, spark.createDataFrame(moves)).select("id", "cluster", "x", "y")
+    return ClusterEmbedding(shifted, spark.createDataFrame(medoid[["cluster", "medoid", "x", "y"]]), done.losses, done.paths)

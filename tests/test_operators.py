@@ -430,3 +430,97 @@ def test_shuffled_correlation(spark):
     df = spark.createDataFrame([(1, int(i), float(a[i]), float(a[i] * 2 + 1)) for i in t], "k int, t int, a double, b double")
     r = grids.shuffled_correlation(df, "k", "t", "a", "b", 200).first()
     assert abs(r.r - 1) < 1e-9 and r.above < 0.05
+
+
+def test_many_intervals_are_bucketed(spark, monkeypatch):
+    draw = np.random.default_rng(4)
+    starts = np.sort(draw.uniform(0, 1000, 60))
+    spans = [(f"n{k}", float(a), float(a + draw.uniform(0.5, 30))) for k, a in enumerate(starts)]
+    times = [(k, float(t)) for k, t in enumerate(draw.uniform(-20, 1100, 500))]
+    events, intervals = spark.createDataFrame(times, "id long, t double"), spark.createDataFrame(spans, "name string, start double, end double")
+    inside = sorted((k, n) for k, t in times for n, a, b in spans if a <= t < b)
+    outside = sorted(k for k, t in times if not any(a <= t < b for _, a, b in spans))
+    for most in (10_000, 5):
+        monkeypatch.setattr(series, "SENT", most)
+        assert sorted((r.id, r.name) for r in series.in_intervals(events, intervals, "t").collect()) == inside
+        assert sorted(r.id for r in series.in_intervals(events, intervals, "t", outside=True).collect()) == outside
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    values = np.random.default_rng(2).permutation(1000).tolist()
+    df = spark.createDataFrame([(v,) for v in values], "v long").repartition(7)
+    assert sorted((r["_rn"], r.v) for r in series.numbered(df, "v").collect()) == [(k, k) for k in range(1000)]
+    first, second = tables.halves(df.where("v < 999"), "v")
+    assert sorted(r.v for r in first.collect()) == list(range(499)) and sorted(r.v for r in second.collect()) == list(range(499, 998))
+
+
+def test_error_function():
+    x = np.concatenate([np.linspace(-7, 7, 400), [0.0, 1e-9, np.nan]])
+    got = phis.erf(x)
+    assert np.allclose(got[:-1], [math.erf(v) for v in x[:-1]], rtol=0, atol=2e-15) and np.isnan(got[-1])
+    assert np.allclose(phis.erf(phis.erf_inverse(np.linspace(-0.999, 0.999, 99))), np.linspace(-0.999, 0.999, 99), atol=1e-12)
+
+
+def test_npz_and_csv_cells(spark, tmp_path):
+    np.savez(tmp_path / "a.npz", one=np.arange(6.0).reshape(2, 3), two=np.array([4, 5]))
+    rows = sorted((r.name, r.place, r["values"]) for r in tables.npz_arrays(spark, str(tmp_path / "*.npz")).collect())
+    assert rows == [("one", 0, [0.0, 1.0, 2.0]), ("one", 1, [3.0, 4.0, 5.0]), ("two", 0, [4.0]), ("two", 1, [5.0])]
+    (tmp_path / "c.csv").write_text("1,x\n2.5,\n")
+    cells = sorted((r.place, r.text or "", r.number) for r in tables.typed_cells(spark, str(tmp_path / "c.csv")).collect())
+    assert cells == [(0, "1", 1.0), (0, "2.5", 2.5), (1, "", None), (1, "x", None)]
+
+
+def test_landmarks_stand_for_dense_scaling(spark, monkeypatch):
+    """Places by landmarks against those by all distances, of the same points."""
+    draw = np.random.default_rng(3)
+    x = draw.uniform(0, 1, (400, 2)) * [4, 1]
+    data = cloud(spark, np.hstack([x, 0.05 * np.sin(3 * x[:, :1])]))
+    at = lambda df, c: np.array([r[c] for r in df.orderBy("id").collect()])
+    apart = lambda y: np.sqrt(((y[:, None] - y[None]) ** 2).sum(-1))
+    plain = embed.embed(data, 12, 2, normalise=False, beyond=False).cache()
+    monkeypatch.setattr(mds, "DENSE", 300)
+    monkeypatch.setattr(mds, "LANDMARKS", 80)
+    monkeypatch.setattr(mds, "CHUNK", 64)
+    by_marks = embed.embed(data, 12, 2, normalise=False, beyond=False).cache()
+    assert by_marks.count() == 400
+    for c, least in (("init", 0.999), ("embedding", 0.995)):
+        a, b = apart(at(plain, c)), apart(at(by_marks, c))
+        assert np.corrcoef(a.ravel(), b.ravel())[0, 1] > least and abs(b.mean() / a.mean() - 1) < 0.03
+    with pytest.raises(ValueError, match="landmarks"):
+        embed.embed(data, 12, 2, init="random")
+    done = embed.cluster_embed(data, 12, 4, normalise=False, beyond=False)
+    assert done.points.count() == 400 and done.medoids.count() == 4
+
+
+def test_initialisations_and_losses_of_ones_own(spark):
+    x = np.random.default_rng(1).normal(0, 1, (30, 2))
+    target = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    table = pairwise(cloud(spark, x))
+    labels = cloud(spark, x).select("id", F.lit(0).cast("long").alias("component"))
+    given = cloud(spark, x + 0.01).select("id", F.col("features").alias("init"))
+    own = lambda t, f: (float(((f - t) ** 2).mean()), 2 * (f - t) / f.size)
+    wrong = lambda y: np.mean((distances(y) - target) ** 2)
+    for init in ("classical", "spectral", "random", given):
+        out, named = (mds.embed_components(table, labels, 2, True, init, loss=loss, epochs=400, patience=400, batch=15).orderBy("id").collect() for loss in (own, "MSE"))
+        assert out == named
+        start, end = (np.array([r[c] for r in out]) for c in ("init", "embedding"))
+        assert wrong(end) < 0.01 if init in ("classical", given) else wrong(end) < wrong(start) / 2
+    assert np.allclose(start, x + 0.01)
+    with pytest.raises(Exception, match="shape"):
+        mds.embed_components(table, labels, 3, True, given).collect()
+    with pytest.raises(Exception, match="initialisation"):
+        mds.embed_components(table, labels, 2, True, "none").collect()
+
+
+def test_smooth_weights_options(spark):
+    near = knn(cloud(spark, np.random.default_rng(5).normal(0, 1, (40, 3))), 8)
+    rows = near.orderBy("i", "rank").collect()
+    for connectivity, bandwidth, alpha in ((1.0, 1.0, 1.0), (1.5, 1.0, 1.0), (0.0, 1.2, 1.0), (1.0, 0.8, 0.5)):
+        sums: dict = {}
+        for r in fuzzy.smooth_weights(near, local_connectivity=connectivity, bandwidth=bandwidth, alpha=alpha).collect():
+            sums[r.src] = sums.get(r.src, 0) + r.weight
+        assert all(abs(s - bandwidth * 3) < 1e-4 for s in sums.values())
+    d = [r.dist for r in rows if r.i == 0][1:]
+    w = {r.dst: r.weight for r in fuzzy.smooth_weights(near, local_connectivity=1.5).where("src = 0").collect()}
+    rho = (d[0] + d[1]) / 2
+    assert all((w[r.j] == 1.0) == (r.dist <= rho) for r in rows if r.i == 0 and r.j != 0)
