@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from ..functions import vectors
 from ..operators import clusters, counts, evaluate, fuzzy, grids, mds, paths, separation, series
 from ..operators.knn import knn, knn_lsh, pairwise
-from ..sources import generators
 from ..sources.tables import sample, scaled_by_max, standardised, table
 from ..streaming import windows
 from . import embed
@@ -162,11 +161,6 @@ def fuzzy_union(spark, d):
     return rounded(fuzzy.fuzzy_union(graph), "weight")
 
 
-@query()
-def smooth_weights(spark, d):
-    return rounded(fuzzy.smooth_weights(neighbours(spark, d)), "weight", to=4)
-
-
 GRAPH = f"{STAR}, g AS (SELECT src, dst, min(dist) AS dist FROM star GROUP BY src, dst)"
 
 
@@ -460,8 +454,8 @@ def standardized_features(spark, d):
 @query("SELECT l_returnflag, l_linestatus, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)")
 def label_codes(spark, d):
     kinds = table(spark, d, "lineitem", "l_returnflag", "l_linestatus").distinct()
-    names = kinds.select("l_returnflag").distinct().agg(F.sort_array(F.collect_set("l_returnflag")).alias("names"))  # one row: the distinct labels
-    return kinds.crossJoin(F.broadcast(names)).select("l_returnflag", "l_linestatus", (F.array_position("names", F.col("l_returnflag")) - 1).alias("code"))
+    codes = series.numbered(kinds.select("l_returnflag").distinct(), "l_returnflag").withColumnRenamed("_rn", "code")
+    return kinds.join(codes, "l_returnflag").select("l_returnflag", "l_linestatus", "code")
 
 
 @query("SELECT p_partkey, starts_with(p_type, 'PROMO') AS promo, regexp_matches(p_name, '^[a-m]') AS early, p_size BETWEEN 10 AND 20 AS middle FROM part")
@@ -476,9 +470,10 @@ def set_intersection(spark, d):
     return o.where("o_orderstatus = 'O'").select("o_custkey").intersect(o.where("o_orderstatus = 'F'").select("o_custkey"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'P'")
 def set_difference(spark, d):
-    return table(spark, d, "customer", "c_custkey").join(table(spark, d, "orders", "o_custkey"), F.col("c_custkey") == F.col("o_custkey"), "left_anti")
+    placed = table(spark, d, "orders", "o_custkey", "o_orderstatus").where("o_orderstatus = 'P'")
+    return table(spark, d, "customer", "c_custkey").join(placed, F.col("c_custkey") == F.col("o_custkey"), "left_anti")
 
 
 @query("SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
@@ -543,11 +538,13 @@ def grid_neighbours(spark, d):
     return paths.grid_neighbours(spark, 5)
 
 
-@query()
+@query("""WITH b AS (SELECT least(floor(l_discount * 10 / 0.1), 9)::BIGINT AS bx, least(floor(l_tax * 10 / 0.1), 9)::BIGINT AS "by", l_quantity AS q FROM lineitem WHERE l_discount BETWEEN 0 AND 0.1 AND l_tax BETWEEN 0 AND 0.1), c AS (SELECT bx, "by", avg(q) AS v FROM b GROUP BY ALL),
+g AS (SELECT DISTINCT x, y FROM range(-1, 11) r(x), range(-1, 11) s(y), c WHERE abs(x - bx) + abs(y - "by") <= 1), a AS (SELECT x, y FROM range(10) r(x), range(10) s(y) WHERE (SELECT count(*) FROM g WHERE abs(g.x - r.x) + abs(g.y - s.y) <= 1) = 5)
+SELECT 'all' AS key, a.x AS bx, a.y AS "by", round(sum(c.v * exp(-(pow(a.x - c.bx, 2) + pow(a.y - c."by", 2)) / 2.0)) / sum(exp(-(pow(a.x - c.bx, 2) + pow(a.y - c."by", 2)) / 2.0)), 5) AS value FROM a, c GROUP BY a.x, a.y """)
 def smoothed_map(spark, d):
     lines = table(spark, d, "lineitem", "l_discount", "l_tax", "l_quantity")
     cells = series.binned_mean(lines, F.col("l_discount"), F.col("l_tax"), F.col("l_quantity"), 0.0, 0.1, 10)
-    return grids.smooth_maps(cells.select(F.lit("all").alias("key"), "bx", "by", F.col("mean").alias("value")), 1.0, 10)
+    return rounded(grids.smooth_maps(cells.select(F.lit("all").alias("key"), "bx", "by", F.col("mean").alias("value")), 1.0, 10), "value")
 
 
 @query()
@@ -565,9 +562,13 @@ def radial_sample(spark, d):
     return grids.radial_sample(points(spark, d), 10)
 
 
-@query()
+@query("""WITH e AS (SELECT l_returnflag, min(l_extendedprice)::DOUBLE AS low, max(l_extendedprice)::DOUBLE AS high FROM lineitem GROUP BY l_returnflag),
+c AS (SELECT l_returnflag, low, high, least(floor((l_extendedprice - low) * 4096 / (high - low)), 4095) AS cell, count(*) AS n, avg(l_extendedprice) AS x FROM lineitem JOIN e USING (l_returnflag) GROUP BY ALL),
+m AS (SELECT l_returnflag, sum(n) AS whole, sum(n * x) / sum(n) AS mean FROM c GROUP BY l_returnflag), v AS (SELECT l_returnflag, any_value(whole) AS whole, sqrt(sum(n * pow(x - mean, 2)) / (any_value(whole) - 1)) * pow(0.75 * any_value(whole), -0.2) AS width FROM c JOIN m USING (l_returnflag) GROUP BY l_returnflag),
+g AS (SELECT l_returnflag, low + (high - low) * unnest(range(0, 1000)) / 999 AS place FROM e), d AS (SELECT l_returnflag, place, sum(n * exp(-pow(place - x, 2) / (2 * width * width))) AS density FROM g JOIN c USING (l_returnflag) JOIN v USING (l_returnflag) GROUP BY ALL)
+SELECT l_returnflag, round(arg_max(place, density), 2) AS mode FROM d GROUP BY l_returnflag""")
 def density_modes(spark, d):
-    return grids.density_modes(table(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice")
+    return rounded(grids.density_modes(table(spark, d, "lineitem", "l_returnflag", "l_extendedprice"), "l_returnflag", "l_extendedprice"), "mode", to=2)
 
 
 @query()
@@ -577,22 +578,19 @@ def smooth_rate_map(spark, d):
     return grids.smooth_rate_map(lines.withColumn("bin", cell), "bin", "l_quantity", paths.grid_neighbours(spark, 5), 10.0)
 
 
-@query()
+@query("""WITH s AS (SELECT l_returnflag, l_orderkey % 400 AS slot, avg(l_quantity) AS a, avg(l_extendedprice) AS b FROM lineitem GROUP BY ALL), n AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY slot) - 1 AS k, count(*) OVER (PARTITION BY l_returnflag) AS size FROM s),
+r AS (SELECT x.l_returnflag, (x.k - y.k + x.size) % x.size AS shift, corr(x.a, y.b) AS r FROM n x JOIN n y USING (l_returnflag) GROUP BY ALL), o AS (SELECT l_returnflag, r AS r0 FROM r WHERE shift = 0)
+SELECT l_returnflag, round(any_value(r0), 6) AS r, round(avg((r >= r0 - 1e-12)::INT), 6) AS above FROM r JOIN o USING (l_returnflag) GROUP BY l_returnflag""")
 def shuffled_correlation(spark, d):
-    lines = table(spark, d, "lineitem", "l_returnflag", "l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice")
-    days = lines.groupBy("l_returnflag", (F.col("l_orderkey") % 1000).alias("slot")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"))
-    return grids.shuffled_correlation(days, "l_returnflag", "slot", "a", "b", 200)
+    """Against all circular shifts."""
+    lines = table(spark, d, "lineitem", "l_returnflag", "l_orderkey", "l_quantity", "l_extendedprice")
+    days = lines.groupBy("l_returnflag", (F.col("l_orderkey") % 400).alias("slot")).agg(F.avg("l_quantity").alias("a"), F.avg("l_extendedprice").alias("b"))
+    return rounded(grids.shuffled_correlation(days, "l_returnflag", "slot", "a", "b", None), "r", "above", to=6)
 
 
-for _shape in ("four_gaussians", "moons", "hemisphere", "torus", "swiss_roll", "s_curve", "moebius"):
-    @query(name=f"generate_{_shape}")
-    def _generated(spark, d, shape=_shape):
-        return getattr(generators, shape)(spark, 1000)
-
-
-@query()
+@query(f"WITH {U} SELECT vec_id AS id, (k - 1)::INT AS pos, round(x, 5) + 0.0 AS x FROM u WHERE vec_id IN (SELECT vec_id FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 100)")
 def sampled_points(spark, d):
-    return sample(points(spark, d), 100)
+    return coordinates(sample(points(spark, d), 100))
 
 
 @query(f"WITH {P}, q AS (SELECT id, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n, list_dot_product(v, v) AS s FROM p) SELECT id, round(n, 5) AS norm, round(s, 5) AS dot FROM q")
@@ -603,3 +601,6 @@ def vector_norms(spark, d):
 def entry(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: neighbours, local normalisation, star edges, canonical merge."""
     return QUERIES["tconorm_canonical"](spark, d)
+
+
+from . import graph_queries, shape_queries, table_queries  # noqa: E402, F401  they add their queries to QUERIES and SQL
