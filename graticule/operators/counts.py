@@ -6,17 +6,28 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialise
+
+
+#: Terms that are sent to every executor at most, some 30 bytes each.
+SENT_TERMS = 1_000_000
+
 
 def terms(texts: DataFrame, least_docs: int = 1, pattern: str = "[a-z0-9_]{2,}", stop: list[str] | None = None) -> DataFrame:
-    """(doc, term, cnt) of texts (doc, text): lower-cased words that occur in least_docs texts or more."""
+    """(doc, term, cnt) of texts (doc, text): lower-cased words that occur in least_docs texts or more.
+
+    Counts are written once. The terms that stay are sent to every executor if there are SENT_TERMS of them at most; beyond, they are joined by a shuffle.
+    """
     words = texts.select("doc", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("term"))
     if stop:
         words = words.where(~F.col("term").isin(stop))
     counted = words.groupBy("doc", "term").agg(F.count("*").alias("cnt"))
     if least_docs <= 1:
         return counted
-    common = counted.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("term")
-    return counted.join(common, "term", "left_semi").select("doc", "term", "cnt")
+    counted = materialise(counted, "counts")
+    common = materialise(counted.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= least_docs).select("term"), "terms")
+    small = common.count() <= SENT_TERMS
+    return counted.join(F.broadcast(common) if small else common, "term", "left_semi").select("doc", "term", "cnt")
 
 
 def hellinger(counts: DataFrame, docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialise
+from ..plans.storage import drop, materialise
 
 #: Edges up to which the graph is sent to every executor: 16 bytes each, so 64 MB at most.
 BROADCAST_EDGES = 4_000_000
@@ -87,13 +87,14 @@ def within(edges: DataFrame, labels: DataFrame, directed: bool = False) -> DataF
 
 def relaxed(graph: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
     """geodesics() by joins: each round extends the paths that became shorter by one edge."""
-    best = materialise(sources.select("i", F.col("i").alias("j"), F.lit(0.0).alias("dist")), "paths")
-    front = best
+    stored = best = front = materialise(sources.select("i", F.col("i").alias("j"), F.lit(0.0).alias("dist")), "paths")
     for _ in range(most_rounds):
         longer = front.join(graph, F.col("j") == F.col("src")).select("i", F.col("dst").alias("j"), (front["dist"] + graph["dist"]).alias("dist")).groupBy("i", "j").agg(F.min("dist").alias("dist"))
         old = best.withColumnRenamed("dist", "old")
         both = longer.join(old, ["i", "j"], "full")
         merged = materialise(both.select("i", "j", F.least("dist", "old").alias("dist"), (F.col("old").isNull() | (F.col("dist") < F.col("old"))).alias("fresh")), "paths")
+        drop(stored)
+        stored = merged
         front = merged.where("fresh").select("i", "j", "dist")
         best = merged.select("i", "j", "dist")
         if front.isEmpty():
@@ -116,14 +117,16 @@ def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 100) -> Da
     """
     ends = edges.select("src", "dst").unionAll(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst").distinct()
     ends = materialise(ends, "ends")
-    now = materialise(nodes.select("id", F.col("id").alias("component")).distinct(), "labels")
+    stored = now = materialise(nodes.select("id", F.col("id").alias("component")).distinct(), "labels")
     for _ in range(most_rounds):
         near = ends.join(now, F.col("dst") == F.col("id")).groupBy("src").agg(F.min("component").alias("near"))
         least = now.join(near, F.col("id") == F.col("src"), "left").select("id", F.col("component").alias("old"), F.least("component", F.coalesce("near", "component")).alias("component"))
         jump = least.select(F.col("id").alias("label"), F.col("component").alias("further"))
         after = materialise(least.join(jump, F.col("component") == F.col("label"), "left").select("id", "old", F.least("component", F.coalesce("further", "component")).alias("component")), "labels")
-        now = after.select("id", "component")
+        drop(stored)
+        stored, now = after, after.select("id", "component")
         if after.where("old <> component").isEmpty():
+            drop(ends)
             return now
     raise RuntimeError("components did not settle")
 
