@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.storage import shared_dir
+from ..plans.storage import drop, materialise, remove, shared_dir
 
 __all__ = ["dealt_evenly", "discard", "file_system", "map_arrow", "materialise", "remove", "shared_dir", "table"]
 
@@ -22,20 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet to the shared folder and read it back; discard() deletes it."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.stored_at = path
-    return out
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing reads any more. Shuffle files of finished jobs go when the driver's JVM collects what they belonged to."""
-    spark = tables[0].sparkSession
-    remove(spark, *(t.stored_at for t in tables))
-    spark._jvm.System.gc()
+    drop(*tables)
+    tables[0].sparkSession._jvm.System.gc()
 
 
 def release_others(owner: str) -> None:
@@ -59,14 +49,6 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(run, schema)
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Delete folders written by materialise or shared_dir, through Hadoop's file system."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for p in paths:
-        q = jvm.org.apache.hadoop.fs.Path(p)
-        q.getFileSystem(conf).delete(q, True)
-
-
 def file_system(uri: str) -> tuple:
     """(pyarrow file system, path) of a URI or local path, on driver and executors alike."""
     from pyarrow import fs

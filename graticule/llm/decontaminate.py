@@ -7,12 +7,12 @@ at which the fingerprint changes are kept, and every RUN-th, so that each stands
 it on. Kept positions whose fingerprint an item has are extended to those windows, and each is compared
 word by word. Items below SPAN words are one window each; positions of their length are compared directly.
 
-Joins are with the fingerprints and windows of the items only. They are broadcast while their number, which is counted
-first, is at most BROADCAST_ROWS: then all is one scan of the documents, which only hits leave. Beyond that Spark shuffles
+Joins are with the fingerprints and windows of the items only. They are broadcast while their size, which is measured
+first, is at most BROADCAST_BYTES: then all is one scan of the documents, which only hits leave. Beyond that Spark shuffles
 the fingerprints of documents, without their words, and splits skewed partitions.
 
 Defined results: null and empty texts have no words and no hits; rows of equal doc_id and text get equal
-results, rows of equal doc_id and other text their own; items of equal item_id count once; a null item_id
+results, rows of equal doc_id and other text their own; very long texts are read whole; items of equal item_id count once; a null item_id
 counts as no item, though its words are hit; empty tables give an empty result or no hits; only doc_id,
 text and item_id are read.
 """
@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 GRAM, RUN = 5, 6
 SPAN = GRAM + RUN - 1
-#: Most fingerprints or windows of items that are broadcast; about 100 bytes each.
-BROADCAST_ROWS = 500_000
+#: Most bytes of fingerprints and windows of items that are broadcast; a row counts ROW_BYTES besides its words and ids.
+BROADCAST_BYTES, ROW_BYTES = 96 << 20, 64
 
 # What a word is, and the letters that are lower-cased.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -105,7 +105,8 @@ def _hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, th, n_words and the hit windows (size, start, item_ids) of documents. Every document has a row of size 0 as well."""
     prints, windows, short = _windows(benchmark)
     prints, windows = prints.withColumn("met", F.lit(True)), windows.withColumn("hit", F.lit(True))
-    if max(prints.count(), windows.count()) <= BROADCAST_ROWS:
+    size = F.sum(F.octet_length(F.array_join("w_words", " ")) + 16 * F.size("w_words") + F.octet_length(F.array_join("item_ids", " ")) + 16 * F.size("item_ids") + ROW_BYTES)
+    if prints.count() * ROW_BYTES + (windows.agg(size).first()[0] or 0) <= BROADCAST_BYTES:
         marked = _marked(docs, short).select("doc_id", "th", "words", F.explode_outer("marks").alias("m")).select("doc_id", "th", "words", "m.size", "m.at", "m.print")
         met = marked.join(F.broadcast(prints), ["size", "print"], "left").where("met OR size = 0")
         found = _spread(met).join(F.broadcast(windows), F.expr(_SAME), "left").where("hit OR size = 0")

@@ -4,7 +4,7 @@ Words are hashed once per document; the hashes of the longer n-grams roll from t
 ones in numpy. Documents are judged one by one, so there is no shuffle at all.
 
 Defined results: a null or empty text has no words, counts of 0 and fails the base rule; repeated
-rows are judged alike; a null doc_id passes through; an empty table gives an empty result; only
+rows are judged alike; a null doc_id passes through; very long texts are read whole, in memory that grows with their words; an empty table gives an empty result; only
 doc_id and text are read, so extra columns cannot clash.
 """
 

@@ -22,7 +22,7 @@ def awkward(spark):
         (None, prose(4), "fr", "b", 7),
         (5, "one", "de", "b", 3),
         (6, " \n\t ", "de", "b", 3),
-        (7, prose(7, 6000), "en", "c", 9),
+        (7, prose(7, 60_000), "en", "c", 9),
         (8, "Ünïcödé — 中文 🙂 " * 40, "zz", "c", 9),
         (9, prose(1) + " tail", "en", "c", 9),
         (10, "same line here\n" * 50, "en", "c", 9),

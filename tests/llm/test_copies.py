@@ -219,7 +219,9 @@ def plain_contamination(docs, items):
     return out
 
 
-def test_contamination_is_that_of_brute_force(spark):
+@pytest.mark.parametrize("most", [decontaminate.BROADCAST_BYTES, -1])
+def test_contamination_is_that_of_brute_force(spark, most, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     items = [(1, prose(1, 30)), (2, "Tiny item"), (3, prose(1, 30)[40:]), (4, None), (5, ""), (10, "one two three four five six seven eight nine ten"), (11, "a a a a a a a a a a a")]
     docs = [(0, prose(9) + " " + prose(1, 30) + " " + prose(8)), (1, prose(1, 30).upper()), (2, "x tiny, ITEM y tiny"), (3, None), (4, ""), (5, "a " * 40), (6, "ONE-two three.four five six seven eight nine ten!"), (7, prose(1, 30)[20:90]), (8, prose(7)), (9, "É é one two")]
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
@@ -228,13 +230,6 @@ def test_contamination_is_that_of_brute_force(spark):
     assert {r.doc_id for r in decontaminate.decontaminate(a, b).collect()} == {i for i, x in got.items() if not x[1]}
 
 
-def test_contamination_without_broadcasts(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
-    docs, items = [(0, prose(1)), (1, prose(2))], [(1, prose(1, 40))]
-    got = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
-    assert {r.doc_id: r.contaminated for r in got} == {0: True, 1: False}
-
-
 def test_contamination_on_awkward_rows(spark, awkward, nothing):
     items = spark.createDataFrame([(1, prose(1, 20), 3)], "item_id long, text string, doc_id int")
     rows = decontaminate.contamination(awkward, items).collect()
