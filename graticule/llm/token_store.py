@@ -11,12 +11,13 @@ Every file is written under a name of its own and listed only by the task that s
 be repeated at any time. Positions of files come from sums over the list of files, one row each.
 
 Defined results: null and empty texts have the end id alone; rows of equal doc_id are ordered by text and
-kept; null doc_ids come first; an empty table gives no files and an empty result; only doc_id and text
-are read.
+kept; null doc_ids come first; very long texts go on over many blocks; an empty table gives no files and an
+empty result; only doc_id and text are read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -41,8 +42,12 @@ FILES = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
+# Fixed value: the pattern by which the library's byte-level pre-tokenizer splits texts.
+BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library. Pieces that its byte-level pre-tokenizer would split off are remembered."""
+    """Ids of whole texts by the tokenizers library. Pieces that its byte-level pre-tokenizer would split off are remembered; with any other tokenizer, or another pattern, the library takes whole texts."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +56,9 @@ class Encoder:
         self.library, self.split = Tokenizer.from_file(path), Splitter(pattern).split
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.size = self.library.get_vocab_size(with_added_tokens=True)
+        known = json.loads(self.library.to_str())
+        before = known["pre_tokenizer"] or {}
+        self.alike = known["normalizer"] is None and pattern == BYTE_LEVEL and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False
         self.known: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}  # what was known before known was begun anew
 
@@ -72,7 +80,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         known = self.known
-        pieces = [None if any(s in t for s in self.special) else self.split(t) for t in texts]
+        pieces = [self.split(t) if self.alike and not any(s in t for s in self.special) else None for t in texts]
         every = set().union(*(own for own in pieces if own))
         if len(known) > MAX_PIECES:
             self.old, self.known = known, {}
@@ -84,7 +92,7 @@ class Encoder:
         self.look_up(list(fresh))
         out = []
         for text, own in zip(texts, pieces, strict=True):
-            if own is None:  # a special token's text: the library takes the whole text at once
+            if own is None:  # such as a special token's text: the library takes the whole text at once
                 out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4"))
             else:
                 out.append(np.frombuffer(b"".join(map(known.__getitem__, own)), "<i4"))
@@ -236,7 +244,8 @@ def read_ids(files: DataFrame, size: int, n_tasks: int) -> DataFrame:
 
     def fold(state: dict | None, doc_id: int | None, start: int, ids: np.ndarray) -> dict:
         state = state or {"doc_id": doc_id, "start": start, "ids": []}
-        return state | {"ids": [*state["ids"], *ids.tolist()]}
+        state["ids"].extend(ids.tolist())
+        return state
 
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))])
     return map_arrow(dealt_evenly(placed, n_tasks), _reader(fold, schema, size), "doc_id long, start long, ids array<int>")

@@ -166,6 +166,19 @@ def test_tokens_of_special_strings_are_the_library_s():
         assert coder.encode([text])[0].tolist() == coder.library.encode(text, add_special_tokens=False).ids
 
 
+def test_other_tokenizers_take_whole_texts(tmp_path):
+    import json
+
+    spec = json.load(open(JSON))
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(spec))
+    for path, pattern, alike in ((JSON, public_tokenizers.PATTERN, True), (JSON, r"\S+|\s+", False), (str(tmp_path / "other.json"), public_tokenizers.PATTERN, False)):
+        coder = token_store.Encoder(path, pattern)
+        assert coder.alike == alike
+        for text in ("word again  and 12 more", "x", ""):
+            assert coder.encode([text])[0].tolist() == coder.library.encode(text, add_special_tokens=False).ids
+
+
 def test_warc_round_trip_in_small_chunks():
     pages = [(1, "http://a/%0A\n", b"<p>" + bytes(range(256)) * 90), (-5, None, b""), (None, "u", b"x\r\n\r\ny")]
     data = b"".join(warc.member(i, u, p, warc.digest(p), None, False) for i, u, p in pages) + warc.member(9, "v", b"abc", warc.digest(b"abc"), 1, True)
