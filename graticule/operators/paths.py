@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -12,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..plans.storage import drop, materialise
 
-#: Edges up to which the graph is sent to every executor: 16 bytes each, so 64 MB at most.
-BROADCAST_EDGES = 4_000_000
+#: Edges up to which the graph is sent to every executor: 24 bytes each, so 72 MB at most; and bytes that a task's round of a search takes.
+BROADCAST_EDGES, SEARCH_BYTES = 3_000_000, 64 << 20
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -22,21 +21,24 @@ def undirected(edges: DataFrame) -> DataFrame:
     return both.groupBy("src", "dst").agg(F.min("dist").alias("dist"))
 
 
-def _dijkstra(starts: np.ndarray, ends: np.ndarray, costs: np.ndarray, source: int, n: int) -> np.ndarray:
-    best = np.full(n, np.inf)
-    best[source] = 0.0
-    heap = [(0.0, source)]
-    while heap:
-        d, u = heapq.heappop(heap)
-        if d > best[u]:
-            continue
-        a, b = starts[u], starts[u + 1]
-        reach = d + costs[a:b]
-        better = reach < best[ends[a:b]]
-        for v, x in zip(ends[a:b][better].tolist(), reach[better].tolist(), strict=True):
-            if x < best[v]:
-                best[v] = x
-                heapq.heappush(heap, (x, v))
+def shortest(starts: np.ndarray, ends: np.ndarray, costs: np.ndarray, sources: np.ndarray, n: int) -> np.ndarray:
+    """(node, source): lengths of shortest paths from some sources at once, by rounds that follow the edges of nodes which became nearer to any of them. Edges are sorted by their ends."""
+    best = np.full((n, len(sources)), np.inf)
+    best[sources, np.arange(len(sources))] = 0.0
+    nearer = np.zeros(n, bool)
+    nearer[sources] = True
+    while nearer.any():
+        some = np.flatnonzero(nearer[starts])
+        nearer[:] = False
+        if not len(some):
+            break
+        to = ends[some]
+        first = np.flatnonzero(np.append(True, to[1:] != to[:-1]))
+        reach = np.minimum.reduceat(best[starts[some]] + costs[some, None], first, axis=0)
+        nodes = to[first]
+        old = best[nodes]
+        nearer[nodes] = (reach < old).any(1)
+        best[nodes] = np.minimum(old, reach)
     return best
 
 
@@ -45,14 +47,18 @@ def _searcher(graph) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, starts, ends, costs = graph.value
+        at_once = int(np.clip(SEARCH_BYTES // (8 * max(1, len(ends))), 1, 64))
         for b in batches:
-            for source in b.column("i").to_pylist():
-                at = int(np.searchsorted(ids, source))
-                if at == len(ids) or ids[at] != source:
-                    continue
-                best = _dijkstra(starts, ends, costs, at, len(ids))
-                met = np.flatnonzero(np.isfinite(best))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), source)), pa.array(ids[met]), pa.array(best[met])], schema=schema)
+            sources = b.column("i").to_numpy()
+            places = np.searchsorted(ids, sources)
+            known = places < len(ids)
+            known[known] = ids[places[known]] == sources[known]
+            sources, places = sources[known], places[known]
+            for k in range(0, len(sources), at_once):
+                best = shortest(starts, ends, costs, places[k : k + at_once], len(ids))
+                for column, source in enumerate(sources[k : k + at_once].tolist()):
+                    met = np.flatnonzero(np.isfinite(best[:, column]))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), source)), pa.array(ids[met]), pa.array(best[met, column])], schema=schema)
 
     return run
 
@@ -60,7 +66,7 @@ def _searcher(graph) -> Callable:
 def geodesics(edges: DataFrame, sources: DataFrame | None = None, directed: bool = False) -> DataFrame:
     """(i, j, dist): lengths of shortest paths from the sources (column i; all nodes if None). Pairs without a path are absent.
 
-    A graph of at most BROADCAST_EDGES edges goes to all executors, and each source is searched by itself; a larger one is relaxed by joins.
+    A graph of at most BROADCAST_EDGES edges goes to all executors, and a task searches from its sources, some at once; a larger one is relaxed by joins.
     """
     graph = edges.select("src", "dst", "dist") if directed else undirected(edges)
     nodes = graph.select(F.col("src").alias("i")).unionAll(graph.select(F.col("dst").alias("i"))).distinct()
@@ -71,10 +77,9 @@ def geodesics(edges: DataFrame, sources: DataFrame | None = None, directed: bool
     rows = graph.toPandas()
     ids = np.unique(np.concatenate([rows["src"], rows["dst"]]).astype(np.int64))
     src, dst = np.searchsorted(ids, rows["src"]), np.searchsorted(ids, rows["dst"])
-    order = np.lexsort((dst, src))
-    starts = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))])
+    order = np.lexsort((src, dst))
     spark = edges.sparkSession
-    sent = spark.sparkContext.broadcast((ids, starts, dst[order], rows["dist"].to_numpy()[order]))
+    sent = spark.sparkContext.broadcast((ids, src[order], dst[order], rows["dist"].to_numpy()[order]))
     return sources.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_searcher(sent), "i long, j long, dist double")
 
 
