@@ -50,20 +50,29 @@ def lag_histogram(events: DataFrame, key: str, ts: str, most: float, bins: int)
     return lags.groupBy(key, F.floor(F.col("lag") * bins / most).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def resampled(events: DataFrame, key: str, ts: str, value: str, step: float) -> DataFrame:
-    """(key, t, value): linear interpolation on a grid of `step` seconds between each key's first and last event; of events at one time the mean counts."""
+def _beside(rows: DataFrame, key: str, bucket: str, point: Column) -> tuple[DataFrame, Column]:
+    """(_key, _of, _before, _after): the last point of any earlier bucket of a key and the first of any later one, and the condition that joins them to rows; points are structs that begin with their order, null where a row is none. One row for each bucket is what a task orders."""
+    ends = rows.groupBy(key, bucket).agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
+    w = lambda c: W.partitionBy(key).orderBy(c).rowsBetween(W.unboundedPreceding, -1)
+    found = ends.select(F.col(key).alias("_key"), F.col(bucket).alias("_of"), F.last("_last", ignorenulls=True).over(w(F.col(bucket))).alias("_before"), F.last("_first", ignorenulls=True).over(w(F.desc(bucket))).alias("_after"))
+    return found, F.col(key).eqNullSafe(F.col("_key")) & F.col(bucket).eqNullSafe(F.col("_of"))
+
+
+def resampled(events: DataFrame, key: str, ts: str, value: str, step: float, bucket: int = 4096) -> DataFrame:
+    """(key, t, value): linear interpolation on a grid of `step` seconds between each key's first and last event; of events at one time the mean counts.
+
+    A task orders bucket steps of a key; points beyond the ends of its time come from the buckets beside.
+    """
     known = events.groupBy(key, F.col(ts).alias("t")).agg(F.avg(value).alias("v"))
     ends = known.groupBy(key).agg(F.min("t").alias("low"), F.max("t").alias("high"))
     grid = ends.select(key, F.explode(F.sequence(F.ceil(F.col("low") / step), F.floor(F.col("high") / step))).alias("g")).select(key, (F.col("g") * step).alias("t"))
     both = known.select(key, "t", "v", F.lit(False).alias("grid")).unionByName(grid.select(key, "t", F.lit(None).cast("double").alias("v"), F.lit(True).alias("grid")))
-    w = W.partitionBy(key).orderBy("t", "grid")
-    point = F.struct("t", "v")
-    own = F.when(~F.col("grid"), point)
-    before = F.last(own, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
+    both = both.withColumn("_b", F.floor(F.col("t") / (step * bucket)))
+    own = F.when(~F.col("grid"), F.struct("t", "v"))
     # The next point is the last one in reverse order: a frame that only grows, where one to the end would be read anew for each row.
-    back = W.partitionBy(key).orderBy(F.desc("t"), "grid")
-    after = F.last(own, ignorenulls=True).over(back.rowsBetween(W.unboundedPreceding, 0))
-    placed = both.withColumn("a", before).withColumn("b", after).where("grid")
+    w = lambda t: W.partitionBy(key, "_b").orderBy(t, "grid").rowsBetween(W.unboundedPreceding, 0)
+    placed = both.withColumn("a", F.last(own, ignorenulls=True).over(w(F.col("t")))).withColumn("b", F.last(own, ignorenulls=True).over(w(F.desc("t")))).where("grid")
+    placed = placed.join(*_beside(both, key, "_b", own)).withColumns({"a": F.coalesce("a", "_before"), "b": F.coalesce("b", "_after")})
     line = F.when(F.col("a.t") == F.col("t"), F.col("a.v")).otherwise(F.col("a.v") + (F.col("b.v") - F.col("a.v")) * (F.col("t") - F.col("a.t")) / (F.col("b.t") - F.col("a.t")))
     return placed.select(key, "t", line.alias("value"))
 
@@ -81,12 +90,16 @@ def gaussian_smoothed(counts: DataFrame, key: str, at: str, value: str, sigma: f
     return counts.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_at"))).drop("_key", "_at")
 
 
-def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | None = None) -> DataFrame:
-    """positions with speed: distance over time since the row before; null for a key's first and where no time passed. tie orders rows of one time."""
-    w = W.partitionBy(key).orderBy(t, *([tie] if tie else []))
-    step = F.sqrt((F.col(x) - F.lag(x).over(w)) ** 2 + (F.col(y) - F.lag(y).over(w)) ** 2)
-    passed = F.col(t) - F.lag(t).over(w)
-    return positions.withColumn("speed", F.when(passed > 0, step / passed))
+def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | None = None, bucket: float = 86400.0) -> DataFrame:
+    """positions with speed: distance over time since the row before; null for a key's first and where no time passed. tie orders rows of one time. A task orders bucket seconds of a key; the row before comes from the bucket before where there is none."""
+    order = [t, *([tie] if tie else [])]
+    row = F.struct(*order, F.col(x).alias("_x"), F.col(y).alias("_y"))
+    rows = positions.withColumn("_b", F.floor(F.col(t) / bucket))
+    before = F.lag(row).over(W.partitionBy(key, "_b").orderBy(*order))
+    placed = rows.withColumn("_own", before).join(*_beside(rows, key, "_b", row)).withColumn("_own", F.coalesce("_own", "_before"))
+    step = F.sqrt((F.col(x) - F.col("_own._x")) ** 2 + (F.col(y) - F.col("_own._y")) ** 2)
+    passed = F.col(t) - F.col(f"_own.{t}")
+    return placed.withColumn("speed", F.when(passed > 0, step / passed)).select(*positions.columns, "speed")
 
 
 def track(positions: DataFrame, key: str, ts: str, x: str, y: str, step: float, valid: DataFrame | None = None, sigma: float | None = None) -> DataFrame:
@@ -224,8 +237,9 @@ def longest(bars: DataFrame, n: int, key: str, birth: str, death: str) -> DataFr
 
 
 def rolled(df: DataFrame, key: str, at: str, value: str, shift: int) -> DataFrame:
-    """df with rolled: each key's values moved by shift rows, round the end."""
-    w = W.partitionBy(key)
-    n = df.withColumn("_rn", F.row_number().over(w.orderBy(at)) - 1).withColumn("_n", F.count("*").over(w))
+    """df with rolled: each key's values moved by shift rows, round the end. Rows are numbered over ranges of key and at, so a key's series is no one task's."""
+    n = numbered(df, key, at)
+    ends = n.groupBy(key).agg(F.min("_rn").alias("_low"), F.count("*").alias("_n"))
+    n = n.join(ends, key).withColumn("_rn", F.col("_rn") - F.col("_low"))
     moved = n.select(F.col(key), F.pmod(F.col("_rn") + shift, F.col("_n")).alias("_rn"), F.col(value).alias("rolled"))
-    return n.join(moved, [key, "_rn"]).drop("_rn", "_n")
+    return n.join(moved, [key, "_rn"]).select(*df.columns, "rolled")

@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import functions as F
 
-from ..operators import counts, evaluate, series
+from ..operators import counts, evaluate, grids, series
 from ..sources import tables
 from ..sources.tables import table
 from ..streaming import windows
@@ -164,3 +164,36 @@ def image_points(spark, d):
 def stored_points(spark, d):
     """Points in a table with the time in its name, read again."""
     return coordinates(spark.read.parquet(tables.write_stamped(points(spark, d), shared_dir(spark, "stored"), "points")))
+
+
+_ANGLES = f"{T}, w AS (SELECT event_id, (t % 86400) / 86400 * 2 * pi() AS u, (t % 3600) / 3600 * 2 * pi() AS v FROM e)"
+_MOD = "{0} - 2 * pi() * floor(({0}) / (2 * pi()))"
+
+
+def _angles(spark, d):
+    turn = lambda seconds: F.col("t") % seconds / seconds * 2 * math.pi
+    return events(spark, d).select("event_id", turn(86400).alias("u"), turn(3600).alias("v"))
+
+
+_CASES = [("u", "2 * pi() - v"), ("u", "v + pi() / 3 * u"), ("u", "v + pi() / 3 * u"), ("v", "u + pi() / 3 * v"), ("2 * pi() - u + pi() / 3 * v", "v")]
+_AXES = " UNION ALL ".join(f"SELECT {k} AS k, event_id, round({_MOD.format(f'({a})')}, 4) + 0.0 AS u, round({_MOD.format(f'({b})')}, 4) + 0.0 AS v FROM w" for k, (a, b) in enumerate(_CASES))
+
+
+@query(f"WITH {_ANGLES} {_AXES}")
+def hexagonal_axes(spark, d):
+    """Five pairs of axes: one reversed, swapped twice, more than a right angle on, as much back, and a little back."""
+    cases = [((0.2, 1.2), (1, -1)), ((1.2, 2.9), (1, 1)), ((0.1, 2.0), (1, 1)), ((2.9, 1.2), (1, 1)), ((2.9, 1.8), (1, 1))]
+    found = [grids.hexagonal_axes(_angles(spark, d), a, s, "u", "v").select(F.lit(k).alias("k"), "event_id", "u", "v") for k, (a, s) in enumerate(cases)]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionAll(f)
+    return rounded(out, "u", "v", to=4)
+
+
+@query(f"""WITH {_ANGLES}, o AS (SELECT event_id, u + 1.3 + 0.1 * sin(v) AS a, v - 0.4 AS b FROM w WHERE event_id % 2 = 0),
+s AS (SELECT atan2(avg(sin(u - a)), avg(cos(u - a))) AS x, atan2(avg(sin(v - b)), avg(cos(v - b))) AS y FROM w JOIN o USING (event_id))
+SELECT event_id, round({_MOD.format('(u - x)')}, 4) + 0.0 AS u, round({_MOD.format('(v - y)')}, 4) + 0.0 AS v FROM w, s""")
+def shifted_sessions(spark, d):
+    own = _angles(spark, d)
+    other = own.where("event_id % 2 = 0").select("event_id", (F.col("u") + 1.3 + 0.1 * F.sin("v")).alias("u"), (F.col("v") - 0.4).alias("v"))
+    return rounded(grids.shifted_onto(own, other, "event_id", ["u", "v"]), "u", "v", to=4)

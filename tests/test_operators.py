@@ -524,3 +524,25 @@ def test_smooth_weights_options(spark):
     w = {r.dst: r.weight for r in fuzzy.smooth_weights(near, local_connectivity=1.5).where("src = 0").collect()}
     rho = (d[0] + d[1]) / 2
     assert all((w[r.j] == 1.0) == (r.dist <= rho) for r in rows if r.i == 0 and r.j != 0)
+
+
+def test_series_are_cut_in_buckets(spark):
+    """Buckets of any width give the same; keys may be null, and buckets empty."""
+    draw = np.random.default_rng(6)
+    rows = [(k, float(t), float(draw.normal()), float(draw.normal())) for k in ("a", "b", None) for t in np.sort(draw.choice(np.arange(0, 3000, 7), 60, replace=False))]
+    df = spark.createDataFrame(rows, "k string, t double, x double, y double")
+    at = lambda out, c: {(r.k, round(r.t, 6)): r[c] and round(r[c], 9) for r in out.collect()}
+    one, many = (at(series.speeds(df, "k", "t", "x", "y", bucket=b), "speed") for b in (1e9, 20.0))
+    assert one == many and len(one) == 180 and sum(v is None for v in one.values()) == 3
+    one, many = (at(series.resampled(df, "k", "t", "x", 10.0, bucket=b), "value") for b in (10**6, 3))
+    assert one == many and None not in one.values() and {k for k, _ in one} == {"a", "b", None}
+    for (k, t), v in one.items():
+        own = [(r[1], r[2]) for r in rows if r[0] == k]
+        assert abs(v - np.interp(t, *zip(*own))) < 1e-6
+
+
+def test_waves_of_maps(spark):
+    x, y = np.meshgrid(np.linspace(0, 3, 12), np.linspace(0, 3, 12))
+    rows = [(k, float(a), float(b), float((f * (np.cos(g) * a + np.sin(g) * b) + o) % (2 * np.pi))) for k, (g, o, f) in {"p": (0.5, 1.0, 2.0), "q": (2.0, 3.0, 3.5)}.items() for a, b in zip(x.ravel(), y.ravel())]
+    out = {r.k: r for r in grids.fit_waves(spark.createDataFrame(rows, "k string, x double, y double, phase double"), "k", "x", "y", "phase").collect()}
+    assert set(out) == {"p", "q"} and all(r.error < 1e-6 for r in out.values()) and abs(out["p"].frequency - 2) < 1e-3
