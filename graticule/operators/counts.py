@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,8 +15,8 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise
 
 
-#: Terms that are sent to every executor at most, some 30 bytes each.
-SENT_TERMS = 1_000_000
+#: Terms that are sent to every executor at most, some 30 bytes each; docs of a block, products that a task holds at once, and bytes of blocks that are sent.
+SENT_TERMS, BLOCK, CELLS, SENT_BYTES = 1_000_000, 128, 1 << 21, 64 << 20
 
 
 def terms(texts: DataFrame, least_docs: int = 1, pattern: str = "[a-z0-9_]{2,}", stop: list[str] | None = None) -> DataFrame:
@@ -30,17 +36,62 @@ def terms(texts: DataFrame, least_docs: int = 1, pattern: str = "[a-z0-9_]{2,}",
     return counted.join(F.broadcast(common) if small else common, "term", "left_semi").select("doc", "term", "cnt")
 
 
+def _packed_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of BLOCK docs with their terms and roots of shares."""
+    for b in batches:
+        for at in range(0, b.num_rows, BLOCK):
+            some = b.slice(at, BLOCK)
+            lists = some.column("terms").combine_chunks() if isinstance(some.column("terms"), pa.ChunkedArray) else some.column("terms")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0)
+            flat = lists.flatten()
+            row = {"docs": pa.array([some.column("doc").to_pylist()], pa.list_(some.column("doc").type)), "sizes": pa.array([sizes.to_pylist()], pa.list_(pa.int64()))}
+            row |= {name: pa.array([flat.field(name).to_pylist()], pa.list_(flat.field(name).type)) for name in ("term", "p")}
+            yield pa.RecordBatch.from_arrays(list(row.values()), names=["docs", "sizes", "terms", "ps"])
+
+
+def _similarities(a: dict, b: dict) -> np.ndarray:
+    """Sums of products of the roots that the docs of two blocks have for the same terms; a few docs of the second at a time."""
+    codes = pd.factorize(np.array([*a["terms"], *b["terms"]], object))[0]
+    rows_a = np.repeat(np.arange(len(a["docs"])), a["sizes"])
+    codes_a, codes_b, p_a, p_b = codes[: len(rows_a)], codes[len(rows_a) :], np.array(a["ps"], float), np.array(b["ps"], float)
+    ends = np.cumsum(b["sizes"])
+    out, first = np.zeros((len(a["docs"]), len(b["docs"]))), 0
+    while first < len(ends):
+        start = ends[first] - b["sizes"][first]
+        last = max(first + 1, int(np.searchsorted(ends, start + CELLS // len(a["docs"]), "right")))
+        mine, place = np.unique(codes_b[start : ends[last - 1]], return_inverse=True)
+        if len(mine):
+            met = np.minimum(np.searchsorted(mine, codes_a), len(mine) - 1)
+            same = mine[met] == codes_a
+            dense = np.zeros((len(a["docs"]), len(mine)))
+            dense[rows_a[same], met[same]] = p_a[same]
+            products = dense[:, place] * p_b[start : ends[last - 1]]
+            full = np.flatnonzero(np.array(b["sizes"][first:last]) > 0)
+            out[:, first + full] = np.add.reduceat(products, (ends - b["sizes"])[first + full] - start, axis=1)
+        first = last
+    return out
+
+
 def hellinger(counts: DataFrame, docs: DataFrame) -> DataFrame:
-    """(i, j, dist) of all pairs of docs (doc). Only pairs that share a term meet in the join; others, and a text without terms, are at distance 1."""
+    """(i, j, dist) of all pairs of docs (doc); a text without terms is at distance 1 to all. Docs are packed in blocks, and a task compares two of them: a term that all docs have is no one key's, and no pair is a row before its distance is known."""
     share = F.sqrt(F.col("cnt") / F.sum("cnt").over(W.partitionBy("doc")))
-    roots = counts.select("term", F.col("doc").alias("i"), share.alias("p"))
-    other = roots.select("term", F.col("i").alias("j"), F.col("p").alias("q"))
-    met = roots.join(other, "term").where("i <= j").groupBy("i", "j").agg(F.sum(F.col("p") * F.col("q")).alias("s"))
-    near = met.select("i", "j", F.sqrt(F.least(F.greatest(1 - F.col("s"), F.lit(0.0)), F.lit(1.0))).alias("dist"))
-    both = near.unionAll(near.where("i < j").select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"))
-    ids = docs.select(F.col("doc").alias("i"))
-    pairs = ids.crossJoin(ids.withColumnRenamed("i", "j"))  # the distance matrix that is asked for
-    return pairs.join(both, ["i", "j"], "left").select("i", "j", F.coalesce("dist", F.lit(1.0)).alias("dist"))
+    lists = counts.select(F.col("doc").alias("_doc"), F.struct("term", share.alias("p")).alias("s")).groupBy("_doc").agg(F.collect_list("s").alias("terms"))
+    rows = docs.select("doc").join(lists, F.col("doc") == F.col("_doc"), "left").select("doc", "terms")
+    kind, term = dict(docs.dtypes)["doc"], dict(counts.dtypes)["term"]
+    blocks = materialise(rows.mapInArrow(_packed_docs, f"docs array<{kind}>, sizes array<long>, terms array<{term}>, ps array<double>"), "blocks")
+    other = blocks.select(*(F.col(c).alias(f"{c}_b") for c in blocks.columns))
+    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.size("ps")), F.lit(0))).first()
+    pairs = blocks.repartition(max(1, n)).crossJoin(F.broadcast(other) if size * 40 <= SENT_BYTES else other)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            types = [batch.schema.field(c).type.value_type for c in ("docs", "docs_b")]
+            for row in batch.to_pylist():
+                a, b = {c: row[c] for c in ("docs", "sizes", "terms", "ps")}, {c: row[f"{c}_b"] for c in ("docs", "sizes", "terms", "ps")}
+                dist = np.sqrt(np.clip(1 - _similarities(a, b), 0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(a["docs"], types[0]).take(pa.array(np.repeat(np.arange(len(a["docs"])), len(b["docs"])))), pa.array(b["docs"], types[1]).take(pa.array(np.tile(np.arange(len(b["docs"])), len(a["docs"])))), pa.array(dist.ravel())], names=["i", "j", "dist"])
+
+    return pairs.mapInArrow(run, f"i {kind}, j {kind}, dist double")
 
 
 def quality(counts: DataFrame, groups: dict[str, Column]) -> DataFrame:

@@ -21,21 +21,31 @@ BLOCK = 1024
 PAIRS, SENT_BYTES = 1 << 14, 64 << 20
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, n, ids, rows = TaskContext.get().partitionId(), 0, [], []
+def _packer(extra: str | None = None) -> Callable:
+    """Rows of BLOCK points: their ids and coordinates as bytes, and a further column as an array."""
 
-    def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"block": [f"{part}-{n}"], "ids": [np.array(ids, "<i8").tobytes()], "data": [np.array(rows, "<f8").tobytes()]}, pa.schema([("block", pa.string()), ("ids", pa.binary()), ("data", pa.binary())]))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held, kind = TaskContext.get().partitionId(), 0, [], None
+
+        def out() -> pa.RecordBatch:
+            ids, rows, more = zip(*held, strict=True)
+            columns = {"block": pa.array([f"{part}-{n}"]), "ids": pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), "data": pa.array([np.array(rows, "<f8").tobytes()], pa.binary())}
+            if extra:
+                columns[extra] = pa.array([list(more)], pa.list_(kind))
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        for b in batches:
+            kind = b.column(extra).type if extra else None
+            more = b.column(extra).to_pylist() if extra else [None] * b.num_rows
+            for row in zip(b.column("id").to_pylist(), b.column("features").to_pylist(), more, strict=True):
+                held.append(row)
+                if len(held) == BLOCK:
+                    yield out()
+                    n, held = n + 1, []
+        if held:
+            yield out()
 
-    for b in batches:
-        for i, v in zip(b.column("id").to_pylist(), b.column("features").to_pylist(), strict=True):
-            ids.append(i)
-            rows.append(v)
-            if len(ids) == BLOCK:
-                yield out()
-                n, ids, rows = n + 1, [], []
-    if ids:
-        yield out()
+    return run
 
 
 def _candidates(x: np.ndarray, y: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray]:
@@ -84,15 +94,37 @@ def _compared(k: int | None, metric: str) -> Callable:
     return run
 
 
-def _block_pairs(points: DataFrame) -> DataFrame:
+def _block_pairs(points: DataFrame, extra: str | None = None) -> DataFrame:
     from ..plans.storage import materialise
 
-    typed = points.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"))
-    blocks = materialise(typed.mapInArrow(_packed, "block string, ids binary, data binary"), "blocks")
-    other = blocks.select(F.col("ids").alias("ids_b"), F.col("data").alias("data_b"))
+    typed = points.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), *([extra] if extra else []))
+    more = f", {extra} array<{dict(points.dtypes)[extra]}>" if extra else ""
+    blocks = materialise(typed.mapInArrow(_packer(extra), f"block string, ids binary, data binary{more}"), "blocks")
+    other = blocks.select(F.col("ids").alias("ids_b"), F.col("data").alias("data_b"), *([F.col(extra).alias(f"{extra}_b")] if extra else []))
     n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
     # A few packed rows per thousand points; every pair of blocks is a task's row.
-    return blocks.repartition(max(1, n)).crossJoin(F.broadcast(other) if size <= SENT_BYTES else other).select("ids", "data", "ids_b", "data_b")
+    return blocks.drop("block").repartition(max(1, n)).crossJoin(F.broadcast(other) if size <= SENT_BYTES else other)
+
+
+def distance_sums(points: DataFrame, labels: DataFrame, metric: str = "l2") -> DataFrame:
+    """(i, cluster, total, n): the sum of distances of each point to the points of each cluster (labels: id, cluster), itself included, and their number. No pair of points is a row."""
+    own = points.select("id", "features").join(labels.select("id", "cluster"), "id")
+    kind = dict(labels.dtypes)["cluster"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in ("ids", "data", "ids_b", "data_b")}
+                a, c = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["ids_b"], "<i8")
+                x, y = np.frombuffer(row["data"], "<f8").reshape(len(a), -1), np.frombuffer(row["data_b"], "<f8").reshape(len(c), -1)
+                coded = b.column("cluster_b")[k].values.dictionary_encode()
+                member = np.eye(len(coded.dictionary))[coded.indices.to_numpy(zero_copy_only=False)]
+                total = np.stack([_exact(point, y, metric) @ member for point in x])
+                m = member.shape[1]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, m)), coded.dictionary.take(pa.array(np.tile(np.arange(m), len(a)))), pa.array(total.ravel()), pa.array(np.tile(member.sum(0).astype(np.int64), len(a)))], names=["i", "cluster", "total", "n"])
+
+    sums = _block_pairs(own, "cluster").mapInArrow(run, f"i long, cluster {kind}, total double, n long")
+    return sums.groupBy("i", "cluster").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
 
 
 def pairwise(points: DataFrame, metric: str = "l2") -> DataFrame:

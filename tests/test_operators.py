@@ -546,3 +546,18 @@ def test_waves_of_maps(spark):
     rows = [(k, float(a), float(b), float((f * (np.cos(g) * a + np.sin(g) * b) + o) % (2 * np.pi))) for k, (g, o, f) in {"p": (0.5, 1.0, 2.0), "q": (2.0, 3.0, 3.5)}.items() for a, b in zip(x.ravel(), y.ravel())]
     out = {r.k: r for r in grids.fit_waves(spark.createDataFrame(rows, "k string, x double, y double, phase double"), "k", "x", "y", "phase").collect()}
     assert set(out) == {"p", "q"} and all(r.error < 1e-6 for r in out.values()) and abs(out["p"].frequency - 2) < 1e-3
+
+
+def test_hellinger_in_blocks(spark, monkeypatch):
+    draw = np.random.default_rng(8)
+    rows = [(d, f"t{t}", int(draw.integers(1, 9))) for d in range(40) for t in {0, *draw.integers(0, 30, draw.integers(0, 12)).tolist()} if d % 7]
+    counts_of = {}
+    for d, t, c in rows:
+        counts_of.setdefault(d, {})[t] = c
+    monkeypatch.setattr(counts, "CELLS", 60)
+    got = {(r.i, r.j): r.dist for r in counts.hellinger(spark.createDataFrame(rows, "doc long, term string, cnt long"), spark.range(40).withColumnRenamed("id", "doc")).collect()}
+    root = lambda d, t: math.sqrt(counts_of.get(d, {}).get(t, 0) / max(1, sum(counts_of.get(d, {}).values())))
+    assert len(got) == 1600
+    for (i, j), v in got.items():
+        s = sum(root(i, t) * root(j, t) for t in counts_of.get(i, {}))
+        assert abs(v - math.sqrt(max(0.0, 1 - s))) < 1e-6
