@@ -13,7 +13,7 @@ from ..plans.storage import drop, materialise, remove, shared_dir
 __all__ = ["dealt_evenly", "discard", "file_system", "map_arrow", "materialise", "remove", "shared_dir", "table"]
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; together they bound its memory.
-BATCH_ROWS, BATCH_BYTES = 1024, 32 << 20
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
