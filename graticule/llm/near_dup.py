@@ -11,7 +11,7 @@
    classes are not connected yet.
 5. Buckets of three or more classes that are still not connected have pairs outside their stars. Their classes are
    packed in blocks with signatures and full sets: a large component has blocks of its own, the others are dealt by the
-   largest bucket they are in. Two blocks meet if some bucket has classes of both, unless both are of one component, and are compared by
+   largest bucket that they are near. Two blocks meet if some bucket has classes of both, unless both are of one component, and are compared by
    step 3 and survivors at once on full sets. So no link between two components is lost to the star, no bucket or component is held
    by one task, and links are listed, not pairs.
 
@@ -40,8 +40,8 @@ from .components import components
 BANDS, ROWS = 42, 6
 #: Signature values compared at a time; probability below which a pair is given up; partners of a class compared by one reader; classes and bytes of full sets in a block.
 BATCH, MISS, PARTNERS, BLOCK, BLOCK_BYTES = 36, 1e-6, 64, 512, 1 << 20
-#: Classes of the sample that finds large buckets, classes in it and estimated of all from which a bucket is listed in parts, and large components' least classes; open keys that are broadcast at most (8 bytes each), and partners of a block compared by one reader.
-SAMPLE, LARGE, LARGE_BUCKET, SENT_KEYS, MEETINGS = 20_000, 20, 1000, 1_000_000, 32
+#: Classes of the sample that finds large buckets, classes in it and estimated of all from which a bucket is listed in parts, and large components' least classes; open keys (16 bytes each) and classes (40 bytes each) that are broadcast at most, partners of a block compared by one reader, and steps in which a class finds its home.
+SAMPLE, LARGE, LARGE_BUCKET, SENT_KEYS, SENT_CLASSES, MEETINGS, STEPS = 20_000, 20, 1000, 1_000_000, 500_000, 32, 2
 #: Words whose hashes are remembered; results do not depend on it.
 MAX_WORDS = 400_000
 _SPACES = b" \t\n\v\f\r"
@@ -397,7 +397,13 @@ def _listed(classes: DataFrame) -> DataFrame:
 
 def _between(own: DataFrame, classes: DataFrame, rest: DataFrame, size: int, percent: int) -> DataFrame:
     """Links between the components (root) of the classes (node) in open buckets (key, size)."""
-    nodes = rest.groupBy("node").agg(F.first("root").alias("root"), F.max_by("key", F.struct("size", "key")).alias("home")).join(classes.select("node", "first", "th", "sig", "n"), "node")
+    # A class is at home in the largest bucket that it can reach in a few steps from bucket to bucket, so that near copies are packed together.
+    homes = rest.select("key", "node", F.struct("size", "key").alias("home"))
+    for _ in range(STEPS):
+        homes = homes.groupBy("node").agg(F.max("home").alias("home")).join(rest.select("key", "node"), "node")
+        homes = homes.groupBy("key").agg(F.max("home").alias("home")).join(rest.select("key", "node"), "key")
+    homes = homes.groupBy("node").agg(F.max("home")["key"].alias("home"))
+    nodes = rest.groupBy("node").agg(F.first("root").alias("root")).join(homes, "node").join(classes.select("node", "first", "th", "sig", "n"), "node")
     nodes = materialise(nodes, "open-classes")
     need = lambda count, words: F.ceil(F.greatest(count / BLOCK, 8 * words / BLOCK_BYTES))
     roots = nodes.groupBy("root").agg(F.count("*").alias("_k"), F.sum("n").alias("_w")).where(F.col("_k") >= BLOCK).select("root", need(F.col("_k"), F.col("_w")).alias("own_parts"))
@@ -432,7 +438,8 @@ def _none(classes: DataFrame) -> DataFrame:
 
 def _full_sets(own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The full sets of the classes in wanted (node, first, th), from the text of each one's first document (a null doc_id matches itself)."""
-    found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("th"))).select("node", "text")
+    # Classes are counted: if they are few, texts are not moved to find theirs.
+    found = own.join(F.broadcast(wanted) if wanted.count() <= SENT_CLASSES else wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("th"))).select("node", "text")
     return materialise(map_arrow(found, _sets(size), "node binary, found binary").dropDuplicates(["node"]), "sets")
 
 
