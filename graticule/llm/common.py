@@ -7,10 +7,11 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..plans.storage import drop, materialise, remove, shared_dir
 
-__all__ = ["dealt_evenly", "discard", "file_system", "map_arrow", "materialise", "remove", "shared_dir", "table"]
+__all__ = ["dealt_evenly", "discard", "file_system", "map_arrow", "materialise", "remove", "sent", "shared_dir", "table"]
 
 #: Rows and bytes of one Arrow batch handed to a Python worker; together they bound its memory.
 BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
@@ -22,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+def sent(table: DataFrame, most: int = 500_000) -> DataFrame:
+    """A table of materialise() with narrow rows, to be broadcast if it has `most` of them at most; beyond that Spark joins it by a shuffle."""
+    return F.broadcast(table) if table.count() <= most else table
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete tables of materialise() that nothing reads any more. Shuffle files of finished jobs go when the driver's JVM collects what they belonged to."""
     drop(*tables)

@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise, sent
+
 GRAM, RUN = 5, 6
 SPAN = GRAM + RUN - 1
 #: Most bytes of fingerprints and windows of items that are broadcast; a row counts ROW_BYTES besides its words and ids.
@@ -142,5 +144,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows of which any word is hit; a null or empty text stays."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _hits(own, benchmark).where("size > 0").select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hit_th")), "left_anti")
+    found = materialise(_hits(own, benchmark).where("size > 0").select(F.col("doc_id").alias("_hit_id"), F.col("th").alias("_hit_th")).distinct(), "hit")
+    # Hit documents are counted: if they are few, texts are not moved.
+    return docs.join(sent(found), docs["doc_id"].cast("long").eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_hit_th")), "left_anti")

@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, map_arrow, materialise
+from .common import discard, map_arrow, materialise, sent
 from .components import components
 
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8 ** ROWS) ** BANDS = 3e-6.
@@ -366,7 +366,7 @@ def _judged(rows: DataFrame, own: DataFrame, size: int, percent: int) -> DataFra
     members = _roots(members, roots, "node").withColumnRenamed("node_root", "root")
     open_keys = members.groupBy("key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("size > 2 AND least <> most").select("key", "size")
     open_keys = materialise(open_keys, "open-keys")
-    rest = materialise(members.join(F.broadcast(open_keys) if open_keys.count() <= SENT_KEYS else open_keys, "key"), "open")
+    rest = materialise(members.join(sent(open_keys, SENT_KEYS), "key"), "open")
     discard(stars, open_keys)
     if not rest.isEmpty():
         found = _between(own, classes, rest, size, percent)
@@ -439,7 +439,7 @@ def _none(classes: DataFrame) -> DataFrame:
 def _full_sets(own: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """The full sets of the classes in wanted (node, first, th), from the text of each one's first document (a null doc_id matches itself)."""
     # Classes are counted: if they are few, texts are not moved to find theirs.
-    found = own.join(F.broadcast(wanted) if wanted.count() <= SENT_CLASSES else wanted, F.col("doc_id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("th"))).select("node", "text")
+    found = own.join(sent(materialise(wanted, "wanted"), SENT_CLASSES), F.col("doc_id").eqNullSafe(F.col("first")) & (F.xxhash64("text") == F.col("th"))).select("node", "text")
     return materialise(map_arrow(found, _sets(size), "node binary, found binary").dropDuplicates(["node"]), "sets")
 
 
@@ -471,8 +471,8 @@ def deduplicate(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     judged = _judged(own.withColumn("key", F.md5("text")), own, size, percent)
     nameless = "component_id IS NULL AND node IS NOT NULL"
     judged = materialise(judged.where(f"NOT kept OR {nameless}").select("doc_id", "key", "root", F.expr(nameless).alias("nameless")).distinct(), "gone")
-    gone = judged.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct()
-    left = docs.join(gone, doc_id.eqNullSafe(F.col("_gone")) & (F.md5(text) == F.col("_key")), "left_anti")
+    gone = materialise(judged.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct(), "gone")
+    left = docs.join(sent(gone), doc_id.eqNullSafe(F.col("_gone")) & (F.md5(text) == F.col("_key")), "left_anti")
     chosen = judged.where("nameless").groupBy("root").agg(F.min("key").alias("_key")).select("_key")
     if chosen.isEmpty():
         return left
