@@ -34,9 +34,9 @@ from .common import map_arrow
 from .pretokens import Splitter
 
 #: Most states of the transducer and remembered pairs of tokens, remembered pieces beyond which the memory starts anew (keeping what is met again), and their characters. Results do not depend on them.
-MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 250_000, 200_000, 40
+MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 100_000, 40
 #: Bytes of text in an Arrow batch: a worker holds a batch's texts, ids and decoded texts at once.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import sys
 from collections.abc import Callable, Iterator
 
@@ -35,10 +36,14 @@ def discard(*tables: DataFrame) -> None:
 
 
 def release_others(owner: str) -> None:
-    """Let go of what other operators remember in this Python worker: workers outlive operators, and each should hold one's memory only."""
+    """Let go of what other operators remember in this Python worker: workers outlive operators, and each should hold one's memory only. What is free goes back to the system."""
     for name, module in list(sys.modules.items()):
         if name.startswith(__package__ + ".") and name != owner and hasattr(module, "release"):
             module.release()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, rows: int = BATCH_ROWS, n_bytes: int = BATCH_BYTES) -> DataFrame:
