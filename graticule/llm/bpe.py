@@ -34,7 +34,7 @@ from .common import map_arrow
 from .pretokens import Splitter
 
 #: Most states of the transducer and remembered pairs of tokens, remembered pieces beyond which the memory starts anew (keeping what is met again), and their characters. Results do not depend on them.
-MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 120_000, 100_000, 40
+MAX_STATES, MAX_PIECES, MAX_PIECE_CHARS = 250_000, 200_000, 40
 #: Bytes of text in an Arrow batch: a worker holds a batch's texts, ids and decoded texts at once.
 TEXT_BYTES = 2 << 20
 
@@ -55,7 +55,9 @@ _NEVER = 1 << 60
 class Transducer:
     """BPE of one piece (see the module's text)."""
 
-    def __init__(self, ranks: dict[bytes, int]):
+    def __init__(self, ranks: dict[bytes, int], memory: float = 1.0):
+        """memory: the share of the bounds above that is used."""
+        self.memory = memory
         self.ranks, self.tokens = ranks, {r: b for b, r in ranks.items()}
         self.sizes = {r: len(b) for b, r in ranks.items()}
         self.arcs: dict[int, int] = {}
@@ -155,7 +157,7 @@ class Transducer:
         key = left << 32 | right
         known = self.joint.get(key)
         if known is None:
-            if len(self.joint) >= 4 * MAX_STATES:
+            if len(self.joint) >= 4 * MAX_STATES * self.memory:
                 self.joint.clear()
             known = self.joint[key] = self.agree(left, right)
         return known
@@ -209,7 +211,7 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.states) > MAX_STATES:
+        if len(self.states) > MAX_STATES * self.memory:
             self.reset()
         state, out, steps = 0, [], self.steps.get
         for byte in piece:
@@ -229,7 +231,7 @@ class _Known(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece) or np.array(self.machine.encode(piece.encode()), "<i4").tobytes()
         if len(piece) <= MAX_PIECE_CHARS:
-            if len(self) >= MAX_PIECES:
+            if len(self) >= MAX_PIECES * self.machine.memory:
                 self.old = dict(self)
                 self.clear()
             self[piece] = ids
@@ -239,8 +241,8 @@ class _Known(dict):
 class Encoder:
     """Whole texts: every match of the pattern is encoded separately; pieces are remembered."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.machine, self.pieces = Transducer(ranks), Splitter(pattern).pieces
+    def __init__(self, ranks: dict[bytes, int], pattern: str, memory: float = 1.0):
+        self.machine, self.pieces = Transducer(ranks, memory), Splitter(pattern).pieces
         self.known = _Known(self.machine)
 
     def encode(self, text: str) -> np.ndarray:
@@ -315,16 +317,16 @@ class Utf8Stream:
         return held.decode("utf-8", "replace")
 
 
-_encoders: dict[tuple[int, str], Encoder] = {}
+_encoders: dict[tuple[int, str, float], Encoder] = {}
 
 
-def _encoder(data: bytes, pattern: str) -> Encoder:
+def _encoder(data: bytes, pattern: str, memory: float) -> Encoder:
     """One encoder for each vocabulary and Python worker."""
-    key = (hash(data), pattern)
+    key = (hash(data), pattern, memory)
     if key not in _encoders:
         _encoders.clear()
         gc.disable()  # millions of small tuples live long in this worker, and none of them in circles
-        _encoders[key] = Encoder(parse_ranks(data), pattern)
+        _encoders[key] = Encoder(parse_ranks(data), pattern, memory)
     return _encoders[key]
 
 
@@ -366,16 +368,16 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", int
     return _coded(docs, path, pattern, text, into, decoded, "")
 
 
-def verified(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", verdict: str = "decodes") -> DataFrame:
-    """docs with the ids of the text column and whether they decode to the text, in one pass that gives out no second text."""
-    return _coded(docs, path, pattern, text, into, "", verdict)
+def verified(docs: DataFrame, path: str, pattern: str, text: str = "text", into: str = "ids", verdict: str = "decodes", memory: float = 1.0) -> DataFrame:
+    """docs with the ids of the text column and whether they decode to the text, in one pass that gives out no second text. memory: the share of the remembered states and pieces that a worker keeps; it costs time, not results."""
+    return _coded(docs, path, pattern, text, into, "", verdict, memory)
 
 
-def _coded(docs: DataFrame, path: str, pattern: str, text: str, into: str, decoded: str, verdict: str) -> DataFrame:
+def _coded(docs: DataFrame, path: str, pattern: str, text: str, into: str, decoded: str, verdict: str, memory: float = 1.0) -> DataFrame:
     ranks = _ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(ranks.value, pattern)
+        coder = _encoder(ranks.value, pattern, memory)
         decoder = Decoder(coder.machine.ranks) if decoded or verdict else None
         for b in batches:
             coded, texts, same = [], [], []
