@@ -41,7 +41,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, token ids, their number, and whether they decode to the text."""
-    coded = bpe.verified(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    # Executors' heaps are full of earlier stages by now: workers keep half of what they would remember alone.
+    coded = bpe.verified(docs.select("doc_id", "text"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, memory=0.5)
     return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), "decodes")
 
 
