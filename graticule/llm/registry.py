@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cotrain, decontaminate, lang_id, near_dup, quality_rules, secret_scan, substring_dedup, token_store, warc
+from . import bpe, conversation_repair, conversation_trie, cotrain, decontaminate, lang_id, near_dup, quality_rules, secret_scan, substring_dedup, token_store, url_filter, warc
 from .common import materialise, shared_dir, table
 
 
@@ -61,8 +61,27 @@ def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_summary(files, token_store.vocabulary_size(path), n)
 
 
+#: Rules of op11: host, path, verdict.
+URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
+
+
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages", "page_id", "url"), rules)
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = conversation_trie.sequences(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_trie.trie(conversation_trie.rebuilt(own))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+    return conversation_repair.digests(rows, materialise(conversation_repair.plan(rows), "plans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_lang_id, op7_byte_bpe, op8_substring_dedup, op9_quality_rules, op10_token_store)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_warc, op3_decontamination, op4_secret_scan, op5_quality_classifier, op6_lang_id, op7_byte_bpe, op8_substring_dedup, op9_quality_rules, op10_token_store, op11_url_filter, op12_conversation_trie, op13_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:

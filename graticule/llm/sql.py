@@ -69,4 +69,72 @@ SELECT s.doc_id, len(s.g)::BIGINT AS n_shingles, coalesce(least(m.root, c.id), c
 FROM s LEFT JOIN c ON list_sort(s.g) = c.g LEFT JOIN m ON m.id = c.id
 """
 
-ORACLES = {"op1_near_dedup": NEAR_DEDUP, "op2_warc": WARC, "op3_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY_RULES}
+URL_FILTER = r"""
+WITH r(host, path, verdict) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+a AS (SELECT page_id, coalesce(CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END, '') AS rest FROM pages),
+b AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS own FROM a),
+u AS (SELECT row_number() OVER () AS k, page_id, translate(own, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(own) + 1), '^[^?#]*') AS path FROM b),
+f AS (SELECT k, max({'n': length(r.host) + length(r.path), 'h': length(r.host), 'rule': r.host || r.path, 'verdict': r.verdict}) AS best
+  FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path) GROUP BY k)
+SELECT page_id, host, path, best.rule AS rule, coalesce(best.verdict, 'allow') AS verdict FROM u LEFT JOIN f USING (k)
+"""
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string, bit by bit."""
+    return (
+        f"xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))))"
+    )
+
+
+CONVERSATION_TRIE = f"""
+WITH own AS (SELECT conv_id, list({{'role': coalesce(role, ''), 'text': coalesce(text, '')}} ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS turns,
+  {_crc32("conv_id::VARCHAR")} % 6 AS h FROM conversations GROUP BY conv_id),
+r AS (SELECT a.conv_id, list_concat(list_slice(coalesce(b.turns, []), 1, a.h), list_slice(a.turns, a.h + 1, len(a.turns))) AS turns FROM own a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns,
+  list_transform(turns, lambda t: sha256(length(t.role) || ':' || t.role || t.text)) AS hashes FROM r),
+m AS (SELECT conv_id, n, depth, array_to_string(hashes[1:depth], '') AS path, CASE WHEN depth = 0 THEN 0 ELSE length(turns[depth].text) END AS chars FROM p),
+nodes AS (SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars,
+  sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256 FROM m GROUP BY path, depth),
+kids AS (SELECT substr(path, 1, 64 * (depth - 1)) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY ALL),
+up AS (SELECT substr(n.path, 1, 64 * d) AS path, (n.n_convs - 1) * n.chars AS saved, kids.path IS NULL AS leaf
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM nodes) n LEFT JOIN kids USING (path)),
+sums AS (SELECT path, sum(saved)::BIGINT AS saved, count(*) FILTER (leaf) AS leaves FROM up GROUP BY path)
+SELECT n.conv_id, n.depth::BIGINT AS depth, o.conv_id AS parent_conv_id, n.n_convs, coalesce(k.n, 0) AS n_children, s.leaves AS n_leaves, s.saved AS saved_tokens, n.ends_sha256
+FROM nodes n LEFT JOIN nodes o ON n.depth > 0 AND o.path = substr(n.path, 1, 64 * (n.depth - 1)) LEFT JOIN kids k ON k.path = n.path JOIN sums s ON s.path = n.path
+"""
+
+CONVERSATION_REPAIR = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  {_crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+dam AS (SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN f = 1 THEN '' WHEN f = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE WHEN f = 3 THEN [1, 2] ELSE [1] END) AS again FROM src WHERE f <> 0),
+ord AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text), again) AS i FROM dam),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again_seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS body FROM ord),
+x AS (SELECT conv_id, turn, i, role, text, role[1] AS c, CASE WHEN body = '' THEN 'B' WHEN again_seen THEN 'D' WHEN body[-1] IN ('.', '!', '?') THEN '' ELSE 'T' END AS fault FROM seen),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count(*) FILTER (fault = 'B') AS blank, count(*) FILTER (fault = 'D') AS duplicate,
+  count(*) FILTER (fault = 'T') AS truncated, count(*) AS n FROM x GROUP BY conv_id),
+pairs AS (SELECT a.conv_id, count(*) FILTER (a.c || b.c NOT IN ('su', 'ua', 'au')) AS illegal FROM x a JOIN x b ON a.conv_id = b.conv_id AND b.i = a.i + 1 GROUP BY a.conv_id),
+step(a, b, way) AS (VALUES ('^', 's', ''), ('^', 'u', ''), ('^', 'a', 'I'), ('s', 'u', ''), ('s', 'a', 'I'), ('u', 'u', 'I'), ('u', 'a', ''), ('a', 'u', ''), ('a', 'a', 'I')),
+stop(a, way) AS (VALUES ('^', ''), ('s', 'II'), ('u', 'I'), ('a', '')),
+dp AS (SELECT conv_id, 0::BIGINT AS i, '^' AS s, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM counts
+  UNION ALL SELECT conv_id, i, s, min(best) FROM (
+    SELECT dp.conv_id, x.i, dp.s, {{'cost': dp.best.cost + 3, 'audit': dp.best.audit || 'D'}} AS best FROM dp JOIN x ON x.conv_id = dp.conv_id AND x.i = dp.i + 1
+    UNION ALL SELECT dp.conv_id, x.i, step.b, {{'cost': dp.best.cost + 2 * length(step.way) + CASE WHEN x.c = step.b THEN 0 ELSE 2 END + CASE WHEN x.fault = 'T' THEN 1 ELSE 0 END,
+      'audit': dp.best.audit || step.way || CASE WHEN x.c = step.b THEN 'K' ELSE 'R' END}}
+    FROM dp JOIN x ON x.conv_id = dp.conv_id AND x.i = dp.i + 1 JOIN step ON step.a = dp.s WHERE x.fault IN ('', 'T') AND (x.c = step.b OR step.b <> 's')) GROUP BY conv_id, i, s),
+done AS (SELECT conv_id, min({{'cost': best.cost + 2 * length(way), 'audit': best.audit || way}}) AS best FROM dp JOIN counts USING (conv_id) JOIN stop ON stop.a = dp.s WHERE dp.i = counts.n GROUP BY conv_id),
+ops AS (SELECT conv_id, k, best.audit[k] AS op, k - length(replace(best.audit[1:k], 'I', '')) AS inserts FROM (SELECT conv_id, best, unnest(range(1, length(best.audit) + 1)) AS k FROM done)),
+kept AS (SELECT ops.conv_id, k, op, x.role, x.text, row_number() OVER (PARTITION BY ops.conv_id ORDER BY k) AS o FROM ops LEFT JOIN x ON op <> 'I' AND x.conv_id = ops.conv_id AND x.i = k - inserts WHERE op <> 'D'),
+shift AS (SELECT conv_id, CASE WHEN op = 'K' AND role[1] = 's' THEN 1 ELSE 0 END AS d FROM kept WHERE o = 1),
+texts AS (SELECT conv_id, string_agg(CASE WHEN op = 'K' THEN role WHEN (o - d) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN op = 'I' THEN '' ELSE text END, chr(10) ORDER BY k) AS t FROM kept JOIN shift USING (conv_id) GROUP BY conv_id)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  coalesce(best.cost, 0) AS cost, coalesce(best.audit, '') AS audit, sha256(coalesce(t, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counts USING (conv_id) LEFT JOIN pairs USING (conv_id) LEFT JOIN done USING (conv_id) LEFT JOIN texts USING (conv_id)
+"""
+
+ORACLES = {
+    "op1_near_dedup": NEAR_DEDUP, "op2_warc": WARC, "op3_decontamination": DECONTAMINATION, "op9_quality_rules": QUALITY_RULES,
+    "op11_url_filter": URL_FILTER, "op12_conversation_trie": CONVERSATION_TRIE, "op13_conversation_repair": CONVERSATION_REPAIR,
+}
