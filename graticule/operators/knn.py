@@ -94,16 +94,23 @@ def _compared(k: int | None, metric: str) -> Callable:
     return run
 
 
-def _block_pairs(points: DataFrame, extra: str | None = None) -> DataFrame:
+def _blocks(points: DataFrame, extra: str | None = None) -> DataFrame:
     from ..plans.storage import materialise
 
     typed = points.select(F.col("id").cast("long").alias("id"), F.col("features").cast("array<double>").alias("features"), *([extra] if extra else []))
     more = f", {extra} array<{dict(points.dtypes)[extra]}>" if extra else ""
-    blocks = materialise(typed.mapInArrow(_packer(extra), f"block string, ids binary, data binary{more}"), "blocks")
+    return materialise(typed.mapInArrow(_packer(extra), f"block string, ids binary, data binary{more}"), "blocks")
+
+
+def _block_pairs(points: DataFrame, extra: str | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Every block of the asked points (all, if None) beside every block of points."""
+    blocks = _blocks(points, extra)
     other = blocks.select(F.col("ids").alias("ids_b"), F.col("data").alias("data_b"), *([F.col(extra).alias(f"{extra}_b")] if extra else []))
-    n, size = blocks.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()
+    own = blocks if asked is None else _blocks(asked, extra)
+    n = own.count()
+    size = blocks.agg(F.coalesce(F.sum(F.octet_length("data")), F.lit(0))).first()[0]
     # A few packed rows per thousand points; every pair of blocks is a task's row.
-    return blocks.drop("block").repartition(max(1, n)).crossJoin(F.broadcast(other) if size <= SENT_BYTES else other)
+    return own.drop("block").repartition(max(1, n)).crossJoin(F.broadcast(other) if size <= SENT_BYTES else other)
 
 
 def distance_sums(points: DataFrame, labels: DataFrame, metric: str = "l2") -> DataFrame:
@@ -137,6 +144,11 @@ def knn(points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     return top_k(_block_pairs(points).mapInArrow(_compared(k, metric), "i long, j long, dist double"), k)
 
 
+def nearest_of(asked: DataFrame, points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """knn() of the asked points (id, features) among all points, of which they are some."""
+    return top_k(_block_pairs(points, asked=asked).mapInArrow(_compared(k, metric), "i long, j long, dist double"), k)
+
+
 def top_k(distances: DataFrame, k: int) -> DataFrame:
     """(i, j, rank, dist): the k least distances of each i, from a table (i, j, dist)."""
     order = W.partitionBy("i").orderBy("dist", F.col("i") != F.col("j"), "j")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise
 from .packing import Distinct, distinct, in_space, rows_of, spread_out
 
-#: Points of a block; pivots at most; bytes of packed points that are sent to every executor at most; pairs of which exact distances are computed at once.
-BLOCK, PIVOTS, SENT_BYTES, PAIRS = 1024, 256, 64 << 20, 1 << 14
+#: Points of a block; pivots at most, and points drawn for each; bytes of packed points that are sent to every executor at most; pairs of which exact distances are computed at once.
+BLOCK, PIVOTS, DRAWN, SENT_BYTES, PAIRS = 1024, 256, 16, 64 << 20, 1 << 14
 
 
 def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,10 +33,21 @@ def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chosen_pivots(known: Distinct, pivots: int | None, metric: str) -> np.ndarray:
-    """Some points, by the MD5 of their ids: one for each block of points, PIVOTS at most."""
+    """One pivot for each block of points, PIVOTS at most: from DRAWN points for each, by the MD5 of their ids, those farthest from each other, moved to the means of what is nearest to them."""
     n = pivots or int(np.clip(known.n // BLOCK, 1, PIVOTS))
-    rows = known.points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n).select("data").collect()
-    return in_space(np.stack([np.frombuffer(r[0], "<f8") for r in rows]), metric)
+    rows = known.points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n * DRAWN).select("data").collect()
+    x = in_space(np.stack([np.frombuffer(r[0], "<f8") for r in rows]), metric)
+    chosen, apart = [0], np.full(len(x), np.inf)
+    while len(chosen) < min(n, len(x)):
+        apart = np.minimum(apart, ((x - x[chosen[-1]]) ** 2).sum(1))
+        chosen.append(int(apart.argmax()))
+    centres = x[chosen]
+    for _ in range(5):
+        own = _apart(x, centres)[0].argmin(1)
+        for c in range(len(centres)):
+            if (own == c).any():
+                centres[c] = x[own == c].mean(0)
+    return centres
 
 
 def _dealer(sent, metric: str) -> Callable:

@@ -603,4 +603,4 @@ def entry(spark: SparkSession, d: str) -> DataFrame:
     return QUERIES["tconorm_canonical"](spark, d)
 
 
-from . import graph_queries, shape_queries, table_queries  # noqa: E402, F401  they add their queries to QUERIES and SQL
+from . import graph_queries, search_queries, shape_queries, table_queries  # noqa: E402, F401  they add their queries to QUERIES and SQL

@@ -12,19 +12,27 @@ from pyspark.sql import functions as F
 
 from ..functions.phi import Pair
 from ..operators import clusters, evaluate, fuzzy, mds, paths, separation
+from ..operators.descent import knn_descent
 from ..operators.knn import knn, top_k
+from ..operators.pivots import knn_pivots
 from .storage import materialise
 
+#: Neighbour searches by name: (points, k) to (i, j, rank, dist).
+SEARCHES: dict[str, Callable[[DataFrame, int], DataFrame]] = {"blocks": knn, "pivots": knn_pivots, "descent": knn_descent}
+
 
 def build_graph(
     data: DataFrame, k: int, normalise: bool = True, beyond: bool = True, distances: bool = False, directed: bool = False, tconorm: str = "canonical",
-    metric: str = "canonical", phi: str | Pair | None = None, star: bool = True, m: float = 1.0, pca: int | None = None, scale: float = 1.0, shape: float = 2.0,
+    metric: str = "canonical", phi: str | Pair | None = None, star: bool = True, m: float = 1.0, pca: int | None = None, scale: float = 1.0, shape: float = 2.0, search: str = "blocks",
 ) -> DataFrame:
-    """(src, dst, dist): the merged metric graph of points (id, features) or, with distances, of a table (i, j, dist). k counts the point itself."""
+    """(src, dst, dist): the merged metric graph of points (id, features) or, with distances, of a table (i, j, dist). k counts the point itself.
+
+    search: how neighbours are found, exactly by all blocks or by pivots, or nearly all of them by descent, whose work grows with the points only.
+    """
     if distances:
         near = top_k(data, k)
     else:
-        near = knn(evaluate.pca(data, pca) if pca else data, k)
+        near = SEARCHES[search](evaluate.pca(data, pca) if pca else data, k)
     near = materialise(near, "neighbours")
     if phi == "uniform" and not normalise and not distances:
         scale = data.agg(F.max(F.array_max("features"))).first()[0]

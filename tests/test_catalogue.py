@@ -28,6 +28,8 @@ def finite(rows, *names, size=None):
 #: What is asserted of queries without SQL: f(rows, points) with points (id to label).
 CHECKS = {
     "knn_lsh_l2": lambda rows, p: len({r.i for r in rows}) == len(p) and all(r.dist >= 0 and r.rank <= 15 for r in rows) and sum(r.i == r.j for r in rows) == len(p),
+    "knn_descent": lambda rows, p: {r.i for r in rows} == set(p) and len(rows) == 15 * len(p) and all(r.i == r.j and r.dist == 0 for r in rows if r.rank == 1) and len({(r.i, r.j) for r in rows}) == len(rows),
+    "knn_descent_recall": lambda rows, p: len(rows) == 1 and rows[0].queries == sum(i % 20 == 0 for i in p) and rows[0].recall >= 0.95,
     "phi_half_normal": lambda rows, p: len(rows) > len(p) and all(r.dist >= 0 for r in rows),
     "phi_log_normal": lambda rows, p: len(rows) > len(p) and all(r.dist >= 0 for r in rows),
     "cluster_hulls": lambda rows, p: {r.cluster for r in rows} == set(p.values()) and finite(rows, "x", "y"),
