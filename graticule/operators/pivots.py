@@ -89,59 +89,82 @@ def _blocker(sent, metric: str) -> Callable:
 
 
 def _visitor(sent, metric: str, k: int) -> Callable:
-    """The queries of a block that each cell can have neighbours of, with the largest distance at which these can lie."""
-    schema = pa.schema([("cell", pa.int32()), ("n_queries", pa.int32()), ("queries", pa.binary()), ("asked", pa.binary()), ("most", pa.binary())])
+    """A block's queries once for each cell that can have neighbours of some of them, nearest cells first, with each query's least distance to the cell, and the largest at which its k-th neighbour can lie."""
+    schema = pa.schema([("cell", pa.int32()), ("n_queries", pa.int32()), ("queries", pa.binary()), ("asked", pa.binary()), ("least", pa.binary()), ("most", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pivots, low, high, counts = sent.value
         for b in batches:
             for ids, data in zip(b.column("ids").to_pylist(), b.column("data").to_pylist()):
-                ids = np.frombuffer(ids, "<i8")
-                x = np.frombuffer(data, "<f8").reshape(len(ids), -1)
+                x = np.frombuffer(data, "<f8").reshape(len(ids) // 8, -1)
                 s = in_space(x, metric)
                 d, wrong = _apart(s, pivots)
                 # The k-th neighbour lies within the block's k-th distance, and within a cell's whole reach once the nearest cells have k points.
-                most = np.full(len(ids), np.inf)
-                if len(ids) >= k:
+                most = np.full(len(x), np.inf)
+                if len(x) >= k:
                     inner, off = _apart(s, s)
                     most = np.partition(inner + off, k - 1, axis=1)[:, k - 1]
                 reach = d + wrong + np.diag(high)
                 order = reach.argsort(1)
                 enough = (counts[order].cumsum(1) >= k).argmax(1)
                 if counts.sum() >= k:
-                    most = np.minimum(most, reach[np.arange(len(ids)), order[np.arange(len(ids)), enough]])
-                least = np.zeros((len(ids), len(counts)))
+                    most = np.minimum(most, reach[np.arange(len(x)), order[np.arange(len(x)), enough]])
+                least = np.zeros((len(x), len(counts)))
                 for p in range(len(pivots)):
                     np.maximum(least, np.maximum((d - wrong)[:, p, None] - high[None, :, p], low[None, :, p] - (d + wrong)[:, p, None]), out=least)
-                near = least <= most[:, None]
-                for c in np.flatnonzero(near.any(0) & (counts > 0)).tolist():
-                    q = np.flatnonzero(near[:, c])
-                    row = [[c], [len(q)], [ids[q].tobytes()], [x[q].tobytes()], [most[q].tobytes()]]
+                near = (least <= most[:, None]) & (counts > 0)
+                for c in sorted(np.flatnonzero(near.any(0)).tolist(), key=lambda c: (least[:, c].sum(), d[:, c].sum())):
+                    row = [[c], [int(near[:, c].sum())], [ids], [data], [least[:, c].tobytes()], [most.tobytes()]]
                     yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, schema)], schema=schema)
 
     return run
 
 
 def _comparer(metric: str, k: int) -> Callable:
+    """Queries against blocks. Rows of one block of queries stand together: its nearest so far bound what further cells can have, and it passes on k of each query once."""
     from .knn import _exact
 
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("dist", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, a, x, s, bound, best = None, None, None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            rows, ids, dist = best
+            return pa.RecordBatch.from_arrays([pa.array(a[rows]), pa.array(ids), pa.array(dist)], schema=schema)
+
         for b in batches:
-            for row in b.to_pylist():
-                a, c = np.frombuffer(row["queries"], "<i8"), np.frombuffer(row["ids"], "<i8")
-                x, y = np.frombuffer(row["asked"], "<f8").reshape(len(a), -1), np.frombuffer(row["data"], "<f8").reshape(len(c), -1)
-                d, wrong = _apart(in_space(x, metric), in_space(y, metric))
-                last = min(len(c), k) - 1
-                within = np.minimum(np.partition(d + wrong, last, axis=1)[:, last], np.frombuffer(row["most"], "<f8"))
-                rows, found = np.nonzero(d - wrong <= within[:, None])
-                if not len(rows):
+            for n in range(b.num_rows):
+                row = {c: b.column(c)[n].as_py() for c in ("queries", "asked", "least", "most", "ids", "data")}
+                if row["queries"] != key:
+                    if key is not None and len(best[0]):
+                        yield out()
+                    key, a = row["queries"], np.frombuffer(row["queries"], "<i8")
+                    x = np.frombuffer(row["asked"], "<f8").reshape(len(a), -1)
+                    s, bound = in_space(x, metric), np.frombuffer(row["most"], "<f8").copy()
+                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                c = np.frombuffer(row["ids"], "<i8")
+                y = np.frombuffer(row["data"], "<f8").reshape(len(c), -1)
+                some = np.flatnonzero(np.frombuffer(row["least"], "<f8") <= bound)
+                if not len(some):
                     continue
-                dist = np.concatenate([_exact(x[rows[i : i + PAIRS]], y[found[i : i + PAIRS]], metric) for i in range(0, len(rows), PAIRS)])
-                order = np.lexsort((c[found], a[rows] != c[found], dist, rows))
-                first = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]  # rows ascend, so order keeps each row's pairs in place
-                yield pa.RecordBatch.from_arrays([pa.array(a[rows[first]]), pa.array(c[found[first]]), pa.array(dist[first])], schema=schema)
+                d, wrong = _apart(s[some], in_space(y, metric))
+                if len(c) >= k:
+                    bound[some] = np.minimum(bound[some], np.partition(d + wrong, k - 1, axis=1)[:, k - 1])
+                at, found = np.nonzero(d - wrong <= bound[some, None])
+                at = some[at]
+                dist = np.concatenate([np.zeros(0), *(_exact(x[at[i : i + PAIRS]], y[found[i : i + PAIRS]], metric) for i in range(0, len(at), PAIRS))])
+                rows, ids, dist = np.concatenate([best[0], at]), np.concatenate([best[1], c[found]]), np.concatenate([best[2], dist])
+                order = np.lexsort((ids, a[rows] != ids, dist, rows))
+                rows, ids, dist = rows[order], ids[order], dist[order]
+                place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+                best = tuple(v[place < k] for v in (rows, ids, dist))
+                full = place == k - 1
+                # In the space of the bounds: a cosine distance of c is an angle whose chord is sqrt(2 c).
+                last = np.sqrt(2 * np.maximum(dist[full], 0)) if metric == "cosine" else dist[full]
+                bound[rows[full]] = np.minimum(bound[rows[full]], last * (1 + 1e-9) + 1e-7)
+        if key is not None and len(best[0]):
+            yield out()
 
     return run
 
@@ -161,12 +184,12 @@ def _visits(known: Distinct, k: int, metric: str, pivots: int | None) -> tuple[D
     low, high, counts = np.full((len(centres), len(centres)), np.inf), np.full((len(centres), len(centres)), -np.inf), np.zeros(len(centres), np.int64)
     low[ends["cell"], ends["pivot"]], high[ends["cell"], ends["pivot"]], counts[sizes["cell"]] = ends["low"], ends["high"], sizes["n"]
     facts = spark.sparkContext.broadcast((centres, low, np.where(np.isinf(high), np.inf, high), counts))
-    visits = blocks.select("ids", "data").repartition(max(1, blocks.count())).mapInArrow(_visitor(facts, metric, k), "cell int, n_queries int, queries binary, asked binary, most binary")
+    visits = blocks.select("ids", "data").repartition(max(1, blocks.count())).mapInArrow(_visitor(facts, metric, k), "cell int, n_queries int, queries binary, asked binary, least binary, most binary")
     return blocks.select("cell", "n", "ids", "data"), visits
 
 
 def pivot_work(points: DataFrame, k: int, metric: str = "l2", pivots: int | None = None) -> DataFrame:
-    """One row: points that differ, and the pairs of them that knn_pivots compares."""
+    """One row: points that differ, and the pairs of them that knn_pivots compares at most."""
     known = distinct(points, k)
     blocks, visits = _visits(known, k, metric, pivots)
     cells = blocks.groupBy("cell").agg(F.sum("n").alias("n"))

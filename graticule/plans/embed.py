@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.phi import Pair
-from ..operators import clusters, evaluate, fuzzy, mds, paths, separation
+from ..operators import clusters, eigen, evaluate, fuzzy, mds, paths, separation
 from ..operators.descent import knn_descent
 from ..operators.knn import knn, top_k
 from ..operators.pivots import knn_pivots
@@ -71,29 +71,42 @@ def _landmark_table(data: DataFrame, k: int, n: int = 0, directed: bool = False,
     return labels, marks, materialise(from_marks.select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"), "distances")
 
 
-def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, init: str | DataFrame = "classical", **options) -> DataFrame:
-    """(id, component, init, embedding) of points, or of a distance table.
+#: Ways of scaling: in one task, by landmarks, by joins.
+WAYS = ("dense", "landmarks", "joins")
+
+
+def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, init: str | DataFrame = "classical", way: str | None = None, landmarks: int = 0, **options) -> DataFrame:
+    """(id, component, init, embedding, way) of points, or of a distance table.
 
     Components are scaled by themselves and moved by the scaled means of their points (added once, to both). Without split a graph of several components is an error.
-    init: classical, spectral, random, or a table (id, init). Points (not tables) beyond mds.DENSE go by landmarks: geodesics from these alone, see mds.by_landmarks;
-    there the initialisation is classical, and dijkstra and geodesic have no meaning.
+    way: dense, each component in one task, at most mds.DENSE points of it, from an init of classical, spectral, random, or a table (id, init); landmarks, by geodesics from some points of each component only
+    (landmarks of them, mds.LANDMARKS if 0), see mds.by_landmarks; joins, by all geodesics and no task that holds a component, see eigen.classical_by_joins and mds.descend_by_joins. Without a way, data of up to mds.DENSE points
+    go the dense way, more points by landmarks and larger tables by joins. The column way says which one it was. By landmarks and by joins the initialisation is classical; by landmarks dijkstra and geodesic have no meaning.
     """
-    large = not distances and data.count() > mds.DENSE
-    if large:
-        if options.pop("geodesic", False) or not options.pop("dijkstra", True) or init != "classical":
-            raise ValueError(f"more than {mds.DENSE} points go by landmarks, with geodesics and from classical scaling")
+    size = (data.select("i").distinct() if distances else data).count()
+    way = way or ("dense" if size <= mds.DENSE else "joins" if distances else "landmarks")
+    if way not in WAYS:
+        raise ValueError(f"unknown way {way!r}; known: {', '.join(WAYS)}")
+    if way != "dense" and init != "classical":
+        raise ValueError(f"the way by {way} starts from classical scaling")
+    if way == "landmarks":
+        if options.pop("geodesic", False) or not options.pop("dijkstra", True):
+            raise ValueError("landmarks need geodesics")
         options.pop("most", None)
-        labels, _, table = _landmark_table(data, k, **options)
+        labels, _, table = _landmark_table(data, k, landmarks, distances=distances, **options)
     else:
         table = materialise(distance_table(data, k, distances=distances, **options), "distances")
         labels = materialise(table.groupBy("i").agg(F.min("j").alias("component")).withColumnRenamed("i", "id"), "labels")
     n = labels.select("component").distinct().count()
     if n > 1 and not split:
         raise ValueError(f"the graph has {n} components; raise k, or split it")
-    if large:
+    if way == "landmarks":
         out = mds.by_landmarks(table, labels, d, metric, **(sgd or {}))
-    else:
+    elif way == "dense":
         out = mds.embed_components(table, labels, d, metric, init, **(sgd or {}))
+    else:
+        out = _by_joins(table, labels, d, metric, sgd or {})
+    out = out.withColumn("way", F.lit(way))
     if n == 1 or distances:
         return out
     centre = _means(data, labels)
@@ -101,7 +114,23 @@ def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool
     centres = x if x.shape[1] == d else mds.classical(((x[:, None] - x[None]) ** 2).sum(-1), d)
     moves = data.sparkSession.createDataFrame([(int(c), [float(v) for v in y]) for c, y in zip(centre["component"], centres, strict=True)], "component long, move array<double>")
     add = lambda c: F.zip_with(c, "move", lambda a, b: a + b).alias(c)
-    return out.join(F.broadcast(moves), "component").select("id", "component", add("init"), add("embedding"))
+    return out.join(F.broadcast(moves), "component").select("id", "component", add("init"), add("embedding"), "way")
+
+
+def _by_joins(table: DataFrame, labels: DataFrame, d: int, metric: bool, sgd: dict) -> DataFrame:
+    """embed_components() of components of any size: those beyond mds.DENSE points one after the other by joins, the others as they are."""
+    sizes = labels.groupBy("component").count()
+    large = [r["component"] for r in sizes.where(F.col("count") > (mds.DENSE if sizes.count() > 1 else 0)).collect()]  # no more than points / DENSE
+    small = labels.where(~F.col("component").isin(large))
+    out = None if small.isEmpty() else mds.embed_components(table.join(small.select(F.col("id").alias("i")), "i", "left_semi"), small, d, metric)
+    for component in large:
+        own = labels.where(F.col("component") == component).select(F.col("id").alias("i"))
+        part = materialise(table.join(own, "i", "left_semi"), "distances")
+        start = materialise(eigen.classical_by_joins(part, d), "init")
+        end = mds.descend_by_joins(part, start, d, **sgd) if metric else start.select("id", F.col("init").alias("embedding"))
+        done = start.join(end, "id").select("id", F.lit(component).cast("long").alias("component"), "init", "embedding")
+        out = done if out is None else out.unionByName(done)
+    return out
 
 
 def isomap(data: DataFrame, k: int = 15, d: int = 2) -> DataFrame:
@@ -119,14 +148,17 @@ class ClusterEmbedding:
     paths: np.ndarray
 
 
-def cluster_embed(data: DataFrame, k: int, n_clusters: int | None = 10, distances: bool = False, cluster: Callable[[DataFrame], DataFrame] | None = None, **options) -> ClusterEmbedding:
+def cluster_embed(data: DataFrame, k: int, n_clusters: int | None = 10, distances: bool = False, cluster: Callable[[DataFrame], DataFrame] | None = None, together: bool = True, **options) -> ClusterEmbedding:
     """Points clustered by average linkage of geodesic distances (or by a function of the table of them), scaled to the plane, and clusters moved apart.
 
-    Points (not tables) beyond mds.DENSE go by landmarks: these are clustered, every other point has the cluster of the nearest one, and medoids are landmarks. The
+    together: all points are scaled at once; else each cluster by itself, in one task, and put where its medoid stands when medoids are scaled by their distances.
+    Points (not tables) beyond mds.DENSE go by landmarks, together only: these are clustered, every other point has the cluster of the nearest one, and medoids are landmarks. The
     graph must be connected then. Only hulls and the points nearest other clusters' medoids reach the driver.
     """
     by = cluster or (lambda t: clusters.linkage_clusters(t, n_clusters))
     if not distances and data.count() > mds.DENSE:
+        if not together:
+            raise ValueError("beyond mds.DENSE points clusters are scaled together, by landmarks")
         components, marks, to_marks = _landmark_table(data, k, **options)
         if components.select("component").distinct().count() > 1:
             raise ValueError("the graph has several components; raise k")
@@ -140,17 +172,21 @@ def cluster_embed(data: DataFrame, k: int, n_clusters: int | None = 10, distance
         table = materialise(distance_table(data, k, distances=distances, **options), "distances")
         labels = materialise(by(table), "labels")
         middle = materialise(clusters.medoids(table, labels), "medoids")
-        whole = labels.select("id", F.lit(0).cast("long").alias("component"))
-        placed = mds.embed_components(table, whole, 2, metric=False)
+        own = labels.select("id", (F.lit(0) if together else F.col("cluster")).cast("long").alias("component"))
+        placed = mds.embed_components(table if together else clusters.within(table, labels).select("i", "j", "dist"), own, 2, metric=False)
     placed = materialise(placed.select("id", F.col("init")[0].alias("x"), F.col("init")[1].alias("y")).join(labels, "id"), "placed")
     # Clusters are few: a row each, and some thousand points near each other one, go to the driver.
-    medoid = middle.join(placed.select(F.col("id").alias("medoid"), "x", "y"), "medoid").orderBy("cluster").toPandas()
+    medoid = middle.join(placed.select(F.col("id").alias("medoid"), "x", "y"), "medoid").select("cluster", "medoid", "x", "y").orderBy("cluster").toPandas()
     ids, names = medoid["medoid"].to_numpy(), medoid["cluster"].tolist()
     chosen = table.join(F.broadcast(middle.select(F.col("medoid").alias("i"))), "i").join(F.broadcast(middle.select(F.col("medoid").alias("j"))), "j").toPandas()
     apart = np.zeros((len(ids), len(ids)))
     order = np.argsort(ids)
     apart[order[np.searchsorted(ids[order], chosen["i"])], order[np.searchsorted(ids[order], chosen["j"])]] = chosen["dist"]
     spark = data.sparkSession
+    if not together:
+        medoid[["x", "y"]] = mds.classical(((apart + apart.T) / 2) ** 2, 2)
+        steps = spark.createDataFrame(medoid.rename(columns={"x": "mx", "y": "my"})[["cluster", "mx", "my"]])
+        placed = materialise(placed.join(F.broadcast(steps), "cluster").select("id", "cluster", (F.col("x") + F.col("mx")).alias("x"), (F.col("y") + F.col("my")).alias("y")), "placed")
     others = spark.createDataFrame(medoid.rename(columns={"cluster": "other", "x": "mx", "y": "my"})[["other", "mx", "my"]])
     near = separation.nearest_points(placed, others).select("cluster", "id", "x", "y").distinct().orderBy("cluster", "id").toPandas()
     corners = clusters.hulls(placed).orderBy("cluster", "corner").toPandas()

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import descent, pivots
-from .catalogue import K, P, points, query, rounded
+from ..operators import descent, eigen, mds, pivots, spanning
+from ..operators.knn import pairwise
+from . import embed
+from .catalogue import GRAPH, PAIRS, K, P, points, query, rounded
 from .graph_queries import _COARSE, _ZEROS, _coarse
 from .storage import materialise
 
@@ -45,3 +47,60 @@ def knn_descent_recall(spark, d):
     """Queries are the points whose ids are divisible by 20, against all."""
     own = points(spark, d)
     return descent.recall(materialise(descent.knn_descent(own, K), "found"), own, K)
+
+
+@query()
+def spectral_by_joins(spark, d):
+    """The four least eigenvalues of the neighbour graph's normalised Laplacian, and their residuals."""
+    near = materialise(descent.knn_descent(points(spark, d), K), "found").select("i", "j")
+    found = eigen.spectral_by_joins(near, 3, tolerance=1e-4)[1]
+    rows = [(k, float(1 - v), float(r)) for k, (v, r) in enumerate(zip(found.values, found.residuals, strict=True))]
+    return spark.createDataFrame(rows, "place int, eigenvalue double, residual double")
+
+
+@query(f"WITH {P}, q AS (SELECT id, v[1:3] AS v FROM p) SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v), 4) + 0.0 AS dist FROM q a, q b")
+def scaling_by_joins(spark, d):
+    """Three coordinates, whose distances classical scaling in three dimensions gives back."""
+    own = points(spark, d).select("id", F.slice("features", 1, 3).alias("features"))
+    placed = eigen.classical_by_joins(materialise(pairwise(own), "distances"), 3, steps=4, most_rounds=3, tolerance=1e-8)
+    return rounded(pairwise(placed.select("id", F.transform("init", lambda x: x * 1.5**0.5).alias("features"))), "dist", to=4)
+
+
+@query()
+def stress_descent(spark, d):
+    """Geodesics of all points to landmarks, placed by these and then moved by descent over all of them: the loss before and after."""
+    labels, _, table = embed._landmark_table(points(spark, d), K, 50, search="descent")
+    start = materialise(mds.by_landmarks(table, labels, 2, metric=False).select("id", "init"), "init")
+    end = materialise(mds.descend_by_joins(table, start, 2, epochs=30), "embedding")
+    at = lambda t, c, name: t.select(F.col("id").alias(c), F.col(name).alias(f"y{c}"))
+    loss = lambda t, name: table.where("i <> j").join(at(t, "i", name), "i").join(at(t, "j", name), "j").select(F.sqrt(F.aggregate(F.zip_with("yi", "yj", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("found"), "dist")
+    both = [mds.stress(loss(t, name)).select(F.lit(when).alias("at"), "mse") for when, t, name in (("start", start, "init"), ("end", end, "embedding"))]
+    return both[0].unionByName(both[1])
+
+
+_THRESHOLDS = [0.1, 0.3, 0.5, 0.7, 1.0, 1.3]
+_GRAPH = GRAPH.replace(PAIRS, _CLUSTERED)
+_TREE_EDGES = f"{_GRAPH}, t(threshold) AS (VALUES {', '.join(f'({t}::DOUBLE)' for t in _THRESHOLDS)})"
+
+
+@query(f"WITH RECURSIVE {_TREE_EDGES}, r(threshold, id, component) AS (SELECT threshold, id, id FROM p, t UNION SELECT r.threshold, g.dst, r.component FROM r JOIN g ON g.src = r.id WHERE g.dist <= r.threshold AND r.component < g.dst), m AS (SELECT threshold, id, min(component) AS c FROM r GROUP BY ALL) SELECT threshold, count(DISTINCT c) AS components FROM m GROUP BY threshold")
+def components_by_threshold(spark, d):
+    """How many components the graph has as its edges grow, from its spanning forest."""
+    forest = materialise(spanning.spanning_forest(embed.build_graph(clustered(spark, d), K, search="pivots")), "forest")
+    return spanning.betti_curve(points(spark, d).select("id"), forest, _THRESHOLDS)
+
+
+@query(f"WITH RECURSIVE {_GRAPH}, r(id, component) AS (SELECT id, id FROM p UNION SELECT g.dst, r.component FROM r JOIN g ON g.src = r.id WHERE g.dist <= 0.3 AND r.component < g.dst) SELECT id, min(component) AS component FROM r GROUP BY id")
+def single_linkage_cut(spark, d):
+    forest = materialise(spanning.spanning_forest(embed.build_graph(clustered(spark, d), K, search="pivots")), "forest")
+    return spanning.cut_at(points(spark, d).select("id"), forest, 0.3)
+
+
+@query()
+def single_linkage(spark, d):
+    """Ten clusters of the clustered points, over the graph that descent finds, and of all between clusters' first points."""
+    own = clustered(spark, d)
+    near = embed.build_graph(own, K, normalise=False, beyond=False, search="descent")
+    heads = materialise(own.join(points(spark, d).groupBy("label").agg(F.min("id").alias("id")), "id").select("id", "features"), "heads")
+    between = pairwise(heads).select(F.col("i").alias("src"), F.col("j").alias("dst"), "dist")
+    return spanning.single_linkage(own.select("id"), near.unionByName(between), None)

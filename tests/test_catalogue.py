@@ -30,6 +30,9 @@ CHECKS = {
     "knn_lsh_l2": lambda rows, p: len({r.i for r in rows}) == len(p) and all(r.dist >= 0 and r.rank <= 15 for r in rows) and sum(r.i == r.j for r in rows) == len(p),
     "knn_descent": lambda rows, p: {r.i for r in rows} == set(p) and len(rows) == 15 * len(p) and all(r.i == r.j and r.dist == 0 for r in rows if r.rank == 1) and len({(r.i, r.j) for r in rows}) == len(rows),
     "knn_descent_recall": lambda rows, p: len(rows) == 1 and rows[0].queries == sum(i % 20 == 0 for i in p) and rows[0].recall >= 0.95,
+    "spectral_by_joins": lambda rows, p: [r.place for r in rows] == [0, 1, 2, 3] and abs(rows[0].eigenvalue) < 1e-3 and all(0 <= r.residual < 1e-2 and -1e-6 <= r.eigenvalue <= 2 for r in rows),
+    "stress_descent": lambda rows, p: {r.at for r in rows} == {"start", "end"} and {r.at: r.mse for r in rows}["end"] < {r.at: r.mse for r in rows}["start"],
+    "single_linkage": lambda rows, p: {r.id: r.cluster for r in rows}.keys() == p.keys() and len({(r.cluster, p[r.id]) for r in rows}) == len(set(p.values())) == len({r.cluster for r in rows}),
     "phi_half_normal": lambda rows, p: len(rows) > len(p) and all(r.dist >= 0 for r in rows),
     "phi_log_normal": lambda rows, p: len(rows) > len(p) and all(r.dist >= 0 for r in rows),
     "cluster_hulls": lambda rows, p: {r.cluster for r in rows} == set(p.values()) and finite(rows, "x", "y"),
