@@ -9,8 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-#: Intervals that are sent to every executor at most, about 50 bytes each.
-SENT = 10_000
+#: Intervals that are sent to every executor at most, to be looked at one by one; rows of their index that are sent at most, about 80 bytes each.
+SENT, SENT_SPANS = 200, 500_000
 
 
 def binned_counts(events: DataFrame, key: str, ts: str, width: float, fill: bool = False) -> DataFrame:
@@ -22,23 +22,40 @@ def binned_counts(events: DataFrame, key: str, ts: str, width: float, fill: bool
     return grid.join(counts, [key, "bin"], "left").select(key, "bin", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def in_intervals(events: DataFrame, intervals: DataFrame, ts: str, outside: bool = False, width: float | None = None) -> DataFrame:
-    """events in half-open intervals (name, start, end), with the name; or those in none.
+def _levels(intervals: DataFrame) -> tuple[DataFrame, list[int]]:
+    """Intervals that hold anything, with _level, the power of two that their length does not exceed, and _bucket, the one or two stretches of that length they lie in; and the levels there are (as many as lengths have binary exponents)."""
+    some = intervals.where(F.col("end") > F.col("start"))
+    # A little more, so that rounding never makes a bucket shorter than what lies in it.
+    level = F.ceil(F.log2((F.col("end") - F.col("start")).cast("double")) + 1e-9).cast("int")
+    size = F.pow(F.lit(2.0), F.col("_level"))
+    at = lambda c: F.floor(F.col(c) / size).cast("long")
+    spans = some.withColumn("_level", level).withColumn("_bucket", F.explode(F.array_distinct(F.array(at("start"), at("end")))))
+    return spans, sorted(r[0] for r in some.select(level.alias("level")).distinct().collect())
 
-    Intervals are counted: up to SENT are sent to every executor. Beyond, or with a width (seconds), events meet the intervals of their bucket of that length only.
+
+def in_intervals(events: DataFrame, intervals: DataFrame, ts: str, outside: bool = False, indexed: bool | None = None) -> DataFrame:
+    """events in half-open intervals (name, start, end), with the name; or those in none. Intervals without a length, or with a null end, hold nothing; an event without a time is in none.
+
+    Intervals are counted: up to SENT are sent to every executor, which looks at each. More of them, or indexed, are kept by levels: an interval lies in the level of its own length, in two
+    buckets there at most, and an event looks into one bucket of each level. So long intervals do not fill the buckets of short ones, and what meets is in proportion to what is found.
+    The index is sent too if it has SENT_SPANS rows at most.
     """
     inside = (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))
-    if width is None:
-        n, length = intervals.agg(F.count("*"), F.avg(F.col("end") - F.col("start"))).first()
-        if n <= SENT:
-            return events.join(F.broadcast(intervals), inside, "left_anti" if outside else "inner")
-        width = max(float(length or 0), 1e-6)
-    if outside:
-        spans = intervals.select("start", "end", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))).alias("_of"))
-        bucketed = events.withColumn("_bucket", F.floor(F.col(ts) / width))
-        return bucketed.join(spans, (F.col("_bucket") == F.col("_of")) & inside, "left_anti").drop("_bucket")
-    spans = intervals.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width))))
-    return events.withColumn("_bucket", F.floor(F.col(ts) / width)).join(spans, "_bucket").where(inside).drop("_bucket")
+    if not (intervals.count() > SENT if indexed is None else indexed):
+        return events.join(F.broadcast(intervals), inside, "left_anti" if outside else "inner")
+    spans, levels = _levels(intervals)
+    if not levels:
+        return events if outside else events.join(F.broadcast(intervals.limit(0)), F.lit(True))
+    spans = F.broadcast(spans) if spans.count() <= SENT_SPANS else spans
+    looks = F.explode(F.array(*(F.struct(F.lit(k).alias("level"), F.floor(F.col(ts) / 2.0**k).cast("long").alias("bucket")) for k in levels)))
+    same = (F.col("_look.level") == F.col("_level")) & (F.col("_look.bucket") == F.col("_bucket")) & inside
+    if not outside:
+        return events.withColumn("_look", looks).join(spans, same).drop("_look", "_level", "_bucket")
+    from ..plans.storage import materialise
+
+    rows = materialise(events.withColumn("_row", F.monotonically_increasing_id()), "events")
+    met = rows.select("_row", ts).withColumn("_look", looks).join(spans, same, "left_semi").select("_row").distinct()
+    return rows.join(met, "_row", "left_anti").drop("_row")
 
 
 def lag_histogram(events: DataFrame, key: str, ts: str, most: float, bins: int) -> DataFrame:
@@ -80,14 +97,32 @@ def resampled(events: DataFrame, key: str, ts: str, value: str, step: float, buc
 def gaussian_smoothed(counts: DataFrame, key: str, at: str, value: str, sigma: float, support: float = 5.0) -> DataFrame:
     """counts (whole numbers at) with smooth: the sum of values within support * sigma, weighted by a Gaussian of their distance.
 
-    Every value is added where it reaches, so that Spark merges on the map side and a key's series is no one task's.
+    Values are summed by place, and places dealt to buckets of time that are longer than the kernel reaches; a place near a bucket's end is copied to the one beside it, so a row becomes two at most
+    whatever sigma is, and no task holds more of a key than a bucket. Rows with a null place or value add nothing; the former have no smooth either.
     """
+    import numpy as np
+    import pandas as pd
+
     reach = int(math.ceil(support * sigma))
-    steps = F.explode(F.sequence(F.lit(-reach), F.lit(reach))).alias("_step")
-    spread = counts.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.col(value).cast("double").alias("_v"), steps)
-    weight = F.exp(-(F.col("_step") * F.col("_step")) / (2.0 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
-    sums = spread.groupBy("_key", (F.col("_at") + F.col("_step")).alias("_at")).agg(F.sum(F.col("_v") * weight).alias("smooth"))
-    return counts.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_at"))).drop("_key", "_at")
+    width = max(4096, 2 * reach)
+    kernel = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2.0 * sigma * sigma)) / (sigma * math.sqrt(2 * math.pi))
+    kind = dict(counts.dtypes)[key]
+    places = counts.where(F.col(at).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(at).cast("long").alias("_at")).agg(F.coalesce(F.sum(F.col(value).cast("double")), F.lit(0.0)).alias("_v"))
+    bucket = F.floor(F.col("_at") / width).cast("long")
+    beside = F.array_compact(F.array(bucket, F.when(F.col("_at") - bucket * width < reach, bucket - 1), F.when((bucket + 1) * width - F.col("_at") <= reach, bucket + 1)))
+    dealt = places.withColumn("_bucket", F.explode(beside))
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        low = int(rows["_bucket"].iloc[0]) * width
+        line = np.zeros(width + 2 * reach)
+        at_ = rows["_at"].to_numpy() - low
+        line[at_ + reach] = rows["_v"]
+        own = (at_ >= 0) & (at_ < width)
+        smooth = np.convolve(line, kernel, "valid")[at_[own]]
+        return pd.DataFrame({"_key": rows["_key"][own], "_at": rows["_at"][own], "smooth": smooth})
+
+    sums = dealt.groupBy("_key", "_bucket").applyInPandas(run, f"_key {kind}, _at long, smooth double")
+    return counts.join(sums, F.col(key).eqNullSafe(F.col("_key")) & (F.col(at) == F.col("_at")), "left").drop("_key", "_at")
 
 
 def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | None = None, bucket: float = 86400.0) -> DataFrame:
@@ -237,9 +272,9 @@ def longest(bars: DataFrame, n: int, key: str, birth: str, death: str) -> DataFr
 
 
 def rolled(df: DataFrame, key: str, at: str, value: str, shift: int) -> DataFrame:
-    """df with rolled: each key's values moved by shift rows, round the end. Rows are numbered over ranges of key and at, so a key's series is no one task's."""
+    """df with rolled: each key's values moved by shift rows, round the end; a null key is a key. Rows are numbered over ranges of key and at, so a key's series is no one task's."""
     n = numbered(df, key, at)
-    ends = n.groupBy(key).agg(F.min("_rn").alias("_low"), F.count("*").alias("_n"))
-    n = n.join(ends, key).withColumn("_rn", F.col("_rn") - F.col("_low"))
-    moved = n.select(F.col(key), F.pmod(F.col("_rn") + shift, F.col("_n")).alias("_rn"), F.col(value).alias("rolled"))
-    return n.join(moved, [key, "_rn"]).select(*df.columns, "rolled")
+    ends = n.groupBy(F.col(key).alias("_key")).agg(F.min("_rn").alias("_low"), F.count("*").alias("_n"))
+    n = n.join(ends, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_rn", F.col("_rn") - F.col("_low"))
+    moved = n.select(F.col(key).alias("_key"), F.pmod(F.col("_rn") + shift, F.col("_n")).alias("_to"), F.col(value).alias("rolled"))
+    return n.join(moved, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_rn") == F.col("_to"))).select(*df.columns, "rolled")

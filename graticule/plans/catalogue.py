@@ -341,7 +341,7 @@ def event_interval_join(spark, d):
 
 @query(f"WITH {T}, {_IV} SELECT event_id, name FROM e JOIN iv ON t >= s AND t < f")
 def event_interval_bucket_join(spark, d):
-    return series.in_intervals(events(spark, d), intervals(spark), "t", width=86400.0).select("event_id", "name")
+    return series.in_intervals(events(spark, d), intervals(spark), "t", indexed=True).select("event_id", "name")
 
 
 @query(f"WITH {T}, {_IV} SELECT event_id FROM e WHERE NOT EXISTS (SELECT 1 FROM iv WHERE t >= s AND t < f)")

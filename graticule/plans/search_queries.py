@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import descent, eigen, mds, pivots, spanning
+from ..operators import descent, eigen, grids, mds, pivots, series, spanning
 from ..operators.knn import pairwise
+from ..sources.tables import table
 from . import embed
 from .catalogue import GRAPH, PAIRS, K, P, points, query, rounded
 from .graph_queries import _COARSE, _ZEROS, _coarse
@@ -104,3 +105,44 @@ def single_linkage(spark, d):
     heads = materialise(own.join(points(spark, d).groupBy("label").agg(F.min("id").alias("id")), "id").select("id", "features"), "heads")
     between = pairwise(heads).select(F.col("i").alias("src"), F.col("j").alias("dst"), "dist")
     return spanning.single_linkage(own.select("id"), near.unionByName(between), None)
+
+
+_PRIORITIES = f"WITH RECURSIVE {_CLUSTERED}, near AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dist, i <> j, j) AS rank FROM pairs) WHERE rank <= {K} AND i <> j)"
+
+
+@query(f"""{_PRIORITIES}, o AS (SELECT id, row_number() OVER (ORDER BY v[1] DESC, id) AS n FROM p), e AS (SELECT i, list(j) AS others FROM (SELECT i, j FROM near UNION SELECT j, i FROM near) GROUP BY i),
+r(n, chosen) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT o.n, CASE WHEN list_has_any(e.others, r.chosen) THEN r.chosen ELSE list_append(r.chosen, o.id) END FROM r JOIN o ON o.n = r.n + 1 JOIN e ON e.i = o.id),
+f AS (SELECT unnest(chosen) AS id FROM (SELECT chosen FROM r ORDER BY n DESC LIMIT 1)) SELECT p.id, f.id IS NOT NULL AS chosen FROM p LEFT JOIN f USING (id)""")
+def thinned_points(spark, d):
+    """Points thinned in the order of their first coordinate, so that none is a near neighbour of another."""
+    near = materialise(pivots.knn_pivots(clustered(spark, d), K), "near").select("i", "j")
+    return grids.thinned(points(spark, d).select("id", F.col("features")[0].alias("priority")), near)
+
+
+def _spans(spark, d, shift: int):
+    """Documents as half-open intervals that begin at their ids, of lengths that are powers of two from 2 ** -shift to 2 ** (11 - shift), and labels as points."""
+    docs = table(spark, d, "documents", "doc_id", "n_chars")
+    spans = docs.select(F.col("doc_id").alias("name"), F.col("doc_id").cast("double").alias("start"), (F.col("doc_id") + F.pow(F.lit(2.0), F.col("n_chars") % 12 - shift)).alias("end"))
+    return table(spark, d, "labels", "doc_id").select("doc_id", (F.col("doc_id") + F.col("doc_id") % 10 / 10).alias("t")), spans
+
+
+_SPANS = "s AS (SELECT doc_id AS name, doc_id::DOUBLE AS s, doc_id + pow(2.0, n_chars % 12 - {shift}) AS f FROM documents), l AS (SELECT doc_id, doc_id + (doc_id % 10) / 10.0::DOUBLE AS t FROM labels)"
+
+
+@query(f"WITH {_SPANS.format(shift=0)} SELECT doc_id, count(*) AS n, round(max(f - s), 5) AS longest FROM l JOIN s ON t >= s.s AND t < s.f GROUP BY doc_id")
+def labels_in_spans(spark, d):
+    labels, spans = _spans(spark, d, 0)
+    return series.in_intervals(labels, spans, "t", indexed=True).groupBy("doc_id").agg(F.count("*").alias("n"), F.round(F.max(F.col("end") - F.col("start")), 5).alias("longest"))
+
+
+@query(f"WITH {_SPANS.format(shift=9)} SELECT doc_id FROM l WHERE NOT EXISTS (SELECT 1 FROM s WHERE t >= s.s AND t < s.f)")
+def labels_outside_spans(spark, d):
+    labels, spans = _spans(spark, d, 9)
+    return series.in_intervals(labels, spans, "t", outside=True, indexed=True).select("doc_id")
+
+
+@query("SELECT a.doc_id, a.lang, round(sum(b.n_chars * exp(-pow(a.doc_id - b.doc_id, 2) / 20000.0) / (100 * sqrt(2 * pi()))), 3) AS smooth FROM documents a JOIN documents b ON a.lang IS NOT DISTINCT FROM b.lang AND abs(a.doc_id - b.doc_id) <= 500 GROUP BY a.doc_id, a.lang")
+def smoothed_lengths(spark, d):
+    """Lengths of each language's documents, smoothed over a hundred ids."""
+    docs = table(spark, d, "documents", "doc_id", "lang", "n_chars")
+    return rounded(series.gaussian_smoothed(docs, "lang", "doc_id", "n_chars", 100.0).drop("n_chars"), "smooth", to=3)
