@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -85,6 +86,28 @@ def pca(points: DataFrame, d: int, centre: bool = True) -> DataFrame:
     return PCA(k=d, inputCol="x", outputCol="p").fit(own).transform(own).select("id", vector_to_array("p").alias("features"))
 
 
+def pca_shares(points: DataFrame, d: int) -> DataFrame:
+    """(component, variance, share): variances along the first d principal components of points (id, features), and their shares of all variance in percent. A task sends one table of sums of products."""
+    own = points.select(F.col("features").cast("array<double>").alias("features"))
+    width = (own.select(F.size("features")).first() or [0])[0]
+    facts = own.agg(F.count("*"), *(F.avg(F.col("features")[k]) for k in range(width))).first()
+    mean = np.array(facts[1:], float)
+
+    def run(batches):
+        total = np.zeros((width, width))
+        for b in batches:
+            x = b.column("features").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) - mean if b.num_rows else np.zeros((0, width))
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "value"])
+
+    sums = own.mapInArrow(run, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+    total = np.zeros(width * width)
+    total[sums["place"]] = sums["value"]
+    values = np.linalg.eigvalsh(total.reshape(width, width) / max(facts[0] - 1, 1))[::-1]
+    whole = max(float(values.sum()), 1e-300)
+    return points.sparkSession.createDataFrame([(k + 1, float(v), float(100 * v / whole)) for k, v in enumerate(values[:d])], "component int, variance double, share double")
+
+
 def classifier_accuracy(points: DataFrame, seed: int = 0, hidden: list[int] | None = None, share: float = 0.8) -> tuple[float, float]:
     """Accuracy on training and other rows of a logistic regression of label, or of a perceptron with hidden layers."""
     from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier

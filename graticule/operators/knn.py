@@ -145,8 +145,11 @@ def knn(points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
 
 
 def nearest_of(asked: DataFrame, points: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """knn() of the asked points (id, features) among all points, of which they are some."""
-    return top_k(_block_pairs(points, asked=asked).mapInArrow(_compared(k, metric), "i long, j long, dist double"), k)
+    """knn() of the asked points (id, features) among all points, of which they are some. A block of them meets all blocks in one task, which keeps the nearest so far and passes on k of each once."""
+    from .pivots import _comparer
+
+    met = _block_pairs(points, asked=asked).select(F.col("ids").alias("queries"), F.col("data").alias("asked"), F.col("ids_b").alias("ids"), F.col("data_b").alias("data"))
+    return top_k(met.mapInArrow(_comparer(metric, k), "i long, j long, dist double"), k)
 
 
 def top_k(distances: DataFrame, k: int) -> DataFrame:

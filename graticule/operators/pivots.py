@@ -121,7 +121,7 @@ def _visitor(sent, metric: str, k: int) -> Callable:
 
 
 def _comparer(metric: str, k: int) -> Callable:
-    """Queries against blocks. Rows of one block of queries stand together: its nearest so far bound what further cells can have, and it passes on k of each query once."""
+    """Queries against blocks. Rows of one block of queries stand together: its nearest so far bound what further cells can have, and it passes on k of each query once. Without bounds (least, most) every pair is compared."""
     from .knn import _exact
 
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("dist", pa.float64())])
@@ -135,17 +135,17 @@ def _comparer(metric: str, k: int) -> Callable:
 
         for b in batches:
             for n in range(b.num_rows):
-                row = {c: b.column(c)[n].as_py() for c in ("queries", "asked", "least", "most", "ids", "data")}
+                row = {c: b.column(c)[n].as_py() for c in b.schema.names}
                 if row["queries"] != key:
                     if key is not None and len(best[0]):
                         yield out()
                     key, a = row["queries"], np.frombuffer(row["queries"], "<i8")
                     x = np.frombuffer(row["asked"], "<f8").reshape(len(a), -1)
-                    s, bound = in_space(x, metric), np.frombuffer(row["most"], "<f8").copy()
+                    s, bound = in_space(x, metric), np.frombuffer(row["most"], "<f8").copy() if "most" in row else np.full(len(a), np.inf)
                     best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
                 c = np.frombuffer(row["ids"], "<i8")
                 y = np.frombuffer(row["data"], "<f8").reshape(len(c), -1)
-                some = np.flatnonzero(np.frombuffer(row["least"], "<f8") <= bound)
+                some = np.flatnonzero(np.frombuffer(row["least"], "<f8") <= bound) if "least" in row else np.arange(len(a))
                 if not len(some):
                     continue
                 d, wrong = _apart(s[some], in_space(y, metric))

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import descent, eigen, grids, mds, pivots, series, spanning
+from ..operators import communities as partitions
+from ..operators import descent, doublets, eigen, evaluate, grids, mds, pivots, series, spanning, training
 from ..operators.knn import pairwise
 from ..sources.tables import table
 from . import embed
@@ -146,3 +147,55 @@ def smoothed_lengths(spark, d):
     """Lengths of each language's documents, smoothed over a hundred ids."""
     docs = table(spark, d, "documents", "doc_id", "lang", "n_chars")
     return rounded(series.gaussian_smoothed(docs, "lang", "doc_id", "n_chars", 100.0).drop("n_chars"), "smooth", to=3)
+
+
+def _near_edges(spark, d):
+    near = pivots.knn_pivots(clustered(spark, d), K).where("i <> j")
+    return materialise(near.select(F.col("i").alias("src"), F.col("j").alias("dst"), F.lit(1.0).alias("weight")), "near")
+
+
+@query(f"""WITH {_CLUSTERED}, near AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dist, i <> j, j) AS rank FROM pairs) WHERE rank <= {K} AND i <> j),
+e AS (SELECT i, j FROM near UNION ALL SELECT j, i FROM near), w AS (SELECT a.label AS la, b.label AS lb FROM e JOIN p a ON a.id = e.i JOIN p b ON b.id = e.j),
+s AS (SELECT la, count(*) AS degree, count(*) FILTER (la = lb) AS inside FROM w GROUP BY la) SELECT round(sum(inside) / sum(degree) - sum(degree * degree) / pow(sum(degree), 2), 5) AS modularity FROM s""")
+def modularity_of_labels(spark, d):
+    graph = partitions.symmetric(_near_edges(spark, d))
+    return partitions.modularity(graph, points(spark, d).select("id", F.col("label").alias("community"))).select(F.round("modularity", 5).alias("modularity"))
+
+
+@query()
+def communities(spark, d):
+    """Communities of the clustered points' neighbour graph, with its modularity by them."""
+    edges = _near_edges(spark, d)
+    found = materialise(partitions.communities(edges), "found")
+    return found.crossJoin(F.broadcast(partitions.modularity(partitions.symmetric(edges), found)))
+
+
+_DRAWN = "md5('0:' || s || ':{}')"
+_PLACE = f"(('0x' || substr({_DRAWN}, 1, 12))::BIGINT % (SELECT count(*) FROM p))"
+
+
+@query(f"WITH {P}, o AS (SELECT id, v, row_number() OVER (ORDER BY id) - 1 AS place FROM p), r AS (SELECT s, {_PLACE.format(0)} AS pa, {_PLACE.format(1)} AS pb FROM (SELECT unnest(range(0, (SELECT 2 * count(*) FROM p))) AS s)) SELECT -1 - s AS id, a.id AS a, b.id AS b, round(list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] + z[2]) / 2)), 4) AS length FROM r JOIN o a ON a.place = pa JOIN o b ON b.place = pb")
+def doublets_simulated(spark, d):
+    made = doublets.simulated(points(spark, d))
+    return made.select("id", "a", "b", F.round(F.aggregate("features", F.lit(0.0), lambda s, x: s + F.abs(x)), 4).alias("length"))
+
+
+@query()
+def doublet_scores(spark, d):
+    return doublets.doublet_scores(clustered(spark, d))
+
+
+@query()
+def accuracy_by_dimension(spark, d):
+    """Labels of the clustered points, told from principal components and from landmarks' isomap."""
+    isomap = lambda p, k: embed.embed(p, K, k, metric=False, way="landmarks", landmarks=50, normalise=False, beyond=False, search="descent").select("id", F.col("init").alias("features"))
+    own = materialise(clustered(spark, d).join(points(spark, d).select("id", "label"), "id"), "labelled")
+    return training.accuracy_by_dimension(own, {"pca": evaluate.pca, "isomap": isomap}, [2, 8])
+
+
+@query(f"WITH {P}, u AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS k FROM p), s AS (SELECT var_samp(x) AS variance FROM u GROUP BY k) SELECT count(*) AS components, round(sum(variance), 5) AS variance, 100.0::DOUBLE AS share FROM s")
+def pca_shares(spark, d):
+    """All components hold all variance."""
+    own = points(spark, d)
+    found = evaluate.pca_shares(own, own.select(F.size("features")).first()[0])
+    return found.agg(F.count("*").alias("components"), F.round(F.sum("variance"), 5).alias("variance"), F.round(F.sum("share"), 6).alias("share"))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graticule.operators import clusters, eigen, grids, mds, series, spanning
+from graticule.operators import clusters, communities, doublets, eigen, grids, mds, series, spanning, training
 from graticule.operators.knn import knn
 from graticule.plans import embed
 
@@ -246,3 +246,70 @@ def test_rolling_keeps_null_keys(spark):
     rows = [(None, 1, 10), (None, 2, 20), ("a", 1, 1), ("a", 2, 2), ("a", 3, 3)]
     got = series.rolled(spark.createDataFrame(rows, "k string, at long, v long"), "k", "at", "v", 1)
     assert sorted(map(tuple, got.collect()), key=str) == sorted([(None, 1, 10, 20), (None, 2, 20, 10), ("a", 1, 1, 3), ("a", 2, 2, 1), ("a", 3, 3, 2)], key=str)
+
+
+def test_communities_are_planted_blocks(spark):
+    draw = random.Random(8)
+    block = [k % 6 for k in range(240)]
+    edges = [(a, b, 1.0) for a in range(240) for b in range(a) if draw.random() < (0.35 if block[a] == block[b] else 0.01)]
+    df = spark.createDataFrame(edges, "src long, dst long, weight double")
+    got = {r.id: r.community for r in communities.communities(df).collect()}
+    assert len(got) == 240 and len({(block[v], c) for v, c in got.items()}) == len(set(got.values())) == 6
+    assert all(c == min(v for v in got if got[v] == c) for c in set(got.values()))
+    finer = communities.communities(df, resolution=8.0).select("community").distinct().count()
+    assert finer > 6
+    graph = communities.symmetric(df)
+    labels = spark.createDataFrame(list(enumerate(block)), "id long, community long")
+    m = np.zeros((240, 240))
+    for a, b, w in edges:
+        m[a, b] += w
+        m[b, a] += w
+    k = m.sum(1)
+    same = np.equal.outer(block, block)
+    want = ((m - 0.5 * np.outer(k, k) / m.sum()) * same).sum() / m.sum()
+    assert abs(communities.modularity(graph, labels, 0.5).first()[0] - want) < 1e-9
+    assert communities.communities(df.where("false")).collect() == []
+
+
+def test_planted_doublets_score_above_the_rest(spark):
+    draw = np.random.default_rng(9)
+    kind = draw.integers(0, 4, 300)
+    x = draw.normal(size=(300, 8)) * 0.3 + 6 * np.eye(8)[kind]
+    other = np.array([draw.choice(np.flatnonzero(kind != kind[k])) for k in range(20)])
+    x = np.vstack([x, (x[:20] + x[other]) / 2])
+    scores = doublets.doublet_scores(cloud(spark, x), k=20).persist()
+    found = {r.id: r.score for r in scores.collect()}
+    assert len(found) == 320 and np.mean([found[i] for i in range(300, 320)]) > 3 * np.mean([found[i] for i in range(300)])
+    flagged = {r.id for r in doublets.doublets(scores).collect() if r.doublet}
+    assert len(flagged & set(range(300, 320))) >= 15
+    assert [r["rank"] for r in doublets.ranked(scores, 3).collect()] == [1, 2, 3]
+    made = doublets.simulated(cloud(spark, x), 1, seed=3)
+    assert {tuple(r) for r in made.select("id", "a", "b").collect()} == {tuple(r) for r in doublets.simulated(cloud(spark, x).repartition(7), 1, seed=3).select("id", "a", "b").collect()}
+
+
+def test_training_stops_and_keeps_the_best(spark):
+    draw = np.random.default_rng(10)
+    label = draw.integers(0, 3, 400)
+    x = draw.normal(size=(400, 5)) + 4 * np.eye(5)[label]
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]], int(label[i]) * 10) for i in range(400)] + [(900, None, 10), (901, [0.0] * 5, None)], "id long, features array<double>, label long")
+    model = training.train(rows, rounds=40, patience=3)
+    checks = [c for _, c in model.losses]
+    assert model.best == int(np.argmin(np.round(checks, 12))) or checks[model.best] - min(checks) < 1e-4
+    assert len(checks) <= 40 and set(model.labels) == {0, 10, 20}
+    right = training.predicted(rows.where("id < 400"), model).select(F.avg((F.col("predicted") == F.col("label")).cast("double"))).first()[0]
+    assert right > 0.95
+    ring = [(i, [math.cos(i) * (1 + i % 2), math.sin(i) * (1 + i % 2)], i % 2) for i in range(300)]
+    wide = training.train(spark.createDataFrame(ring, "id long, features array<double>, label long"), hidden=[12], rounds=40, share=1.0)
+    assert wide.losses[wide.best][1] < 0.35 < training.train(spark.createDataFrame(ring, "id long, features array<double>, label long"), rounds=10).losses[-1][1]
+
+
+def test_gradient_is_that_of_the_loss():
+    draw = np.random.default_rng(11)
+    model = training.Classifier([(draw.normal(size=(3, 4)), draw.normal(size=4)), (draw.normal(size=(4, 2)), draw.normal(size=2))], np.arange(2), np.zeros(3), np.ones(3))
+    x, y = draw.normal(size=(6, 3)), draw.integers(0, 2, 6)
+    _, grads = model.gradient(x, y)
+    w = model.layers[0][0]
+    w[1, 2] += 1e-6
+    up = model.gradient(x, y)[0]
+    w[1, 2] -= 2e-6
+    assert abs((up - model.gradient(x, y)[0]) / 2e-6 - grads[0][0][1, 2]) < 1e-4
