@@ -11,7 +11,8 @@ from ..sources.tables import table
 from . import embed
 from .catalogue import GRAPH, PAIRS, K, P, points, query, rounded
 from .graph_queries import _COARSE, _ZEROS, _coarse
-from .storage import materialise
+from ..streaming import runs
+from .storage import materialise, shared_dir
 
 #: The points, moved apart by ten along the axis of their label: ten clusters in which they lie as before.
 _CLUSTERED = f"{P}, c AS (SELECT id, list_transform(v, lambda x, k: x * 0.5 + CASE WHEN k = label + 1 THEN 10.0 ELSE 0.0 END) AS v FROM p), pairs AS (SELECT a.id AS i, b.id AS j, list_distance(a.v, b.v) AS dist FROM c a, c b)"
@@ -199,3 +200,12 @@ def pca_shares(spark, d):
     own = points(spark, d)
     found = evaluate.pca_shares(own, own.select(F.size("features")).first()[0])
     return found.agg(F.count("*").alias("components"), F.round(F.sum("variance"), 5).alias("variance"), F.round(F.sum("share"), 6).alias("share"))
+
+
+@query("WITH l AS (SELECT lang, make_timestamp((doc_id + 1440) * 60000000) AS ts FROM documents), b AS (SELECT *, lag(ts) OVER (PARTITION BY lang ORDER BY ts) AS t0 FROM l), r AS (SELECT lang, ts, sum(CASE WHEN t0 IS NULL OR ts - t0 >= INTERVAL 3 MINUTE THEN 1 ELSE 0 END) OVER (PARTITION BY lang ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM b), g AS (SELECT lang, run, min(ts) AS first, max(ts) AS last, count(*) AS n FROM r GROUP BY lang, run) SELECT lang, epoch_ms(first) AS first, epoch_ms(last) AS last, n FROM g WHERE last + INTERVAL 3 MINUTE <= (SELECT max(ts) FROM l) - INTERVAL 10 MINUTE")
+def stream_runs(spark, d):
+    """Documents as a stream of a minute each: runs of a language without a pause of three minutes, as far as the watermark has come."""
+    kind = table(spark, d, "documents", "doc_id", "lang").schema
+    stream = spark.readStream.schema(kind).parquet(f"{d}/documents.parquet*").withColumn("ts", F.timestamp_seconds((F.col("doc_id") + 1440) * 60))
+    found = runs.finished(runs.active_runs(stream, "lang", "ts", 180.0), shared_dir(spark, "stream"), shared_dir(spark, "runs"))
+    return found.select("lang", F.unix_millis("first").alias("first"), F.unix_millis("last").alias("last"), "n")
