@@ -10,63 +10,88 @@ its edges, because a path is never shorter than an edge on it: no table of all p
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.storage import drop, materialise
-from .paths import components
 
 
-def _roots(hooks: DataFrame, most_rounds: int = 64) -> DataFrame:
+#: Rows of two ids, some 24 bytes each, that are sent to every executor at most.
+SENT = 500_000
+
+
+def _roots(hooks: DataFrame, small: bool, most_rounds: int = 64) -> DataFrame:
     """(c, root) from hooks (c, to): each component points to the one that its lightest edge leads to. Two that point to each other are the root of all that leads there, under the lesser name."""
+    sent = F.broadcast if small else (lambda t: t)
     back = hooks.select(F.col("c").alias("_c"), F.col("to").alias("_to"))
-    met = hooks.join(back, F.col("to") == F.col("_c"))
+    met = hooks.join(sent(back), F.col("to") == F.col("_c"))
     now = materialise(met.select("c", F.when((F.col("_to") == F.col("c")) & (F.col("c") < F.col("to")), F.col("c")).otherwise(F.col("to")).alias("root")), "roots")
     for _ in range(most_rounds):
         one = now.select(F.col("c").alias("_c"), F.col("root").alias("_r"))
         two = one.select(F.col("_c").alias("_d"), F.col("_r").alias("_s"))
         # Each jump follows three steps at once.
-        jumped = now.join(one, F.col("root") == F.col("_c")).join(two, F.col("_r") == F.col("_d")).select("c", F.col("root").alias("old"), F.col("_s").alias("root"))
+        jumped = now.join(sent(one), F.col("root") == F.col("_c")).join(sent(two), F.col("_r") == F.col("_d")).select("c", F.col("root").alias("old"), F.col("_s").alias("root"))
         after = materialise(jumped, "roots")
         settled = after.where("old <> root").isEmpty()
         drop(now)
         now = after
         if settled:
-            return now.select("c", "root")
+            return now
     raise RuntimeError("components did not settle")
 
 
-def spanning_forest(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
-    """(a, b, dist), a < b: the edges of the minimum spanning forest of a graph (src, dst, dist), whose edges count in both directions. Loops and repeated edges are allowed, null or NaN distances are not edges."""
+def _rounds(edges: DataFrame, most_rounds: int = 64) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """(lightest, roots) of each of Boruvka's rounds: the edge (dist, a, b) that each component c takes, and the component (root) that it is part of then; both are sent where there are few. The graph gets smaller with each."""
     own = edges.where("src <> dst AND dist IS NOT NULL AND NOT isnan(dist)").select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b"), F.col("dist").cast("double").alias("dist"))
     left = own.groupBy("a", "b").agg(F.min("dist").alias("dist")).select(F.col("a").alias("x"), F.col("b").alias("y"), "dist", "a", "b")
     left = materialise(left, "edges")
-    forest: list[DataFrame] = []
     for _ in range(most_rounds):
         ends = F.explode(F.array(F.struct(F.col("x").alias("c"), F.col("y").alias("to")), F.struct(F.col("y").alias("c"), F.col("x").alias("to")))).alias("e")
         lightest = left.select(ends, F.struct("dist", "a", "b").alias("s")).groupBy("e.c").agg(F.min(F.struct("s.dist", "s.a", "s.b", "e.to")).alias("s"))
         hooks = materialise(lightest.select("c", "s.dist", "s.a", "s.b", "s.to"), "lightest")
-        if hooks.isEmpty():
-            break
-        forest.append(hooks)
-        roots = _roots(hooks.select("c", "to"))
-        x, y = (roots.select(F.col("c").alias(n), F.col("root").alias(f"r{n}")) for n in ("x", "y"))
+        n = hooks.count()
+        if not n:
+            return
+        stored = _roots(hooks.select("c", "to"), n <= SENT)
+        roots = F.broadcast(stored.select("c", "root")) if n <= SENT else stored.select("c", "root")
+        yield hooks, roots
+        x, y = (roots.select(F.col("c").alias(e), F.col("root").alias(f"r{e}")) for e in ("x", "y"))
+        x, y = (F.broadcast(t) if n <= SENT else t for t in (x, y))
         moved = left.join(x, "x").join(y, "y").where("rx <> ry").select(F.least("rx", "ry").alias("x"), F.greatest("rx", "ry").alias("y"), F.struct("dist", "a", "b").alias("s"))
         after = materialise(moved.groupBy("x", "y").agg(F.min("s").alias("s")).select("x", "y", "s.dist", "s.a", "s.b"), "edges")
         drop(left)
         left = after
-    else:
-        raise RuntimeError("the forest did not settle")
-    out = left.select("a", "b", "dist")
-    for hooks in forest:
-        out = out.unionByName(hooks.select("a", "b", "dist"))
+        if left.isEmpty():
+            return
+    raise RuntimeError("the forest did not settle")
+
+
+def spanning_forest(edges: DataFrame) -> DataFrame:
+    """(a, b, dist), a < b: the edges of the minimum spanning forest of a graph (src, dst, dist), whose edges count in both directions. Loops and repeated edges are allowed, null or NaN distances are not edges."""
+    out = None
+    for hooks, _ in _rounds(edges):
+        chosen = hooks.select("a", "b", "dist")
+        out = chosen if out is None else out.unionByName(chosen)
+    if out is None:
+        return edges.sparkSession.createDataFrame([], "a long, b long, dist double")
     return out.distinct()
 
 
+def linked(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component): the least id that edges (a, b, dist) connect a node (id) with, by the same rounds."""
+    labels = nodes.select(F.col("id").cast("long").alias("id")).distinct().withColumn("component", F.col("id"))
+    for _, roots in _rounds(edges.select(F.col("a").alias("src"), F.col("b").alias("dst"), "dist")):
+        labels = materialise(labels.join(roots, F.col("component") == F.col("c"), "left").select("id", F.coalesce("root", "component").alias("component")), "labels")
+    least = labels.groupBy("component").agg(F.min("id").alias("least"))
+    return labels.join(least, "component").select("id", F.col("least").alias("component"))
+
+
 def cut_at(nodes: DataFrame, forest: DataFrame, height: float) -> DataFrame:
     """(id, component): single linkage of nodes (id) cut at a height: what edges of that length at most connect, under the least id."""
-    return components(nodes, forest.where(F.col("dist") <= height).select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return linked(nodes, forest.where(F.col("dist") <= height))
 
 
 def deaths(nodes: DataFrame, forest: DataFrame) -> DataFrame:
@@ -120,7 +145,7 @@ def single_linkage(nodes: DataFrame, edges: DataFrame, k: int | None = 10, by: s
         # What is shorter than the shortest cut edge stays, and so do those of its length with lesser ids.
         d, a, b = cuts[-1]
         forest = forest.where((F.col("dist") < d) | ((F.col("dist") == d) & ((F.col("a") < a) | ((F.col("a") == a) & (F.col("b") < b)))))
-    labels = components(nodes, forest.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    labels = materialise(linked(nodes, forest), "labels")
     least = labels.select("component").distinct()
     # As many rows as there are clusters.
     numbers = least.select("component", F.row_number().over(W.orderBy("component")).alias("cluster"))
