@@ -1,8 +1,11 @@
 """Communities of weighted graphs by modularity, with a resolution.
 
-Rounds of local moves: each node weighs the communities of its neighbours by the gain in modularity. Nodes move at the same time, a hashed half of them in each round, so
-that neighbours do not keep changing places; of equal gains the lesser community counts. Once moves bring nothing, each community becomes a node, its inner edges a
-loop, and moves begin anew on the smaller graph. A round is a join of edges with labels and sums by node and community; labels and sums are tables, whatever the size of the graph.
+Rounds of local moves: each node weighs the communities of its neighbours by the gain in modularity. Nodes move at the same time, a hashed half of
+them in each round, so
+that neighbours do not keep changing places; of equal gains the lesser community counts. Once moves bring nothing, each community becomes a node, its
+inner edges a
+loop, and moves begin anew on the smaller graph. A round is a join of edges with labels and sums by node and community; labels and sums are tables,
+whatever the size of the graph.
 """
 
 from __future__ import annotations
@@ -15,14 +18,16 @@ from ..plans.storage import drop, materialise
 
 
 def symmetric(edges: DataFrame) -> DataFrame:
-    """(src, dst, weight): both directions of every edge, of which repeated ones are added; a loop counts twice, as it has two ends at its node. Null and non-positive weights are left out."""
+    """(src, dst, weight): both directions of every edge, of which repeated ones are added; a loop counts twice, as it has two ends at its node. Null
+    and non-positive weights are left out."""
     own = edges.where("weight > 0").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("double").alias("weight"))
     both = own.unionAll(own.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     return both.groupBy("src", "dst").agg(F.sum("weight").alias("weight"))
 
 
 def modularity(graph: DataFrame, labels: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """One row (modularity) of labels (id, community) on a graph of symmetric(): the share of weight within communities, less resolution times what would fall there at random."""
+    """One row (modularity) of labels (id, community) on a graph of symmetric(): the share of weight within communities, less resolution times what
+    would fall there at random."""
     at = lambda c: labels.select(F.col("id").alias(c), F.col("community").alias(f"c{c}"))
     met = graph.join(at("src"), "src").join(at("dst"), "dst")
     sums = met.groupBy("csrc").agg(F.sum("weight").alias("degree"), F.sum(F.when(F.col("csrc") == F.col("cdst"), F.col("weight")).otherwise(0.0)).alias("inner"))
@@ -46,7 +51,8 @@ def _moved(graph: DataFrame, now: DataFrame, whole: float, resolution: float, tu
 
 
 def communities(edges: DataFrame, resolution: float = 1.0, most_rounds: int = 12, most_levels: int = 8, least_gain: float = 1e-4, seed: int = 0) -> DataFrame:
-    """(id, community) of the nodes of a graph (src, dst, weight), whose edges count in both directions; a community is named by its least node. A larger resolution gives smaller communities.
+    """(id, community) of the nodes of a graph (src, dst, weight), whose edges count in both directions; a community is named by its least node. A
+    larger resolution gives smaller communities.
 
     A level ends once two rounds in a row have brought less than least_gain of modularity together, and levels end once one brings less.
     """

@@ -1,10 +1,12 @@
 """Largest eigenvalues of a symmetric table (i, j, value), by products that are joins and sums.
 
 Chebyshev polynomials of the matrix are applied to a block of vectors: each step is one product, a join of the matrix with the block and a sum by row.
-All blocks of a round span a Krylov space; their products with the matrix are combinations of blocks, so one table of inner products (as wide as the space, whatever
+All blocks of a round span a Krylov space; their products with the matrix are combinations of blocks, so one table of inner products (as wide as the
+space, whatever
 the points) is all that the driver needs to find the best vectors in it. Rounds start again from these until the residuals |A v - l v| are small.
 
-The block is sent to the executors if it has SENT_BYTES at most, and joined by a shuffle beyond; no task holds more than a batch of rows of the matrix.
+The block is sent to the executors if it has SENT_BYTES at most, and joined by a shuffle beyond; no task holds more than a batch of rows of the
+matrix.
 """
 
 from __future__ import annotations
@@ -75,7 +77,8 @@ def _combined(weights: np.ndarray) -> Callable:
 
 
 def _best(inner: np.ndarray, width: int, steps: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(values, residuals, weights of all blocks) of the best vectors within the first `steps` blocks, from the inner products of steps + 1 blocks T_0 ... T_steps.
+    """(values, residuals, weights of all blocks) of the best vectors within the first `steps` blocks, from the inner products of steps + 1 blocks T_0
+    ... T_steps.
 
     T_1 = A T_0 and T_(k+1) = 2 A T_k - T_(k-1), so A times a block is a combination of its neighbours.
     """
@@ -106,9 +109,11 @@ def _best(inner: np.ndarray, width: int, steps: int, wanted: int) -> tuple[np.nd
 
 
 def largest(matrix: DataFrame, wanted: int, centred: bool = False, steps: int = 12, extra: int = 4, most_rounds: int = 12, tolerance: float = 1e-6, seed: int = 0, log: list | None = None) -> Eigen:
-    """The `wanted` algebraically largest eigenvalues of a symmetric matrix (i, j, value), of which pairs that are not in the table are 0, and their vectors.
+    """The `wanted` algebraically largest eigenvalues of a symmetric matrix (i, j, value), of which pairs that are not in the table are 0, and their
+    vectors.
 
-    centred: of the matrix between projections that take the mean away, as double centring does, without a row for each pair. Rounds end once residuals are within tolerance of the matrix's norm
+    centred: of the matrix between projections that take the mean away, as double centring does, without a row for each pair. Rounds end once
+    residuals are within tolerance of the matrix's norm
     (an upper bound: its largest sum of absolute values in a row). extra vectors are carried along, as close eigenvalues need.
     """
     matrix = materialise(matrix.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value")), "matrix")
@@ -165,7 +170,8 @@ def largest(matrix: DataFrame, wanted: int, centred: bool = False, steps: int =
 
 
 def classical_by_joins(distances: DataFrame, d: int, **options) -> DataFrame:
-    """(id, init): classical scaling of a symmetric table of all distances (i, j, dist), as mds.classical does in one task, for any number of points."""
+    """(id, init): classical scaling of a symmetric table of all distances (i, j, dist), as mds.classical does in one task, for any number of
+    points."""
     found = largest(distances.select("i", "j", (-F.col("dist") * F.col("dist")).alias("value")), d, centred=True, **options)
     roots = [float(np.sqrt(v / d)) if v >= 1e-14 else 0.0 for v in found.values]
     axes = [F.col("vector")[k] * r for k, r in enumerate(roots)] + [F.lit(0.0)] * (d - len(roots))
@@ -173,7 +179,8 @@ def classical_by_joins(distances: DataFrame, d: int, **options) -> DataFrame:
 
 
 def spectral_by_joins(neighbours: DataFrame, d: int, **options) -> tuple[DataFrame, Eigen]:
-    """((id, embedding), what was found) of the symmetric neighbour graph (i, j): the eigenvectors of the least eigenvalues of its normalised Laplacian, over the roots of degrees, the first one left out.
+    """((id, embedding), what was found) of the symmetric neighbour graph (i, j): the eigenvectors of the least eigenvalues of its normalised
+    Laplacian, over the roots of degrees, the first one left out.
 
     An edge weighs 1 if both ends name each other and 1/2 else, as in grids.spectral. Eigenvalues of the Laplacian are 1 less those found.
     """

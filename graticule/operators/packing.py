@@ -22,7 +22,8 @@ def rows_of(column: pa.Array) -> np.ndarray:
 
 
 def in_space(x: np.ndarray, metric: str) -> np.ndarray:
-    """Coordinates whose euclidean distances have the order of the metric's: for cosine unit vectors, and a further axis for vectors of zeros, whose cosine distance to all is 1."""
+    """Coordinates whose euclidean distances have the order of the metric's: for cosine unit vectors, and a further axis for vectors of zeros, whose
+    cosine distance to all is 1."""
     if metric == "l2":
         return x
     if metric != "cosine":
@@ -44,7 +45,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Distinct:
-    """points (id, data): each different vector once, under the least id of its equals; n of them. Where vectors repeat also members (id, own), own the id that stands for them, and least (own, ids): the k least ids of each."""
+    """points (id, data): each different vector once, under the least id of its equals; n of them. Where vectors repeat also members (id, own), own
+    the id that stands for them, and least (own, ids): the k least ids of each."""
 
     points: DataFrame
     n: int
@@ -68,7 +70,8 @@ def distinct(points: DataFrame, k: int) -> Distinct:
 
 
 def spread_out(near: DataFrame, known: Distinct, k: int) -> DataFrame:
-    """(i, j, rank, dist) of all points from the neighbours (i, j, dist) of different vectors, each vector among its own: a point comes first among its own neighbours, then others by distance and id."""
+    """(i, j, rank, dist) of all points from the neighbours (i, j, dist) of different vectors, each vector among its own: a point comes first among
+    its own neighbours, then others by distance and id."""
     if known.members is None:
         order = W.partitionBy("i").orderBy(F.col("i") != F.col("j"), "dist", "j")
         return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("i", "j", "rank", "dist")

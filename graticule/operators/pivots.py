@@ -1,11 +1,13 @@
 """Exact neighbours by pivots: a part of space is only looked at for points that can still have a neighbour there.
 
-Points are dealt to the nearest of some pivots; a cell knows the range of its points' distances to every pivot. By the triangle inequality each point has a
+Points are dealt to the nearest of some pivots; a cell knows the range of its points' distances to every pivot. By the triangle inequality each point
+has a
 least distance to each cell, and a largest distance to its k-th neighbour (from its own block, and from the cells that are near as a whole). Blocks of
 queries meet those cells only that lie within it, and pass on only what lies within it. Where the space has no structure (vectors drawn evenly
 from a sphere of many dimensions) no cell can be left out and all pairs are compared, as by any exact search.
 
-Equal points are one point until the end, so ties of copies cost nothing; other ties at the k-th distance are kept until exact distances and ids decide.
+Equal points are one point until the end, so ties of copies cost nothing; other ties at the k-th distance are kept until exact distances and ids
+decide.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialise
 from .packing import Distinct, distinct, in_space, rows_of, spread_out
 
-#: Points of a block; pivots at most, and points drawn for each; bytes of packed points that are sent to every executor at most; pairs of which exact distances are computed at once.
+#: Points of a block; pivots at most, and points drawn for each; bytes of packed points that are sent to every executor at most; pairs of which exact
+#: distances are computed at once.
 BLOCK, PIVOTS, DRAWN, SENT_BYTES, PAIRS = 1024, 256, 16, 64 << 20, 1 << 14
 
 
@@ -33,7 +36,8 @@ def _apart(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chosen_pivots(known: Distinct, pivots: int | None, metric: str) -> np.ndarray:
-    """One pivot for each block of points, PIVOTS at most: from DRAWN points for each, by the MD5 of their ids, those farthest from each other, moved to the means of what is nearest to them."""
+    """One pivot for each block of points, PIVOTS at most: from DRAWN points for each, by the MD5 of their ids, those farthest from each other, moved
+    to the means of what is nearest to them."""
     n = pivots or int(np.clip(known.n // BLOCK, 1, PIVOTS))
     rows = known.points.orderBy(F.md5(F.col("id").cast("string")), "id").limit(n * DRAWN).select("data").collect()
     x = in_space(np.stack([np.frombuffer(r[0], "<f8") for r in rows]), metric)
@@ -89,7 +93,8 @@ def _blocker(sent, metric: str) -> Callable:
 
 
 def _visitor(sent, metric: str, k: int) -> Callable:
-    """A block's queries once for each cell that can have neighbours of some of them, nearest cells first, with each query's least distance to the cell, and the largest at which its k-th neighbour can lie."""
+    """A block's queries once for each cell that can have neighbours of some of them, nearest cells first, with each query's least distance to the
+    cell, and the largest at which its k-th neighbour can lie."""
     schema = pa.schema([("cell", pa.int32()), ("n_queries", pa.int32()), ("queries", pa.binary()), ("asked", pa.binary()), ("least", pa.binary()), ("most", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +126,8 @@ def _visitor(sent, metric: str, k: int) -> Callable:
 
 
 def _comparer(metric: str, k: int) -> Callable:
-    """Queries against blocks. Rows of one block of queries stand together: its nearest so far bound what further cells can have, and it passes on k of each query once. Without bounds (least, most) every pair is compared."""
+    """Queries against blocks. Rows of one block of queries stand together: its nearest so far bound what further cells can have, and it passes on k
+    of each query once. Without bounds (least, most) every pair is compared."""
     from .knn import _exact
 
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("dist", pa.float64())])

@@ -23,7 +23,8 @@ def binned_counts(events: DataFrame, key: str, ts: str, width: float, fill: bool
 
 
 def _levels(intervals: DataFrame) -> tuple[DataFrame, list[int]]:
-    """Intervals that hold anything, with _level, the power of two that their length does not exceed, and _bucket, the one or two stretches of that length they lie in; and the levels there are (as many as lengths have binary exponents)."""
+    """Intervals that hold anything, with _level, the power of two that their length does not exceed, and _bucket, the one or two stretches of that
+    length they lie in; and the levels there are (as many as lengths have binary exponents)."""
     some = intervals.where(F.col("end") > F.col("start"))
     # A little more, so that rounding never makes a bucket shorter than what lies in it.
     level = F.ceil(F.log2((F.col("end") - F.col("start")).cast("double")) + 1e-9).cast("int")
@@ -34,10 +35,13 @@ def _levels(intervals: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def in_intervals(events: DataFrame, intervals: DataFrame, ts: str, outside: bool = False, indexed: bool | None = None) -> DataFrame:
-    """events in half-open intervals (name, start, end), with the name; or those in none. Intervals without a length, or with a null end, hold nothing; an event without a time is in none.
+    """events in half-open intervals (name, start, end), with the name; or those in none. Intervals without a length, or with a null end, hold
+    nothing; an event without a time is in none.
 
-    Intervals are counted: up to SENT are sent to every executor, which looks at each. More of them, or indexed, are kept by levels: an interval lies in the level of its own length, in two
-    buckets there at most, and an event looks into one bucket of each level. So long intervals do not fill the buckets of short ones, and what meets is in proportion to what is found.
+    Intervals are counted: up to SENT are sent to every executor, which looks at each. More of them, or indexed, are kept by levels: an interval lies
+    in the level of its own length, in two
+    buckets there at most, and an event looks into one bucket of each level. So long intervals do not fill the buckets of short ones, and what meets
+    is in proportion to what is found.
     The index is sent too if it has SENT_SPANS rows at most.
     """
     inside = (F.col(ts) >= F.col("start")) & (F.col(ts) < F.col("end"))
@@ -59,7 +63,8 @@ def in_intervals(events: DataFrame, intervals: DataFrame, ts: str, outside: bool
 
 
 def lag_histogram(events: DataFrame, key: str, ts: str, most: float, bins: int) -> DataFrame:
-    """(key, bin, n): histogram of time lags in (0, most) between events of one key. Events meet only those in their own and the next bucket of that length."""
+    """(key, bin, n): histogram of time lags in (0, most) between events of one key. Events meet only those in their own and the next bucket of that
+    length."""
     bucket = F.floor(F.col(ts) / most)
     a = events.select(F.col(key), F.col(ts).alias("t1"), F.explode(F.array(bucket, bucket + 1)).alias("b"))
     c = events.select(F.col(key), F.col(ts).alias("t2"), bucket.alias("b"))
@@ -68,7 +73,8 @@ def lag_histogram(events: DataFrame, key: str, ts: str, most: float, bins: int)
 
 
 def _beside(rows: DataFrame, key: str, bucket: str, point: Column) -> tuple[DataFrame, Column]:
-    """(_key, _of, _before, _after): the last point of any earlier bucket of a key and the first of any later one, and the condition that joins them to rows; points are structs that begin with their order, null where a row is none. One row for each bucket is what a task orders."""
+    """(_key, _of, _before, _after): the last point of any earlier bucket of a key and the first of any later one, and the condition that joins them
+    to rows; points are structs that begin with their order, null where a row is none. One row for each bucket is what a task orders."""
     ends = rows.groupBy(key, bucket).agg(F.min(point).alias("_first"), F.max(point).alias("_last"))
     w = lambda c: W.partitionBy(key).orderBy(c).rowsBetween(W.unboundedPreceding, -1)
     found = ends.select(F.col(key).alias("_key"), F.col(bucket).alias("_of"), F.last("_last", ignorenulls=True).over(w(F.col(bucket))).alias("_before"), F.last("_first", ignorenulls=True).over(w(F.desc(bucket))).alias("_after"))
@@ -76,7 +82,8 @@ def _beside(rows: DataFrame, key: str, bucket: str, point: Column) -> tuple[Data
 
 
 def resampled(events: DataFrame, key: str, ts: str, value: str, step: float, bucket: int = 4096) -> DataFrame:
-    """(key, t, value): linear interpolation on a grid of `step` seconds between each key's first and last event; of events at one time the mean counts.
+    """(key, t, value): linear interpolation on a grid of `step` seconds between each key's first and last event; of events at one time the mean
+    counts.
 
     A task orders bucket steps of a key; points beyond the ends of its time come from the buckets beside.
     """
@@ -97,7 +104,8 @@ def resampled(events: DataFrame, key: str, ts: str, value: str, step: float, buc
 def gaussian_smoothed(counts: DataFrame, key: str, at: str, value: str, sigma: float, support: float = 5.0) -> DataFrame:
     """counts (whole numbers at) with smooth: the sum of values within support * sigma, weighted by a Gaussian of their distance.
 
-    Values are summed by place, and places dealt to buckets of time that are longer than the kernel reaches; a place near a bucket's end is copied to the one beside it, so a row becomes two at most
+    Values are summed by place, and places dealt to buckets of time that are longer than the kernel reaches; a place near a bucket's end is copied to
+    the one beside it, so a row becomes two at most
     whatever sigma is, and no task holds more of a key than a bucket. Rows with a null place or value add nothing; the former have no smooth either.
     """
     import numpy as np
@@ -126,7 +134,8 @@ def gaussian_smoothed(counts: DataFrame, key: str, at: str, value: str, sigma: f
 
 
 def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | None = None, bucket: float = 86400.0) -> DataFrame:
-    """positions with speed: distance over time since the row before; null for a key's first and where no time passed. tie orders rows of one time. A task orders bucket seconds of a key; the row before comes from the bucket before where there is none."""
+    """positions with speed: distance over time since the row before; null for a key's first and where no time passed. tie orders rows of one time. A
+    task orders bucket seconds of a key; the row before comes from the bucket before where there is none."""
     order = [t, *([tie] if tie else [])]
     row = F.struct(*order, F.col(x).alias("_x"), F.col(y).alias("_y"))
     rows = positions.withColumn("_b", F.floor(F.col(t) / bucket))
@@ -138,7 +147,8 @@ def speeds(positions: DataFrame, key: str, t: str, x: str, y: str, tie: str | No
 
 
 def track(positions: DataFrame, key: str, ts: str, x: str, y: str, step: float, valid: DataFrame | None = None, sigma: float | None = None) -> DataFrame:
-    """(key, t, x, y, speed): positions on a grid of step seconds, within valid intervals (name, start, end), smoothed over sigma steps, and their speed."""
+    """(key, t, x, y, speed): positions on a grid of step seconds, within valid intervals (name, start, end), smoothed over sigma steps, and their
+    speed."""
     at = lambda c: resampled(positions, key, ts, c, step).withColumnRenamed("value", f"_{c}")
     grid = at(x).join(at(y), [key, "t"])
     if valid is not None:
@@ -154,7 +164,8 @@ def track(positions: DataFrame, key: str, ts: str, x: str, y: str, step: float,
 
 
 def spike_rates(spikes: DataFrame, key: str, ts: str, width: float, valid: DataFrame | None = None, sigma: float | None = None, least: int = 1) -> DataFrame:
-    """(key, bin, n[, smooth]): spikes of cells with least spikes or more, within valid intervals, in bins of width seconds, empty ones too, smoothed over sigma bins."""
+    """(key, bin, n[, smooth]): spikes of cells with least spikes or more, within valid intervals, in bins of width seconds, empty ones too, smoothed
+    over sigma bins."""
     cells = spikes.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key)
     kept = spikes.join(cells, key, "left_semi")
     if valid is not None:
@@ -239,7 +250,8 @@ def most_active(df: DataFrame, n: int, activity: str, at: str) -> DataFrame:
 
 
 def one_hot_bins(df: DataFrame, values: list[str], edges: list[float]) -> DataFrame:
-    """df with bin and hot: the number of the cell that the values fall in, edges[i - 1] <= x < edges[i] along each, the first value the slowest, and a row of 0 and 1 for all cells. Null outside."""
+    """df with bin and hot: the number of the cell that the values fall in, edges[i - 1] <= x < edges[i] along each, the first value the slowest, and
+    a row of 0 and 1 for all cells. Null outside."""
     n = len(edges) - 1
     cell = lambda c: F.when((F.col(c) >= edges[0]) & (F.col(c) < edges[-1]), sum((F.when(F.col(c) >= e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0)))
     place = F.lit(0)
@@ -250,7 +262,8 @@ def one_hot_bins(df: DataFrame, values: list[str], edges: list[float]) -> DataFr
 
 
 def deviance_explained(df: DataFrame, observed: str, predicted: str) -> DataFrame:
-    """One row: the share of the Poisson deviance between a constant rate and a saturated model that predicted rates take away, (LL - LL0) / (LS - LL0)."""
+    """One row: the share of the Poisson deviance between a constant rate and a saturated model that predicted rates take away, (LL - LL0) / (LS -
+    LL0)."""
     mean = df.agg(F.avg(observed).alias("_mean"))
     y, p = F.col(observed), F.greatest(F.col(predicted), F.lit(1e-12))
     likelihood = lambda rate: F.sum(F.when(y > 0, y * F.log(rate)).otherwise(0.0) - rate)
@@ -272,7 +285,8 @@ def longest(bars: DataFrame, n: int, key: str, birth: str, death: str) -> DataFr
 
 
 def rolled(df: DataFrame, key: str, at: str, value: str, shift: int) -> DataFrame:
-    """df with rolled: each key's values moved by shift rows, round the end; a null key is a key. Rows are numbered over ranges of key and at, so a key's series is no one task's."""
+    """df with rolled: each key's values moved by shift rows, round the end; a null key is a key. Rows are numbered over ranges of key and at, so a
+    key's series is no one task's."""
     n = numbered(df, key, at)
     ends = n.groupBy(F.col(key).alias("_key")).agg(F.min("_rn").alias("_low"), F.count("*").alias("_n"))
     n = n.join(ends, F.col(key).eqNullSafe(F.col("_key"))).drop("_key").withColumn("_rn", F.col("_rn") - F.col("_low"))

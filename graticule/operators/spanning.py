@@ -1,10 +1,13 @@
 """Minimum spanning forests of graphs, and what follows from them: single linkage, its cuts, and the components that a growing threshold leaves.
 
-Boruvka's rounds: every component takes the lightest edge that leaves it, components that these edges join become one, and of parallel edges between two of them the
-lightest stays. Each round halves the components at least, so rounds grow with the logarithm of the points. A round is a few joins and groupings of what is left of
+Boruvka's rounds: every component takes the lightest edge that leaves it, components that these edges join become one, and of parallel edges between
+two of them the
+lightest stays. Each round halves the components at least, so rounds grow with the logarithm of the points. A round is a few joins and groupings of
+what is left of
 the graph; a component with very many edges sends one edge from each task.
 
-Edges are ordered by length, then by the ids of their ends, so the forest is the same for any partitioning. Single linkage of the geodesic distances of a graph is that of
+Edges are ordered by length, then by the ids of their ends, so the forest is the same for any partitioning. Single linkage of the geodesic distances
+of a graph is that of
 its edges, because a path is never shorter than an edge on it: no table of all pairs is needed.
 """
 
@@ -24,7 +27,8 @@ SENT = 500_000
 
 
 def _roots(hooks: DataFrame, small: bool, most_rounds: int = 64) -> DataFrame:
-    """(c, root) from hooks (c, to): each component points to the one that its lightest edge leads to. Two that point to each other are the root of all that leads there, under the lesser name."""
+    """(c, root) from hooks (c, to): each component points to the one that its lightest edge leads to. Two that point to each other are the root of
+    all that leads there, under the lesser name."""
     sent = F.broadcast if small else (lambda t: t)
     back = hooks.select(F.col("c").alias("_c"), F.col("to").alias("_to"))
     met = hooks.join(sent(back), F.col("to") == F.col("_c"))
@@ -44,7 +48,8 @@ def _roots(hooks: DataFrame, small: bool, most_rounds: int = 64) -> DataFrame:
 
 
 def _rounds(edges: DataFrame, most_rounds: int = 64) -> Iterator[tuple[DataFrame, DataFrame]]:
-    """(lightest, roots) of each of Boruvka's rounds: the edge (dist, a, b) that each component c takes, and the component (root) that it is part of then; both are sent where there are few. The graph gets smaller with each."""
+    """(lightest, roots) of each of Boruvka's rounds: the edge (dist, a, b) that each component c takes, and the component (root) that it is part of
+    then; both are sent where there are few. The graph gets smaller with each."""
     own = edges.where("src <> dst AND dist IS NOT NULL AND NOT isnan(dist)").select(F.least("src", "dst").cast("long").alias("a"), F.greatest("src", "dst").cast("long").alias("b"), F.col("dist").cast("double").alias("dist"))
     left = own.groupBy("a", "b").agg(F.min("dist").alias("dist")).select(F.col("a").alias("x"), F.col("b").alias("y"), "dist", "a", "b")
     left = materialise(left, "edges")
@@ -70,7 +75,8 @@ def _rounds(edges: DataFrame, most_rounds: int = 64) -> Iterator[tuple[DataFrame
 
 
 def spanning_forest(edges: DataFrame) -> DataFrame:
-    """(a, b, dist), a < b: the edges of the minimum spanning forest of a graph (src, dst, dist), whose edges count in both directions. Loops and repeated edges are allowed, null or NaN distances are not edges."""
+    """(a, b, dist), a < b: the edges of the minimum spanning forest of a graph (src, dst, dist), whose edges count in both directions. Loops and
+    repeated edges are allowed, null or NaN distances are not edges."""
     out = None
     for hooks, _ in _rounds(edges):
         chosen = hooks.select("a", "b", "dist")
@@ -116,7 +122,8 @@ def longest_edges(forest: DataFrame, n: int) -> list[tuple[float, int, int]]:
 
 
 def chosen_k(forest: DataFrame, trees: int, by: str = "elbow", most: int = 15) -> int:
-    """How many clusters single linkage has, from the heights of its last `most` merges: elbow, before the largest drop from one height to the next, or inconsistency, before the largest height over the mean of the two below it. trees: components of the graph, which are clusters at least."""
+    """How many clusters single linkage has, from the heights of its last `most` merges: elbow, before the largest drop from one height to the next,
+    or inconsistency, before the largest height over the mean of the two below it. trees: components of the graph, which are clusters at least."""
     heights = [e[0] for e in longest_edges(forest, most + 2)]
     if len(heights) < 2:
         return max(trees, 1)
@@ -131,9 +138,11 @@ def chosen_k(forest: DataFrame, trees: int, by: str = "elbow", most: int = 15) -
 
 
 def single_linkage(nodes: DataFrame, edges: DataFrame, k: int | None = 10, by: str = "elbow", most: int = 15) -> DataFrame:
-    """(id, cluster): single linkage of nodes (id) over a graph (src, dst, dist), or over the geodesics of it, cut in k clusters, or in as many as a rule says. Clusters are numbered from 1 by their least ids.
+    """(id, cluster): single linkage of nodes (id) over a graph (src, dst, dist), or over the geodesics of it, cut in k clusters, or in as many as a
+    rule says. Clusters are numbered from 1 by their least ids.
 
-    Components of the graph are never joined, so there are as many clusters at least. k - components of the longest edges are cut, of equal ones those of larger ids first.
+    Components of the graph are never joined, so there are as many clusters at least. k - components of the longest edges are cut, of equal ones those
+    of larger ids first.
     """
     nodes = materialise(nodes.select(F.col("id").cast("long").alias("id")).distinct(), "nodes")
     forest = materialise(spanning_forest(edges), "forest")

@@ -1,6 +1,8 @@
-"""Classifiers trained by rounds over distributed rows: each round sends the weights, sums gradients of a draw of rows in each task, and moves the weights on the driver.
+"""Classifiers trained by rounds over distributed rows: each round sends the weights, sums gradients of a draw of rows in each task, and moves the
+weights on the driver.
 
-Only weights and their gradients travel (as large as the model, whatever the rows). Validation loss is summed in the same pass; training stops once it has not fallen for some rounds,
+Only weights and their gradients travel (as large as the model, whatever the rows). Validation loss is summed in the same pass; training stops once it
+has not fallen for some rounds,
 and the best weights stay.
 """
 
@@ -83,7 +85,8 @@ def _round(sent, share: float, turn: int, seed: int) -> Callable:
 
 
 def train(rows: DataFrame, hidden: list[int] | None = None, rounds: int = 60, rate: float = 0.05, share: float = 0.5, aside: float = 0.2, patience: int = 8, decay: float = 1e-4, seed: int = 0) -> Classifier:
-    """A softmax classifier, with hidden layers of rectified units if given, of rows (id, features, label). aside: the share of rows, by a hash of id, that validate; share: of the others, how many a round draws. Rows without a label or features are left out."""
+    """A softmax classifier, with hidden layers of rectified units if given, of rows (id, features, label). aside: the share of rows, by a hash of id,
+    that validate; share: of the others, how many a round draws. Rows without a label or features are left out."""
     spark = rows.sparkSession
     own = rows.where("label IS NOT NULL AND features IS NOT NULL").select(F.col("id"), F.col("features").cast("array<double>").alias("features"), F.col("label").cast("long").alias("label"))
     labels = np.array(sorted(r[0] for r in own.select("label").distinct().collect()), np.int64)  # as many as there are classes
@@ -147,7 +150,8 @@ def predicted(points: DataFrame, model: Classifier) -> DataFrame:
 
 
 def accuracy_by_dimension(points: DataFrame, methods: dict[str, Callable[[DataFrame, int], DataFrame]], dimensions: list[int], share: float = 0.75, **options) -> DataFrame:
-    """(method, d, train, test, rounds, best_round): how well labels of points (id, features, label) are told from what each method (points, d) to (id, features) makes of their features, for each d. test: of the rows, by a hash of id, that the classifier has not seen."""
+    """(method, d, train, test, rounds, best_round): how well labels of points (id, features, label) are told from what each method (points, d) to
+    (id, features) makes of their features, for each d. test: of the rows, by a hash of id, that the classifier has not seen."""
     spark, out = points.sparkSession, []
     seen = F.pmod(F.xxhash64("id", F.lit(97)), F.lit(1000)) < int(share * 1000)
     for name, method in methods.items():

@@ -62,7 +62,8 @@ def _means(data: DataFrame, labels: DataFrame) -> pd.DataFrame:
 
 
 def _landmark_table(data: DataFrame, k: int, n: int = 0, directed: bool = False, **options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The graph's components (id, component), the landmarks of each (id, component), and geodesic distances (i, j, dist) of all points i to the landmarks j of theirs."""
+    """The graph's components (id, component), the landmarks of each (id, component), and geodesic distances (i, j, dist) of all points i to the
+    landmarks j of theirs."""
     graph = materialise(build_graph(data, k, directed=directed, **options), "graph")
     nodes = graph.select(F.col("src").alias("id")).unionAll(graph.select(F.col("dst").alias("id"))).distinct()
     labels = materialise(paths.components(nodes, graph), "labels")
@@ -78,10 +79,14 @@ WAYS = ("dense", "landmarks", "joins")
 def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, init: str | DataFrame = "classical", way: str | None = None, landmarks: int = 0, **options) -> DataFrame:
     """(id, component, init, embedding, way) of points, or of a distance table.
 
-    Components are scaled by themselves and moved by the scaled means of their points (added once, to both). Without split a graph of several components is an error.
-    way: dense, each component in one task, at most mds.DENSE points of it, from an init of classical, spectral, random, or a table (id, init); landmarks, by geodesics from some points of each component only
-    (landmarks of them, mds.LANDMARKS if 0), see mds.by_landmarks; joins, by all geodesics and no task that holds a component, see eigen.classical_by_joins and mds.descend_by_joins. Without a way, data of up to mds.DENSE points
-    go the dense way, more points by landmarks and larger tables by joins. The column way says which one it was. By landmarks and by joins the initialisation is classical; by landmarks dijkstra and geodesic have no meaning.
+    Components are scaled by themselves and moved by the scaled means of their points (added once, to both). Without split a graph of several
+    components is an error.
+    way: dense, each component in one task, at most mds.DENSE points of it, from an init of classical, spectral, random, or a table (id, init);
+    landmarks, by geodesics from some points of each component only
+    (landmarks of them, mds.LANDMARKS if 0), see mds.by_landmarks; joins, by all geodesics and no task that holds a component, see
+    eigen.classical_by_joins and mds.descend_by_joins. Without a way, data of up to mds.DENSE points
+    go the dense way, more points by landmarks and larger tables by joins. The column way says which one it was. By landmarks and by joins the
+    initialisation is classical; by landmarks dijkstra and geodesic have no meaning.
     """
     size = (data.select("i").distinct() if distances else data).count()
     way = way or ("dense" if size <= mds.DENSE else "joins" if distances else "landmarks")
@@ -149,10 +154,13 @@ class ClusterEmbedding:
 
 
 def cluster_embed(data: DataFrame, k: int, n_clusters: int | None = 10, distances: bool = False, cluster: Callable[[DataFrame], DataFrame] | None = None, together: bool = True, **options) -> ClusterEmbedding:
-    """Points clustered by average linkage of geodesic distances (or by a function of the table of them), scaled to the plane, and clusters moved apart.
+    """Points clustered by average linkage of geodesic distances (or by a function of the table of them), scaled to the plane, and clusters moved
+    apart.
 
-    together: all points are scaled at once; else each cluster by itself, in one task, and put where its medoid stands when medoids are scaled by their distances.
-    Points (not tables) beyond mds.DENSE go by landmarks, together only: these are clustered, every other point has the cluster of the nearest one, and medoids are landmarks. The
+    together: all points are scaled at once; else each cluster by itself, in one task, and put where its medoid stands when medoids are scaled by
+    their distances.
+    Points (not tables) beyond mds.DENSE go by landmarks, together only: these are clustered, every other point has the cluster of the nearest one,
+    and medoids are landmarks. The
     graph must be connected then. Only hulls and the points nearest other clusters' medoids reach the driver.
     """
     by = cluster or (lambda t: clusters.linkage_clusters(t, n_clusters))

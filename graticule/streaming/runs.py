@@ -1,6 +1,7 @@
 """Runs of events in a stream, with state that shrinks: a run goes out once the watermark says that nothing can be added to it.
 
-State holds a key's open runs only. Rows may come in any order within the watermark's delay, and join runs that were apart; later rows, not after the watermark, are dropped. A timer for each run's
+State holds a key's open runs only. Rows may come in any order within the watermark's delay, and join runs that were apart; later rows, not after the
+watermark, are dropped. A timer for each run's
 end closes it, in append mode, so what has been written stays as it is.
 """
 
@@ -70,7 +71,9 @@ class _Runs(StatefulProcessor):
 
 
 def active_runs(events: DataFrame, key: str, ts: str, gap: float, late: str = "10 minutes") -> DataFrame:
-    """(key, first, last, n) of a stream's events (ts: timestamp): runs of a key without a pause of gap seconds, each once it is over by the watermark. Rows without a time, or of 1970-01-01 00:00:00 and before, where watermarks begin, are in no run. Needs the RocksDB state store (see finished)."""
+    """(key, first, last, n) of a stream's events (ts: timestamp): runs of a key without a pause of gap seconds, each once it is over by the
+    watermark. Rows without a time, or of 1970-01-01 00:00:00 and before, where watermarks begin, are in no run. Needs the RocksDB state store (see
+    finished)."""
     kind = dict(events.dtypes)[key]
     own = events.select(key, ts, F.unix_millis(ts).alias("event_ms")).withWatermark(ts, late)
     found = own.groupBy(key).transformWithStateInPandas(_Runs(key, int(gap * 1000)), f"{key} {kind}, first long, last long, n long", "Append", "EventTime")
@@ -78,7 +81,8 @@ def active_runs(events: DataFrame, key: str, ts: str, gap: float, late: str = "1
 
 
 def finished(runs: DataFrame, checkpoint: str, path: str) -> DataFrame:
-    """Run a stream in append mode over what is there, write its rows to a folder, and read it. A stream that is run again goes on from its checkpoint and adds to the folder."""
+    """Run a stream in append mode over what is there, write its rows to a folder, and read it. A stream that is run again goes on from its checkpoint
+    and adds to the folder."""
     spark = runs.sparkSession
     before = spark.conf.get(_PROVIDER, None)
     spark.conf.set(_PROVIDER, _ROCKS)
