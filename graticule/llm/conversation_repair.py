@@ -122,7 +122,8 @@ def _own(conversations: DataFrame) -> DataFrame:
 
 
 def plan(conversations: DataFrame) -> DataFrame:
-    """The edits of each conversation (see PLAN) from conv_id, turn, role, text and, if there is such a column, times: 0 for a row that only names its conversation."""
+    """The edits of each conversation (see PLAN) from conv_id, turn, role, text and, if there is such a column, times: 0 for a row that only names its
+    conversation."""
     stripped = F.rtrim(F.col("text"), F.lit(SPACE))
     fault = F.when(stripped == "", BLANK).when(F.substring(stripped, -1, 1).isin(".", "!", "?"), FINE).otherwise(TRUNCATED)
     place = F.greatest(F.instr(F.lit(INITIALS[1:]), F.substring("role", 1, 1)), F.lit(0))
@@ -251,7 +252,8 @@ def digests(conversations: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text and times of rows damaged by crc32(`conv_id:turn`) % 20: 0 drops a row (times 0), 1 empties its text, 2 removes its ends of sentences, 3 repeats it, 4 makes it the user's."""
+    """conv_id, turn, role, text and times of rows damaged by crc32(`conv_id:turn`) % 20: 0 drops a row (times 0), 1 empties its text, 2 removes its
+    ends of sentences, 3 repeats it, 4 makes it the user's."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
     fault = F.crc32(F.concat(shown("conv_id"), F.lit(":"), shown("turn")).cast("binary")) % 20
     role, text = shown("role"), shown("text")

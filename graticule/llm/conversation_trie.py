@@ -1,10 +1,12 @@
 """The prefix trie of conversations: one row for each distinct sequence of first turns, with counts of what lies below it.
 
-A conversation is the sequence of its turns' digests (16 bytes of the SHA-256 of role and text), so no text travels or is compared twice. Sequences are dealt out by range, in
+A conversation is the sequence of its turns' digests (16 bytes of the SHA-256 of role and text), so no text travels or is compared twice. Sequences
+are dealt out by range, in
 the order of (sequence, conv_id): Spark samples the bounds, and a conversation of which there are very many copies is divided by conv_id.
 
 Within a range a task sorts externally. Runs of RUN bytes are sorted, each sequence with its LCP, the turns that it shares with the
-one before. Several runs go to the shared folder and come back by batches through a tree of losers, which compares LCPs first and turns from there on only,
+one before. Several runs go to the shared folder and come back by batches through a tree of losers, which compares LCPs first and turns from there on
+only,
 so shared turns are not compared again. The merged stream with its LCPs feeds a stack, the open path from the root: what is
 longer than the LCP is finished, and its counts go to its parent.
 
@@ -14,7 +16,8 @@ look it up by a join.
 
 Defined results: null role or text count as empty; turns stand in the order of turn (nulls first), equal ones in that of their digests, repeated ones
 stay; an empty table gives no node, a conversation of no turns is a member of the root; conversations with a null conv_id are one conversation, a
-member that is never the smallest unless alone and is not listed among those that end; only the four columns are read. The longest conversation is one row of 20 bytes a turn.
+member that is never the smallest unless alone and is not listed among those that end; only the four columns are read. The longest conversation is one
+row of 20 bytes a turn.
 """
 
 from __future__ import annotations
@@ -29,7 +32,8 @@ from pyspark.sql import functions as F
 
 from .common import file_system, map_arrow, materialise, sent, shared_dir
 
-#: Bytes of a turn's digest; bytes of sequences that a run holds; sequences of a batch that is read back from a run; bytes of a row that lists who ends at an unfinished node.
+#: Bytes of a turn's digest; bytes of sequences that a run holds; sequences of a batch that is read back from a run; bytes of a row that lists who
+#: ends at an unfinished node.
 TURN, RUN, READ, LISTED = 16, 48 << 20, 512, 1 << 16
 
 SEQUENCES = "conv_id long, path binary, chars array<int>"
@@ -95,7 +99,8 @@ def sorted_run(rows: list[tuple]) -> Iterator[tuple]:
 def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
     """One sorted stream of several, each row with its LCP to the row before, by a tree of losers.
 
-    Leaves hold each run's next row with its LCP to the row that went out last; an inner node holds who lost there, and its LCP to who won. Between two rows
+    Leaves hold each run's next row with its LCP to the row that went out last; an inner node holds who lost there, and its LCP to who won. Between
+    two rows
     with different LCPs the larger one is first; only equal LCPs have turns compared, from there on.
     """
     k = len(runs)
@@ -146,7 +151,8 @@ def merged(runs: list[Iterator[tuple]]) -> Iterator[tuple]:
 
 
 class _Stack:
-    """The open path. Nodes are lists: digest of the prefix, its parent's, smallest member, members, children, leaves, saved tokens, code points, who ends there, and whether it may have begun in another range."""
+    """The open path. Nodes are lists: digest of the prefix, its parent's, smallest member, members, children, leaves, saved tokens, code points, who
+    ends there, and whether it may have begun in another range."""
 
     def __init__(self) -> None:
         self.path: list[list] = []
