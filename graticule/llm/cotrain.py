@@ -8,7 +8,7 @@ the two are combined by a further logistic regression, and all documents are sco
 
 The same is done for two labels: quality (1: good) and toxic (1: toxic). A document is kept if it is likely good and not
 likely toxic. Models are fitted on bounded samples, chosen by a hash of doc_id: about PER_KIND documents of each value of each
-label, weighted by the inverse of their share, and POOL others. A hash parts the labelled ones in FOLDS: most teach, CONFIDENCE
+label, weighted by the inverse of their share, and POOL others; of rows with one doc_id, or with none, one is drawn. A hash parts the labelled ones in FOLDS: most teach, CONFIDENCE
 sets the bounds of confidence, CALIBRATION the calibration and the combination. What leaves the executors are
 counts of words and bounded vectors, not texts. Scoring needs no shuffle; labels are not an input of it.
 
@@ -191,6 +191,9 @@ def _drawn(own: DataFrame, labels: DataFrame) -> DataFrame:
     picked = known.withColumn("share", F.coalesce(F.greatest(*shares), F.lit(0.0))).where(_place("doc_id", SEED) < F.col("share"))
     pool = _place("doc_id", SEED + 1) < POOL / max(1, own.count())
     joined = own.join(F.broadcast(picked), "doc_id", "left").where(F.col("share").isNotNull() | pool)
+    # Rows of one id are in or out together, so one of them stands for all: that of the least hash.
+    columns = F.struct(*joined.columns)
+    joined = joined.groupBy("doc_id").agg(F.min_by(columns, F.xxhash64("text", "lang", "source", "n_chars")).alias("_row")).select("_row.*")
     fold = F.when(F.col("share").isNotNull(), F.floor(_place("doc_id", SEED + 2) * FOLDS).cast("int"))
     return materialise(joined.withColumns({"fold": F.coalesce(fold, F.lit(-1)), "weight": F.coalesce(1 / F.col("share"), F.lit(1.0))}).drop("share"), "labelled")
 

@@ -2,7 +2,7 @@
 
 A text is the mean of the embeddings of its subwords (byte n-grams within words, word borders marked), hashed into
 BUCKETS rows; a linear layer with softmax gives the languages. The model is trained from segments of a bounded sample:
-PER_LANG documents of each language, chosen by a hash of doc_id, SEGMENTS segments of each, spread over the whole text.
+about PER_LANG different documents of each of the LANGS most frequent languages, chosen by a hash of the row, SEGMENTS segments of each, spread over the whole text.
 A part of the sampled documents is set aside, texts that sort next to each other together, so that copies seldom lie
 on both sides: their segments, one by one and joined, set the temperature of the softmax and the score below which a
 prediction counts as rejected (accepted is false there; the best language is reported all the same).
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import map_arrow
 
 SIZES, BUCKETS, WIDTH = (2, 3, 4), 1 << 15, 16
-PER_LANG, SEGMENTS, SEGMENT_BYTES = 250, 12, (30, 300)
+PER_LANG, LANGS, SEGMENTS, SEGMENT_BYTES = 250, 200, 12, (30, 300)
 EPOCHS, RATE, MINIBATCH, SEED = 4, 8.0, 64, 11
 #: Bytes of a text whose subwords are looked up at a time.
 CHUNK = 1 << 18
@@ -143,18 +143,19 @@ def _calibrated(model: Model, check: list[tuple[np.ndarray, int]]) -> Model:
     return model
 
 
-def sample(rows: DataFrame, per_lang: int = PER_LANG) -> list[tuple[list[str], str]]:
-    """(segments of a text, lang) of about per_lang documents of each language, chosen by a hash of doc_id; rows has doc_id, text, lang."""
+def sample(rows: DataFrame, per_lang: int = PER_LANG, langs: int = LANGS) -> list[tuple[list[str], str]]:
+    """(segments of a text, lang) of about per_lang documents, at most twice as many in all, of each of the most frequent languages, chosen by a hash of the row; rows has doc_id, text, lang. Equal segments count once."""
     known = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().collect()  # one row for each language
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
     if not counts:
         return []
-    place = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)).cast("double") / (1 << 30)
-    share = F.element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"]))))), F.col("lang"))
+    place = F.pmod(F.xxhash64("doc_id", "text", F.lit(SEED)), F.lit(1 << 30)).cast("double") / (1 << 30)
+    share = F.try_element_at(F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, per_lang / r["count"]))))), F.col("lang"))
     # Segments leave the executors, not texts: SEGMENTS of them, at equal distances.
     at = lambda i: (F.length("text") * i / SEGMENTS).cast("int") + 1
     segments = F.array(*(F.substring("text", at(i), F.lit(SEGMENT_BYTES[1])) for i in range(SEGMENTS)))
-    return [(r["segments"], r["lang"]) for r in known.where(place < share).select(segments.alias("segments"), "lang").collect()]
+    drawn = known.where(place < share).groupBy("lang", segments.alias("segments")).agg(F.min(place).alias("place"))
+    return [(r["segments"], r["lang"]) for r in drawn.orderBy("place", "lang", "segments").limit(2 * per_lang * len(counts)).collect()]
 
 
 def _predictor(model: Model) -> Callable:

@@ -196,3 +196,15 @@ def test_cotrain_on_awkward_rows(spark, awkward, nothing):
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 1), (99, 0, 0)], "doc_id long, quality int, toxic int")
     assert cotrain.classify(awkward, labels).count() == awkward.count()
     assert cotrain.classify(nothing, labels.where("false")).count() == 0
+
+
+def test_samples_are_bounded_where_one_id_has_all_rows(spark):
+    from pyspark.sql import functions as F
+
+    one = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.concat(F.lit("some words of text "), (F.col("id") % 5000).cast("string")).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    assert 0 < len(lang_id.sample(one, 50)) <= 100
+    assert len(lang_id.sample(one.withColumn("text", F.lit("the same text")), 50)) <= 1
+    junk = one.withColumn("lang", F.substring("text", 20, 4))
+    assert {r[1] for r in lang_id.sample(junk, 50, 3)} == {"0", "1", "10"}
+    drawn = cotrain._drawn(cotrain._own(one), spark.createDataFrame([(7, 1, 0)], "doc_id long, quality int, toxic int"))
+    assert drawn.count() <= 1
