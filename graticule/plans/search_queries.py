@@ -99,14 +99,28 @@ def single_linkage_cut(spark, d):
     return spanning.cut_at(points(spark, d).select("id"), forest, 0.3)
 
 
-@query()
-def single_linkage(spark, d):
-    """Ten clusters of the clustered points, over the graph that descent finds, and of all between clusters' first points."""
-    own = clustered(spark, d)
+def _one_graph(spark, d, own):
+    """The graph that descent finds, and edges between the first points of all clusters."""
     near = embed.build_graph(own, K, normalise=False, beyond=False, search="descent")
     heads = materialise(own.join(points(spark, d).groupBy("label").agg(F.min("id").alias("id")), "id").select("id", "features"), "heads")
     between = pairwise(heads).select(F.col("i").alias("src"), F.col("j").alias("dst"), "dist")
-    return spanning.single_linkage(own.select("id"), near.unionByName(between), None)
+    return near.unionByName(between)
+
+
+@query()
+def single_linkage(spark, d):
+    """As many clusters of the clustered points as the elbow says."""
+    own = clustered(spark, d)
+    return spanning.single_linkage(own.select("id"), _one_graph(spark, d, own), None)
+
+
+@query()
+def linkage_selection(spark, d):
+    """How many clusters each rule chooses."""
+    own = materialise(clustered(spark, d), "points")
+    forest = materialise(spanning.spanning_forest(_one_graph(spark, d, own)), "forest")
+    trees = own.count() - forest.count()
+    return spark.createDataFrame([(by, spanning.chosen_k(forest, trees, by)) for by in ("elbow", "inconsistency")], "rule string, k int")
 
 
 _PRIORITIES = f"WITH RECURSIVE {_CLUSTERED}, near AS (SELECT * FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY dist, i <> j, j) AS rank FROM pairs) WHERE rank <= {K} AND i <> j)"

@@ -36,6 +36,7 @@ CHECKS = {
     "communities": lambda rows, p: {r.id for r in rows} == set(p) and len({(r.community, p[r.id]) for r in rows}) == len({r.community for r in rows}) >= len(set(p.values())) and rows[0].modularity > 0.8 and all(r.community <= r.id for r in rows),
     "doublet_scores": lambda rows, p: {r.id for r in rows} == set(p) and all(0 <= r.score <= 1 and 0 <= r.n_simulated <= 30 for r in rows),
     "accuracy_by_dimension": lambda rows, p: [(r.method, r.d) for r in rows] == [("pca", 2), ("pca", 8), ("isomap", 2), ("isomap", 8)] and all(r.best_round < r.rounds <= 60 for r in rows) and rows[1].test > 0.9 and rows[1].test > rows[0].test,
+    "linkage_selection": lambda rows, p: {r.rule: r.k for r in rows} == {"elbow": len(set(p.values())), "inconsistency": len(set(p.values()))},
     "phi_half_normal": lambda rows, p: len(rows) > len(p) and all(r.dist >= 0 for r in rows),
     "phi_log_normal": lambda rows, p: len(rows) > len(p) and all(r.dist >= 0 for r in rows),
     "cluster_hulls": lambda rows, p: {r.cluster for r in rows} == set(p.values()) and finite(rows, "x", "y"),
