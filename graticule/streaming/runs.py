@@ -30,41 +30,37 @@ def joined(runs: list[tuple[int, int, int]], gap: int) -> list[tuple[int, int, i
 
 
 class _Runs(StatefulProcessor):
-    """Times are milliseconds. One list of open runs and one timer a run's end for each key."""
+    """Times are milliseconds. A key's open runs are a map by their ends, so that a timer, one for each end, looks at one of them only."""
 
     def __init__(self, key: str, gap: int) -> None:
         self.key, self.gap = key, gap
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "first long, last long, n long")
-
-    def _kept(self) -> list[tuple[int, int, int]]:
-        return [tuple(r) for r in self.open.get()] if self.open.exists() else []
+        self.open = handle.getMapState("open", "last long", "first long, n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs()
         times = [int(t) for part in rows for t in part["event_ms"] if not pd.isna(t) and t > mark]
         if times:
-            before = self._kept()
-            after = joined(before + [(t, t, 1) for t in times], self.gap)
-            for first, last, n in after:
-                if (first, last, n) not in before:
+            before = {last[0]: tuple(v) for last, v in self.open.iterator()} if self.open.exists() else {}
+            runs = joined([(first, last, n) for last, (first, n) in before.items()] + [(t, t, 1) for t in times], self.gap)
+            after = {last: (first, n) for first, last, n in runs}
+            for last in before.keys() - after.keys():
+                self.open.removeKey((last,))
+            for last, run in after.items():
+                if before.get(last) != run:
+                    self.open.updateValue((last,), run)
+                if last not in before:
                     self.handle.registerTimer(last + self.gap)
-            self.open.put(after)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        kept = self._kept()
-        done = [r for r in kept if r[1] + self.gap <= at]
-        if done:
-            left = [r for r in kept if r[1] + self.gap > at]
-            if left:
-                self.open.put(left)
-            else:
-                self.open.clear()
-            yield pd.DataFrame({self.key: [key[0]] * len(done), "first": [r[0] for r in done], "last": [r[1] for r in done], "n": [r[2] for r in done]})
+        last = expiredTimerInfo.getExpiryTimeInMs() - self.gap
+        if self.open.containsKey((last,)):  # else the run went on
+            first, n = self.open.getValue((last,))
+            self.open.removeKey((last,))
+            yield pd.DataFrame({self.key: [key[0]], "first": [first], "last": [last], "n": [n]})
 
     def close(self) -> None:
         pass
