@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import clusters, evaluate, mds, paths
-from ..operators.knn import pairwise
+from ..operators.knn import pairwise, widest
 from ..sources import generators
 from .catalogue import PAIRS, P, coordinates, points, query, rounded
 from .storage import materialise
@@ -117,4 +117,4 @@ def hull_corners(spark, d):
 @query(f"WITH {PAIRS} SELECT a.label AS cluster, round(max(dist), 5) AS diameter FROM pairs JOIN p a ON a.id = i JOIN p b ON b.id = j WHERE a.label = b.label GROUP BY a.label")
 def diameters(spark, d):
     labels = points(spark, d).select("id", F.col("label").alias("cluster"))
-    return rounded(clusters.diameters(pairwise(points(spark, d)), labels), "diameter")
+    return rounded(widest(points(spark, d), labels), "diameter")
