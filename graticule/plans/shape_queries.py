@@ -89,7 +89,8 @@ def landmark_scaling(spark, d):
     own = _solid(spark, d)
     whole = materialise(own.select("id", F.lit(0).cast("long").alias("component")), "labels")
     marks = mds.landmark_ids(whole, 50).select(F.col("id").alias("j"))
-    table = materialise(pairwise(own).join(F.broadcast(marks), "j").select("i", "j", "dist"), "distances")
+    chosen = own.join(F.broadcast(marks), F.col("id") == F.col("j")).select("id", "features")
+    table = materialise(pairwise(own, asked=chosen).select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"), "distances")
     return rounded(_spaced(mds.by_landmarks(table, whole, 3, metric=False), 3), "dist", to=4)
 
 
