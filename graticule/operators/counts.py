@@ -126,6 +126,16 @@ def variable_terms(counts: DataFrame, most: int = 2000, batch: str | None = None
     return spread.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
+def steady_sum(column: Column | str) -> Column:
+    """The sum of doubles, the same in whatever order rows come, so that groups of equal values have equal sums: as decimals of 18 places below a thousand
+    million, others (not finite ones, too) as doubles."""
+    value = (F.col(column) if isinstance(column, str) else column).cast("double")
+    plain = F.abs(value) < 1e9
+    exact = F.sum(F.when(plain, value).cast("decimal(38,18)")).cast("double")
+    rest = F.sum(F.when(~plain, value))
+    return F.when(rest.isNull(), exact).otherwise(F.coalesce(exact, F.lit(0.0)) + rest)
+
+
 def above_percentile(values: DataFrame, key: str, value: str, share: float = 0.75) -> DataFrame:
     """values with high: whether a value is above that percentile of its key's positive values."""
     limits = values.where(F.col(value) > 0).groupBy(key).agg(F.percentile(value, F.lit(share)).alias("limit"))

@@ -302,7 +302,7 @@ h AS (SELECT doc, label, value, place FROM s JOIN m USING (term) JOIN q USING (t
 b AS (SELECT doc, arg_max(label, (value, -place)) AS label, count(*) AS n FROM h GROUP BY doc)
 SELECT DISTINCT s.doc, coalesce(label, 'Other') AS label, coalesce(n, 0) AS n_positive FROM s LEFT JOIN b USING (doc)""")
 def marker_argmax(spark, d):
-    sums = table(spark, d, "events", "user_id", "event_type", "value").groupBy(F.col("user_id").alias("doc"), F.col("event_type").alias("term")).agg(F.sum("value").alias("value"))
+    sums = table(spark, d, "events", "user_id", "event_type", "value").groupBy(F.col("user_id").alias("doc"), F.col("event_type").alias("term")).agg(counts.steady_sum("value").alias("value"))
     return counts.marker_labels(materialise(sums, "sums"), [("login", "in"), ("purchase", "buyer"), ("click", "clicker"), ("view", "viewer")])
 
 
