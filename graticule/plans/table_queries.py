@@ -91,7 +91,7 @@ _SUMS = "s AS (SELECT user_id AS doc, event_type AS term, sum(value) AS value FR
 
 
 def _sums(spark, d):
-    return materialise(table(spark, d, "events", "user_id", "event_type", "value").groupBy(F.col("user_id").alias("doc"), F.col("event_type").alias("term")).agg(F.sum("value").alias("value")), "sums")
+    return materialise(table(spark, d, "events", "user_id", "event_type", "value").groupBy(F.col("user_id").alias("doc"), F.col("event_type").alias("term")).agg(counts.steady_sum("value").alias("value")), "sums")
 
 
 @query(f"WITH {_SUMS} SELECT doc, bool_or(term = 'login' AND value > q) AS present, bool_or(term = 'purchase' AND value > q) AS buying FROM s JOIN q USING (term) GROUP BY doc")
