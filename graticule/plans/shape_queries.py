@@ -79,7 +79,11 @@ def _spaced(embedding, d: int):
 
 @query(f"WITH {_SOLID} SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v), 4) + 0.0 AS dist FROM q a, q b")
 def classical_scaling(spark, d):
-    table = materialise(pairwise(_solid(spark, d)), "distances")
+    own = _solid(spark, d)
+    if own.count() > mds.DENSE:  # no table of all distances, and none in one task
+        placed = materialise(mds.classical_of(own, 3), "placed").select("id", F.lit(0).cast("long").alias("component"), "init", F.col("init").alias("embedding"))
+        return rounded(_spaced(placed, 3), "dist", to=4)
+    table = materialise(pairwise(own), "distances")
     whole = points(spark, d).select("id", F.lit(0).cast("long").alias("component"))
     return rounded(_spaced(mds.embed_components(table, whole, 3, metric=False), 3), "dist", to=4)
 
