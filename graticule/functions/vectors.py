@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +40,18 @@ def circular_distance(a: Column, b: Column) -> Column:
 
 def clip(x: Column, low: float, high: float) -> Column:
     return F.greatest(F.least(x, F.lit(high)), F.lit(low))
+
+
+def rounded(x: np.ndarray, to: int) -> np.ndarray:
+    """What Spark's round() makes of doubles, halves away from zero by their decimal digits, and without negative zeros. Where a product cannot tell the side of a half, digits do."""
+    ten = 10.0**to
+    with np.errstate(all="ignore"):
+        wide = np.abs(x) * ten
+        low = np.floor(wide)
+        part = wide - low
+        out = np.copysign((low + (part >= 0.5)) / ten, x) + 0.0
+        part -= 0.5
+        unsure = np.flatnonzero((~(np.abs(part) > 1e-6) | ~(wide < 1e9)) & np.isfinite(x))
+    for k in unsure.tolist():
+        out[k] = float(Decimal(repr(float(x[k]))).quantize(Decimal(1).scaleb(-to), ROUND_HALF_UP)) + 0.0 if abs(x[k]) < 1e15 else x[k]
+    return out

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import rounded
 from ..plans.storage import drop, materialise
 
 #: Edges up to which the graph is sent to every executor: 24 bytes each, so 72 MB at most; and bytes that a task's round of a search takes.
@@ -42,7 +43,7 @@ def shortest(starts: np.ndarray, ends: np.ndarray, costs: np.ndarray, sources: n
     return best
 
 
-def _searcher(graph) -> Callable:
+def _searcher(graph, to: int | None = None) -> Callable:
     schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("dist", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,13 +59,14 @@ def _searcher(graph) -> Callable:
                 best = shortest(starts, ends, costs, places[k : k + at_once], len(ids))
                 for column, source in enumerate(sources[k : k + at_once].tolist()):
                     met = np.flatnonzero(np.isfinite(best[:, column]))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), source)), pa.array(ids[met]), pa.array(best[met, column])], schema=schema)
+                    dist = best[met, column]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(met), source)), pa.array(ids[met]), pa.array(dist if to is None else rounded(dist, to))], schema=schema)
 
     return run
 
 
-def geodesics(edges: DataFrame, sources: DataFrame | None = None, directed: bool = False) -> DataFrame:
-    """(i, j, dist): lengths of shortest paths from the sources (column i; all nodes if None). Pairs without a path are absent.
+def geodesics(edges: DataFrame, sources: DataFrame | None = None, directed: bool = False, to: int | None = None) -> DataFrame:
+    """(i, j, dist): lengths of shortest paths from the sources (column i; all nodes if None), rounded to `to` decimals if given. Pairs without a path are absent.
 
     A graph of at most BROADCAST_EDGES edges goes to all executors, and a task searches from its sources, some at once; a larger one is relaxed by joins.
     """
@@ -73,21 +75,22 @@ def geodesics(edges: DataFrame, sources: DataFrame | None = None, directed: bool
     sources = nodes if sources is None else sources.select("i").distinct()
     graph = materialise(graph, "graph")
     if graph.count() > BROADCAST_EDGES:
-        return relaxed(graph, sources.join(nodes, "i", "left_semi"))
+        far = relaxed(graph, sources.join(nodes, "i", "left_semi"))
+        return far if to is None else far.withColumn("dist", F.round("dist", to) + F.lit(0.0))
     rows = graph.toPandas()
     ids = np.unique(np.concatenate([rows["src"], rows["dst"]]).astype(np.int64))
     src, dst = np.searchsorted(ids, rows["src"]), np.searchsorted(ids, rows["dst"])
     order = np.lexsort((src, dst))
     spark = edges.sparkSession
     sent = spark.sparkContext.broadcast((ids, src[order], dst[order], rows["dist"].to_numpy()[order]))
-    return sources.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_searcher(sent), "i long, j long, dist double")
+    return sources.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInArrow(_searcher(sent, to), "i long, j long, dist double")
 
 
-def within(edges: DataFrame, labels: DataFrame, directed: bool = False) -> DataFrame:
+def within(edges: DataFrame, labels: DataFrame, directed: bool = False, to: int | None = None) -> DataFrame:
     """(i, j, dist): lengths of shortest paths that do not leave a cluster (labels: id, cluster)."""
     a, b = (labels.select(F.col("id").alias(name), F.col("cluster").alias(f"_{name}")) for name in ("src", "dst"))
     inner = edges.join(a, "src").join(b, "dst").where("_src = _dst").select("src", "dst", "dist")
-    return geodesics(inner, directed=directed)
+    return geodesics(inner, directed=directed, to=to)
 
 
 def relaxed(graph: DataFrame, sources: DataFrame, most_rounds: int = 1000) -> DataFrame:
