@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graticule.operators import clusters, communities, doublets, eigen, grids, mds, series, spanning, training
+from graticule.operators import clusters, communities, doublets, eigen, grids, mds, paths, series, spanning, training
 from graticule.operators.knn import knn
 from graticule.plans import embed
 
@@ -313,3 +313,33 @@ def test_gradient_is_that_of_the_loss():
     up = model.gradient(x, y)[0]
     w[1, 2] -= 2e-6
     assert abs((up - model.gradient(x, y)[0]) / 2e-6 - grads[0][0][1, 2]) < 1e-4
+
+
+def _grid_edges(spark):
+    draw = np.random.default_rng(5)
+    return spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(draw.integers(0, 40, 120), draw.integers(0, 40, 120), draw.uniform(size=120), strict=True)], "src long, dst long, dist double")
+
+
+def test_relaxed_paths_of_a_graph_that_is_sent_store_no_pairs(spark, monkeypatch):
+    stored = []
+    kept = paths.materialise
+    monkeypatch.setattr(paths, "materialise", lambda df, name: stored.append(df.columns) or kept(df, name))
+    graph = paths.undirected(_grid_edges(spark))
+    got = {(r.i, r.j): r.dist for r in paths.relaxed(graph, spark.createDataFrame([(1,), (7,), (99,)], "i long")).collect()}
+    assert got[99, 99] == 0.0 and {i for i, _ in got} == {1, 7, 99}  # a source without an edge, too
+    assert not any("i" in columns and "j" in columns for columns in stored)
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 0)
+    assert {(r.i, r.j): round(r.dist, 9) for r in paths.relaxed(graph, spark.createDataFrame([(1,), (7,), (99,)], "i long")).collect()} == {p: round(v, 9) for p, v in got.items()}
+
+
+def test_paths_by_joins_hold_some_sources_at_a_time(spark, monkeypatch):
+    graph = paths.undirected(_grid_edges(spark))
+    sources = spark.range(0, 40, 12).select(F.col("id").alias("i"))
+    want = {(r.i, r.j): round(r.dist, 9) for r in paths.relaxed(graph, sources).collect()}
+    rows = []
+    kept = paths.materialise
+    monkeypatch.setattr(paths, "BROADCAST_EDGES", 0)
+    monkeypatch.setattr(paths, "JOINED_PAIRS", 80)  # two sources of 40 nodes
+    monkeypatch.setattr(paths, "materialise", lambda df, name: (out := kept(df, name)) is not None and (rows.append(out.count()) if name == "part" else None) or out)
+    assert {(r.i, r.j): round(r.dist, 9) for r in paths.relaxed(graph, sources).collect()} == want
+    assert max(rows) <= 80
