@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graticule.operators import clusters, communities, doublets, eigen, grids, mds, paths, series, spanning, training
-from graticule.operators.knn import knn
+from graticule.operators.knn import knn, nearest_by_few, nearest_of
 from graticule.plans import embed
 
 
@@ -343,3 +343,31 @@ def test_paths_by_joins_hold_some_sources_at_a_time(spark, monkeypatch):
     monkeypatch.setattr(paths, "materialise", lambda df, name: (out := kept(df, name)) is not None and (rows.append(out.count()) if name == "part" else None) or out)
     assert {(r.i, r.j): round(r.dist, 9) for r in paths.relaxed(graph, sources).collect()} == want
     assert max(rows) <= 80
+
+
+def _sequential_sample(x, k, now=0):
+    left, chosen = np.arange(len(x)), []
+    while True:
+        chosen.append(now)
+        d = np.sqrt(((x[left] - x[now]) ** 2).sum(1))
+        beyond = d > np.partition(d, min(k, len(d) - 1))[min(k, len(d) - 1)]
+        left, d = left[beyond], d[beyond]
+        if len(left) <= k:
+            return chosen
+        now = int(left[d.argmin()])
+
+
+@pytest.mark.parametrize("kind", ["cloud", "equal points"])
+def test_radial_sample_of_any_number_of_points(spark, monkeypatch, kind):
+    monkeypatch.setattr(grids, "DENSE", 50)
+    draw = np.random.default_rng(11)
+    x = draw.normal(size=(300, 3)) if kind == "cloud" else draw.integers(0, 3, (300, 2)).astype(float)
+    for start in (None, 17):
+        got = grids.radial_sample(cloud(spark, x), 3, start).orderBy("id").collect()
+        assert [r.id for r in got if r.chosen] == sorted(_sequential_sample(x, 3, start or 0)) and len(got) == 300
+
+
+def test_nearest_by_few_is_nearest_of(spark):
+    points = cloud(spark, np.random.default_rng(2).integers(0, 4, (200, 3)))
+    asked = points.where("id % 7 = 0")
+    assert sorted(nearest_by_few(asked, points, 9).collect()) == sorted(nearest_of(asked, points, 9).collect())
