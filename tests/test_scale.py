@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graticule.operators import clusters, communities, doublets, eigen, grids, mds, paths, series, spanning, training
+from graticule.operators import clusters, communities, descent, doublets, eigen, grids, mds, paths, series, spanning, training
 from graticule.operators.knn import knn, nearest_by_few, nearest_of
 from graticule.plans import embed
 
@@ -371,3 +371,22 @@ def test_nearest_by_few_is_nearest_of(spark):
     points = cloud(spark, np.random.default_rng(2).integers(0, 4, (200, 3)))
     asked = points.where("id % 7 = 0")
     assert sorted(nearest_by_few(asked, points, 9).collect()) == sorted(nearest_of(asked, points, 9).collect())
+
+
+def test_descent_brings_a_vector_to_each_part_once(spark, monkeypatch):
+    points = cloud(spark, np.random.default_rng(4).normal(size=(500, 6)))
+    want = sorted(descent.knn_descent(points, 5, pool=8, leaf=50).collect())
+    tables = {}
+    kept = descent.materialise
+
+    def noted(df, name):
+        tables[name] = kept(df, name)
+        return tables[name]
+
+    monkeypatch.setattr(descent, "materialise", noted)
+    monkeypatch.setattr(descent, "drop", lambda *tables: None)
+    monkeypatch.setattr(descent, "SENT_BYTES", 0)
+    monkeypatch.setattr(descent, "PART", 100)
+    assert sorted(descent.knn_descent(points, 5, pool=8, leaf=50).collect()) == want
+    lists = tables["members"]  # a row a point, not one with a vector for each of its neighbours
+    assert lists.count() == lists.select("v").distinct().count() and "vec" not in lists.columns and lists.select("part").distinct().count() > 2
