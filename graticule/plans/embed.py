@@ -76,7 +76,7 @@ def _landmark_table(data: DataFrame, k: int, n: int = 0, directed: bool = False,
 WAYS = ("dense", "landmarks", "joins")
 
 
-def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, init: str | DataFrame = "classical", way: str | None = None, landmarks: int = 0, **options) -> DataFrame:
+def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool = False, split: bool = True, sgd: dict | None = None, init: str | DataFrame = "classical", way: str | None = None, landmarks: int = 0, made: tuple[DataFrame, DataFrame, DataFrame] | None = None, **options) -> DataFrame:
     """(id, component, init, embedding, way) of points, or of a distance table.
 
     Components are scaled by themselves and moved by the scaled means of their points (added once, to both). Without split a graph of several
@@ -86,7 +86,8 @@ def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool
     (landmarks of them, mds.LANDMARKS if 0), see mds.by_landmarks; joins, by all geodesics and no task that holds a component, see
     eigen.classical_by_joins and mds.descend_by_joins. Without a way, data of up to mds.DENSE points
     go the dense way, more points by landmarks and larger tables by joins. The column way says which one it was. By landmarks and by joins the
-    initialisation is classical; by landmarks dijkstra and geodesic have no meaning.
+    initialisation is classical; by landmarks dijkstra and geodesic have no meaning. made: what _landmark_table() has made of the same data, k and options, so that
+    several d need one search.
     """
     size = (data.select("i").distinct() if distances else data).count()
     way = way or ("dense" if size <= mds.DENSE else "joins" if distances else "landmarks")
@@ -98,7 +99,7 @@ def embed(data: DataFrame, k: int, d: int, metric: bool = True, distances: bool
         if options.pop("geodesic", False) or not options.pop("dijkstra", True):
             raise ValueError("landmarks need geodesics")
         options.pop("most", None)
-        labels, _, table = _landmark_table(data, k, landmarks, distances=distances, **options)
+        labels, _, table = made or _landmark_table(data, k, landmarks, distances=distances, **options)
     else:
         table = materialise(distance_table(data, k, distances=distances, **options), "distances")
         labels = materialise(table.groupBy("i").agg(F.min("j").alias("component")).withColumnRenamed("i", "id"), "labels")

@@ -390,3 +390,13 @@ def test_descent_brings_a_vector_to_each_part_once(spark, monkeypatch):
     assert sorted(descent.knn_descent(points, 5, pool=8, leaf=50).collect()) == want
     lists = tables["members"]  # a row a point, not one with a vector for each of its neighbours
     assert lists.count() == lists.select("v").distinct().count() and "vec" not in lists.columns and lists.select("part").distinct().count() > 2
+
+
+def test_embeddings_of_several_dimensions_share_one_landmark_table(spark, monkeypatch):
+    points = cloud(spark, sheet(150, 3))
+    how = {"normalise": False, "beyond": False}
+    want = [sorted((r.id, tuple(round(v, 6) for v in r.init)) for r in embed.embed(points, 8, d, metric=False, way="landmarks", landmarks=20, **how).collect()) for d in (1, 2)]
+    made = embed._landmark_table(points, 8, 20, **how)
+    monkeypatch.setattr(embed, "build_graph", None)
+    got = [sorted((r.id, tuple(round(v, 6) for v in r.init)) for r in embed.embed(points, 8, d, metric=False, way="landmarks", landmarks=20, made=made, **how).collect()) for d in (1, 2)]
+    assert got == want
