@@ -1,12 +1,11 @@
-"""Largest eigenvalues of a symmetric table (i, j, value), by products that are joins and sums.
-
-Chebyshev polynomials of the matrix are applied to a block of vectors: each step is one product, a join of the matrix with the block and a sum by row.
-All blocks of a round span a Krylov space; their products with the matrix are combinations of blocks, so one table of inner products (as wide as the
-space, whatever
-the points) is all that the driver needs to find the best vectors in it. Rounds start again from these until the residuals |A v - l v| are small.
-
-The block is sent to the executors if it has SENT_BYTES at most, and joined by a shuffle beyond; no task holds more than a batch of rows of the
-matrix.
+"""Largest eigenvalues of a symmetric table (i, j, value), by products of blocks.
+
+Chebyshev polynomials of the matrix are applied to a block of vectors. The nodes are dealt to slices, the matrix to a grid of blocks of some
+BLOCK_ENTRIES entries: a product brings each slice to the blocks of its columns, one group each, and sums what they give by slices of rows. So a vector goes to as
+many blocks as the grid is wide (the root of the number of blocks), and nothing to the driver.
+All vectors of a round span a Krylov space; their products with the matrix are combinations of them, so one table of inner products (as wide as the
+space, whatever the points) is all that the driver needs to find the best vectors in it. Rounds start again from these until the residuals |A v - l v| are
+small.
 """
 
 from __future__ import annotations
@@ -17,12 +16,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.storage import drop, materialise
 
-#: Bytes of a block of vectors that are sent at most.
-SENT_BYTES = 64 << 20
+#: Bytes of the vectors that polished() sends at most; nodes of a slice and entries of a block of the matrix, about.
+SENT_BYTES, SLICE, BLOCK_ENTRIES = 64 << 20, 8192, 4 << 20
+#: Vectors by slices: doubles, one row of them for each node of the slice.
+_SLICES = pa.schema([("slice", pa.int32()), ("v", pa.binary())])
 
 
 @dataclass
@@ -52,30 +54,145 @@ def _less_means(block: DataFrame, width: int) -> DataFrame:
     return block.select("id", F.array(*(F.col("v")[k] - means[k] for k in range(width))).alias("v"))
 
 
-def _rows(column: pa.Array, n: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+def _of(table: pa.Table | pa.RecordBatch, name: str = "v", dtype: str = "<f8") -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype) for x in table.column(name).to_pylist()]
 
 
-def _inner(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in batches:
-        if b.num_rows:
-            x = _rows(b.column("all"), b.num_rows)
-            total = x.T @ x if total is None else total + x.T @ x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "value"])
+def _table(slices: list[int], rows: list[np.ndarray]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(slices, pa.int32()), pa.array([np.ascontiguousarray(x, "<f8").tobytes() for x in rows], pa.binary())], schema=_SLICES)
 
 
-def _combined(weights: np.ndarray) -> Callable:
+def _inner(width: int) -> Callable:
+    """Sums of products of any two of the vectors."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
         for b in batches:
-            if b.num_rows:
-                out = _rows(b.column("all"), b.num_rows) @ weights
-                yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(out), pa.list_(pa.float64()))], names=["id", "v"])
+            for v in _of(b):
+                x = v.reshape(-1, width)
+                total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["place", "value"])
 
     return run
 
 
+def _changed(vectors: DataFrame, width: int, fn: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from _table(b.column("slice").to_pylist(), [fn(v.reshape(-1, width)) for v in _of(b)]).to_batches()
+
+    return vectors.mapInArrow(run, "slice int, v binary")
+
+
+def _beside(tables: list[DataFrame], widths: list[int]) -> DataFrame:
+    """The vectors of all tables, slice by slice."""
+    rows = tables[0].select("slice", "v", F.lit(0).alias("k"))
+    for k, t in enumerate(tables[1:], 1):
+        rows = rows.unionAll(t.select("slice", "v", F.lit(k).alias("k")))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        parts = dict(zip(group.column("k").to_pylist(), _of(group), strict=True))
+        return _table([key[0].as_py()], [np.hstack([parts[k].reshape(-1, w) for k, w in enumerate(widths)])])
+
+    return rows.groupBy("slice").applyInArrow(run, "slice int, v binary")
+
+
+class _Grid:
+    """A matrix (i, j, value) in blocks, and the places of its nodes (id) in slices."""
+
+    def __init__(self, matrix: DataFrame, nodes: DataFrame, n: int, over: float):
+        """over: what values are divided by."""
+        spark, entries = matrix.sparkSession, max(1, matrix.count())
+        wanted = max(1, int(np.ceil((entries / BLOCK_ENTRIES) ** 0.5)))
+        slices = max(1, -(-n // SLICE), min(wanted, n))
+        self.span = span = -(-slices // wanted)  # slices of a block's side
+        self.side = side = -(-slices // span)
+        own = nodes.select("id", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("slice"))
+        self.placed = materialise(own.select("id", "slice", (F.row_number().over(W.partitionBy("slice").orderBy("id")) - 1).alias("place")), "placed")
+        self.stride = stride = self.placed.agg(F.max("place")).first()[0] + 1
+        a, b = (self.placed.select(F.col("id").alias(c), F.expr(f"slice div {span}").cast("int").alias(f"b{c}"), (F.col("slice") % span * stride + F.col("place")).alias(f"p{c}")) for c in "ij")
+        met = matrix.join(a, "i").join(b, "j").select((F.col("bi") * side + F.col("bj")).alias("block"), "pi", "pj", (F.col("value") / over).alias("value"))
+
+        def pack(key: tuple, group: pa.Table) -> pa.Table:
+            rows, columns, values = (group.column(c).to_numpy() for c in ("pi", "pj", "value"))
+            order = np.lexsort((columns, rows))
+            met, starts = np.unique(rows[order], return_index=True)
+            parts = [met.astype("<i4"), starts.astype("<i4"), columns[order].astype("<i4"), values[order].astype("<f8")]
+            return pa.Table.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in parts)], names=["block", "rows", "starts", "columns", "data"])
+
+        self.stored = materialise(met.groupBy("block").applyInArrow(pack, "block int, rows binary, starts binary, columns binary, data binary"), "blocks")
+        # Kept where it is, so that only vectors move; what is lost is read again.
+        self.blocks = self.stored.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").persist()
+
+    def free(self) -> None:
+        self.blocks.unpersist()
+        drop(self.stored)
+
+    def vectors(self, columns: list) -> DataFrame:
+        """Vectors of expressions of id."""
+        width = len(columns)
+
+        def run(key: tuple, group: pa.Table) -> pa.Table:
+            v = np.stack([group.column(f"c{k}").to_numpy() for k in range(width)], 1)
+            return _table([key[0].as_py()], [v[np.argsort(group.column("place").to_numpy())]])
+
+        return self.placed.select("slice", "place", *(c.alias(f"c{k}") for k, c in enumerate(columns))).groupBy("slice").applyInArrow(run, "slice int, v binary")
+
+    def rows(self, vectors: DataFrame, width: int) -> DataFrame:
+        """(id, v) of vectors."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for s, v in zip(b.column("slice").to_pylist(), _of(b), strict=True):
+                    n = len(v) // width
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(v))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, s, np.int32)), pa.array(np.arange(n, dtype=np.int32)), lists], names=["slice", "place", "v"])
+
+        return vectors.mapInArrow(run, "slice int, place int, v array<double>").join(self.placed, ["slice", "place"]).select("id", "v")
+
+    def product(self, vectors: DataFrame, width: int, before: DataFrame | None = None) -> DataFrame:
+        """The matrix times vectors; with those before them, twice that less these."""
+        span, side, stride = self.span, self.side, self.stride
+
+        def times(key: tuple, block: pa.Table, own: pa.Table) -> pa.Table:
+            if not block.num_rows:
+                return _table([], []).append_column("part", pa.array([], pa.int32()))
+            bi, bj = divmod(key[0].as_py(), side)
+            v = np.zeros((width, span * stride))
+            for s, x in zip(own.column("slice").to_pylist(), _of(own), strict=True):
+                at = (s - bj * span) * stride
+                v[:, at : at + len(x) // width] = x.reshape(-1, width).T
+            (rows,), (starts,), (columns,) = (_of(block, c, "<i4") for c in ("rows", "starts", "columns"))
+            (data,) = _of(block, "data")
+            sums = np.zeros((span * stride, width))
+            for k in range(width):
+                sums[rows, k] = np.add.reduceat(data * v[k].take(columns), starts)
+            met = np.unique(rows // stride).tolist()
+            return _table([bi * span + s for s in met], [sums[s * stride : (s + 1) * stride] for s in met]).append_column("part", pa.array([bj] * len(met), pa.int32()))
+
+        sent = vectors.select(F.expr(f"explode(transform(sequence(0, {side - 1}), b -> cast(b * {side} + slice div {span} AS int)))").alias("block"), "slice", "v")
+        parts = self.blocks.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(times, "slice int, v binary, part int")
+        # Part -1 has as many rows as the slice.
+        parts = parts.unionAll((vectors if before is None else before).select("slice", "v", F.lit(-1).alias("part")))
+        factor = 1 if before is None else 2
+
+        def add(key: tuple, group: pa.Table) -> pa.Table:
+            found = dict(zip(group.column("part").to_pylist(), _of(group), strict=True))
+            own = found.pop(-1)
+            out = np.zeros(len(own)) if factor == 1 else -own
+            for k in sorted(found):
+                out += factor * found[k][: len(own)]
+            return _table([key[0].as_py()], [out])
+
+        return parts.groupBy("slice").applyInArrow(add, "slice int, v binary")
+
+    def centred(self, vectors: DataFrame, width: int, n: int) -> DataFrame:
+        """vectors less their means."""
+        sums = _changed(vectors, width, lambda x: x.sum(0)).orderBy("slice").collect()
+        means = sum((np.frombuffer(r.v) for r in sums), np.zeros(width)) / n
+        return _changed(vectors, width, lambda x: x - means)
+
+
 def _best(inner: np.ndarray, width: int, steps: int, wanted: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(values, residuals, weights of all blocks) of the best vectors within the first `steps` blocks, from the inner products of steps + 1 blocks T_0
     ... T_steps.
@@ -108,52 +225,42 @@ def _best(inner: np.ndarray, width: int, steps: int, wanted: int) -> tuple[np.nd
     return values, residuals, weights
 
 
-def largest(matrix: DataFrame, wanted: int, centred: bool = False, steps: int = 12, extra: int = 4, most_rounds: int = 12, tolerance: float = 1e-6, seed: int = 0, log: list | None = None) -> Eigen:
+def largest(matrix: DataFrame, wanted: int, centred: bool = False, steps: int = 12, extra: int = 4, most_rounds: int = 12, tolerance: float = 1e-6, seed: int = 0, log: list | None = None, bound: float | None = None) -> Eigen:
     """The `wanted` algebraically largest eigenvalues of a symmetric matrix (i, j, value), of which pairs that are not in the table are 0, and their
     vectors.
 
     centred: of the matrix between projections that take the mean away, as double centring does, without a row for each pair. Rounds end once
     residuals are within tolerance of the matrix's norm
-    (an upper bound: its largest sum of absolute values in a row). extra vectors are carried along, as close eigenvalues need.
+    (bound, if known; else an upper one, its largest sum of absolute values in a row: the closer, the fewer rounds, as polynomials of small numbers are much alike). extra vectors are carried along, as close eigenvalues need.
     """
     matrix = materialise(matrix.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("value").cast("double").alias("value")), "matrix")
     ids = matrix.select(F.col("i").alias("id")).unionAll(matrix.select(F.col("j").alias("id"))).distinct()
     nodes = materialise(ids, "nodes")
     n = nodes.count()
-    bound = matrix.groupBy("i").agg(F.sum(F.abs("value")).alias("s")).agg(F.max("s")).first()[0] or 1.0
-    # Every node has a row, if of zeros.
-    scaled = materialise(matrix.select("i", "j", (F.col("value") / bound).alias("value")).unionAll(nodes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(0.0).alias("value"))), "matrix")
+    bound = bound or matrix.groupBy("i").agg(F.sum(F.abs("value")).alias("s")).agg(F.max("s")).first()[0] or 1.0
+    grid = _Grid(matrix, nodes, n, bound)
     width = min(wanted + extra, n)
     wanted = min(wanted, width)
     steps = max(1, min(steps, -(-n // width)))
-    sent = n * (8 * width + 32) <= SENT_BYTES
     draw = lambda k: (F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(1 << 30)) / float(1 << 29) - 1.0)
-    block = nodes.select("id", F.array(*(draw(k) for k in range(width))).alias("v"))
+    block = grid.vectors([draw(k) for k in range(width)])
     values = residuals = np.zeros(0)
     for turn in range(most_rounds):
-        blocks = [materialise(_less_means(block, width) if centred else block, "block")]
+        blocks = [materialise(grid.centred(block, width, n) if centred else block, "block")]
         stored = blocks[:]
         for k in range(steps):
-            new = _product(scaled, blocks[-1], width, sent)
-            if k:
-                parts = new.select("id", F.transform("v", lambda x: 2 * x).alias("v")).unionAll(blocks[-2].select("id", F.transform("v", lambda x: -x).alias("v")))
-                sums = parts.groupBy("id").agg(*(F.sum(F.col("v")[c]).alias(f"s{c}") for c in range(width)))
-                new = sums.select("id", F.array(*(f"s{c}" for c in range(width))).alias("v"))
-            stored.append(materialise(new, "block"))
+            new = materialise(grid.product(blocks[-1], width, blocks[-2] if k else None), "block")
+            stored.append(new)
             # The block before has no mean, so this one's is the product's.
-            blocks.append(_less_means(stored[-1], width) if centred else stored[-1])
-        rows = blocks[0].select("id", F.lit(0).alias("k"), "v")
-        for k, b in enumerate(blocks[1:], 1):
-            rows = rows.unionAll(b.select("id", F.lit(k).alias("k"), "v"))
-        whole = rows.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("b"))
-        whole = materialise(whole.select("id", F.flatten(F.transform("b", lambda s: s["v"])).alias("all")), "krylov")
+            blocks.append(grid.centred(new, width, n) if centred else new)
+        whole = materialise(_beside(blocks, [width] * len(blocks)), "krylov")
         drop(*stored)
         size = width * (steps + 1)
-        sums = whole.mapInArrow(_inner, "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
+        sums = whole.mapInArrow(_inner(size), "place long, value double").groupBy("place").agg(F.sum("value").alias("value")).toPandas()
         inner = np.zeros(size * size)
         inner[sums["place"]] = sums["value"]
         values, residuals, weights = _best(inner.reshape(size, size), width, steps, width)
-        block = materialise(whole.mapInArrow(_combined(weights), "id long, v array<double>"), "ritz")
+        block = materialise(_changed(whole, size, lambda x, weights=weights: x @ weights), "ritz")
         drop(whole)
         if log is not None:
             log.append((turn, values[:wanted] * bound, residuals[:wanted] * bound))
@@ -161,9 +268,11 @@ def largest(matrix: DataFrame, wanted: int, centred: bool = False, steps: int =
             break
         if len(values) < width:  # fewer directions than vectors: the rest begins anew
             missing = width - len(values)
-            block = block.select("id", F.concat("v", F.array(*(draw(width * (turn + 1) + k) for k in range(missing)))).alias("v"))
+            block = _beside([block, grid.vectors([draw(width * (turn + 1) + k) for k in range(missing)])], [len(values), missing])
+    rows = materialise(grid.rows(block, len(values)), "ritz")
+    grid.free()
     found = len(values[:wanted])
-    vectors = _signed(block, found)
+    vectors = _signed(rows, found)
     return Eigen(vectors, values[:found] * bound, residuals[:found] * bound)
 
 
@@ -223,6 +332,7 @@ def spectral_by_joins(neighbours: DataFrame, d: int, **options) -> tuple[DataFra
     edges = materialise(both.groupBy("i", "j").agg(F.sum("w").alias("w")), "edges")
     degrees = materialise(edges.groupBy(F.col("i").alias("id")).agg(F.sqrt(F.sum("w")).alias("root")), "degrees")
     a, b = degrees.select(F.col("id").alias("i"), F.col("root").alias("ri")), degrees.select(F.col("id").alias("j"), F.col("root").alias("rj"))
-    found = largest(edges.join(a, "i").join(b, "j").select("i", "j", (F.col("w") / F.col("ri") / F.col("rj")).alias("value")), d + 1, **options)
+    # Of a graph divided by the roots of degrees no eigenvalue is larger than 1.
+    found = largest(edges.join(a, "i").join(b, "j").select("i", "j", (F.col("w") / F.col("ri") / F.col("rj")).alias("value")), d + 1, bound=1.0, **options)
     axes = F.transform(F.slice("vector", 2, d), lambda x: x / F.col("root"))
     return found.vectors.join(degrees, "id").select("id", axes.alias("embedding")), found

@@ -44,6 +44,22 @@ def test_largest_eigenvalues(spark, monkeypatch, sent):
     assert (got[np.abs(got).argmax(0), range(3)] > 0).all()
 
 
+def test_products_send_no_vectors(spark, monkeypatch):
+    def sent(table):
+        raise AssertionError("sent through the driver")
+
+    monkeypatch.setattr(eigen.F, "broadcast", sent)
+    monkeypatch.setattr(eigen, "SLICE", 5)
+    monkeypatch.setattr(eigen, "BLOCK_ENTRIES", 40)
+    draw = np.random.default_rng(1)
+    a = draw.normal(size=(24, 24)) * (draw.uniform(size=(24, 24)) < 0.3)
+    a = a + a.T + np.diag(np.arange(24) / 4)
+    centred = a - a.mean(0) - a.mean(1)[:, None] + a.mean()
+    found = eigen.largest(pairs_of(spark, np.where(a == 0, np.nan, a), "value"), 3, centred=True)
+    got = np.array([r.vector for r in found.vectors.orderBy("id").collect()])
+    assert np.allclose(found.values, np.linalg.eigvalsh(centred)[::-1][:3], atol=1e-5) and np.abs(centred @ got - got * found.values).max() < 1e-3
+
+
 def test_eigenvalues_of_small_and_empty_matrices(spark):
     one = eigen.largest(spark.createDataFrame([(5, 5, 2.0)], "i long, j long, value double"), 3)
     assert np.allclose(one.values, [2.0]) and [tuple(r) for r in one.vectors.collect()] == [(5, [1.0])]
