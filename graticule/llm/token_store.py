@@ -26,6 +26,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -38,6 +39,8 @@ from .pretokens import Splitter
 MAGIC, BLOCK_IDS, END_ID = b"GTK2", 1 << 21, 0
 #: Remembered pieces beyond which the memory starts anew (keeping what is met again), and their most characters. Results do not depend on them.
 MAX_PIECES, MAX_PIECE_CHARS = 400_000, 40
+#: Characters of the longest text that is split in numpy, and of texts that are split at once.
+MAX_LATIN, LATIN_BYTES = 1 << 20, 2 << 20
 FILES = "part int, path string, n_docs long, n_tokens long, n_bytes long"
 ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
@@ -46,6 +49,29 @@ ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+def _kinds() -> np.ndarray:
+    """Of code points below 256: 0 the space, 1 other white space, 2 letters, 3 numbers, 4 all others (5: between texts)."""
+    return np.array([0 if c == " " else 1 if regex.match(r"\s", c) else 2 if regex.match(r"\p{L}", c) else 3 if regex.match(r"\p{N}", c) else 4 for c in map(chr, range(256))], np.uint8)
+
+
+_KINDS = _kinds()
+
+
+def latin_pieces(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The matches of BYTE_LEVEL in texts of code points below 256 without apostrophes, and an x between two texts; which of them are such an x. A run of white space leaves its last character to what follows; only a space joins it."""
+    data = b"x".join(texts)
+    kinds = _KINDS.take(np.frombuffer(data, np.uint8))
+    kinds[np.cumsum([len(t) + 1 for t in texts[:-1]], dtype=np.int64) - 1] = 5
+    blank = kinds < 2
+    starts = np.ones(len(kinds), bool)
+    starts[1:] = (kinds[1:] != kinds[:-1]) & (kinds[:-1] != 0)
+    last = np.zeros(len(kinds), bool)  # the last of a run that is not at its text's end
+    last[:-1] = blank[:-1] & ~blank[1:] & (kinds[1:] != 5)
+    starts[1:] = np.where(blank[1:], ~blank[:-1] | last[1:], starts[1:] | (kinds[1:] == 5))
+    at = np.append(np.flatnonzero(starts), len(kinds)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]), kinds.take(at[:-1]) == 5
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library. Pieces that its byte-level pre-tokenizer would split off are remembered; with any other tokenizer, or another pattern, the library takes whole texts."""
 
@@ -78,27 +104,75 @@ class Encoder:
         for p, e in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self.known[p] = np.array(e.ids, "<i4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def ready(self, every: set[str]) -> set[str]:
+        """Have the ids of all these pieces at hand; returns those that are new."""
+        if len(self.known) > MAX_PIECES:
+            self.old, self.known = self.known, {}
         known = self.known
-        pieces = [self.split(t) if self.alike and not any(s in t for s in self.special) else None for t in texts]
-        every = set().union(*(own for own in pieces if own))
-        if len(known) > MAX_PIECES:
-            self.old, self.known = known, {}
-            known = self.known
         fresh = every.difference(known)
         again = fresh.intersection(self.old)
         known.update(zip(again, map(self.old.__getitem__, again), strict=True))
         fresh -= again
         self.look_up(list(fresh))
-        out = []
-        for text, own in zip(texts, pieces, strict=True):
-            if own is None:  # such as a special token's text: the library takes the whole text at once
-                out.append(np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4"))
-            else:
-                out.append(np.frombuffer(b"".join(map(known.__getitem__, own)), "<i4"))
+        return fresh
+
+    def forget(self, fresh: set[str]) -> None:
         for p in fresh:
             if len(p) > MAX_PIECE_CHARS:
-                known.pop(p, None)
+                self.known.pop(p, None)
+
+    def encode_latin(self, texts: list[bytes]) -> list[np.ndarray]:
+        pieces, between = latin_pieces(texts)
+        coded = pieces.dictionary_encode()
+        _, ends, data = coded.dictionary.buffers()
+        ends, whole = np.frombuffer(ends, "<i4", len(coded.dictionary) + 1).tolist(), data.to_pybytes().decode("latin-1")
+        names = [whole[i:j] for i, j in zip(ends, ends[1:])]
+        own = list(map(self.known.get, names))
+        missing = {p for p, ids in zip(names, own, strict=True) if ids is None}
+        if missing:
+            fresh = self.ready(missing.union(names) if len(self.known) > MAX_PIECES else missing)
+            own = list(map(self.known.__getitem__, names))
+            self.forget(fresh)
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        pool, at = np.frombuffer(b"".join(own), "<i4"), coded.indices.to_numpy()
+        counts = sizes.take(at)
+        counts[between] = 0
+        ends = np.cumsum(counts)
+        # Place in pool of each piece's first id, less its place among all.
+        shift = (np.cumsum(sizes) - sizes).take(at) - (ends - counts)
+        ids = pool.take(np.repeat(shift, counts) + np.arange(len(pieces) and ends[-1]))
+        return np.split(ids, ends[between])
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [self.alike and not any(s in t for s in self.special) for t in texts]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        latin: dict[int, bytes] = {}
+        held = 0
+
+        def coded() -> None:
+            for k, ids in zip(latin, self.encode_latin(list(latin.values())) if latin else [], strict=True):
+                out[k] = ids
+            latin.clear()
+
+        for k, text in enumerate(texts):
+            if plain[k] and "'" not in text and len(text) <= MAX_LATIN:
+                try:
+                    latin[k] = text.encode("latin-1")
+                except UnicodeEncodeError:
+                    continue
+                held += len(text)
+                if held >= LATIN_BYTES:
+                    coded()
+                    held = 0
+        coded()
+        pieces = {k: self.split(t) for k, t in enumerate(texts) if plain[k] and out[k] is None}
+        fresh = self.ready(set().union(*pieces.values()))
+        for k, text in enumerate(texts):
+            if k in pieces:
+                out[k] = np.frombuffer(b"".join(map(self.known.__getitem__, pieces[k])), "<i4")
+            elif not plain[k]:  # such as a special token's text: the library takes the whole text at once
+                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, "<i4")
+        self.forget(fresh)
         return out
 
 
@@ -180,8 +254,8 @@ def write(docs: DataFrame, path: str, pattern: str, folder: str, size: int | Non
         def coded() -> Iterator[tuple[int | None, np.ndarray]]:
             for b in batches:
                 doc_ids, texts = b.column("doc_id").to_pylist(), [t or "" for t in b.column("text").to_pylist()]
-                for at in range(0, len(texts), 128):
-                    for doc_id, ids in zip(doc_ids[at : at + 128], coder.encode(texts[at : at + 128]), strict=True):
+                for at in range(0, len(texts), 512):
+                    for doc_id, ids in zip(doc_ids[at : at + 512], coder.encode(texts[at : at + 512]), strict=True):
                         done[0] += 1
                         done[1] += len(ids) + 1
                         yield doc_id, np.append(ids, np.int32(END_ID))

@@ -142,6 +142,19 @@ def test_blocks_split_documents_and_show_damage():
         list(token_store.read_blocks(io.BytesIO(data[:30] + bytes([data[30] ^ 1]) + data[31:]), 100))
 
 
+def test_texts_split_in_numpy_are_the_librarys():
+    coder, draw = token_store.Encoder(JSON, public_tokenizers.PATTERN), random.Random(3)
+    coder.split = None  # not asked for texts of code points below 256 without apostrophes
+    letters = "abcXYZ\xe9\xdf\xaa\xb2\xbd019 \n\t\r\x85\xa0\x1c\x00.,-#\xd7" + "   \n ea"
+    texts = ["", " ", "\n", "", "x", "  x", "x  ", " \n x", "x\n\n", ""] + ["".join(draw.choices(letters, k=draw.randrange(40))) for _ in range(4000)]
+    texts += [prose(k, 300) for k in range(20)] + ["a" * 300, ""]
+    for at in range(0, len(texts), 97):
+        some = texts[at : at + 97]
+        for text, ids in zip(some, coder.encode(some), strict=True):
+            assert ids.tolist() == coder.library.encode(text, add_special_tokens=False).ids, repr(text)
+    assert [x.tolist() for x in coder.encode(["", ""])] == [[], []] and coder.encode([]) == []
+
+
 def test_token_store_on_awkward_rows(awkward, nothing):
     from tokenizers import Tokenizer
 
