@@ -72,9 +72,9 @@ def _solid(spark, d):
     return points(spark, d).select("id", F.slice("features", 1, 3).alias("features"))
 
 
-def _spaced(embedding, d: int):
-    """All distances of an embedding, of which classical scaling has divided the coordinates by sqrt(d / 2)."""
-    return pairwise(embedding.select("id", F.transform("init", lambda x: x * math.sqrt(d / 2)).alias("features")))
+def _spaced(embedding, d: int, to: int):
+    """All distances of an embedding, of which classical scaling has divided the coordinates by sqrt(d / 2), to so many decimals."""
+    return pairwise(embedding.select("id", F.transform("init", lambda x: x * math.sqrt(d / 2)).alias("features")), to=to)
 
 
 @query(f"WITH {_SOLID} SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v), 4) + 0.0 AS dist FROM q a, q b")
@@ -82,10 +82,10 @@ def classical_scaling(spark, d):
     own = _solid(spark, d)
     if own.count() > mds.DENSE:  # no table of all distances, and none in one task
         placed = materialise(mds.classical_of(own, 3), "placed").select("id", F.lit(0).cast("long").alias("component"), "init", F.col("init").alias("embedding"))
-        return rounded(_spaced(placed, 3), "dist", to=4)
+        return _spaced(placed, 3, to=4)
     table = materialise(pairwise(own), "distances")
     whole = points(spark, d).select("id", F.lit(0).cast("long").alias("component"))
-    return rounded(_spaced(mds.embed_components(table, whole, 3, metric=False), 3), "dist", to=4)
+    return _spaced(mds.embed_components(table, whole, 3, metric=False), 3, to=4)
 
 
 @query(f"WITH {_SOLID} SELECT a.id AS i, b.id AS j, round(list_distance(a.v, b.v), 4) + 0.0 AS dist FROM q a, q b")
@@ -95,7 +95,7 @@ def landmark_scaling(spark, d):
     marks = mds.landmark_ids(whole, 50).select(F.col("id").alias("j"))
     chosen = own.join(F.broadcast(marks), F.col("id") == F.col("j")).select("id", "features")
     table = materialise(pairwise(own, asked=chosen).select(F.col("j").alias("i"), F.col("i").alias("j"), "dist"), "distances")
-    return rounded(_spaced(mds.by_landmarks(table, whole, 3, metric=False), 3), "dist", to=4)
+    return _spaced(mds.by_landmarks(table, whole, 3, metric=False), 3, to=4)
 
 
 @query(f"WITH {P}, u AS (SELECT id, unnest(v) AS x, generate_subscripts(v, 1) AS k FROM p), m AS (SELECT k, avg(x) AS m FROM u GROUP BY k) SELECT id, round(sqrt(sum(pow(x - m, 2))), 4) AS norm FROM u JOIN m USING (k) GROUP BY id")
